@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality
+from . import near_dup, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_packing": op5_packing,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.oracle_sql()}
