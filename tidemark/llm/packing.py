@@ -22,11 +22,15 @@ from .store import bounded_batches
 
 WINDOW, END_ID, MAX_OPEN = 2048, 1, 1024
 #: Entries of the piece cache of a worker, which is emptied beyond them.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Where the byte-level pre-tokenizer cuts at white space; each match is encoded the same alone as within its text.
-PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+_LETTERS, _MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", ".,;:!?|*#%$&<>()\"/"
+#: Stretches of a text that the byte-level pre-tokenizer never joins with their neighbours, so that each is
+#: encoded the same alone as within its text: plain words and marks, other stretches without white space,
+#: and white space.
+PIECE = re.compile(f" ?[{_LETTERS}]+(?=[{_MARKS}{_WS}]|$)| ?[{_MARKS}]+(?=[{_LETTERS}{_WS}]|$)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+_BLANK = re.compile(f"[{_WS}]*")
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -45,17 +49,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        (self.line_feed,) = self._ids("\n")
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces at once, as lines: a line feed between them is a token of its own."""
+        ids = np.array(self._ids("\n".join(pieces)), "<u4")
+        cuts = np.flatnonzero(ids == self.line_feed)
+        assert len(cuts) == len(pieces) - 1
+        raw = ids.tobytes()
+        for piece, a, b in zip(pieces, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)]):
+            self.known[piece] = raw[a:b]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
         known, pieces = self.known, [PIECE.findall(x) for x in texts]
         new = list(set().union(*pieces).difference(known)) if pieces else []
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[piece] = np.array(found.ids, "<u4").tobytes()
+        solid = [x for x in new if not _BLANK.fullmatch(x)]
+        for i in range(0, len(solid), 500):
+            self._learn(solid[i : i + 500])
+        for x in set(new).difference(solid):
+            known[x] = np.array(self._ids(x), "<u4").tobytes()
         return [b"".join(map(known.__getitem__, x)) for x in pieces]
 
 

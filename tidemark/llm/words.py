@@ -14,6 +14,8 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARK = _SPACE.copy()
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
 _UPPER = np.arange(256, dtype=np.uint8)
@@ -75,8 +77,12 @@ def _hashes(raw: np.ndarray, word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(sums, sizes.astype(np.uint64))
 
 
-def chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK) -> Iterator[Words]:
-    """The words of all texts, in chunks of whole texts. lower: A to Z count as a to z."""
+def chunks(texts: pa.Array, lower: bool = False, marks: bool = False, size: int = CHUNK) -> Iterator[Words]:
+    """The words of all texts, in chunks of whole texts.
+
+    lower: A to Z count as a to z. marks: ASCII punctuation counts as space.
+    """
+    space = _MARK if marks else _SPACE
     raw, at = _buffer(texts)
     i, n = 0, len(at) - 1
     while i < n:
@@ -86,7 +92,7 @@ def chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK) -> Iterator[
         if lower:
             data = _UPPER[data]
         bounds = at[i : j + 1] - at[i]
-        inside = ~_SPACE[data]
+        inside = ~space[data]
         edge = np.zeros(len(data) + 1, bool)  # a word starts or ends here
         if len(data):
             edge[1:-1] = inside[1:] != inside[:-1]
