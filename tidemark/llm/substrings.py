@@ -11,9 +11,12 @@ assigned symbols, so Spark names each group of consecutive windows with one assi
 symbol, counts the groups of each name, and
 
 - a name that occurs once repeats nowhere: its windows stay;
-- a name whose groups all have the same words is verified: all its windows repeat;
-- only for other names (groups cut short by an edit or the end of a passage), and for windows that hold no
-  context, are the windows themselves compared, by hashes of 128 bits.
+- groups of one name with the same words verify each other: all their windows repeat;
+- only other groups of a shared name (cut short by an edit or the end of a passage), and windows that hold
+  no context, are compared window by window with one group of each wording, by hashes of 128 bits.
+
+Groups of the same words within one Arrow batch are verified there and sent on as one, so a passage that
+very many documents share adds a row for each batch.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,18 +146,48 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", text).alias("key"), F.struct(*rest, text.isNull().alias("no_text")).alias("doc"), text.alias("text"))
 
 
+#: What is known of a group where it was found: nothing, that it repeats, or that its windows have no symbol.
+_ASK, _SURE, _BARE = 0, 1, 2
+
+
 def _occurrences(docs: DataFrame, window: int, rounds: int) -> DataFrame:
-    """name, span, key, at and n of each group of windows."""
+    """name, span, c, state, key, at and n of each group of windows.
+
+    Of groups with equal words in a batch one has state _ASK and their number as c; the rest are _SURE.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            keys, parts = batch.column(0).to_numpy(), []
             for c in W.chunks(batch.column(1)):
                 text, at, count, name, span = _groups(c, window, rounds)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(span.view(np.int64)), pa.array(keys[c.first + text]), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32))], names=["name", "span", "key", "at", "n"])
-
-    return _keyed(docs).select("key", "text").mapInArrow(run, "name long, span long, key long, at int, n int")
+                parts.append((keys[c.first + text], at, count, name, span))
+            key, at, count, name, span = (np.concatenate(x) for x in zip(*parts))
+            _, first, kind, often = np.unique(W.mix(name, span), return_index=True, return_inverse=True, return_counts=True)
+            state = np.full(len(name), _SURE, np.int32)
+            state[first] = _ASK
+            state[name == 0] = _BARE
+            often = np.where(state == _ASK, often[kind], 0)
+            columns = (name.view(np.int64), span.view(np.int64), often.astype(np.int64), state, key, at.astype(np.int32), count.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["name", "span", "c", "state", "key", "at", "n"])
+
+    return _keyed(docs).select("key", "text").mapInArrow(run, "name long, span long, c long, state int, key long, at int, n int")
+
+
+def _places(occurred: DataFrame) -> DataFrame:
+    """key, sure and open: of each row with repeats the groups that are verified, and those to compare by windows."""
+    alone = F.xxhash64("key", "at")  # rows that ask nothing have names of their own, so that they spread
+    asked = occurred.withColumn("name", F.when(F.col("state") == _ASK, F.col("name")).otherwise(alone))
+    by_name, by_span = Window.partitionBy("name"), Window.partitionBy("name", "span")
+    told = asked.withColumn("all", F.sum("c").over(by_name)).withColumn("lo", F.min("span").over(by_name)).withColumn("hi", F.max("span").over(by_name))
+    told = told.withColumn("same", F.sum("c").over(by_span)).withColumn("rank", F.row_number().over(by_span.orderBy("key", "at")))
+    sure = (F.col("state") == _SURE) | (F.col("same") > 1)
+    shared = (F.col("state") == _ASK) & (F.col("all") > 1) & (F.col("lo") != F.col("hi"))
+    compare = (F.col("state") == _BARE) | (shared & (F.col("rank") == 1))
+    told = told.select("key", "at", "n", sure.alias("s"), compare.alias("o")).where("s or o")
+    told = told.groupBy("key").agg(F.collect_set(F.struct("s", "o", "at", "n")).alias("g"))
+    pick = lambda x: F.transform(F.filter("g", lambda g: g[x]), lambda g: F.struct(g["at"].alias("at"), g["n"].alias("n")))
+    return told.select("key", pick("s").alias("sure"), pick("o").alias("open"))
 
 
 def _second_hash(c: W.Words, window: int) -> np.ndarray:
@@ -185,7 +218,6 @@ def _shown(result: tuple, text: bytes | None, texts: bool) -> tuple:
 
 _RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), T.StructField("kept_sha256", T.StringType())]
 _GROUPS = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())]))
-_WINDOWS = [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("one", T.ArrayType(T.LongType())), T.StructField("two", T.ArrayType(T.LongType()))]
 
 
 def _results(rows: list[tuple]) -> list[pa.Array]:
@@ -195,36 +227,37 @@ def _results(rows: list[tuple]) -> list[pa.Array]:
     return arrays
 
 
-def _compared(met: DataFrame, window: int, texts: bool) -> DataFrame:
-    """From key, doc, sure and open groups: the results of rows without open groups, and for the others their
-    text, sure groups and the place and hashes of each window of an open group."""
+def _first_pass(met: DataFrame, window: int, texts: bool) -> DataFrame:
+    """From key, doc, text, sure and open: the results of rows without open groups; of the others text and groups."""
     kind = met.schema["doc"].dataType
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", kind), T.StructField("text", T.StringType()), T.StructField("sure", _GROUPS), *_WINDOWS, *_RESULT])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", kind), T.StructField("text", T.StringType()), T.StructField("sure", _GROUPS), T.StructField("open", _GROUPS), *_RESULT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in W.chunks(batch.column(2)):
-                part = batch.slice(c.first, c.count)
-                sure, open_ = part.column(3).to_pylist(), part.column(4).to_pylist()
-                text = part.column(2).cast(pa.binary()).to_pylist()
-                one, two = (W.windows(c.hash, window), _second_hash(c, window)) if any(open_) else (np.zeros(0, np.uint64),) * 2
-                places, rows, none = [], [], (None,) * 4
-                for k in range(c.count):
-                    groups = open_[k]
-                    places.append(np.unique(np.concatenate([np.arange(g["at"], g["at"] + g["n"]) for g in groups])) if groups else np.zeros(0, np.int64))
-                    result = none if groups else _cut(text[k] or b"", sure[k] or (), (), window)
-                    rows.append(_shown(result, text[k], texts))
+            sure, open_ = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            text = batch.column(2).cast(pa.binary()).to_pylist()
+            rows = [(None,) * 4 if o else _shown(_cut(t or b"", s or (), (), window), t, texts) for t, s, o in zip(text, sure, open_)]
+            left = pc.if_else(pa.array([bool(x) for x in open_]), batch.column(2), pa.nulls(len(rows), pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), left, batch.column(3), batch.column(4), *_results(rows)], names=schema.names)
+
+    return met.select("key", "doc", "text", "sure", "open").mapInArrow(run, schema)
+
+
+def _windows(unsettled: DataFrame, window: int) -> DataFrame:
+    """one, two (hashes), key and at of each window of an open group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, open_ = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            for c in W.chunks(batch.column(1)):
+                places = [np.unique(np.concatenate([np.arange(g["at"], g["at"] + g["n"]) for g in x])) for x in open_[c.first : c.first + c.count]]
                 sizes = [len(x) for x in places]
                 flat = np.concatenate(places)
                 where = flat + np.repeat(c.of[:-1], sizes)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(flat.astype(np.int32)), pa.array(one[where].view(np.int64)), pa.array(two[where].view(np.int64)))]
-                unsettled = pa.array([bool(x) for x in open_])
-                blank = pa.nulls(c.count, pa.string())
-                kept_text = pa.compute.if_else(unsettled, part.column(2), blank)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), kept_text, part.column(3), *lists, *_results(rows)], names=schema.names)
+                one, two = W.windows(c.hash, window)[where], _second_hash(c, window)[where]
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.repeat(keys[c.first : c.first + c.count], sizes)), pa.array(flat.astype(np.int32))], names=["one", "two", "key", "at"])
 
-    return met.select("key", "doc", "text", "sure", "open").mapInArrow(run, schema)
+    return unsettled.select("key", "text", "open").mapInArrow(run, "one long, two long, key long, at int")
 
 
 def _settled(rest: DataFrame, window: int, texts: bool) -> DataFrame:
@@ -250,24 +283,17 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     stays empty.
     """
     bounded_batches(docs.sparkSession)
-    occurred = _occurrences(docs, window, rounds)
-    names = occurred.where("name <> 0").groupBy("name").agg(F.count(F.lit(1)).alias("c"), F.min("span").alias("lo"), F.max("span").alias("hi"))
-    names = written(names.where("c > 1").select(F.col("name").alias("shared"), (F.col("lo") == F.col("hi")).alias("verified")), "repeat-names")
-    # windows without a symbol match no name: any value of their own spreads them
-    own = F.when(F.col("name") == 0, F.xxhash64("key", "at")).otherwise(F.col("name"))
-    places = occurred.select("key", "at", "n", (F.col("name") == 0).alias("bare"), own.alias("shared")).join(names, "shared", "left").where("bare or verified is not null")
-    places = places.groupBy("key").agg(F.collect_set(F.struct((F.col("verified") & ~F.col("bare")).alias("v"), "at", "n")).alias("g"))
-    pick = lambda x: F.transform(F.filter("g", lambda g: F.coalesce(g["v"], F.lit(False)) == x), lambda g: F.struct(g["at"].alias("at"), g["n"].alias("n")))
-    places = written(places.select("key", pick(True).alias("sure"), pick(False).alias("open")), "repeat-places")
-    compared = written(_compared(_keyed(docs).join(places, "key", "left"), window, texts), "repeat-windows")
-
-    unsettled = compared.where("n_words is null")
-    single = unsettled.select("key", F.explode(F.arrays_zip("at", "one", "two")).alias("w")).select("key", "w.*")
-    twice = single.groupBy("one", "two").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("one", "two")
-    again = single.join(written(twice, "repeat-twice"), ["one", "two"]).groupBy("key").agg(F.collect_set("at").alias("more"))
-    rest = unsettled.select("key", "doc", "text", "sure").join(written(again, "repeat-again"), "key", "left")
+    places = written(_places(_occurrences(docs, window, rounds)), "repeat-places")
+    # merge joins at every size: plans don't change with the input, and a key of many rows is split
+    first = written(_first_pass(_keyed(docs).join(places.hint("merge"), "key", "left"), window, texts), "repeat-first")
+
+    unsettled = first.where("n_words is null")
+    single = _windows(unsettled, window)
+    twice = written(single.groupBy("one", "two").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("one", "two"), "repeat-twice")
+    again = written(single.join(twice.hint("merge"), ["one", "two"]).groupBy("key").agg(F.collect_set("at").alias("more")), "repeat-again")
+    rest = unsettled.select("key", "doc", "text", "sure").join(again.hint("merge"), "key", "left")
     result = ["doc", *(x.name for x in _RESULT)]
-    return compared.where("n_words is not null").select(*result).union(_settled(rest, window, texts).select(*result))
+    return first.where("n_words is not null").select(*result).union(_settled(rest, window, texts).select(*result))
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
