@@ -293,3 +293,14 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMIL
     heads = named.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = written(named.join(heads, "root").select("node", "class_id", "n_links"), "near-named")
     return signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def representatives(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their class: one with its least doc_id.
+
+    Rows without a doc_id stay, and so do texts without words. Of repeated rows with one doc_id one stays.
+    """
+    kept = near_duplicates(docs, size, similarity, recall).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = written(kept, "near-kept")
+    found = docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return found.union(docs.where("doc_id is null"))
