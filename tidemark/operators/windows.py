@@ -7,6 +7,8 @@ is spread over tasks; cumulative windows hold a whole series in one task's sort.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,11 +80,24 @@ def gradient(value: str, at: str, keys: list[str], order: str) -> Column:
     return F.when(y0.isNull(), (y1 - y) / b).when(y1.isNull(), (y - y0) / a).otherwise(middle)
 
 
-def leaky_release(step: Column, held: Column, keep: float, keys: list[str], order: str) -> Column:
-    """y_f = y_{f-1} * (1 if held else keep) + step_f, from 0: sums of steps, each faded by the free rows since."""
+def leaky_release(df: DataFrame, keys: list[str], order: str, step: str, held: str, keep: float, name: str) -> DataFrame:
+    """df with y_f = y_{f-1} * (1 if held else keep) + step_f, from 0.
+
+    A step fades by keep for each free row since. Free rows are counted in stretches over which a step fades
+    to nothing (1e-150), so each row needs the sums of its own stretch and the one before, and no power
+    overflows however long the series is.
+    """
+    stretch = max(1, math.floor(-150 / math.log10(keep)))
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    free = F.sum(F.when(held, 0).otherwise(1)).over(w)
-    return F.sum(step * F.pow(F.lit(keep), -free)).over(w) * F.pow(F.lit(keep), free)
+    d = df.withColumn("_free", F.sum(F.when(F.col(held), 0).otherwise(1)).over(w)).withColumn("_k", F.floor(F.col("_free") / stretch))
+    within = F.col("_free") - F.col("_k") * stretch
+    own = Window.partitionBy(*keys, "_k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_sum", F.sum(F.col(step) * F.pow(F.lit(keep), -within)).over(own))
+    # each stretch's whole sum, faded to its end, for the rows of the next one
+    ends = d.groupBy(*keys, "_k").agg(F.max_by("_sum", order).alias("_before")).withColumn("_k", F.col("_k") + 1)
+    d = d.join(ends, [*keys, "_k"], "left")
+    y = (F.col("_sum") + F.coalesce(F.col("_before"), F.lit(0.0)) * keep**stretch) * F.pow(F.lit(keep), within)
+    return d.withColumn(name, y).drop("_free", "_k", "_sum", "_before")
 
 
 def unwrapped(value: str, keys: list[str], order: str, turn: float = 360.0) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rotations
+from . import rotations, series
 
-MODULES = [rotations]
+MODULES = [series, rotations]
 FLAGSHIP = "flagship_unconfirmed_jumps"
 
 
