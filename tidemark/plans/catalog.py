@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rotations, series
+from . import events, rotations, series
 
-MODULES = [series, rotations]
+MODULES = [series, events, rotations]
 FLAGSHIP = "flagship_unconfirmed_jumps"
 
 
