@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, rotations, series
+from . import events, filtering, rotations, series
 
-MODULES = [series, events, rotations]
+MODULES = [series, events, rotations, filtering]
 FLAGSHIP = "flagship_unconfirmed_jumps"
 
 
