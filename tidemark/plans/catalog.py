@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, filtering, rotations, series
+from . import events, filtering, repairs, rotations, series
 
-MODULES = [series, events, rotations, filtering]
+MODULES = [series, events, repairs, rotations, filtering]
 FLAGSHIP = "flagship_unconfirmed_jumps"
 
 
