@@ -281,7 +281,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMIL
     work = _work(nodes, groups, buckets.select("band", "bucket", "node"))
     told = work.join(nodes.select("node", "copies", "key", F.col("bands").alias("all_bands")), "node")
     told = told.select("work", "node", "band", "side", "copies", "key", F.when(F.col("band") > 0, F.col("all_bands")).alias("bands"))
-    items = written(told, "near-items").join(_keyed(docs).drop("doc_id"), "key")
+    # a merge join at every size: a third of the rows under one key is split, and no size is broadcast
+    items = written(told, "near-items").hint("merge").join(_keyed(docs).drop("doc_id"), "key")
     items = items.select("work", "node", "band", "side", "copies", "bands", "text").repartition("work").sortWithinPartitions("work", "node")
     found = items.mapInArrow(_verifier(size, similarity), "node long, links long, root long")
     found = written(found, "near-found")
