@@ -305,3 +305,16 @@ def representatives(docs: DataFrame, size: int = SIZE, similarity: float = SIMIL
     kept = written(kept, "near-kept")
     found = docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return found.union(docs.where("doc_id is null"))
+
+
+def oracle_sql(size: int = SIZE, similarity: float = SIMILARITY) -> str:
+    """near_duplicates() over the view documents by comparing all pairs that share an n-gram, for DuckDB; doc_id must be unique."""
+    return rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {size - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {size - 1}, least(len(ws), 1)) + 1)) AS i FROM w)),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {similarity} * (x.n + y.n - c)),
+    reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+    SELECT doc_id, least(doc_id, (SELECT min(b) FROM reach WHERE a = doc_id)) AS class_id, (SELECT count(*) FROM link WHERE a = doc_id) AS n_links FROM documents
+    """

@@ -68,4 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.oracle_sql(),
+    "op6_substring_dedup": substrings.oracle_sql(),
+    "op7_warc_segments": warc.oracle_sql(),
+    "op9_ngram_jaccard_join": near_dup.oracle_sql(),
+}

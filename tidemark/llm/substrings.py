@@ -308,3 +308,16 @@ def cut_texts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     text = F.when(~F.col("doc.no_text"), F.col("kept"))  # null texts stay null
     value = {"text": text, "n_chars": F.char_length(text)}
     return cut.select(*((value[x].cast(t) if x in value else F.col(f"doc.c{i}")).alias(x) for i, (x, t) in enumerate(docs.dtypes)))
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """digests() over the view documents, for DuckDB; doc_id must be unique."""
+    return rf"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + {window - 1}], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {window - 2})) AS i FROM w)),
+    twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM win) WHERE n > 1),
+    gone AS (SELECT DISTINCT doc_id, i + k AS i FROM twice, range(0, {window}) t(k)),
+    word AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+    """

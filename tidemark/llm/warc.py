@@ -237,3 +237,13 @@ def round_trip(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     again = read.where("record_type = 'revisit'").join(first.hint("merge"), F.col("refers_to_id") == F.col("first_id"), "left")
     again = again.select("page_id", F.col("first_bytes").alias("payload_bytes"), F.col("first_digest").alias("payload_digest"), "record_type", F.col("first_page").alias("refers_to"))
     return own.union(again)
+
+
+def oracle_sql() -> str:
+    """round_trip() over the view pages, for DuckDB; page_id must be unique."""
+    part = " || ".join(f"to_base(('0x' || substr(h, {10 * i + 1}, 10))::BIGINT, 32, 8)" for i in range(4))
+    return f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+    SELECT page_id, strlen(html)::BIGINT AS payload_bytes, translate(upper({part}), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p
+    """
