@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .store import bounded_batches
 
 WINDOW, END_ID, MAX_OPEN = 2048, 1, 1024
-#: Entries of the piece cache of a worker, which is emptied beyond them.
+#: Entries of the piece cache of a worker, which is emptied beyond them: about 200 MB.
 CACHE_ENTRIES = 800_000
 
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
