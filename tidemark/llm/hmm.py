@@ -247,7 +247,10 @@ def train(docs: DataFrame, counts: DataFrame, states: int = STATES, rounds: int
     """A model of the docs that are not held out. counts: word_counts() of them, as a table."""
     own = docs.where(~held_out(F.col("doc_id")))
     model = _blank(counts, states)
-    start = written(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCS).select("text"), "hmm-start")
+    # ids first: each task sends a few numbers, not START_DOCS texts, to the one that picks the least
+    ids = own.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("turn")).orderBy("turn", "doc_id").limit(START_DOCS)
+    picked = own.join(F.broadcast(written(ids.select("doc_id").distinct(), "hmm-start-ids")), "doc_id")
+    start = written(picked.select("text").limit(START_DOCS), "hmm-start")
     return _counted(own, _counted(start, model, START_ROUNDS), rounds)
 
 
