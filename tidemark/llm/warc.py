@@ -9,6 +9,7 @@ what a reading task has in memory beside one whole record.
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Iterator
 
@@ -118,7 +119,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     lines = dealt.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 _PARSED = "record_id string, record_type string, page_id long, url string, refers_to_id string, digest string, origin_id string, segment long, total long, block binary"
@@ -153,7 +154,8 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, record_type, page_id, url, refers_to_id, digest (as declared), payload and problem of each record.
+    """record_id, record_type, page_id, url, refers_to_id, digest (as declared), payload and problem of each record
+    of the files part-* in path, which may be gzip files.
 
     Continuations are joined to their first record. payload is null for revisits and where problem tells
     what is wrong: a missing segment, a total length that differs, broken framing. Segments that are there
@@ -165,7 +167,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for x in parse(content.as_py()):
+                data = content.as_py()
+                for x in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     rows.append(x)
                     if len(rows) == 500:
                         yield _batch(rows, _ARROW)
