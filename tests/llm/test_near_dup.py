@@ -55,6 +55,15 @@ def test_matches_brute_force(docs, monkeypatch, bounds):
     assert plain(found) == plain(brute(rows()))
 
 
+def test_few_texts_beyond_the_bound_are_counted_once(docs, monkeypatch):
+    monkeypatch.setattr(near_dup, "ITEM_SHINGLES", 100)
+    draw, table = random.Random(5), []
+    for n in (2, 3, 4, 5) * 3:  # more blocks than texts, so some blocks of a bucket are empty
+        base = [f"w{draw.randrange(10**6)}" for _ in range(130)]
+        table += [(len(table) + i, " ".join([*base, f"end{i}"])) for i in range(n)]
+    assert plain(near_dup.near_duplicates(docs(table)).collect()) == plain(brute(table))
+
+
 def test_one_document_of_each_group_stays(docs):
     table = docs(rows())
     kept = near_dup.representatives(table)

@@ -125,11 +125,11 @@ def signatures(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY
     return _keyed(docs).mapInArrow(run, "doc_id long, key long, node long, n_shingles long, bands array<long>")
 
 
-def _compare(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, bands: list, band: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _compare(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, cross: bool, bands: list, band: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each set of a work item (counted with copies), and the index of the root of its linked part.
 
-    side: 0 and 1 for two blocks that are only compared with one another, else all 0. band: pairs that
-    share an earlier band are left to that band's work item; -1 compares all.
+    cross: only sets of different side are compared, even if all that came are of one side. band: pairs
+    that share an earlier band are left to that band's work item; -1 compares all.
     """
     n = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
@@ -170,7 +170,7 @@ def _compare(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, bands
         linked = part >= similarity * (sizes[i : i + step, None] + sizes[None, :] - part) - 1e-9
         linked &= part > 0
         linked[np.arange(len(part)), np.arange(i, i + len(part))] = False
-        if side.any():
+        if cross:
             linked &= side[i : i + step, None] != side[None, :]
         if band > 0:
             for b in range(band):
@@ -212,14 +212,14 @@ def _verifier(size: int, similarity: float):
         def finish() -> None:
             if len(rows) > 1:
                 nodes = np.array([x[0] for x in rows])
-                links, root = _compare([x[4] for x in rows], np.array([x[2] for x in rows]), np.array([x[1] for x in rows]), [x[3] for x in rows], rows[0][5], similarity)
+                links, root = _compare([x[4] for x in rows], np.array([x[2] for x in rows]), np.array([x[1] for x in rows]), rows[0][6], [x[3] for x in rows], rows[0][5], similarity)
                 out.append((nodes, links, nodes[root]))
             rows.clear()
 
         for batch in batches:
-            work, node, band, side, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            bands, at = batch.column(5), 0
-            for c in W.chunks(batch.column(6)):
+            work, node, band, side, cross, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            bands, at = batch.column(6), 0
+            for c in W.chunks(batch.column(7)):
                 value, bounds = shingle_sets(c, size)
                 for k in range(c.count):
                     i = at + k
@@ -227,7 +227,7 @@ def _verifier(size: int, similarity: float):
                         finish()
                         item = work[i]
                     if not rows or rows[-1][0] != node[i]:  # else a repeated row of the table
-                        rows.append((node[i], side[i], copies[i], bands[i].as_py(), value[bounds[k] : bounds[k + 1]], band[i]))
+                        rows.append((node[i], side[i], copies[i], bands[i].as_py(), value[bounds[k] : bounds[k + 1]], band[i], cross[i]))
                 at += c.count
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["node", "links", "root"])
@@ -240,12 +240,12 @@ def _verifier(size: int, similarity: float):
 
 
 def _work(nodes: DataFrame, groups: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Rows (work, node, band, side): who is compared where. buckets: band, bucket, node."""
+    """Rows (work, node, band, side, cross): who is compared where. buckets: band, bucket, node."""
     sized = groups.join(nodes.select("node", "n_shingles"), "node")
     whole = sized.groupBy("root").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("n"))
     small = (F.col("weight") <= ITEM_SHINGLES) & (F.col("n") <= ITEM_NODES)
     placed = written(sized.join(whole, "root").withColumn("small", small), "near-placed")
-    easy = placed.where("small").select(F.col("root").alias("work"), "node", F.lit(-1).alias("band"), F.lit(0).alias("side"))
+    easy = placed.where("small").select(F.col("root").alias("work"), "node", F.lit(-1).alias("band"), F.lit(0).alias("side"), F.lit(False).alias("cross"))
 
     rest = written(buckets.join(placed.where("not small").select("node", "n_shingles"), "node"), "near-large")
     full = rest.groupBy("bucket").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("n"))
@@ -254,7 +254,7 @@ def _work(nodes: DataFrame, groups: DataFrame, buckets: DataFrame) -> DataFrame:
     dealt = rest.join(full, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    hard = dealt.select(F.xxhash64("bucket", low, high).alias("work"), "node", "band", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+    hard = dealt.select(F.xxhash64("bucket", low, high).alias("work"), "node", "band", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), (low < high).alias("cross"))
     return easy.union(hard)
 
 
@@ -280,10 +280,10 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMIL
 
     work = _work(nodes, groups, buckets.select("band", "bucket", "node"))
     told = work.join(nodes.select("node", "copies", "key", F.col("bands").alias("all_bands")), "node")
-    told = told.select("work", "node", "band", "side", "copies", "key", F.when(F.col("band") > 0, F.col("all_bands")).alias("bands"))
+    told = told.select("work", "node", "band", "side", "cross", "copies", "key", F.when(F.col("band") > 0, F.col("all_bands")).alias("bands"))
     # a merge join at every size: a third of the rows under one key is split, and no size is broadcast
     items = written(told, "near-items").hint("merge").join(_keyed(docs).drop("doc_id"), "key")
-    items = items.select("work", "node", "band", "side", "copies", "bands", "text").repartition("work").sortWithinPartitions("work", "node")
+    items = items.select("work", "node", "band", "side", "cross", "copies", "bands", "text").repartition("work").sortWithinPartitions("work", "node")
     found = items.mapInArrow(_verifier(size, similarity), "node long, links long, root long")
     found = written(found, "near-found")
     linked = components(found.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")), "near-classes")
