@@ -74,6 +74,14 @@ def test_one_document_of_each_group_stays(docs):
     assert near_dup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_each_class_keeps_a_row_where_ids_clash(docs):
+    a, b, c = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    table = docs([(1, a), (1, b), (2, a), (3, b), (0, c), (1, c), (4, None), (4, ""), (1, a)])
+    found = near_dup.representatives(table)
+    assert found.columns == table.columns
+    assert plain((r.doc_id, r.text) for r in found.collect()) == plain([(1, a), (1, b), (0, c), (4, None), (4, "")])
+
+
 def test_banding_reaches_the_recall():
     bands, size = near_dup.banding(0.8, 0.9999)
     assert 1 - (1 - 0.8**size) ** bands >= 0.9999

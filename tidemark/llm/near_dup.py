@@ -258,18 +258,10 @@ def _work(nodes: DataFrame, groups: DataFrame, buckets: DataFrame) -> DataFrame:
     return easy.union(hard)
 
 
-def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id and n_links of each row of docs.
-
-    Two documents are linked if the Jaccard similarity of their sets of word n-grams is at least the
-    given one; copies of a text are linked too. n_links counts the linked rows; class_id is the least
-    doc_id that is connected by links. A text of fewer words than size has one n-gram, of all its words.
-    A null or text without words has no links and is its own class. A null doc_id stays null and is never
-    a class_id unless all of its class are null. Repeated rows are documents of their own; an empty table
-    gives none; other columns are left out.
-    """
+def _classes(docs: DataFrame, size: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs, and node, root (one for each class), head (the class's least doc_id and key; null without ids) and n_links of each node."""
     signed = written(signatures(docs, size, similarity, recall), "near-signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     nodes = written(nodes, "near-nodes")
 
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
@@ -289,21 +281,38 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMIL
     linked = components(found.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")), "near-classes")
 
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.select("node", "copies", F.col("doc_id").alias("least")).join(linked, "node", "left").join(counts, "node", "left")
+    named = nodes.select("node", "copies", F.col("head").alias("least")).join(linked, "node", "left").join(counts, "node", "left")
     named = named.select("node", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    heads = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = written(named.join(heads, "root").select("node", "class_id", "n_links"), "near-named")
+    heads = named.groupBy("root").agg(F.min("least").alias("head"))
+    return signed, written(named.join(heads, "root").select("node", "root", "head", "n_links"), "near-named")
+
+
+def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id and n_links of each row of docs.
+
+    Two documents are linked if the Jaccard similarity of their sets of word n-grams is at least the
+    given one; copies of a text are linked too. n_links counts the linked rows; class_id is the least
+    doc_id that is connected by links. A text of fewer words than size has one n-gram, of all its words.
+    A null or text without words has no links and is its own class. A null doc_id stays null and is never
+    a class_id unless all of its class are null. Repeated rows are documents of their own; an empty table
+    gives none; other columns are left out.
+    """
+    signed, named = _classes(docs, size, similarity, recall)
+    classes = named.select("node", F.col("head.doc_id").alias("class_id"), "n_links")
     return signed.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def representatives(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their class: one with its least doc_id.
 
-    Rows without a doc_id stay, and so do texts without words. Of repeated rows with one doc_id one stays.
+    Rows without a doc_id stay, and so do texts without words. Of repeated rows with one doc_id and text one
+    stays; rows of other classes with that doc_id don't count as such.
     """
-    kept = near_duplicates(docs, size, similarity, recall).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = written(kept, "near-kept")
-    found = docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    signed, named = _classes(docs, size, similarity, recall)
+    kept = named.where("head is not null").select("head.doc_id", "head.key").union(signed.where("node is null and doc_id is not null").select("doc_id", "key")).distinct()
+    kept = written(kept.toDF("_kept", "_kept_key"), "near-kept")
+    own = docs.where("doc_id is not null").withColumn("_key", F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    found = own.join(kept.hint("merge"), (own["doc_id"].cast("long") == F.col("_kept")) & (own["_key"] == F.col("_kept_key")), "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
     return found.union(docs.where("doc_id is null"))
 
 
