@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import quaternion as Q
 from tidemark.operators import asof, filters, gates, islands, spikes, stats
 from tidemark.operators import windows as W
+from tidemark.plans import filtering
 
 K = ["c"]
 
@@ -148,3 +149,23 @@ def test_mapped_filters_do_not_depend_on_chunks(spark):
     f = lambda v: filters.zero_phase(v, low)
     whole = values(filters.mapped(series(spark, x), K, "frame", "x", "y", f), "y")
     assert values(filters.mapped(series(spark, x), K, "frame", "x", "y", f, chunk=1000, halo=300), "y") == pytest.approx(whole, abs=1e-6)
+
+
+def test_spectral_gain_of_series_longer_than_a_chunk(spark, monkeypatch):
+    n = 20_000
+    x = np.random.default_rng(4).random(n) + np.linspace(0, 50, n)
+    rows = series(spark, x.tolist()).withColumnRenamed("c", "clip_id").withColumn("ix", F.col("x"))
+    monkeypatch.setattr(filtering, "sig", lambda *_: rows)
+    monkeypatch.setattr(filtering, "duo", lambda *_: rows)
+    found = [values(q(spark, ""), "y") for q in (filtering.w13_spectral_gain, filtering.w14_reflected_gain)]
+    assert found[0] == pytest.approx(filters.spectral_gain(x, 50.0, filters.GAIN_HZ, filters.GAIN_ROLL), abs=1e-6)
+    assert found[1] == pytest.approx(filters.spectral_gain(x, 50.0, filters.GAIN_HZ, filters.GAIN_OTHER, reflect=100), abs=1e-6)
+
+
+@pytest.mark.parametrize("n", [50, 128, 1000, 1050, 1090, 3000])
+def test_band_share_does_not_depend_on_chunks(spark, n):
+    x = np.random.default_rng(n).random(n) + np.sin(np.arange(n) ** 1.5 / 90)
+    hz, p = filters.power(x, 50.0)
+    expected = p[(hz >= 15) & (hz <= 25)].sum() / p[(hz >= 2) & (hz <= 6)].sum()
+    (r,) = filters.band_share(series(spark, x.tolist()), K, "frame", "x", 50.0, (15.0, 25.0), (2.0, 6.0), chunk=512).collect()
+    assert r.share == pytest.approx(expected, abs=1e-9)

@@ -1,7 +1,9 @@
 """Filters that follow a whole series: zero-phase Butterworth, spectral gain, and power by frequency.
 
-They run in grouped maps, one group for each chunk of a series with a halo of HALO frames on both sides,
-beyond which what a filter remembers is negligible; so long series are spread over tasks.
+Recursive filters run in grouped maps, one group for each chunk of a series with a halo of HALO frames on both
+sides, beyond which what they remember is negligible; so long series are spread over tasks. Mean power is summed
+over chunks too. A spectral gain joins a series' two ends and remembers for ever, so there a group is a whole
+series, in one task.
 """
 
 from __future__ import annotations
@@ -88,7 +90,11 @@ def spectral_gain(x: np.ndarray, fps: float, hz: tuple, gain: tuple, reflect: in
     return np.fft.irfft(spectrum, len(y))[n : n + len(x)]
 
 
-def power(x: np.ndarray, fps: float, size: int = 128) -> tuple[np.ndarray, np.ndarray]:
+#: Rows of a window of power().
+WINDOW = 128
+
+
+def power(x: np.ndarray, fps: float, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Frequencies and mean power of half-overlapping Hann windows of `size` rows, each less its mean."""
     size = min(size, len(x))
     hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
@@ -110,15 +116,36 @@ def mapped(df: DataFrame, keys: list[str], order: str, value: str, name: str, f:
     return slim.groupBy(*keys, "_chunk").applyInPandas(run, schema)
 
 
+def mapped_whole(df: DataFrame, keys: list[str], order: str, value: str, name: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """keys, order and name = f(value) of each series, with nulls as zero; f sees the whole series in one task."""
+    slim = df.select(*keys, order, value)
+    schema = T.StructType([*(slim.schema[k] for k in keys), slim.schema[order], T.StructField(name, T.DoubleType())])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        group[name] = f(np.nan_to_num(group[value].to_numpy(float)))
+        return group[[*keys, order, name]]
+
+    return slim.groupBy(*keys).applyInPandas(run, schema)
+
+
 def band_share(df: DataFrame, keys: list[str], order: str, value: str, fps: float, high: tuple[float, float], low: tuple[float, float], chunk: int = CHUNK) -> DataFrame:
-    """keys and share: power in the high band over that in the low one, chunks weighted by their length."""
-    slim = df.select(*keys, order, value).withColumn("_chunk", F.floor(F.col(order) / chunk))
+    """keys and share: power in the high band over that in the low one, over all windows of a series; order counts from 0.
+
+    A window belongs to the chunk of its first row, and reaches up to half a window into the next one.
+    """
+    if chunk % (WINDOW // 2) or chunk < WINDOW:
+        raise ValueError("a chunk holds whole half windows, two at least")
+    slim = with_halo(df.select(*keys, order, value), order, 0, WINDOW // 2, chunk).where("_chunk >= 0")
     schema = T.StructType([*(slim.schema[k] for k in keys), *(T.StructField(x, T.DoubleType()) for x in ("_hi", "_lo"))])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         x = np.nan_to_num(group.sort_values(order)[value].to_numpy(float))
+        n = (len(x) - WINDOW) // (WINDOW // 2) + 1
+        if n < 1 and group["_chunk"].iloc[0] > 0:  # the rest of a series, less than a window
+            return group.iloc[:0][keys].assign(_hi=0.0, _lo=0.0)
         hz, p = power(x, fps)
-        band = lambda b: float(p[(hz >= b[0]) & (hz <= b[1])].sum() * len(x))
+        band = lambda b: float(p[(hz >= b[0]) & (hz <= b[1])].sum() * max(n, 1))
         return group.iloc[:1][keys].assign(_hi=band(high), _lo=band(low))
 
     sums = slim.groupBy(*keys, "_chunk").applyInPandas(run, schema).groupBy(*keys).agg(F.sum("_hi").alias("_hi"), F.sum("_lo").alias("_lo"))

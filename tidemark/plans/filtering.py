@@ -23,12 +23,12 @@ def w12_band(spark, sf_dir):
 
 def w13_spectral_gain(spark, sf_dir):
     f = lambda x: filters.spectral_gain(x, FPS, filters.GAIN_HZ, filters.GAIN_ROLL)
-    return filters.mapped(duo(spark, sf_dir), K, "frame", "ix", "y", f).select("clip_id", "frame", r6(F.col("y")).alias("y"))
+    return filters.mapped_whole(duo(spark, sf_dir), K, "frame", "ix", "y", f).select("clip_id", "frame", r6(F.col("y")).alias("y"))
 
 
 def w14_reflected_gain(spark, sf_dir):
     f = lambda x: filters.spectral_gain(x, FPS, filters.GAIN_HZ, filters.GAIN_OTHER, reflect=100)
-    return filters.mapped(sig(spark, sf_dir), K, "frame", "x", "y", f).select("clip_id", "frame", r6(F.col("y")).alias("y"))
+    return filters.mapped_whole(sig(spark, sf_dir), K, "frame", "x", "y", f).select("clip_id", "frame", r6(F.col("y")).alias("y"))
 
 
 def a10_high_share(spark, sf_dir):
