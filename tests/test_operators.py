@@ -169,3 +169,15 @@ def test_band_share_does_not_depend_on_chunks(spark, n):
     expected = p[(hz >= 15) & (hz <= 25)].sum() / p[(hz >= 2) & (hz <= 6)].sum()
     (r,) = filters.band_share(series(spark, x.tolist()), K, "frame", "x", 50.0, (15.0, 25.0), (2.0, 6.0), chunk=512).collect()
     assert r.share == pytest.approx(expected, abs=1e-9)
+
+
+def test_gap_fill_and_as_of_are_linear_in_a_series(spark):
+    """One series of 200,000 rows; frames that are evaluated anew for each row would take hours."""
+    n = 200_000
+    s = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("f"), (F.col("id") * 10).cast("double").alias("t"), F.when(F.col("id") % 1000 == 7, F.col("id") * 3.0).alias("v"))
+    filled = s.select("f", W.filled("v", ["k"], "f").alias("v"))
+    wrong = F.abs(F.col("v") - 3 * F.greatest(F.lit(7), F.least(F.col("f"), F.lit(n - 993)))) > 1e-6
+    assert filled.where(wrong | F.col("v").isNull()).count() == 0 and filled.count() == n
+    line = s.select("k", "t", (F.col("t") * 2).alias("v"))
+    met = asof.interpolated(line, s.select("k", (F.col("t") - 3).alias("t"), F.col("t").alias("own")), ["k"], "t", "v")
+    assert met.where(F.abs(F.col("v") - 2 * F.greatest(F.col("own") - 3, F.lit(0.0))) > 1e-6).count() == 0 and met.count() == n

@@ -21,8 +21,8 @@ def segments(samples: DataFrame, instants: DataFrame, keys: list[str], t: str, v
     asked = instants.select(*keys, F.col(t).alias("_t"), F.lit(0 if strict else 1).alias("_s"), F.lit(None).cast(lines.schema["_seg"].dataType).alias("_seg"), F.struct("*").alias("_q"))
     v = Window.partitionBy(*keys).orderBy("_t", "_s")
     below = F.last("_seg", ignorenulls=True).over(v.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("_seg", ignorenulls=True).over(v.rowsBetween(0, Window.unboundedFollowing))
-    met = lines.unionByName(asked).withColumn("_at", F.coalesce(below, above)).where("_q is not null")
+    first = F.first("_seg", ignorenulls=True).over(v.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # once a series
+    met = lines.unionByName(asked).withColumn("_at", F.coalesce(below, first)).where("_q is not null")
     return met.select("_q.*", F.col("_at.a.t").alias("_t0"), F.col("_at.a.v").alias("_v0"), F.col("_at.b.t").alias("_t1"), F.col("_at.b.v").alias("_v1"))
 
 

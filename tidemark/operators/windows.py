@@ -59,10 +59,10 @@ def cumulative_before(value: Column, keys: list[str], order: str) -> Column:
 
 def filled(value: str, keys: list[str], order: str) -> Column:
     """value with its gaps on straight lines between their ends, and the nearest value before the first and after the last."""
-    w = Window.partitionBy(*keys).orderBy(order)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("f"), F.col(value).alias("v")))
-    a = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # two running frames, one for each direction: a frame that runs to the end would be evaluated anew for every row
+    ahead, back = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col(order), F.col(order).desc()))
+    a, b = (F.last(known, ignorenulls=True).over(w) for w in (ahead, back))
     line = a["v"] + (b["v"] - a["v"]) * (F.col(order) - a["f"]) / (b["f"] - a["f"])
     return F.when(F.col(value).isNotNull(), F.col(value)).when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(line)
 
