@@ -66,23 +66,93 @@ def test_language_model_of_odd_rows(docs):
     assert hmm.language_model_scores(table.limit(0), states=2, rounds=1).count() == 0
 
 
-def test_likelihood_is_exact(monkeypatch):
-    monkeypatch.setattr(hmm, "SEGMENT", 7)
-    monkeypatch.setattr(hmm, "TRAIN_LENGTH", 1 << 20)
+def toy(states=3, classes=5):
+    """A model over classes alone, and texts of 1 to 1500 of them."""
     draw = np.random.default_rng(0)
-    model = hmm.Model(None, None, None, None, 0, 0, draw.dirichlet(np.ones(3)), draw.dirichlet(np.ones(3), 3), draw.dirichlet(np.ones(5), 3).T)
-    of = np.array([0, 1, 4, 18, 60, 67])
-    cls = draw.integers(0, 5, 67)
-
-    def brute(x):
-        a = model.start * model.emit[x[0]]
-        for c in x[1:]:
-            a = (a @ model.step) * model.emit[c]
-        return math.log(a.sum())
-
-    assert hmm.log_likelihood(model, cls, of) == pytest.approx([brute(cls[i:j]) for i, j in zip(of, of[1:])])
-    starts, steps, emissions = hmm.expected(model, cls, of)
-    assert (starts.sum(), steps.sum(), emissions.sum()) == pytest.approx((5, 62, 67), rel=1e-5)
+    none = np.zeros(0, np.uint64)
+    counts = draw.integers(1, 1000, classes)
+    pad = np.zeros(0, np.int64)
+    model = hmm.Model(none, counts, pad, pad, 0, 0, draw.dirichlet(np.ones(states)), draw.dirichlet(np.ones(states), states), draw.dirichlet(np.ones(classes), states).T, none, pad)
+    of = np.cumsum([0, 1, 3, 14, 42, 7, 1500, 1, 1500, 600])
+    return model, draw.integers(0, classes, of[-1]), of
+
+
+def passes(model, x):
+    """Forward and backward of a text in plain scaled form, and its log likelihood."""
+    emit, n, k = model.emit, len(x), len(model.start)
+    ahead, back, scale = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
+    for t in range(n):
+        v = (model.start if t == 0 else ahead[t - 1] @ model.step) * emit[x[t]]
+        scale[t] = v.sum()
+        ahead[t] = v / scale[t]
+    for t in range(n - 2, -1, -1):
+        back[t] = model.step @ (emit[x[t + 1]] * back[t + 1]) / scale[t + 1]
+    return ahead, back, scale, np.log(scale).sum()
+
+
+def test_likelihood_and_expected_counts_are_exact():
+    model, cls, of = toy()
+    starts, steps, emissions, likely = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3)), []
+    for i, j in zip(of, of[1:]):
+        x = cls[i:j]
+        ahead, back, scale, log = passes(model, x)
+        likely.append(log)
+        starts += ahead[0] * back[0]
+        np.add.at(emissions, x, ahead * back)
+        for t in range(1, len(x)):
+            steps += np.outer(ahead[t - 1], model.emit[x[t]] * back[t] / scale[t]) * model.step
+    assert hmm.log_likelihood(model, cls, of) == pytest.approx(likely)
+    for a, b in zip(hmm.expected(model, cls, of), (starts, steps, emissions)):
+        assert a == pytest.approx(b, rel=1e-3)
+    assert [x.sum() for x in hmm.expected(model, cls[:0], of[:1])] == [0, 0, 0]
+
+
+def test_a_text_counts_alike_alone_and_among_others():
+    model, cls, of = toy()
+    whole = hmm.expected(model, cls, of)
+    each = [hmm.expected(model, cls[i:j], np.array([0, j - i])) for i, j in zip(of, of[1:])]
+    for a, b in zip(whole, map(sum, zip(*each))):
+        assert a == pytest.approx(b, rel=1e-4)
+
+
+@pytest.mark.parametrize("known", [hmm.KNOWN, 1])  # all counts shared, and rare words by the join
+def test_scores_of_a_table_match_brute_force(docs, monkeypatch, known):
+    monkeypatch.setattr(hmm, "HEADS", 40)
+    monkeypatch.setattr(hmm, "KNOWN", known)
+    draw = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(draw.choice(words, draw.integers(0, 40), p=np.arange(1, 61) / 1830)) + f" only{i}") for i in range(60)] + [(100, "w1 w2 " * 1500), (None, "w3"), (101, None)]
+    made, kept = [], hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a: made.append(kept(*a)) or made[-1])
+    found = hmm.language_model_scores(docs(rows), states=3).collect()
+    (model,) = made
+    text = {d: lower(t).split() for d, t in rows}
+    learn = [t for d, t in text.items() if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
+    count = collections.Counter(w for t in learn for w in [*t, None])
+    heads = {w for w, c in count.items() if c * 40 >= sum(count.values()) or w is None}
+    assert len(found) == len(rows) and len(heads) == len(model.heads) < len(count)
+
+    def word_class(w):
+        (c,) = W.chunks(pa.array([(w or b"").decode()]))
+        h, tail, _ = hmm.with_ends(c)
+        return int(model.classes(h, tail)[0])  # of the word, or of the end of a text without words
+
+    size = collections.Counter()
+    for w, c in count.items():
+        if w not in heads:
+            size[word_class(w)] += c + 1
+    for r in found:
+        t = [*text[r.doc_id], None]
+        log = passes(model, [word_class(w) for w in t])[3] / math.log(10)
+        log += sum(math.log10((count[w] + 1) / (size[word_class(w)] + 1)) for w in t if w not in heads)
+        assert r.score == pytest.approx(log)
+        assert r.n_known == sum(count[w] > 0 for w in t)
+
+
+def test_without_training_texts_every_word_is_unknown(docs):
+    out = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    (r,) = hmm.language_model_scores(docs([(out, "a b")]), states=2, rounds=1).collect()
+    assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and math.isfinite(r.score)
 
 
 def best_count(vocab, word):
