@@ -47,7 +47,7 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("bounds", [(1_000_000, 3000), (6000, 40)])  # whole groups, then buckets and blocks
+@pytest.mark.parametrize("bounds", [(1_000_000, 3000), (6000, 40), (400, 6)])  # whole groups, then blocks of them
 def test_matches_brute_force(docs, monkeypatch, bounds):
     monkeypatch.setattr(near_dup, "ITEM_SHINGLES", bounds[0])
     monkeypatch.setattr(near_dup, "ITEM_NODES", bounds[1])
@@ -64,6 +64,40 @@ def test_few_texts_beyond_the_bound_are_counted_once(docs, monkeypatch):
     assert plain(near_dup.near_duplicates(docs(table)).collect()) == plain(brute(table))
 
 
+def test_bounds_do_not_change_links(docs, monkeypatch):
+    """Pairs near the threshold, found by two bands of four, so that many share no band: the same ones at any bound."""
+    draw, table = random.Random(9), []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(90)]
+        for _ in range(9):
+            w = list(base)
+            for _ in range(draw.choice((1, 2, 2, 3))):
+                w[draw.randrange(90)] = f"x{draw.randrange(10**9)}"
+            table.append((len(table), " ".join(w)))
+    table += [(1000 + k, " ".join(f"c{i}" for i in range(k, k + 60))) for k in range(0, 120, 3)]  # a chain: buckets are smaller than its group
+    monkeypatch.setattr(near_dup, "banding", lambda *a: (2, 4))
+    found = []
+    for bounds in ((1_000_000, 3000), (700, 8), (300, 4)):
+        monkeypatch.setattr(near_dup, "ITEM_SHINGLES", bounds[0])
+        monkeypatch.setattr(near_dup, "ITEM_NODES", bounds[1])
+        found.append(plain(near_dup.near_duplicates(docs(table)).collect()))
+    assert found[0] == found[1] == found[2]
+    assert sum(r[2] for r in found[0]) < sum(r[2] for r in brute(table))
+
+
+def test_measured_recall_of_links(docs):
+    draw, table = random.Random(11), []
+    for g in range(40):
+        base = [f"g{g}w{k}" for k in range(200)]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(draw.choice((1, 2, 3, 4))):
+                w[draw.randrange(200)] = f"x{draw.randrange(10**9)}"
+            table.append((len(table), " ".join(w)))
+    told, right = (sum(r[2] for r in x) for x in (near_dup.near_duplicates(docs(table)).collect(), brute(table)))
+    assert right > 400 and 0.999 * right <= told <= right
+
+
 def test_one_document_of_each_group_stays(docs):
     table = docs(rows())
     kept = near_dup.representatives(table)

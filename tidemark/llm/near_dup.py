@@ -1,10 +1,12 @@
 """Join of near-equal texts: MinHash banding finds candidates, full word n-gram sets decide.
 
-Texts with the same n-gram set are one node. Nodes that share a band are candidates. The nodes of a
-connected candidate group that is small enough are compared in one work item; a larger group is compared
-bucket by bucket, and a bucket beyond the same bound in pairs of blocks, so that no work item is larger
-than ITEM_SHINGLES n-grams while each candidate pair is still compared exactly once. A work item gives a
-row for each of its nodes - its number of links and the root of its linked part - never a row for a pair.
+Texts with the same n-gram set are one node. Two nodes are linked if they share a band and their sets are near
+enough, whatever else the table holds. The nodes of a connected candidate group that is small enough are
+compared in one work item. A larger group is dealt into blocks, and each pair of blocks is a work item; where
+it takes fewer copies of sets, the same is done bucket by bucket, and a pair is left to the first band that it
+shares. So no work item is larger than ITEM_SHINGLES n-grams or ITEM_NODES nodes while each candidate pair
+is compared exactly once, and where it is compared does not change the result. A work item gives a row for
+each of its nodes - its number of links and the root of its linked part - never a row for a pair.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from . import words as W
 from .components import components
 from .store import bounded_batches, written
 
-SIZE, SIMILARITY, RECALL = 5, 0.8, 0.9999
+SIZE, SIMILARITY, RECALL = 5, 0.8, 0.99999
 MAX_HASHES = 160
 #: N-grams and nodes of a work item at most, for a node of up to that size.
-ITEM_SHINGLES, ITEM_NODES = 1_000_000, 3000
+ITEM_SHINGLES, ITEM_NODES = 400_000, 600
+#: Pairs whose bands are looked at together.
+PAIRS = 100_000
 #: An n-gram with at most so many owners in a work item is counted by pairs of owners, others by matrix products.
 FEW = 48
 
@@ -125,11 +129,20 @@ def signatures(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY
     return _keyed(docs).mapInArrow(run, "doc_id long, key long, node long, n_shingles long, bands array<long>")
 
 
-def _compare(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, cross: bool, bands: list, band: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _share_band(bands: np.ndarray, i: np.ndarray, j: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs are this work item's: those that share any band (-1), or none before the given one."""
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), PAIRS):
+        a, b = bands[i[k : k + PAIRS]], bands[j[k : k + PAIRS]]
+        out[k : k + PAIRS] = (a == b).any(1) if band < 0 else ~(a[:, :band] == b[:, :band]).any(1)
+    return out
+
+
+def _compare(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, cross: bool, bands: np.ndarray, band: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each set of a work item (counted with copies), and the index of the root of its linked part.
 
-    cross: only sets of different side are compared, even if all that came are of one side. band: pairs
-    that share an earlier band are left to that band's work item; -1 compares all.
+    cross: only sets of different side are compared, even if all that came are of one side. band: of the bucket
+    that the item is for, or -1 for an item of a whole group.
     """
     n = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
@@ -163,7 +176,6 @@ def _compare(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, cross
         for j, f in enumerate(part):
             member[row[starts[first[f]] : ends[first[f]]], j] = 1
         common += (member * weight[part].astype(np.float32)) @ member.T
-    signed = np.array(bands) if band > 0 else None
     step = max(1, 4_000_000 // n)
     for i in range(0, n, step):
         part = common[i : i + step].astype(np.float64)
@@ -172,10 +184,8 @@ def _compare(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, cross
         linked[np.arange(len(part)), np.arange(i, i + len(part))] = False
         if cross:
             linked &= side[i : i + step, None] != side[None, :]
-        if band > 0:
-            for b in range(band):
-                own = signed[:, b]
-                linked &= own[i : i + step, None] != own[None, :]
+        x, y = np.nonzero(linked)
+        linked[x, y] = _share_band(bands, x + i, y, band)
         links[i : i + step] += linked @ copies
         for x in range(len(part)):
             near = np.flatnonzero(linked[x])
@@ -203,7 +213,26 @@ def _union(root: np.ndarray, x: int, others: np.ndarray) -> None:
             root[r] = own
 
 
-def _verifier(size: int, similarity: float):
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """node, copies, bands and shingles (sorted uint64 as bytes) of rows node, copies, bands and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            at, nodes = 0, batch.column(0).to_numpy()
+            new = np.append(nodes[:1] != last, nodes[1:] != nodes[:-1])  # repeated rows of the table follow each other
+            last = nodes[-1] if len(nodes) else last
+            batch = batch.filter(pa.array(new))
+            for c in W.chunks(batch.column(3)):
+                value, bounds = shingle_sets(c, size)
+                raw = [value[i:j].astype("<u8").tobytes() for i, j in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, c.count) for i in range(3)), pa.array(raw, pa.binary())], names=["node", "copies", "bands", "shingles"])
+                at += c.count
+
+    return texts.select("node", "copies", "bands", "text").mapInArrow(run, "node long, copies long, bands array<long>, shingles binary")
+
+
+def _verifier(similarity: float):
     """For mapInArrow over the rows of work items, each item's rows one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,24 +240,20 @@ def _verifier(size: int, similarity: float):
 
         def finish() -> None:
             if len(rows) > 1:
-                nodes = np.array([x[0] for x in rows])
-                links, root = _compare([x[4] for x in rows], np.array([x[2] for x in rows]), np.array([x[1] for x in rows]), rows[0][6], [x[3] for x in rows], rows[0][5], similarity)
+                nodes, side, copies = (np.array([x[k] for x in rows]) for k in range(3))
+                links, root = _compare([x[4] for x in rows], copies, side, rows[0][6], np.stack([x[3] for x in rows]), rows[0][5], similarity)
                 out.append((nodes, links, nodes[root]))
             rows.clear()
 
         for batch in batches:
             work, node, band, side, cross, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            bands, at = batch.column(6), 0
-            for c in W.chunks(batch.column(7)):
-                value, bounds = shingle_sets(c, size)
-                for k in range(c.count):
-                    i = at + k
-                    if work[i] != item:
-                        finish()
-                        item = work[i]
-                    if not rows or rows[-1][0] != node[i]:  # else a repeated row of the table
-                        rows.append((node[i], side[i], copies[i], bands[i].as_py(), value[bounds[k] : bounds[k + 1]], band[i], cross[i]))
-                at += c.count
+            bands, sets = batch.column(6), batch.column(7)
+            for i in range(batch.num_rows):
+                if work[i] != item:
+                    finish()
+                    item = work[i]
+                if not rows or rows[-1][0] != node[i]:  # else a repeated row of the table
+                    rows.append((node[i], side[i], copies[i], bands[i].values.to_numpy(), np.frombuffer(sets[i].as_py(), "<u8"), band[i], cross[i]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["node", "links", "root"])
                 out.clear()
@@ -239,23 +264,38 @@ def _verifier(size: int, similarity: float):
     return run
 
 
+def _parts(weight: str, n: str):
+    """Into how many blocks so many n-grams and nodes are dealt, so that two blocks fit into a work item."""
+    whole = (F.col(weight) <= ITEM_SHINGLES) & (F.col(n) <= ITEM_NODES)
+    half = F.greatest(F.ceil(F.col(weight) / (ITEM_SHINGLES // 2)), F.ceil(F.col(n) / (ITEM_NODES // 2)))
+    return F.when(whole, 1).otherwise(half).cast("int")
+
+
+def _dealt(rows: DataFrame, of: str, band) -> DataFrame:
+    """Work rows of node and parts: a row of each node for every pair of blocks of its group or bucket."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return dealt.select(F.xxhash64(of, low, high, band).alias("work"), "node", band.alias("band"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), (low < high).alias("cross"))
+
+
 def _work(nodes: DataFrame, groups: DataFrame, buckets: DataFrame) -> DataFrame:
     """Rows (work, node, band, side, cross): who is compared where. buckets: band, bucket, node."""
     sized = groups.join(nodes.select("node", "n_shingles"), "node")
-    whole = sized.groupBy("root").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("n"))
-    small = (F.col("weight") <= ITEM_SHINGLES) & (F.col("n") <= ITEM_NODES)
-    placed = written(sized.join(whole, "root").withColumn("small", small), "near-placed")
-    easy = placed.where("small").select(F.col("root").alias("work"), "node", F.lit(-1).alias("band"), F.lit(0).alias("side"), F.lit(False).alias("cross"))
-
-    rest = written(buckets.join(placed.where("not small").select("node", "n_shingles"), "node"), "near-large")
-    full = rest.groupBy("bucket").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("n"))
-    parts = F.greatest(F.ceil(F.col("weight") / (ITEM_SHINGLES // 2)), F.ceil(F.col("n") / (ITEM_NODES // 2)))
-    full = written(full.where("n > 1").select("bucket", F.when((F.col("weight") <= ITEM_SHINGLES) & (F.col("n") <= ITEM_NODES), 1).otherwise(parts).cast("int").alias("parts")), "near-buckets")
-    dealt = rest.join(full, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    hard = dealt.select(F.xxhash64("bucket", low, high).alias("work"), "node", "band", F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), (low < high).alias("cross"))
-    return easy.union(hard)
+    whole = sized.groupBy("root").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("n")).withColumn("parts", _parts("weight", "n"))
+    placed = written(sized.join(whole, "root"), "near-placed")
+
+    large = placed.where("parts > 1")
+    rest = written(buckets.join(large.select("node", "n_shingles", "root"), "node"), "near-large")
+    full = rest.groupBy("root", "bucket").agg(F.sum("n_shingles").alias("weight"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    full = written(full.select("root", "bucket", "weight", _parts("weight", "n").alias("parts")), "near-buckets")
+    # n-grams that are sent, by buckets or by the whole group
+    cost = full.groupBy("root").agg(F.sum(F.col("weight") * F.col("parts")).alias("cost"))
+    fewer = cost.join(large.groupBy("root").agg(F.max(F.col("weight") * F.col("parts")).alias("own")), "root").where("cost < own").select("root")
+    fewer = written(fewer, "near-by-bucket")
+    by_group = placed.join(fewer, "root", "left_anti")
+    by_bucket = rest.join(full.join(fewer, "root").select("bucket", "parts"), "bucket")
+    return _dealt(by_group, "root", F.lit(-1)).union(_dealt(by_bucket, "bucket", F.col("band")))
 
 
 def _classes(docs: DataFrame, size: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
@@ -271,12 +311,11 @@ def _classes(docs: DataFrame, size: int, similarity: float, recall: float) -> tu
     groups = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
 
     work = _work(nodes, groups, buckets.select("band", "bucket", "node"))
-    told = work.join(nodes.select("node", "copies", "key", F.col("bands").alias("all_bands")), "node")
-    told = told.select("work", "node", "band", "side", "cross", "copies", "key", F.when(F.col("band") > 0, F.col("all_bands")).alias("bands"))
-    # a merge join at every size: a third of the rows under one key is split, and no size is broadcast
-    items = written(told, "near-items").hint("merge").join(_keyed(docs).drop("doc_id"), "key")
-    items = items.select("work", "node", "band", "side", "cross", "copies", "bands", "text").repartition("work").sortWithinPartitions("work", "node")
-    found = items.mapInArrow(_verifier(size, similarity), "node long, links long, root long")
+    asked = written(groups.select("node").join(nodes.select("node", "copies", "key", "bands"), "node"), "near-asked")
+    # merge joins at every size: a third of the rows under one key is split, and no size is broadcast
+    texts = asked.hint("merge").join(_keyed(docs).drop("doc_id"), "key")
+    items = work.hint("merge").join(_sets(texts, size), "node").select("work", "node", "band", "side", "cross", "copies", "bands", "shingles")
+    found = items.repartition("work").sortWithinPartitions("work", "node").mapInArrow(_verifier(similarity), "node long, links long, root long")
     found = written(found, "near-found")
     linked = components(found.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")), "near-classes")
 
