@@ -12,9 +12,12 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (a local run), a temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset a local session gets a temporary one; on a cluster,
+    whose executors have folders of their own, it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
