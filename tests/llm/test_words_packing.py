@@ -1,7 +1,10 @@
+import collections
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import tokenizers
 
 from tidemark.llm import packing, words
 
@@ -32,13 +35,39 @@ def test_windows_name_equal_stretches():
         assert len(set(seen.values())) == len(seen)
 
 
+def plain_ids(text):
+    """By the tokenizer as its file gives it, a new one that nothing has changed."""
+    return tokenizers.Tokenizer.from_file(packing.default_tokenizer()).encode(text or "", add_special_tokens=False).ids
+
+
 def test_pieces_encode_as_whole_texts():
     encode = packing.encoder(packing.default_tokenizer())
+    own = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
     draw = random.Random(1)
-    alphabet = "ab é\n \t\xa0'sx1.,|  \x1c\x85　ñ<|endoftext|>²½ªβ中̀(-\"/"
-    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|> a", "", " a", "a ", "\n\n a"]
+    alphabet = [*"ab é\n \t\xa0'sx1.,|  \x1c\x85　ñ<|>²½ªβ中̀(-\"/", "<|endoftext|>", "<|endoftext", "endoftext|>"]
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|> a", "", " a", "a ", "\n\n a", "a <|endoftext|>", "<|endoftext|>" * 3]
     for text, found in zip(texts, encode(texts)):
-        assert np.frombuffer(found, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(found, "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+def test_rows_of_the_query_match_the_tokenizer(spark, docs):
+    """ids_crc32, start, length, doc_tokens and offset of each row, recomputed from whole texts."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(150).collect()]
+    rows = list(enumerate([*texts, None, "", "<|endoftext|> a <|endoftext|>", "long word " * 3000]))
+    found = packing.digests(packing.pack(docs(rows))).collect()
+    ids = {d: [*plain_ids(t), 1] for d, t in rows}
+    filled, seen = collections.defaultdict(list), collections.defaultdict(list)
+    for r in found:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.length == len(part) > 0 and r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+        seen[r.doc_id].append((r.start, r.length))
+        filled[r.sequence_id].append((r.offset, r.length))
+    for d, pieces in seen.items():
+        assert [a for a, _ in sorted(pieces)] == np.cumsum([0] + [n for _, n in sorted(pieces)])[:-1].tolist() and sum(n for _, n in pieces) == len(ids[d])
+    assert seen.keys() == ids.keys()
+    for pieces in filled.values():
+        assert [a for a, _ in sorted(pieces)] == np.cumsum([0] + [n for _, n in sorted(pieces)])[:-1].tolist() and sum(n for _, n in pieces) <= 2048
 
 
 def test_packer_places_every_id_once():

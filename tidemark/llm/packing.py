@@ -48,7 +48,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # the tokenizer's own tokens (end of text and the like) are found first, and what lies between is cut
+        self.own = {x.content: np.array([i], "<u4").tobytes() for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.own, key=len, reverse=True))) + ")").split if self.own else lambda text: [text]
         (self.line_feed,) = self._ids("\n")
         self.known: dict[str, bytes] = {}
 
@@ -64,10 +66,18 @@ class Encoder:
         for piece, a, b in zip(pieces, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(raw)]):
             self.known[piece] = raw[a:b]
 
+    def _pieces(self, text: str) -> list[str]:
+        first, *rest = self.split(text)
+        out = PIECE.findall(first)
+        for own, between in zip(rest[::2], rest[1::2]):
+            self.known[own] = self.own[own]
+            out += [own, *PIECE.findall(between)]
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        known, pieces = self.known, [PIECE.findall(x) for x in texts]
+        known, pieces = self.known, [self._pieces(x) for x in texts]
         new = list(set().union(*pieces).difference(known)) if pieces else []
         solid = [x for x in new if not _BLANK.fullmatch(x)]
         for i in range(0, len(solid), 500):
