@@ -40,6 +40,47 @@ def test_toxicity_of_odd_rows(spark, docs):
     assert toxicity.toxicity(table.limit(0), labels.limit(0)).count() == 0
 
 
+def test_weights_and_scores_match_a_plain_learner(docs, spark):
+    """FTRL-proximal coordinate by coordinate; repeated rows of an id are one row to it."""
+    draw = np.random.default_rng(4)
+    words = [f"v{i}" for i in range(30)]
+    rows = [(i, " ".join(draw.choice(words, 12)) + (" bad worse" if i % 3 == 0 else "")) for i in range(300)]
+    labels = [(i, int(i % 3 == 0)) for i in range(300)]
+    table = docs(rows + rows[:40] * 3 + [(None, "bad"), (999, None)])
+    marked = spark.createDataFrame([(*r, "clash") for r in labels], "doc_id long, toxic int, text string")
+    at, w = toxicity.train(table, marked)
+
+    def own(text):
+        (c,) = W.chunks(pa.array([text], pa.string()), lower=True, marks=True)
+        return toxicity.features(c)[0].tolist()
+
+    z, n = collections.Counter(), collections.Counter()
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    learn = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    for epoch in range(toxicity.EPOCHS):
+        turn = lambda i: int(W.mix(np.array([i], np.uint64), np.array([epoch + 1], np.uint64))[0])
+        for i in sorted(learn, key=lambda i: (turn(i), i)):
+            x = own(rows[i][1])
+            g = 1 / (1 + math.exp(-sum(map(weight, x)))) - labels[i][1]
+            for k, v in [(k, weight(k)) for k in x]:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / toxicity.ALPHA * v
+                n[k] += g * g
+    told = {i: weight(i) for i in z if weight(i)}
+    assert dict(zip(at.tolist(), w.tolist())) == pytest.approx(told) and told
+    found = toxicity.toxicity(table, marked).collect()
+    assert len(found) == len(rows) + 122
+    text = dict(rows) | {None: "bad", 999: None}
+    for r in found:
+        score = 1 / (1 + math.exp(-sum(told.get(i, 0.0) for i in own(text[r.doc_id]))))
+        assert r.score == pytest.approx(score, abs=1e-9) and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def lower(text):
     return bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
 

@@ -4,8 +4,8 @@ Features of a text are its words, its pairs of neighbours and its pairs with one
 2**BITS coordinates and counted once each. Each coordinate has its own learning rate, and L1 keeps most
 weights at exactly zero, so what is handed to the scoring tasks is a short list of coordinates.
 
-The model learns from at most TRAIN_ROWS labelled rows: those with the least hash of their id, so the
-sample does not depend on where rows lie. Only scoring sees all texts.
+The model learns from at most TRAIN_ROWS labelled ids: those with the least hash, so the sample does not
+depend on where rows lie. Of rows that repeat an id one is learned from. Only scoring sees all texts.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from . import words as W
 from .store import bounded_batches, written
 
 BITS = 20
-#: Rows that the model learns from at most.
+#: Rows that the model learns from at most, each of another id.
 TRAIN_ROWS = 16_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.1, 4
 
@@ -90,16 +90,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "toxic-sample")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    labelled = plain.join(F.broadcast(sample), "doc_id")  # at most `rows` rows of two numbers
+    labelled = plain.join(F.broadcast(sample), "doc_id").withColumn("turn", F.xxhash64("text"))  # at most `rows` rows of two numbers
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in W.chunks(batch.column(1), lower=True, marks=True):
                 at, bounds = features(c)
                 part = batch.slice(c.first, c.count)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(at.astype(np.int32)))], names=["doc_id", "toxic", "at"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(at.astype(np.int32))), part.column(3)], names=["doc_id", "toxic", "at", "turn"])
 
-    ready = written(labelled.mapInArrow(encoded, "doc_id long, toxic int, at array<int>"), "toxic-features")
+    found = labelled.mapInArrow(encoded, "doc_id long, toxic int, at array<int>, turn long")
+    # one row an id, picked where the rows are: however often an id stands there, the learner gets at most `rows` rows
+    ready = written(found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("at", "turn").alias("at")), "toxic-features")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, label, doc = [], [], []
@@ -151,7 +153,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The score of every row of docs by a model of labels.
 
     Null and empty texts have the score of a text without words. A null doc_id is not held out and has no
-    label. Repeated rows are scored each, a doc_id with several labels counts as toxic if one says so, and an
-    empty table gives no rows; other columns are left out.
+    label. Repeated rows are scored each and learned from once; of different texts of one doc_id that with the
+    least hash is learned from. A doc_id with several labels counts as toxic if one says so, and an empty table
+    gives no rows; other columns are left out.
     """
     return score(docs, *train(docs, labels))
