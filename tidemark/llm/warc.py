@@ -99,10 +99,11 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     bounded_batches(pages.sparkSession)
     plain = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     plain = plain.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.octet_length("payload"))
+    # row ids hold for one reading of the input only, so the rows are written with them
+    plain = written(plain, "warc-rows")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     firsts = written(plain.groupBy("digest", "size").agg(F.min(order).alias("first")), "warc-firsts")
-    kinds = plain.select("row", "digest", "size").join(firsts.hint("merge"), ["digest", "size"]).select("row", F.col("first.row").alias("first_row"))
-    dealt = plain.join(written(kinds, "warc-kinds").hint("merge"), "row")
+    dealt = plain.join(firsts.hint("merge"), ["digest", "size"]).withColumn("first_row", F.col("first.row"))
     dealt = dealt.select("row", "first_row", "page_id", "url", "digest", F.when(F.col("row") == F.col("first_row"), F.col("payload")).alias("payload"))
     name = lambda row: f"urn:uuid:{uuid.UUID(int=(0x7469646D << 96) | row)}"
 
@@ -178,7 +179,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     parts = files.mapInArrow(split, _PARSED).where(F.col("record_type").isin("response", "revisit", "continuation"))
-    parts = parts.withColumn("whole", F.coalesce("origin_id", "record_id"))
+    # used twice, for single records and for segments, so the files are opened once
+    parts = written(parts.withColumn("whole", F.coalesce("origin_id", "record_id")), "warc-parts")
     fields = pa.schema([*(f for f in _ARROW if f.name in ("record_id", "record_type", "page_id", "url", "refers_to_id", "digest")), ("payload", pa.binary()), ("problem", pa.string())])
 
     def finish(rows: list[tuple]) -> tuple:
