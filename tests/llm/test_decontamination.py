@@ -48,6 +48,24 @@ def test_tiles_match_brute_force():
         assert found == expected
 
 
+def test_both_ways_of_tiling_agree(monkeypatch):
+    draw = random.Random(6)
+    texts = [" ".join(draw.choice("ab" if i % 2 else "abcdefgh") for _ in range(draw.randint(0, 60))) for i in range(12)]
+    items = [(i, " ".join(draw.choice("ab" if i % 2 else "abcdefgh") for _ in range(draw.randint(0, 40)))) for i in range(12)]
+    found = []
+    for pairs in (1 << 40, 0):
+        monkeypatch.setattr(D, "PAIRS", pairs)
+        found.append([x for c in W.chunks(pa.array(texts), lower=True, marks=True) for x in D.matches(c, D.Items.of_rows(items, 3), 3, 0.1)])
+    assert found[0] == found[1] and len(found[0]) > 50
+
+
+def test_a_word_that_fills_a_long_text_and_item():
+    """20,000 times one word on both sides: 4e8 pairs of places, of which none is listed."""
+    block = D.Items.of_rows([(1, "same " * 20000)], 5)
+    (c,) = W.chunks(pa.array(["same " * 20010]), lower=True, marks=True)
+    assert list(D.matches(c, block, 5, 0.5)) == [(0, 0, 20000, 20000, [(0, 0, 20000)])]
+
+
 def test_leaks_and_clean(spark, docs, monkeypatch):
     item = "one two three four five six seven eight nine ten"
     items = spark.createDataFrame([(7, item), (8, None), (9, "short"), (None, "nothing like this anywhere in here at all")], "item_id long, text string")

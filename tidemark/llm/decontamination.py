@@ -6,7 +6,7 @@ and again until none of min_tile words is left, so a passage counts however its
 share of an item's words that are marked is its coverage; documents that cover enough of an item leak it.
 
 The items are handed to all tasks, in blocks of at most BLOCK_BYTES of text; a larger benchmark takes as
-many passes over the documents as it has blocks.
+many passes over the documents as it has blocks, one after another, so that the driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -21,32 +21,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import bounded_batches
+from .store import bounded_batches, written
 
 MIN_TILE, COVERAGE = 5, 0.5
 BLOCK_BYTES = 16 << 20
+#: Pairs of places of shared seeds that are listed at once; a text and an item with more are tiled length by length.
+PAIRS = 50_000
 
 
 @dataclass
 class Items:
-    """A block of items: their words one after another, and the places of each seed."""
+    """A block of items: their words one after another, and for each seed the items that have it, with its places."""
 
     ids: list
     of: np.ndarray
+    hash: np.ndarray  # of each word
     seeds: np.ndarray  # sorted hashes
-    first: np.ndarray  # where each seed's places start in places
+    first: np.ndarray  # where each seed's rows start in the next three
+    item: np.ndarray
+    start: np.ndarray  # where the places of a seed in an item start in places
+    count: np.ndarray
     places: np.ndarray  # words of the block where seeds start
 
     @classmethod
     def of_rows(cls, rows: list[tuple], min_tile: int) -> "Items":
-        (c,) = W.chunks(pa.array([x[1] for x in rows], pa.string()), lower=True, marks=True, size=1 << 62) if rows else (None,)
-        if c is None:
-            return cls([], np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64))
+        none = np.zeros(0, np.int64)
+        if not rows:
+            return cls([], np.zeros(1, np.int64), none.astype(np.uint64), none.astype(np.uint64), np.zeros(1, np.int64), none, none, none, none)
+        (c,) = W.chunks(pa.array([x[1] for x in rows], pa.string()), lower=True, marks=True, size=1 << 62)
         at = np.flatnonzero(W.window_ok(c, min_tile))
         h = W.windows(c.hash, min_tile)[at]
         order = np.argsort(h, kind="stable")
-        seeds, first = np.unique(h[order], return_index=True)
-        return cls([x[0] for x in rows], c.of, seeds, np.append(first, len(order)), at[order])
+        seeds, seed = np.unique(h[order], return_inverse=True)
+        places = at[order]
+        item = np.searchsorted(c.of, places, "right") - 1
+        start = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (item[1:] != item[:-1]))) if len(places) else none
+        return cls([x[0] for x in rows], c.of, c.hash, seeds, np.searchsorted(seed[start], np.arange(len(seeds) + 1)), item[start], start, np.diff(np.append(start, len(places))), places)
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first to first+count-1 of each, one after another."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, min_tile: int) -> list[tuple[int, int, int]]:
@@ -66,6 +81,54 @@ def tiles(doc: np.ndarray, item: np.ndarray, min_tile: int) -> list[tuple[int, i
     return out
 
 
+def tiles_by_length(x: np.ndarray, y: np.ndarray, min_tile: int) -> list[tuple[int, int, int]]:
+    """The same tiles from the word hashes of a text and an item, in memory that grows with their lengths only.
+
+    Running hashes of one length after another, from the longest that both have: of each length all tiles are marked,
+    leftmost first, before the next shorter one is looked for.
+    """
+    marked = [np.zeros(len(x), bool), np.zeros(len(y), bool)]
+
+    def free(size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and hashes of the stretches of a text without a marked word."""
+        out = []
+        for h, taken in zip((x, y), marked):
+            total = np.concatenate([[0], np.cumsum(taken)])
+            at = np.flatnonzero(total[size:] == total[: len(total) - size])
+            out.append((at, W.windows(h, size)[at]))
+        return out
+
+    def common(size: int) -> bool:
+        (_, a), (_, b) = free(size)
+        return bool(np.isin(a, b).any())
+
+    out, high = [], min(len(x), len(y))
+    while high >= min_tile and common(min_tile):
+        low = min_tile
+        while low < high:  # the longest length that both have
+            size = (low + high + 1) // 2
+            low, high = (size, high) if common(size) else (low, size - 1)
+        (at, a), (places, b) = free(low)
+        order = np.argsort(b, kind="stable")
+        b, places = b[order], places[order]
+        shared = np.isin(a, b)
+        first, last = np.searchsorted(b, a[shared], "left"), np.searchsorted(b, a[shared], "right")
+        turn: dict[int, int] = {}  # of the places with one hash, those before are taken
+        for d, f, e in zip(at[shared].tolist(), first.tolist(), last.tolist()):
+            if marked[0][d : d + low].any():
+                continue
+            k = turn.get(f, f)
+            while k < e and marked[1][places[k] : places[k] + low].any():
+                k += 1
+            turn[f] = k
+            if k < e:
+                i = int(places[k])
+                marked[0][d : d + low] = marked[1][i : i + low] = True
+                out.append((d, i, low))
+        high = low - 1
+    return out
+
+
 def matches(c: W.Words, items: Items, min_tile: int, coverage: float) -> Iterator[tuple]:
     """(text, item, covered words, item words, tiles) of the texts of a chunk that cover enough of an item."""
     h = W.windows(c.hash, min_tile)
@@ -76,22 +139,35 @@ def matches(c: W.Words, items: Items, min_tile: int, coverage: float) -> Iterato
     if not len(at):
         return
     owner = c.text[at]
-    for text in np.unique(owner):
-        mine = at[owner == text]
-        seed = found[mine]
+    cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
+    sizes = np.diff(items.of)
+    for lo, hi in zip(cuts, cuts[1:]):
+        text = int(owner[lo])
+        order = np.argsort(found[at[lo:hi]], kind="stable")
+        doc = at[lo:hi][order] - c.of[text]  # places in the text, seed by seed
+        seed, doc_first, doc_count = np.unique(found[at[lo:hi]][order], return_index=True, return_counts=True)
         often = items.first[seed + 1] - items.first[seed]
-        doc = np.repeat(mine, often)
-        place = items.places[np.repeat(items.first[seed], often) + np.arange(len(doc)) - np.repeat(np.cumsum(often) - often, often)]
-        item = np.searchsorted(items.of, place, "right") - 1
-        for k in np.unique(item):
-            total = int(items.of[k + 1] - items.of[k])
-            own = item == k
-            if np.count_nonzero(own) + min_tile - 1 < coverage * total and len(np.unique(place[own])) * min_tile < coverage * total:
-                continue  # even disjoint seeds would not cover enough
-            marked = tiles(doc[own] - c.of[text], place[own] - items.of[k], min_tile)
+        row = _ranges(items.first[seed], often)  # the seeds' rows: a seed in an item
+        of_row = np.repeat(np.arange(len(seed)), often)
+        kinds, kind = np.unique(items.item[row], return_inverse=True)
+        places = np.bincount(kind, weights=items.count[row])
+        pairs = np.bincount(kind, weights=items.count[row] * doc_count[of_row])
+        for j in np.flatnonzero(places * min_tile >= coverage * sizes[kinds]):  # else even disjoint seeds would not cover enough
+            k = int(kinds[j])
+            if pairs[j] > PAIRS:
+                marked = tiles_by_length(c.hash[c.of[text] : c.of[text + 1]], items.hash[items.of[k] : items.of[k + 1]], min_tile)
+            else:
+                own = np.flatnonzero(kind == j)
+                r, s = row[own], of_row[own]
+                n = items.count[r] * doc_count[s]
+                within = _ranges(np.zeros(len(n), np.int64), n)
+                per = np.repeat(items.count[r], n)
+                d = doc[np.repeat(doc_first[s], n) + within // per]
+                i = items.places[np.repeat(items.start[r], n) + within % per] - items.of[k]
+                marked = tiles(d, i, min_tile)
             covered = sum(x[2] for x in marked)
-            if covered >= coverage * total:
-                yield int(text), int(k), covered, total, marked
+            if covered >= coverage * sizes[k]:
+                yield text, k, covered, int(sizes[k]), marked
 
 
 def _blocks(items: DataFrame) -> list[DataFrame]:
@@ -130,12 +206,22 @@ def leaks(docs: DataFrame, items: DataFrame, min_tile: int = MIN_TILE, coverage:
 
         return plain.mapInArrow(run, schema)
 
-    found = reduce(DataFrame.union, [one(_shared(x, min_tile)) for x in _blocks(items)])
+    blocks, done = _blocks(items), []
+    for part in blocks:
+        block = _shared(part, min_tile)
+        done.append(one(block) if len(blocks) == 1 else written(one(block), "leaks"))
+        if len(blocks) > 1:
+            block.destroy()
+    found = reduce(DataFrame.union, done)
     return found.select("doc_id", "item_id", "covered", "item_words", (F.col("covered") / F.col("item_words")).alias("coverage"), "tiles")
 
 
 def clean(docs: DataFrame, items: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs, with all their columns, that leak no item; nothing is shuffled."""
+    """The rows of docs, with all their columns, that leak no item; nothing is shuffled.
+
+    Null and empty texts, and rows without a doc_id, are kept or go by their text alone; repeated rows fare alike;
+    an empty table stays empty.
+    """
     bounded_batches(docs.sparkSession)
 
     def keep(block):
@@ -149,6 +235,11 @@ def clean(docs: DataFrame, items: DataFrame, min_tile: int = MIN_TILE, coverage:
 
         return run
 
-    for block in _blocks(items):
-        docs = docs.mapInArrow(keep(_shared(block, min_tile)), docs.schema)
+    blocks = _blocks(items)
+    for part in blocks:
+        block = _shared(part, min_tile)
+        docs = docs.mapInArrow(keep(block), docs.schema)
+        if len(blocks) > 1:
+            docs = written(docs, "clean")
+            block.destroy()
     return docs
