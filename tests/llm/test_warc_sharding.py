@@ -1,5 +1,7 @@
 import base64
+import bisect
 import hashlib
+import zlib
 
 import pytest
 
@@ -74,6 +76,39 @@ def test_one_more_shard_moves_few(docs):
     assert sum(a[i] != b[i] for i in a) / len(a) < 0.25  # 1/9 must move
 
 
+def test_shards_match_a_walk_on_the_ring(spark):
+    """Every key in its turn: to the next point clockwise whose shard has room. Size, checksum and slot too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(None, "x"), (None, None), (10**9, ""), (10**9 + 1, None), (10**9 + 2, "long " * 50000)], docs.schema)
+    docs = docs.union(odd)
+    size, crc = "octet_length(encode(coalesce(text, ''), 'UTF-8')) + 1L", "crc32(encode(coalesce(text, ''), 'UTF-8'))"
+    keys = docs.selectExpr("doc_id", "text", f"CASE WHEN doc_id IS NULL THEN xxhash64({crc}, {size}) ELSE xxhash64(doc_id) END AS place", f"xxhash64(doc_id, {crc}, {size}, 1) AS turn").collect()
+    points = sharding.ring(8)
+    ends = [p for p, _ in points]
+    room = [len(keys) // 8 + (s < len(keys) % 8) for s in range(8)]
+    arc = {k: bisect.bisect_left(ends, k.place) % len(points) for k in keys}
+    expected, slots = {}, [[] for _ in range(8)]
+    for k in sorted(keys, key=lambda k: (k.turn % sharding.BUCKETS, arc[k], k.turn)):
+        at = arc[k]
+        while not room[points[at][1]]:
+            at = (at + 1) % len(points)
+        shard = points[at][1]
+        room[shard] -= 1
+        slots[shard].append(k)
+    for shard, own in enumerate(slots):
+        for slot, k in enumerate(own):
+            data = (k.text or "").encode()
+            expected[(k.doc_id, len(data) + 1, zlib.crc32(data))] = (shard, slot)
+    found = {(r.doc_id, r.size, r.text_crc32): (r.shard, r.slot) for r in sharding.sharded(docs).collect()}
+    assert found == expected and len(found) == len(keys)
+
+
+def test_few_keys_move_to_a_ninth_shard(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    a, b = ({r.doc_id: r.shard for r in sharding.assigned(docs, n).select("doc_id", "shard").collect()} for n in (8, 9))
+    assert 1 / 9 <= sum(a[i] != b[i] for i in a) / len(a) < 0.15
+
+
 def test_bytes_are_bounded(docs):
     table = docs([(i, "x" * (i % 100)) for i in range(4000)])
     found = sharding.assigned(table, law="bytes", slack=0.05).groupBy("shard").sum("size").collect()
