@@ -41,3 +41,15 @@ def strongest(df: DataFrame, keys: list[str], priority: str, order: str, values:
     """Of rows with equal keys the values of that with the largest priority; ties: the least order."""
     pick = F.max_by(F.struct(*values), F.struct(F.col(priority), -F.col(order)))
     return df.groupBy(*keys).agg(pick.alias("_p")).select(*keys, *(F.col(f"_p.{v}").alias(v) for v in values))
+
+
+def deramped(df: DataFrame, value: str, keys: list[str], order: str) -> DataFrame:
+    """df with value under a Hann window over its span, summed up, less the line from nothing to the last sum."""
+    own = Window.partitionBy(*keys)
+    i, n = F.row_number().over(own.orderBy(order)) - 1, F.count(F.lit(1)).over(own) - 1
+    d = df.withColumn("_i", i).withColumn("_n", n)
+    hann = F.when(F.col("_n") > 0, 0.5 - 0.5 * F.cos(2 * F.pi() * F.col("_i") / F.col("_n"))).otherwise(1.0)
+    d = d.withColumn("_v", F.col(value) * hann)
+    d = d.withColumn("_s", F.sum("_v").over(own.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_end", F.sum("_v").over(own))
+    line = F.when(F.col("_n") > 0, F.col("_end") * F.col("_i") / F.col("_n")).otherwise(0.0)
+    return d.withColumn(value, F.col("_s") - line).drop("_i", "_n", "_v", "_s", "_end")

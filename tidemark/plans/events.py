@@ -42,9 +42,10 @@ def j04_fuzzy_key(spark, sf_dir):
 
 
 def j05_shorter_wins(spark, sf_dir):
+    """The k-th frame of one sensor against the k-th seen one of the other, which are fewer."""
     d = duo(spark, sf_dir)
-    img = d.where("frame < 1500 and ix is not null").select("clip_id", "frame", "ix")
-    return d.select("clip_id", "frame", "x").join(img, ["clip_id", "frame"], "left").select("clip_id", "frame", r6(F.col("ix") - F.col("x")).alias("delta"))
+    img = d.where("ix is not null").select("clip_id", (F.row_number().over(_w()) - 1).alias("frame"), "ix")
+    return d.select("clip_id", "frame", "x").join(img, ["clip_id", "frame"]).select("clip_id", "frame", r6(F.col("ix") - F.col("x")).alias("delta"))
 
 
 def j06_same_grid(spark, sf_dir):
@@ -107,10 +108,8 @@ def w18_zero_net(spark, sf_dir):
 
 
 def w19_deramp(spark, sf_dir):
-    own = Window.partitionBy("clip_id", "run")
-    m = _in_spans(spark, sf_dir).withColumn("s", F.sum("v").over(own.orderBy("frame"))).withColumn("n", F.count(F.lit(1)).over(own)).withColumn("i", F.row_number().over(own.orderBy("frame")))
-    end = F.sum("v").over(own)
-    return m.select("clip_id", "run", "frame", r6(F.col("s") - end * F.col("i") / F.col("n")).alias("v"))
+    """Tapered by a Hann window, summed up, and less the straight line from its first sum to its last."""
+    return G.deramped(_in_spans(spark, sf_dir), "v", ["clip_id", "run"], "frame").select("clip_id", "run", "frame", F.round("v", 10).alias("v"))
 
 
 def w25_bridge(spark, sf_dir):
@@ -180,8 +179,16 @@ def i23_keep_old(spark, sf_dir):
 
 
 def i24_checks(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return e.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+    """What is wrong with a list of events: keys that stand twice, values out of range, spans beyond their series, series
+    with too few spans."""
+    e = table(spark, sf_dir, "events")
+    twice = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("twice").alias("kind"), F.concat_ws(" ", F.col("user_id").cast("string"), F.date_format("day", "yyyy-MM-dd")).alias("key"), "n")
+    out = e.where("not (value between 20 and 400)").select(F.lit("range"), F.col("event_id").cast("string"), F.lit(1).cast("long"))
+    spans = _spans(spark, sf_dir)
+    window = sig(spark, sf_dir).groupBy("clip_id").agg((F.min("frame") + 20).alias("lo"), (F.max("frame") - 20).alias("hi"))
+    beyond = spans.join(window, "clip_id").where("a < lo or b > hi").select(F.lit("beyond"), F.concat_ws(" ", "clip_id", F.col("run").cast("string")), F.lit(1).cast("long"))
+    few = window.join(spans.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")), "clip_id", "left").select(F.lit("count"), "clip_id", F.coalesce("n", F.lit(0)).alias("n")).where("n < 200")
+    return twice.union(out).union(beyond).union(few)
 
 
 def i27_slices(spark, sf_dir):
@@ -198,7 +205,7 @@ def s04_sample_offsets(spark, sf_dir):
 
 def s05_sample_times(spark, sf_dir):
     """Run-length pairs of count and step to the time of each sample."""
-    r = table(spark, sf_dir, "part").where("p_size <= 10").select("p_brand", "p_partkey", F.col("p_size").alias("count"), (F.col("p_partkey") % 7 + 1).alias("step"))
+    r = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_size").alias("count"), (F.col("p_partkey") % 7 + 1).alias("step"))
     each = r.select("p_brand", "p_partkey", "step", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("k"))
     t = F.coalesce(F.sum("step").over(Window.partitionBy("p_brand").orderBy("p_partkey", "k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return each.select("p_brand", "p_partkey", "k", t.alias("t"))
@@ -211,15 +218,18 @@ def s12_exposure(spark, sf_dir):
 
 
 def s19_unique_name(spark, sf_dir):
-    """Names that hold a text, where one alone does."""
-    p = table(spark, sf_dir, "part").withColumn("key", F.lower(F.col("p_brand")))
-    hit = p.where(F.col("p_name").contains("1")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("name"))
-    return hit.select("key", F.when(F.col("n") == 1, F.col("name")).alias("name"), "n")
+    """Of each brand the part whose name holds the brand's text; an error where none or more than one does."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", F.lower("p_brand"), "p_name").alias("name"), F.lower("p_brand").alias("key"), (F.col("p_partkey") % 997).cast("string").alias("tag"))
+    asked = p.groupBy("key").agg(F.max("tag").alias("tag"))
+    hit = p.drop("tag").join(asked, "key").groupBy("key").agg(F.count_if(F.col("p_partkey").cast("string").contains(F.col("tag"))).alias("n"), F.min(F.when(F.col("p_partkey").cast("string").contains(F.col("tag")), F.col("name"))).alias("found"))
+    problem = F.when(F.col("n") == 0, "none matches").when(F.col("n") > 1, "several match")
+    return hit.select("key", F.when(F.col("n") == 1, F.col("found")).alias("name"), "n", problem.alias("problem"))
 
 
 def s20_registry(spark, sf_dir):
-    """Pages not known yet, with a short name from their address, made unique by a number."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    """Pages not known yet that are long enough, open as pages do and are no queries, with a short name from their
+    address, made unique by a number."""
+    p = table(spark, sf_dir, "pages").where(F.length("html") >= 1500).where(F.lower(F.substring(F.ltrim("html"), 1, 1)) == "<").select("page_id", "url").where(~F.col("url").contains("?"))
     known = p.where("page_id % 3 = 0").select("url").distinct()
     slug = F.regexp_replace(F.lower(F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)), "[^a-z0-9]+", "_")
     new = p.join(known, "url", "left_anti").withColumn("slug", slug)
@@ -266,7 +276,7 @@ _CHECK = f"""{_DSPANS}, v AS (SELECT clip_id, frame, x AS p, ix AS q FROM duo WH
 ORACLE = {
     "j03_edits": f"WITH {SIG} SELECT clip_id, frame, {s6('CASE WHEN event_id % 13 = 0 THEN -x ELSE x END')} AS x, event_id % 13 = 0 AS edited FROM sig",
     "j04_fuzzy_key": f"WITH {SIG}, k AS (SELECT clip_id, frame AS key, event_id AS found FROM sig WHERE event_id % 4 = 0) SELECT s.clip_id, s.frame, arg_min(found, turn) AS found FROM sig s, (VALUES (0, 0), (1, 1), (2, -1)) o(turn, d), k WHERE k.clip_id = s.clip_id AND k.key = s.frame + d GROUP BY ALL",
-    "j05_shorter_wins": f"WITH {DUO} SELECT clip_id, frame, {s6('CASE WHEN frame < 1500 THEN ix - x END')} AS delta FROM duo",
+    "j05_shorter_wins": f"WITH {DUO}, i AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY frame) - 1 AS frame, ix AS v FROM duo WHERE ix IS NOT NULL) SELECT d.clip_id, d.frame, {s6('v - x')} AS delta FROM duo d JOIN i USING (clip_id, frame)",
     "j06_same_grid": f"WITH {SIG} SELECT clip_id, count_if(event_id % 101 = 0 AND event_id % 103 <> 0)::BIGINT AS only_b, count_if(event_id % 103 = 0 AND event_id % 101 <> 0)::BIGINT AS only_a, 0::BIGINT AS differ FROM sig GROUP BY clip_id",
     "j08_membership": f"{_SPANS} SELECT s.clip_id, p.run, count(*) AS n, {s6('max(x)')} AS peak {_IN} GROUP BY ALL",
     "j09_edge_semi": f"""{_SPANS}, w0 AS (SELECT *, lag(frame) OVER (PARTITION BY clip_id ORDER BY frame) AS p FROM sig WHERE x >= 3), w1 AS (SELECT *, sum(CASE WHEN frame - p > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY frame) AS k FROM w0), w2 AS (SELECT clip_id, k, min(frame) AS lo, max(frame) AS hi FROM w1 GROUP BY ALL)
@@ -278,7 +288,9 @@ ORACLE = {
     "w16_cosine_gate": f"{_SPANS} SELECT s.clip_id, s.frame, {s6('coalesce(max(CASE WHEN p.a IS NULL THEN 0 ELSE ' + _GATE(a='p.a', b='p.b', f='2.0::DOUBLE') + ' END), 0)')} AS gate {_IN.replace('JOIN', 'LEFT JOIN')} GROUP BY ALL",
     "w17_taper": f"{_INV} SELECT clip_id, run, frame, {s6('v * CASE WHEN least(frame - a + 1, b - frame + 1) > 3 THEN 1 ELSE 0.5 - 0.5 * cos(pi() * least(frame - a + 1, b - frame + 1) / 4) END')} AS v FROM m",
     "w18_zero_net": f"{_INV} SELECT clip_id, run, frame, round(v - avg(v) OVER (PARTITION BY clip_id, run), 10) AS v FROM m",
-    "w19_deramp": f"{_INV} SELECT clip_id, run, frame, {s6('sum(v) OVER (PARTITION BY clip_id, run ORDER BY frame) - sum(v) OVER (PARTITION BY clip_id, run) * row_number() OVER (PARTITION BY clip_id, run ORDER BY frame) / count(*) OVER (PARTITION BY clip_id, run)')} AS v FROM m",
+    "w19_deramp": f"""{_INV}, h AS (SELECT clip_id, run, frame, v, row_number() OVER (PARTITION BY clip_id, run ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY clip_id, run) - 1 AS n FROM m),
+        t AS (SELECT clip_id, run, frame, i, n, sum(v * CASE WHEN n > 0 THEN 0.5 - 0.5 * cos(2 * pi() * i / n) ELSE 1 END) OVER (PARTITION BY clip_id, run ORDER BY frame) AS s FROM h)
+        SELECT clip_id, run, frame, round(s - CASE WHEN n > 0 THEN last_value(s) OVER (PARTITION BY clip_id, run ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * i / n ELSE 0 END, 10) AS v FROM t""",
     "w25_bridge": f"""{_SPANS}, m AS (SELECT s.clip_id, p.run, s.frame, p.a, p.b, s.x FROM sig s JOIN spans p ON s.clip_id = p.clip_id AND s.frame BETWEEN p.a - 10 AND p.b + 10), e AS (SELECT clip_id, run, avg(x) FILTER (frame < a) AS before, avg(x) FILTER (frame > b) AS after FROM m GROUP BY ALL)
         SELECT clip_id, run, frame, round(before + (after - before) * ((frame - a + 1) / (b - a + 2)::DOUBLE), 10) AS x FROM m JOIN e USING (clip_id, run) WHERE frame BETWEEN a AND b AND before IS NOT NULL AND after IS NOT NULL""",
     "a14_event_check": f"{_CHECK} SELECT * FROM checked",
@@ -290,13 +302,17 @@ ORACLE = {
     "i22_chains": """WITH l AS (SELECT *, l_shipdate::DATE AS d FROM lineitem), n AS (SELECT *, CASE WHEN l_linenumber - lag(l_linenumber) OVER w = 1 AND abs(d - lag(d) OVER w) <= 30 THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)),
         c AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS chain FROM n) SELECT l_orderkey, min(l_linenumber) AS first, count(*) AS n FROM c GROUP BY l_orderkey, chain HAVING count(*) > 1""",
     "i23_keep_old": f"WITH {SIG}, fresh AS (SELECT clip_id, count(*) AS n, 'new' AS kind FROM sig WHERE event_id % 5 = 0 GROUP BY clip_id HAVING count(*) % 2 = 0) SELECT * FROM fresh UNION ALL SELECT clip_id, count(*), 'old' FROM sig WHERE clip_id NOT IN (SELECT clip_id FROM fresh) GROUP BY clip_id",
-    "i24_checks": "SELECT user_id, strftime(ts::DATE, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1",
+    "i24_checks": f"""{_SPANS}, w AS (SELECT clip_id, min(frame) + 20 AS lo, max(frame) - 20 AS hi FROM sig GROUP BY clip_id)
+        SELECT 'twice' AS kind, user_id || ' ' || strftime(ts::DATE, '%Y-%m-%d') AS key, count(*) AS n FROM events GROUP BY user_id, ts::DATE HAVING count(*) > 1 UNION ALL SELECT 'range', event_id::VARCHAR, 1 FROM events WHERE NOT value BETWEEN 20 AND 400
+        UNION ALL SELECT 'beyond', clip_id || ' ' || run::INTEGER, 1 FROM spans JOIN w USING (clip_id) WHERE a < lo OR b > hi UNION ALL SELECT 'count', clip_id, count(run) AS n FROM w LEFT JOIN spans USING (clip_id) GROUP BY clip_id HAVING count(run) < 200""",
     "i27_slices": f"WITH {SIG} SELECT clip_id, frame, {s6('x')} AS x FROM sig WHERE frame >= 100 AND frame < 150",
     "s04_sample_offsets": "SELECT l_orderkey, l_linenumber, (l_orderkey * 1000 + coalesce(sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\", l_quantity::BIGINT AS size FROM lineitem",
-    "s05_sample_times": "WITH e AS (SELECT p_brand, p_partkey, p_partkey % 7 + 1 AS step, unnest(range(1, p_size + 1))::INTEGER AS k FROM part WHERE p_size <= 10) SELECT p_brand, p_partkey, k, coalesce(sum(step) OVER (PARTITION BY p_brand ORDER BY p_partkey, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS t FROM e",
+    "s05_sample_times": "WITH e AS (SELECT p_brand, p_partkey, p_partkey % 7 + 1 AS step, unnest(range(1, p_size + 1))::INTEGER AS k FROM part) SELECT p_brand, p_partkey, k, coalesce(sum(step) OVER (PARTITION BY p_brand ORDER BY p_partkey, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS t FROM e",
     "s12_exposure": f"WITH e AS (SELECT event_id, user_id::DOUBLE / nullif(event_id % 50, 0) AS s FROM events) SELECT event_id, {s6('s')} AS exposure_s, {s6('s * 1000')} AS exposure_ms FROM e",
-    "s19_unique_name": "SELECT lower(p_brand) AS key, CASE WHEN count(*) = 1 THEN min(p_name) END AS name, count(*) AS n FROM part WHERE contains(p_name, '1') GROUP BY ALL",
-    "s20_registry": r"WITH n AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '[^a-z0-9]+', '_', 'g') AS slug FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)), k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id) AS k FROM n) SELECT page_id, slug || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS name FROM k",
+    "s19_unique_name": """WITH p AS (SELECT p_partkey, lower(p_brand) || ' ' || p_name AS name, lower(p_brand) AS key, (p_partkey % 997)::VARCHAR AS tag FROM part), a AS (SELECT key, max(tag) AS tag FROM p GROUP BY key),
+        h AS (SELECT key, count_if(contains(p_partkey::VARCHAR, a.tag))::BIGINT AS n, min(name) FILTER (contains(p_partkey::VARCHAR, a.tag)) AS found FROM p JOIN a USING (key) GROUP BY key)
+        SELECT key, CASE WHEN n = 1 THEN found END AS name, n, CASE WHEN n = 0 THEN 'none matches' WHEN n > 1 THEN 'several match' END AS problem FROM h""",
+    "s20_registry": r"WITH ok AS (SELECT page_id, url FROM pages WHERE length(html) >= 1500 AND substr(ltrim(html, ' '), 1, 1) = '<' AND NOT contains(url, '?')), n AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '[^a-z0-9]+', '_', 'g') AS slug FROM ok WHERE url NOT IN (SELECT url FROM ok WHERE page_id % 3 = 0)), k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id) AS k FROM n) SELECT page_id, slug || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS name FROM k",
     "q21_time_parse": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 100 * 1000 + 500 WHEN 1 THEN CASE WHEN event_id % 61 < 60 THEN event_id % 70 * 60000 + event_id % 61 * 1000 END ELSE event_id % 5 * 3600000 + event_id % 60 * 60000 + 7250 END AS ms FROM events""",
     "t01_timeline": f"""WITH {SIG}, s AS (SELECT *, CASE WHEN event_id % 17 <> 0 THEN us END AS stamp, (event_id % 5 + 1)::INTEGER AS n FROM sig), f AS (SELECT *, first_value(stamp IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS f0 FROM s),
         e AS (SELECT clip_id, frame, n, (stamp - f0) / 1000::DOUBLE AS ms, unnest(range(0, n))::INTEGER AS i FROM f WHERE stamp IS NOT NULL) SELECT clip_id, frame, i, round((ms + i / n::DOUBLE * 1000 / 59.5::DOUBLE) / (59.94::DOUBLE / 59.5::DOUBLE) * 1000, 0) AS t_us FROM e""",

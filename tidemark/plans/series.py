@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import islands as I
-from ..operators import spikes, stats
+from ..operators import spikes, stats, timing
 from ..operators import windows as W
 from .views import DUO, SIG, duo, r6, s6, sig, table
 
@@ -79,9 +81,10 @@ def w20_windowed_mean(spark, sf_dir):
 
 
 def w22_excursion(spark, sf_dir):
-    d = sig(spark, sf_dir).withColumn("c", F.col("x") - F.avg("x").over(Window.partitionBy("clip_id")))
-    run = d.withColumn("s", F.sum("c").over(_w()) * 0.02)
-    return run.groupBy("clip_id").agg(r6(F.max(F.abs("s"))).alias("excursion"))
+    """How far the sums of a rate less its mean reach from nothing, over all three axes."""
+    means = duo(spark, sf_dir).select("*", *(F.avg(k).over(Window.partitionBy("clip_id")).alias(f"m{k}") for k in "xyz"))
+    run = means.select("clip_id", *((F.sum(F.col(k) - F.col(f"m{k}")).over(_w()) * 0.02).alias(k) for k in "xyz"))
+    return run.groupBy("clip_id").agg(r6(F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))).alias("excursion"))
 
 
 def t04_frame_instants(spark, sf_dir):
@@ -90,9 +93,16 @@ def t04_frame_instants(spark, sf_dir):
 
 
 def t06_frame_shift(spark, sf_dir):
-    d = duo(spark, sf_dir).select("clip_id", "frame", W.filled("ix", K, "frame").alias("e"))
-    mid = F.percentile("e", F.lit(0.5)).over(Window.partitionBy("clip_id"))
-    return d.select("clip_id", "frame", r6((mid - F.col("e")) / 2 * 1000).alias("exposure_var"), r6((13.58 / 2 - F.col("e") / 2) * 1000).alias("exposure"))
+    """The shift of each frame, in microseconds, by each of the four modes, with a bias of half a millisecond."""
+    d = timing.frame_shifts(duo(spark, sf_dir), timing.MODES, K, "frame", "ix", 13.58, 0.5)
+    return d.select("clip_id", "frame", *(r6(F.col(mode)).alias(mode) for mode in timing.MODES))
+
+
+def t08_shifts(spark, sf_dir):
+    """Each series' shifts by the mode that it asks for."""
+    d = duo(spark, sf_dir).withColumn("mode", F.element_at(F.array(*map(F.lit, timing.MODES)), F.length("clip_id") % len(timing.MODES) + 1))
+    each = (timing.frame_shifts(d.where(F.col("mode") == m), [m], K, "frame", "ix", 13.58).select("clip_id", "frame", "mode", r6(F.col(m)).alias("shift")) for m in timing.MODES)
+    return reduce(DataFrame.union, each)
 
 
 def _flagged(spark, sf_dir) -> DataFrame:
@@ -213,12 +223,17 @@ def a11_jitter_by_band(spark, sf_dir):
 
 def a12_disagreement(spark, sf_dir):
     d = duo(spark, sf_dir).where("ix is not null").withColumn("e", F.abs(F.col("ix") - F.col("x")))
-    return d.groupBy("clip_id").agg(r6(F.sqrt(F.avg(F.col("e") * F.col("e")))).alias("rms"), r6(F.percentile("e", F.lit(0.99))).alias("p99"), F.count_if(F.col("e") >= 1).cast("long").alias("over"))
+    told = d.groupBy("clip_id").agg(r6(F.sqrt(F.avg(F.col("e") * F.col("e")))).alias("rms"), r6(F.percentile("e", F.lit(0.99))).alias("p99"), F.count_if(F.col("e") >= 1).cast("long").alias("over"))
+    # frames of the largest disagreements, thinned so that some 40 to 79 are told
+    high = d.where("e >= 1").join(told.select("clip_id", "over"), "clip_id").withColumn("i", F.row_number().over(_w()) - 1)
+    thin = high.where(F.col("i") % F.greatest(F.floor(F.col("over") / 40), F.lit(1)) == 0).groupBy("clip_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("frame")), lambda f: f.cast("string")), " ").alias("frames"))
+    return told.join(thin, "clip_id", "left")
 
 
 def a17_verdict_rollup(spark, sf_dir):
-    s = _seconds(spark, sf_dir).withColumn("verdict", F.when(F.col("m") >= 2.6, "worse").when(F.col("m") < 2.3, "better").otherwise("same"))
-    return s.groupBy("clip_id").pivot("verdict", ["better", "same", "worse"]).agg(F.count(F.lit(1)).cast("long")).na.fill(0)
+    s = _seconds(spark, sf_dir).withColumn("verdict", F.when(F.col("m") >= 0.55, "worse").when(F.col("m") < 0.45, "better").otherwise("same"))
+    kinds = [x for v in ("better", "same", "worse") for x in (F.count_if(F.col("verdict") == v).cast("long").alias(v), r6(F.avg(F.when(F.col("verdict") == v, F.col("m")))).alias(f"mean_{v}"))]
+    return s.groupBy("clip_id").agg(*kinds, r6(F.avg("m")).alias("mean"), r6(F.percentile("m", F.lit(0.5))).alias("median"))
 
 
 def a18_strength(spark, sf_dir):
@@ -240,13 +255,18 @@ def a21_noise_model(spark, sf_dir):
 def a22_rank_correlation(spark, sf_dir):
     p = Window.partitionBy("clip_id")
     s = _seconds(spark, sf_dir).withColumn("a", stats.ranks("busy", p)).withColumn("b", stats.ranks("m", p))
-    return s.groupBy("clip_id").agg(r6(F.corr("a", "b")).alias("spearman"))
+    bounds = _seconds(spark, sf_dir).groupBy("clip_id").agg(F.percentile("m", F.lit(0.9)).alias("worst"), F.percentile("busy", F.lit(0.8)).alias("top"))
+    bad, told = F.col("m") >= F.col("worst"), F.col("busy") >= F.col("top")
+    return s.join(bounds, "clip_id").groupBy("clip_id").agg(r6(F.corr("a", "b")).alias("spearman"), r6(F.count_if(bad & told) / F.count_if(bad)).alias("hit_rate"))
 
 
 def a23_percentiles(spark, sf_dir):
     p = F.percentile("m", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99), F.lit(1.0)))
-    g = _seconds(spark, sf_dir).groupBy("clip_id").agg(p.alias("p"))
-    return g.select("clip_id", *(r6(F.col("p")[i]).alias(n) for i, n in enumerate(("p50", "p90", "p99", "top"))))
+    s = _seconds(spark, sf_dir)
+    worst = s.withColumn("k", F.row_number().over(Window.partitionBy("clip_id").orderBy(F.col("m").desc(), "second"))).where("k <= 10")
+    worst = worst.groupBy("clip_id").agg(r6(F.avg("m")).alias("worst_mean"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "second"))), lambda x: x["second"].cast("string")), " ").alias("worst"))
+    g = s.groupBy("clip_id").agg(p.alias("p"))
+    return g.select("clip_id", *(r6(F.col("p")[i]).alias(n) for i, n in enumerate(("p50", "p90", "p99", "top")))).join(worst, "clip_id")
 
 
 def a24_event_counts(spark, sf_dir):
@@ -299,9 +319,11 @@ ORACLE = {
     "w11_leaky_release": f"""WITH RECURSIVE {SIG}, y AS (SELECT clip_id, frame, 0.0::DOUBLE AS y FROM sig WHERE frame = 0 UNION ALL SELECT s.clip_id, s.frame, y.y * CASE WHEN s.event_id % 5 = 0 THEN 1.0::DOUBLE ELSE 0.98::DOUBLE END + (s.event_id % 7 - 3) FROM y JOIN sig s ON s.clip_id = y.clip_id AND s.frame = y.frame + 1)
         SELECT clip_id, frame, {s6('y')} AS y FROM y""",
     "w20_windowed_mean": f"WITH {DUO} SELECT clip_id, frame, {s6('avg(ix) OVER w / 5')} AS mean, count(ix) OVER w >= greatest(1, 0.6 * count(*) OVER w) AS reliable FROM duo WINDOW w AS (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
-    "w22_excursion": f"WITH {SIG}, c AS (SELECT clip_id, frame, x - avg(x) OVER (PARTITION BY clip_id) AS c FROM sig), s AS (SELECT clip_id, sum(c) OVER w * 0.02::DOUBLE AS s FROM c {_W}) SELECT clip_id, {s6('max(abs(s))')} AS excursion FROM s GROUP BY clip_id",
+    "w22_excursion": f"WITH {DUO}, c AS (SELECT clip_id, frame, {', '.join(f'{k} - avg({k}) OVER (PARTITION BY clip_id) AS {k}' for k in 'xyz')} FROM duo), s AS (SELECT clip_id, {', '.join(f'sum({k}) OVER w * 0.02::DOUBLE AS {k}' for k in 'xyz')} FROM c {_W}) SELECT clip_id, {s6('max(sqrt(x*x + y*y + z*z))')} AS excursion FROM s GROUP BY clip_id",
     "t04_frame_instants": f"WITH {SIG}, n AS (SELECT clip_id, count(*) AS n FROM sig GROUP BY clip_id) SELECT clip_id, k::INTEGER AS k, round(k * 1e6::DOUBLE / 59.94::DOUBLE, 3) AS t FROM (SELECT clip_id, unnest(range(0, n + 1)) AS k FROM n)",
-    "t06_frame_shift": f"WITH {DUO}, {_FILL}, m AS (SELECT clip_id, median(v) AS mid FROM full_ GROUP BY clip_id) SELECT clip_id, frame, {s6('(mid - v) / 2 * 1000')} AS exposure_var, {s6('(13.58::DOUBLE / 2 - v / 2) * 1000')} AS exposure FROM full_ JOIN m USING (clip_id)",
+    "t06_frame_shift": f"WITH {DUO}, {_FILL}, m AS (SELECT clip_id, median(v) AS mid FROM full_ GROUP BY clip_id) SELECT clip_id, frame, 0::DOUBLE AS none, 500::DOUBLE AS constant, {s6('((mid - v) / 2 + 0.5::DOUBLE) * 1000')} AS exposure_var, {s6('(13.58::DOUBLE / 2 - v / 2 + 0.5::DOUBLE) * 1000')} AS exposure FROM full_ JOIN m USING (clip_id)",
+    "t08_shifts": f"""WITH {DUO}, {_FILL}, m AS (SELECT clip_id, median(v) AS mid FROM full_ GROUP BY clip_id), s AS (SELECT clip_id, frame, mid, v, ['none', 'constant', 'exposure_var', 'exposure'][length(clip_id) % 4 + 1] AS mode FROM full_ JOIN m USING (clip_id))
+        SELECT clip_id, frame, mode, {s6("CASE mode WHEN 'exposure_var' THEN (mid - v) / 2 * 1000 WHEN 'exposure' THEN (13.58::DOUBLE / 2 - v / 2) * 1000 ELSE 0 END")} AS shift FROM s""",
     "i01_islands": f"{_FLAG}, {_runs('f', 2)} SELECT * FROM r",
     "i02_islands_strict": f"{_FLAG}, {_runs('f', 0)} SELECT * FROM r",
     "i04_merge_runs": f"""{_FLAG}, {_runs('f', 0)}, e AS (SELECT *, max(last) OVER (PARTITION BY clip_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM r), k AS (SELECT *, sum(CASE WHEN first - pe - 1 > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY first) AS k FROM e)
@@ -327,16 +349,20 @@ ORACLE = {
         SELECT clip_id, second, {s6('median(m)')} AS median FROM k WHERE k <= 7 GROUP BY ALL HAVING count(*) >= 5""",
     "a11_jitter_by_band": f"""WITH {DUO}, b AS (SELECT *, CASE WHEN rate < 20 THEN 'calm' WHEN rate < 60 THEN 'middle' ELSE 'fast' END AS band FROM duo), d AS (SELECT clip_id, band, lead(x) OVER w - x AS d, lead(band) OVER w = band AS both_ FROM b {_W})
         SELECT clip_id, band, count(*) AS n, {s6('stddev_pop(d)')} AS jitter FROM d WHERE both_ AND d IS NOT NULL GROUP BY clip_id, band HAVING count(*) > 5""",
-    "a12_disagreement": f"WITH {DUO}, e AS (SELECT clip_id, abs(ix - x) AS e FROM duo WHERE ix IS NOT NULL) SELECT clip_id, {s6('sqrt(avg(e*e))')} AS rms, {s6('quantile_cont(e, 0.99)')} AS p99, count_if(e >= 1)::BIGINT AS over FROM e GROUP BY clip_id",
-    "a17_verdict_rollup": f"{_SEC} SELECT clip_id, count_if(m < 2.3)::BIGINT AS better, count_if(m >= 2.3 AND m < 2.6)::BIGINT AS same, count_if(m >= 2.6)::BIGINT AS worse FROM s GROUP BY clip_id",
+    "a12_disagreement": f"""WITH {DUO}, e AS (SELECT clip_id, frame, abs(ix - x) AS e FROM duo WHERE ix IS NOT NULL), t AS (SELECT clip_id, {s6('sqrt(avg(e*e))')} AS rms, {s6('quantile_cont(e, 0.99)')} AS p99, count_if(e >= 1)::BIGINT AS over FROM e GROUP BY clip_id),
+        i AS (SELECT clip_id, frame, row_number() OVER (PARTITION BY clip_id ORDER BY frame) - 1 AS i FROM e WHERE e >= 1), f AS (SELECT clip_id, string_agg(frame::VARCHAR, ' ' ORDER BY frame) AS frames FROM i JOIN t USING (clip_id) WHERE i % greatest(over // 40, 1) = 0 GROUP BY clip_id)
+        SELECT * FROM t LEFT JOIN f USING (clip_id)""",
+    "a17_verdict_rollup": f"{_SEC} SELECT clip_id, count_if(m < 0.45)::BIGINT AS better, count_if(m >= 0.45 AND m < 0.55)::BIGINT AS same, count_if(m >= 0.55)::BIGINT AS worse, {s6('avg(m) FILTER (m < 0.45)')} AS mean_better, {s6('avg(m) FILTER (m >= 0.45 AND m < 0.55)')} AS mean_same, {s6('avg(m) FILTER (m >= 0.55)')} AS mean_worse, {s6('avg(m)')} AS mean, {s6('median(m)')} AS median FROM s GROUP BY clip_id",
     "a18_strength": f"""WITH {SIG}, v AS (SELECT event_id, round(greatest(10.0, least(100.0, 10 + 90 * (1 - exp(-0.65::DOUBLE * (sqrt(greatest(x / 0.5::DOUBLE, 1) * greatest((event_id % 13) / 5.0::DOUBLE, 1)) - 1))))), 6) AS strength FROM sig)
         SELECT *, CASE WHEN strength < 35 THEN 'weak' WHEN strength < 65 THEN 'medium' WHEN strength < 85 THEN 'strong' ELSE 'extreme' END AS level FROM v""",
     "a21_noise_model": f"""WITH {SIG}, s AS (SELECT clip_id, k, sum(x) OVER (PARTITION BY clip_id, k ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS v5, x, frame FROM sig, range(1, 2) t(k)),
         v AS ({' UNION ALL '.join(f"SELECT clip_id, {k} AS k, var_pop(v) AS var FROM (SELECT clip_id, sum(x) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS v FROM sig) GROUP BY clip_id" for k in (1, 2, 3, 4, 5))})
         SELECT clip_id, {s6('regr_slope(var, k)')} AS slope, {s6('regr_intercept(var, k)')} AS noise FROM v GROUP BY clip_id""",
-    "a22_rank_correlation": f"""{_SEC}, r AS (SELECT clip_id, rank() OVER (PARTITION BY clip_id ORDER BY busy) + (count(*) OVER (PARTITION BY clip_id, busy) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY clip_id ORDER BY m) + (count(*) OVER (PARTITION BY clip_id, m) - 1) / 2.0::DOUBLE AS b FROM s)
-        SELECT clip_id, {s6('corr(a, b)')} AS spearman FROM r GROUP BY clip_id""",
-    "a23_percentiles": f"{_SEC} SELECT clip_id, {s6('quantile_cont(m, 0.5)')} AS p50, {s6('quantile_cont(m, 0.9)')} AS p90, {s6('quantile_cont(m, 0.99)')} AS p99, {s6('max(m)')} AS top FROM s GROUP BY clip_id",
+    "a22_rank_correlation": f"""{_SEC}, r AS (SELECT clip_id, m, busy, rank() OVER (PARTITION BY clip_id ORDER BY busy) + (count(*) OVER (PARTITION BY clip_id, busy) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY clip_id ORDER BY m) + (count(*) OVER (PARTITION BY clip_id, m) - 1) / 2.0::DOUBLE AS b FROM s)
+        , q AS (SELECT clip_id, quantile_cont(m, 0.9) AS worst, quantile_cont(busy, 0.8) AS top FROM s GROUP BY clip_id)
+        SELECT clip_id, {s6('corr(a, b)')} AS spearman, {s6('count_if(m >= worst AND busy >= top) / count_if(m >= worst)::DOUBLE')} AS hit_rate FROM r JOIN q USING (clip_id) GROUP BY clip_id""",
+    "a23_percentiles": f"""{_SEC}, k AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY m DESC, second) AS k FROM s), w AS (SELECT clip_id, {s6('avg(m)')} AS worst_mean, string_agg(second::VARCHAR, ' ' ORDER BY k) AS worst FROM k WHERE k <= 10 GROUP BY clip_id),
+        p AS (SELECT clip_id, {s6('quantile_cont(m, 0.5)')} AS p50, {s6('quantile_cont(m, 0.9)')} AS p90, {s6('quantile_cont(m, 0.99)')} AS p99, {s6('max(m)')} AS top FROM s GROUP BY clip_id) SELECT * FROM p JOIN w USING (clip_id)""",
     "a24_event_counts": "SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id",
     "a19_grouped_means": f"WITH e AS (SELECT event_type, user_id % 5 AS camera, value, event_id % 10 + 1 AS minutes FROM events) SELECT coalesce(event_type, 'all') AS event_type, coalesce(camera, -1)::BIGINT AS camera, {s6('sum(value * minutes) / sum(minutes)')} AS mean FROM e GROUP BY GROUPING SETS ((event_type), (camera), ())",
 }
