@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, filtering, greedy, repairs, rotations, series
+from . import events, filtering, greedy, recordings, repairs, rotations, series
 
-MODULES = [series, events, repairs, rotations, filtering, greedy]
+MODULES = [series, events, repairs, rotations, filtering, greedy, recordings]
 FLAGSHIP = "flagship_unconfirmed_jumps"
 
 

@@ -47,7 +47,7 @@ def _table(data: bytes, at: int, head: int, width: int, lead: int = 4) -> list[t
 
 
 def tracks(data: bytes) -> list[dict]:
-    """For each track its time scale, handler, and the rows of its sample tables.
+    """For each track its number, formats, time scale, handler, and the rows of its sample tables.
 
     chunks: (number, offset); runs: (first chunk, samples a chunk); times: (count, step); sizes: one a sample.
     """
@@ -55,9 +55,17 @@ def tracks(data: bytes) -> list[dict]:
     for path, at, size, head in boxes(data):
         kind = path.rsplit("/", 1)[1]
         if kind == "trak":
-            out.append({"scale": None, "handler": None, "chunks": [], "runs": [], "times": [], "sizes": []})
+            out.append({"id": None, "formats": [], "scale": None, "handler": None, "chunks": [], "runs": [], "times": [], "sizes": []})
         elif not out:
             continue
+        elif kind == "tkhd":
+            out[-1]["id"] = struct.unpack_from(">I", data, at + head + (20 if data[at + head] == 1 else 12))[0]
+        elif kind == "stsd":
+            (count,), entry = struct.unpack_from(">I", data, at + head + 4), at + head + 8
+            for _ in range(count):
+                length, name = struct.unpack_from(">I4s", data, entry)
+                out[-1]["formats"].append(name.decode("latin-1"))
+                entry += length
         elif kind == "mdhd":
             out[-1]["scale"] = struct.unpack_from(">I", data, at + head + (20 if data[at + head] == 1 else 12))[0]
         elif kind == "hdlr" and out[-1]["handler"] is None:
@@ -78,29 +86,45 @@ def tracks(data: bytes) -> list[dict]:
     return out
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path and content of the files under path. Spark reads files of up to 2 GB so, each as one row."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """file, box (its path of names), offset, size and header of each box of the files under path."""
+    """boxes_of() of the files under path."""
+    return boxes_of(files(spark, path))
+
+
+def boxes_of(contents: DataFrame, bodies: tuple[str, ...] = ()) -> DataFrame:
+    """file, box (its path of names), offset, size, header, and body if the box is one of bodies, of each box.
+
+    contents: path and content, one row a file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = [(file, *x) for x in boxes(content.as_py())]
+                data = content.as_py()
+                rows = [(file, name, at, size, head, data[at + head : at + size] if name in bodies else None) for name, at, size, head in boxes(data)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["file", "box", "offset", "size", "header"])
+                    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["file", "box", "offset", "size", "header", "body"])
 
-    return _files(spark, path).mapInArrow(run, "file string, box string, offset long, size long, header long")
+    return contents.select("path", "content").mapInArrow(run, "file string, box string, offset long, size long, header long, body binary")
 
 
 _PAIRS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """file, track, scale, handler and the sample tables (arrays of pairs a, b; sizes) of each track."""
-    fields = pa.schema([("file", pa.string()), ("track", pa.int32()), ("scale", pa.int64()), ("handler", pa.string()), ("chunks", _PAIRS), ("runs", _PAIRS), ("times", _PAIRS), ("sizes", pa.list_(pa.int64()))])
+    """tracks_of() of the files under path."""
+    return tracks_of(files(spark, path))
+
+
+def tracks_of(contents: DataFrame) -> DataFrame:
+    """file, track, id, formats, scale, handler and the sample tables (arrays of pairs a, b; sizes) of each track."""
+    fields = pa.schema([("file", pa.string()), ("track", pa.int32()), ("id", pa.int64()), ("formats", pa.list_(pa.string())), ("scale", pa.int64()), ("handler", pa.string()), ("chunks", _PAIRS), ("runs", _PAIRS), ("times", _PAIRS), ("sizes", pa.list_(pa.int64()))])
     pairs = "array<struct<a: long, b: long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +134,7 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
-    return _files(spark, path).mapInArrow(run, f"file string, track int, scale long, handler string, chunks {pairs}, runs {pairs}, times {pairs}, sizes array<long>")
+    return contents.select("path", "content").mapInArrow(run, f"file string, track int, id long, formats array<string>, scale long, handler string, chunks {pairs}, runs {pairs}, times {pairs}, sizes array<long>")
 
 
 def sample_offsets(found: DataFrame) -> DataFrame:
@@ -135,3 +159,32 @@ def sample_times(found: DataFrame) -> DataFrame:
     by = Window.partitionBy(*key).orderBy("i", "k")
     ticks = F.coalesce(F.sum("step").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return each.select(*key, (F.row_number().over(by) - 1).cast("long").alias("sample"), (ticks / F.col("scale")).alias("t"))
+
+
+def packets_of(contents: DataFrame, form: str) -> DataFrame:
+    """file, sample, t (seconds; null beyond the table of times), offset and payload of each packet of the first track of
+    a format in each file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = content.as_py()
+                track = next((t for t in tracks(data) if t["formats"][:1] == [form]), None)
+                rows = [(file, i, None if ticks is None else ticks / track["scale"], at, data[at : at + size]) for i, (ticks, at, size) in enumerate(_packets(track))] if track else []
+                if rows:
+                    types = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["file", "sample", "t", "offset", "payload"])
+
+    return contents.select("path", "content").mapInArrow(run, "file string, sample long, t double, offset long, payload binary")
+
+
+def _packets(track: dict) -> Iterator[tuple[int | None, int, int]]:
+    """(ticks, offset, size) of each sample of a track, as sample_offsets() and sample_times() tell for many."""
+    steps = (step for count, step in track["times"] for _ in range(count))
+    ticks, sample, runs, per = 0, 0, dict(track["runs"]), 0
+    for chunk, at in track["chunks"]:
+        per = runs.get(chunk, per)
+        for size in track["sizes"][sample : sample + per]:
+            step = next(steps, None)
+            yield (ticks if step is not None else None), at, size
+            ticks, at, sample = ticks + (step or 0), at + size, sample + 1
