@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import quaternion as Q
 from ..operators import corrections as C
-from ..operators import gates as G
 from ..operators import islands as I
-from ..operators import windows as W
-from .series import _FILL, _MED, _SEC, K, _padded, _runs, _seconds, _w
-from .views import DUO, QUAT, SIG, duo, flat, q_mul, quat, r6, s6, sflat, sig, table
+from .rotations import _EULER
+from .series import _FILL, K, _runs
+from .views import DUO, QUAT, SIG, duo, flat, q_mul, quat, r6, s6, sig
 
 PER_FRAME = 5
 
@@ -25,7 +24,7 @@ def i25_bursts(spark, sf_dir):
 
 def i14_controls(spark, sf_dir):
     """Two stretches of 60 frames without a high value within five frames, at starts every ten frames, far apart."""
-    busy = I.islands(sig(spark, sf_dir).where("x >= 0.99"), K, "frame", 0).select("clip_id", (F.col("first") - 5).alias("a"), (F.col("last") + 5).alias("b"))
+    busy = I.islands(sig(spark, sf_dir).where("x >= 2.5"), K, "frame", 0).select("clip_id", (F.col("first") - 5).alias("a"), (F.col("last") + 5).alias("b"))
     return C.control_segments(sig(spark, sf_dir), busy, K, "frame", length=60, step=10, edge=50, count=2)
 
 
@@ -84,10 +83,10 @@ def k14_local_edit(spark, sf_dir):
 def k16_runs_compared(spark, sf_dir):
     """Two runs of a detector: root mean squares, how many events each has, and those that are gone and new."""
     s = sig(spark, sf_dir)
-    a, b = (I.islands(s.where(f"x >= {least}"), K, "frame", gap).select("clip_id", "first", "last") for least, gap in ((0.95, 1), (0.94, 1)))
+    a, b = (I.islands(s.where(f"x >= {least}"), K, "frame", gap).select("clip_id", "first", "last") for least, gap in ((1.6, 1), (1.5, 1)))
     met = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), ["clip_id", "first", "last"], "full")
     events = met.groupBy("clip_id").agg(F.count("a").alias("n_before"), F.count("b").alias("n_after"), F.count_if(F.col("b").isNull()).alias("gone"), F.count_if(F.col("a").isNull()).alias("new"))
-    rms = s.groupBy("clip_id").agg(*(r6(F.sqrt(F.avg(F.when(F.col("x") >= least, F.col("x") * F.col("x")).otherwise(0.0)))).alias(n) for n, least in (("rms_before", 0.95), ("rms_after", 0.94))))
+    rms = s.groupBy("clip_id").agg(*(r6(F.sqrt(F.avg(F.when(F.col("x") >= least, F.col("x") * F.col("x")).otherwise(0.0)))).alias(n) for n, least in (("rms_before", 1.6), ("rms_after", 1.5))))
     return events.join(rms, "clip_id").withColumn("unchanged", (F.col("gone") == 0) & (F.col("new") == 0) & (F.abs(F.col("rms_before") - F.col("rms_after")) < 1e-9))
 
 
@@ -114,14 +113,63 @@ def s17_edits(spark, sf_dir):
 
 
 def c14_euler_bridge(spark, sf_dir):
-    """Inside each stretch of 16 samples two angles leave their course for a smooth bridge between its ends, faded in and out."""
+    """Inside each stretch of 20 samples two angles leave their course for a smooth bridge between its ends, faded in and out."""
     e = quat(spark, sf_dir).select("clip_id", "vec_id", "t", Q.euler(F.col("q")).alias("e"))
     w = Window.partitionBy("clip_id").orderBy("vec_id")
     e = e.select("clip_id", "t", (F.row_number().over(w) - 1).alias("k"), "vec_id", *(F.col(f"e.{n}").alias(n) for n in ("yaw", "pitch", "roll")))
     d = e.withColumn("span", F.floor(F.col("k") / 20))
-    found = C.bridged(d, ["clip_id", "span"], "t", ["yaw", "roll"], fade=3000.0)
+    found = C.bridged(d, ["clip_id", "span"], "t", ["yaw", "roll"], fade=30000.0)
     return found.select("vec_id", *(F.round(n, 8).alias(n) for n in ("yaw", "pitch", "roll")))
 
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+def _run_sql(name: str, source: str, gap: int) -> str:
+    """_runs() under names of its own."""
+    return _runs(source, gap).replace("n AS (SELECT *", f"{name}n AS (SELECT *").replace("r AS (SELECT clip_id, run", f"{name} AS (SELECT clip_id, run").replace("FROM n GROUP BY ALL", f"FROM {name}n GROUP BY ALL")
+
+
+_FILLS = ", ".join(_FILL.replace("ix", k).replace("g AS", f"g{k} AS").replace("FROM g)", f"FROM g{k})").replace("full_", f"full{k}") for k in ("ix", "iy", "iz"))
+_DERAMP = """h AS (SELECT *, row_number() OVER (PARTITION BY clip_id, run ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY clip_id, run) - 1 AS n FROM m),
+    t AS (SELECT clip_id, run, frame, i, n, sum(v * CASE WHEN n > 0 THEN 0.5 - 0.5 * cos(2 * pi() * i / n) ELSE 1 END) OVER (PARTITION BY clip_id, run ORDER BY frame) AS s FROM h),
+    th AS (SELECT clip_id, frame, s - CASE WHEN n > 0 THEN last_value(s) OVER (PARTITION BY clip_id, run ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * i / n ELSE 0 END AS v FROM t)"""
+_Q4 = "struct_pack(w := {}, x := {}, y := {}, z := {})".format
+_HALF = lambda k: f"radians((vec_id % {k} - {k} / 2.0::DOUBLE)) / 2"
+_ZERO = "0.0::DOUBLE"
+_SMOOTH = lambda u: f"((least(1, greatest(0, {u})) ** 3) * (least(1, greatest(0, {u})) * (least(1, greatest(0, {u})) * 6 - 15) + 10))"
+_NEAR = lambda v, a: f"({a} + (((({v}) - ({a}) + 180) % 360) + 360) % 360 - 180)"
+
+
+def _bridge_sql(n: str) -> str:
+    v, b = _NEAR(n, f"a_{n}"), _NEAR(f"b_{n}", f"a_{n}")
+    return f"round(CASE WHEN inner_ > 0 THEN {v} + {_SMOOTH('inner_ / 30000')} * (a_{n} + {_SMOOTH('(t - t0) / (t1 - t0)')} * ({b} - a_{n}) - {v}) ELSE {n} END, 8) AS {n}"
+
+
+ORACLE = {
+    "i25_bursts": f"""WITH {DUO}, f AS (SELECT * FROM duo WHERE abs(ix - x) > 0.4 AND rate < 200), {_runs('f', 4)}, e AS (SELECT clip_id, min(frame) AS lo, max(frame) AS hi FROM duo GROUP BY clip_id), sp AS (SELECT clip_id, run, greatest(first - 8, lo) AS a, least(last + 8, hi) AS b FROM r JOIN e USING (clip_id)),
+        m AS (SELECT d.clip_id, run, frame, coalesce(ix - x, 0) / (1 + (rate / 40) ** 2) AS v FROM duo d JOIN sp ON sp.clip_id = d.clip_id AND frame BETWEEN a AND b), {_DERAMP} SELECT clip_id, frame, round(sum(v), 10) AS angle FROM th GROUP BY ALL""",
+    "i14_controls": f"""WITH {SIG}, f AS (SELECT * FROM sig WHERE x >= 2.5), e AS (SELECT clip_id, max(frame) AS hi FROM sig GROUP BY clip_id), st AS (SELECT clip_id, unnest(range(50, hi - 109, 10))::INTEGER AS start FROM e WHERE hi - 110 >= 50),
+        free AS (SELECT * FROM st WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.clip_id = st.clip_id AND st.start BETWEEN f.frame - 64 AND f.frame + 5)), p AS (SELECT clip_id, min(start) AS a, max(start) AS b FROM free GROUP BY clip_id),
+        s AS (SELECT clip_id, a AS start FROM p UNION ALL SELECT clip_id, b FROM p WHERE b - a >= 60) SELECT clip_id, start, start + 60 AS "end" FROM s""",
+    "a20_bootstrap": f"""WITH {DUO}, d AS (SELECT clip_id, frame // 100 AS block, sum(round(x * x, 8)) AS a, sum(round(ix * ix, 8)) AS b FROM duo WHERE ix IS NOT NULL GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY clip_id) AS n, row_number() OVER (PARTITION BY clip_id ORDER BY block) - 1 AS j FROM d),
+        w AS (SELECT n.clip_id, r, ('0x' || substr(md5(r || '-' || j), 1, 8))::BIGINT % n AS at FROM n, range(0, 2000) t(r)), v AS (SELECT w.clip_id, r, sqrt(sum(b) / greatest(sum(a), 1e-12)) AS v FROM w JOIN n ON n.clip_id = w.clip_id AND n.j = w.at GROUP BY ALL),
+        i AS (SELECT clip_id, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM v GROUP BY clip_id), q AS (SELECT clip_id, sqrt(sum(b) / greatest(sum(a), 1e-12)) AS ratio FROM d GROUP BY clip_id)
+        SELECT clip_id, {s6('ratio')} AS ratio, {s6('lo')} AS low, {s6('hi')} AS high, CASE WHEN hi < 0.97 THEN '+' WHEN lo > 1.03 THEN '-' ELSE ' ' END AS mark FROM q JOIN i USING (clip_id)""",
+    "m11_confidence": f"WITH {DUO} SELECT event_id, event_id % 450 AS support, {s6('CASE WHEN ix IS NOT NULL THEN least(event_id % 450 / 300.0::DOUBLE, 1) ELSE 0 END')} AS confidence FROM duo",
+    "m13_channels": f"""WITH {DUO} SELECT clip_id, frame, ['pair', 'normal', 'raw'][length(clip_id) % 3 + 1] AS source, {s6('CASE WHEN length(clip_id) % 3 = 0 THEN -ix END')} AS x, {s6('CASE WHEN length(clip_id) % 3 = 0 THEN iy END')} AS y,
+        {s6('CASE length(clip_id) % 3 WHEN 0 THEN iz WHEN 1 THEN ix * 2 ELSE x END')} AS roll FROM (SELECT clip_id, frame, x, ix, iy, iz FROM duo)""",
+    "r04_vectors": f"WITH {DUO}, {_FILLS} SELECT clip_id, frame, {s6('a.v')} AS ix, {s6('b.v')} AS iy, {s6('c.v')} AS iz FROM fullix a JOIN fulliy b USING (clip_id, frame) JOIN fulliz c USING (clip_id, frame)",
+    "k07_trim_verify": f"WITH {SIG} SELECT clip_id, count_if(event_id % 211 <> 0)::BIGINT AS n, count_if(event_id % 211 = 0)::BIGINT AS missing, 0::BIGINT AS extra, count_if(event_id % 307 = 0 AND event_id % 211 <> 0)::BIGINT AS differ, -5000 AS shift FROM sig WHERE frame >= 300 GROUP BY clip_id",
+    "k14_local_edit": "SELECT label AS clip_id, count(*) AS n, count_if(vec_id % 37 = 3 OR (vec_id % 101 = 0 AND vec_id % 37 >= 4))::BIGINT AS outside, count_if(vec_id % 37 < 3)::BIGINT AS inside, count_if(vec_id % 101 = 0 AND vec_id % 37 >= 4)::BIGINT AS broken FROM embeddings GROUP BY label",
+    "k16_runs_compared": f"""WITH {SIG}, f1 AS (SELECT * FROM sig WHERE x >= 1.6), f2 AS (SELECT * FROM sig WHERE x >= 1.5), {_run_sql('r1', 'f1', 1)}, {_run_sql('r2', 'f2', 1)}, m AS (SELECT coalesce(r1.clip_id, r2.clip_id) AS clip_id, r1.run AS a, r2.run AS b FROM r1 FULL JOIN r2 ON r1.clip_id = r2.clip_id AND r1.first = r2.first AND r1.last = r2.last),
+        c AS (SELECT clip_id, count(a) AS n_before, count(b) AS n_after, count_if(b IS NULL)::BIGINT AS gone, count_if(a IS NULL)::BIGINT AS new FROM m GROUP BY clip_id), q AS (SELECT clip_id, {s6('sqrt(avg(CASE WHEN x >= 1.6 THEN x * x ELSE 0 END))')} AS rms_before, {s6('sqrt(avg(CASE WHEN x >= 1.5 THEN x * x ELSE 0 END))')} AS rms_after FROM sig GROUP BY clip_id)
+        SELECT *, gone = 0 AND new = 0 AND abs(rms_before - rms_after) < 1e-9 AS unchanged FROM c JOIN q USING (clip_id)""",
+    "k17_cache_validity": f"""WITH {DUO}, e AS (SELECT *, max(frame) OVER (PARTITION BY clip_id) AS hi FROM duo) SELECT clip_id, count(*) > 100 AS long_enough, bool_or(ix IS NOT NULL AND frame > hi - greatest(10, hi // 20)) AS complete, length(clip_id) <> 5 AS same_file, (length(clip_id) % 4 = 0) = (length(clip_id) % 2 = 0) AS same_lens FROM e GROUP BY clip_id""",
+    "s17_edits": f"""WITH {QUAT}, c AS (SELECT *, vec_id % 4 AS kind, vec_id % 3 = 0 AS inv, {_Q4(f'cos({_HALF(90)})', _ZERO, _ZERO, f'sin({_HALF(90)})')} AS yaw, {_Q4(f'cos({_HALF(60)})', _ZERO, f'sin({_HALF(60)})', _ZERO)} AS pitch, {_Q4(f'cos({_HALF(40)})', f'sin({_HALF(40)})', _ZERO, _ZERO)} AS roll,
+        {_Q4('0.5::DOUBLE', '0.5::DOUBLE', '0.5::DOUBLE', '-0.5::DOUBLE')} AS di, {_Q4(_ZERO, _ZERO, '-1.0::DOUBLE', _ZERO)} AS fi FROM quat), c1 AS (SELECT *, {q_mul('pitch', 'roll')} AS pr FROM c), c2 AS (SELECT *, {q_mul('yaw', 'pr')} AS ypr FROM c1), c3 AS (SELECT *, {q_mul('fi', 'ypr')} AS g FROM c2), c4 AS (SELECT *, {q_mul('g', 'di')} AS a FROM c3),
+        r AS (SELECT vec_id, kind < 3 AS edited, CASE WHEN kind = 2 THEN a ELSE struct_pack(w := w, x := x, y := y, z := z) END AS q, CASE WHEN kind IN (1, 2) AND inv THEN -1 ELSE 1 END AS sign FROM c4)
+        SELECT vec_id, edited, {', '.join(f'{s6(f"q.{k} * sign")} AS q{k}' for k in 'wxyz')} FROM r""",
+    "c14_euler_bridge": f"""WITH {QUAT}, e AS (SELECT clip_id, vec_id, t, (row_number() OVER (PARTITION BY clip_id ORDER BY vec_id) - 1) // 20 AS span, {_EULER[0]} AS yaw, {_EULER[1]} AS pitch, {_EULER[2]} AS roll FROM quat),
+        b AS (SELECT *, {', '.join(f'first_value({c}) OVER w AS a_{c}, last_value({c}) OVER w AS b_{c}' for c in ('yaw', 'roll'))}, first_value(t) OVER w AS t0, last_value(t) OVER w AS t1 FROM e WINDOW w AS (PARTITION BY clip_id, span ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        c AS (SELECT *, least(t - t0, t1 - t) AS inner_ FROM b) SELECT vec_id, {_bridge_sql('yaw')}, round(pitch, 8) AS pitch, {_bridge_sql('roll')} FROM c""",
+}
+
+QUERIES = {name: globals()[name] for name in ORACLE}
