@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quaternion as Q
 from . import gates as G
 from . import islands as I
-from .windows import filled
+from .windows import edge_padded, filled, framed
 
 #: Frames that a membership join looks at together.
 STRETCH = 64
@@ -127,3 +127,109 @@ def bridged(df: DataFrame, keys: list[str], at: str, angles: list[str], fade: fl
         return F.when(inner > 0, v + weight * (a + blend * (b - a) - v)).otherwise(F.col(n)).alias(n)
 
     return d.select(*(one(c) if c in angles else F.col(c) for c in df.columns))
+
+
+def details(df: DataFrame, keys: list[str], order: str, values: list[str], size: int, good: Column | None = None) -> DataFrame:
+    """df with each value less the running median of `size` rows around it, of the values with gaps filled; null where the
+    value is, or where good is not true."""
+    use = F.lit(True) if good is None else good
+    df = df.select("*", *(F.when(use, F.col(v)).alias(f"_r_{v}") for v in values))
+    full = df.select(*keys, order, *(F.coalesce(filled(f"_r_{v}", keys, order), F.lit(0.0)).alias(f"_f_{v}") for v in values))
+    half = size // 2
+    padded = edge_padded(full, keys, order, half, [f"_f_{v}" for v in values])
+    middle = {f"_m_{v}": (lambda rows, _, v=v: F.percentile(f"_f_{v}", F.lit(0.5)).over(rows)) for v in values}
+    base = framed(padded, keys, order, half, half, middle).where("_real").select(*keys, order, *(f"_m_{v}" for v in values))
+    met = df.join(base, [*keys, order])
+    own = {v: (F.col(f"_r_{v}") - F.col(f"_m_{v}")).alias(v) for v in values}
+    return met.select(*(own.get(c, F.col(c)) for c in df.columns if not c.startswith("_r_")))
+
+
+def _norm(columns: list[Column]) -> Column:
+    return F.sqrt(sum((F.coalesce(c, F.lit(0.0)) * F.coalesce(c, F.lit(0.0)) for c in columns), F.lit(0.0)))
+
+
+def window_disagreement(df: DataFrame, keys: list[str], order: str, told: list[str], first: list[str], second: list[str], usable: Column, size: int, estimator: str = "mean") -> DataFrame:
+    """keys, order, d_<axis> and reliable: how far two estimates of a motion together leave what was told of it.
+
+    Each estimate's difference loses its slow part, a running median of size rows. The row is reliable if the two
+    agree: they point the same way, and differ by at most 0.6 of the longer plus 0.3. The result is their
+    mean, or the one that is longer (max) or shorter (min); null where a row is not usable.
+    """
+    if estimator not in ("mean", "max", "min"):
+        raise ValueError("the estimator is mean, max or min")
+    gaps = {f"{n}_{a}": F.col(e) - F.col(a) for n, es in (("_a", first), ("_b", second)) for e, a in zip(es, told)}
+    ok = usable
+    for e in (*first, *second):
+        ok = ok & F.col(e).isNotNull()
+    d = df.select(*keys, order, F.coalesce(ok, F.lit(False)).alias("_ok"), *(c.alias(n) for n, c in gaps.items()))
+    d = details(d, keys, order, list(gaps), size, F.col("_ok"))
+    a, b = ([F.col(f"{n}_{x}") for x in told] for n in ("_a", "_b"))
+    na, nb, apart = _norm(a), _norm(b), _norm([x - y for x, y in zip(a, b)])
+    same = sum((x * y for x, y in zip(a, b)), F.lit(0.0)) > 0
+    reliable = F.col("_ok") & same & (apart <= 0.6 * F.greatest(na, nb) + 0.3)
+    pick = {"mean": lambda x, y: (x + y) / 2, "max": lambda x, y: F.when(na >= nb, x).otherwise(y), "min": lambda x, y: F.when(na <= nb, x).otherwise(y)}[estimator]
+    return d.select(*keys, order, *(pick(x, y).alias(f"d_{n}") for x, y, n in zip(a, b, told)), F.coalesce(reliable, F.lit(False)).alias("reliable"))
+
+
+def event_windows(df: DataFrame, keys: list[str], order: str, least: int, merge: int, margin: int) -> DataFrame:
+    """keys, run, a, b, first, last: the windows of events. df: rows with selected, spike and size (how large each is).
+
+    Selected rows with at most two others between them are one event, if there are `least` of them or a spike is
+    among them; events with fewer than `merge` rows between them are one, and all get a margin.
+    """
+    runs = I.islands(df.where("selected"), keys, order, 2, F.max("spike").alias("spike")).where((F.col("n") >= least) | F.col("spike"))
+    joined = I.merged(runs, keys, merge - 1)
+    numbered = joined.withColumn("run", F.row_number().over(Window.partitionBy(*keys).orderBy("first")) - 1)
+    return spans(numbered, df, keys, order, margin).join(numbered.select(*keys, "run", "first", "last"), [*keys, "run"])
+
+
+def event_correction(df: DataFrame, keys: list[str], order: str, gaps: list[str], told: list[str], reliable: str, rate: str, least: float, size: int, ratio: float = 0.5, rate_max: float = 150.0, min_rows: int = 2, merge: int = 6, margin: int = 3, model: str = "image", context: int = 10, gain: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(corrections, events) of stretches where what was told of a motion and what was seen of it disagree.
+
+    gaps: seen less told, of the axes in told, without the axis that is not to be touched. A row is selected if it is
+    reliable, slower than rate_max, and its disagreement, less its slow part, is at least `least` and ratio
+    times the motion itself; spikes (columns spike and contaminated of df) are selected too.
+    image: the disagreement of each window under a taper, without its mean, so that nothing turns for good; rows that a
+    spike contaminates, and spikes, add nothing, and a window with spikes keeps its mean over the other rows.
+    bridge: what was told becomes a straight line between the means of `context` rows before and after the window.
+    corrections: keys, order and c_<axis>, summed over windows; events: keys, run, a, b, peak, mean_rate, spike.
+    """
+    if model not in ("image", "bridge"):
+        raise ValueError("the model is image or bridge")
+    d = details(df, keys, order, gaps, size)
+    length, moved = _norm([F.col(g) for g in gaps]), _norm([F.col(a) for a in told])
+    d = d.withColumn("size", length)
+    known = F.lit(True)
+    for g in gaps:
+        known = known & F.col(g).isNotNull()
+    chosen = F.col(reliable) & known & (F.col("size") >= least) & (F.col(rate) < rate_max) & (F.col("size") >= ratio * moved)
+    d = d.withColumn("selected", F.coalesce(chosen, F.lit(False)) | F.col("spike"))
+    windows = event_windows(d, keys, order, min_rows, merge, margin)
+    reach = context if model == "bridge" else 0
+    wide = windows.select("*", (F.col("a") - reach).alias("_lo"), (F.col("b") + reach).alias("_hi"))
+    met = G.within(d, wide, keys, order, "_lo", "_hi", STRETCH)
+    inside = F.col(order).between(F.col("a"), F.col("b"))
+    rows = F.col("b") - F.col("a") + 1
+    edge = F.least(F.lit(3), F.floor(rows / 2))
+    soft = G.taper(F.col(order) - F.col("a"), rows, edge)
+    one = Window.partitionBy(*keys, "run")
+    if model == "image":
+        quiet = F.col("spike") | F.col("contaminated")
+        part = {g: F.when(quiet, 0.0).otherwise(F.coalesce(F.col(g), F.lit(0.0))) * soft * gain for g in gaps}
+        met = met.select("*", *(v.alias(f"_s_{g}") for g, v in part.items()))
+        # of a window's rows those that are no spikes share the mean that goes; without spikes these are all
+        shared = [(F.col(f"_s_{g}") - F.when(F.col("spike"), 0.0).otherwise(F.avg(F.when(~F.col("spike"), F.col(f"_s_{g}"))).over(one))) for g in gaps]
+    else:
+        ends = []
+        for a in told:
+            before, after = (F.avg(F.when(side, F.col(a))).over(one) for side in (F.col(order) < F.col("a"), F.col(order) > F.col("b")))
+            at_a, at_b = (F.max(F.when(F.col(order) == F.col(x), F.col(a))).over(one) for x in ("a", "b"))
+            ends += [F.coalesce(before, at_a).alias(f"_u_{a}"), F.coalesce(after, at_b).alias(f"_v_{a}")]
+        met = met.select("*", *ends)
+        u = F.when(rows > 1, (F.col(order) - F.col("a")) / (rows - 1)).otherwise(0.0)
+        shared = [(F.col(f"_u_{a}") + (F.col(f"_v_{a}") - F.col(f"_u_{a}")) * u - F.col(a)) * soft * gain for a in told]
+    part = met.select(*keys, order, inside.alias("_in"), *(c.alias(f"c_{a}") for c, a in zip(shared, told))).where("_in")
+    corrections = part.groupBy(*keys, order).agg(*(F.sum(f"c_{a}").alias(f"c_{a}") for a in told))
+    own = F.col(order).between(F.col("first"), F.col("last"))
+    events = met.where(inside).groupBy(*keys, "run", "a", "b").agg(F.max(F.when(own, F.col("size"))).alias("peak"), F.avg(F.when(own, F.col(rate))).alias("mean_rate"), F.max("spike").alias("spike"))
+    return corrections, events

@@ -26,7 +26,7 @@ def cosine_gate(at: Column, first: Column, last: Column, fade: float) -> Column:
     return F.when(phase > 0, 0.5 - 0.5 * F.cos(F.pi() * phase)).otherwise(0.0)
 
 
-def taper(place: Column, size: Column, edge: int) -> Column:
+def taper(place: Column, size: Column, edge: int | Column) -> Column:
     """Of a row's place from 0 in a span of size rows: a cosine over `edge` rows at both ends."""
     step = F.least(place + 1, size - place)
     return F.when(step > edge, 1.0).otherwise(0.5 - 0.5 * F.cos(F.pi() * step / (edge + 1)))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import quaternion as Q
 from ..operators import corrections as C
 from ..operators import islands as I
+from ..operators import spikes
 from .rotations import _EULER
-from .series import _FILL, K, _runs
+from .series import _FILL, _MED, _SPIKES, K, _padded, _runs
 from .views import DUO, QUAT, SIG, duo, flat, q_mul, quat, r6, s6, sig
 
 PER_FRAME = 5
@@ -122,6 +123,40 @@ def c14_euler_bridge(spark, sf_dir):
     return found.select("vec_id", *(F.round(n, 8).alias(n) for n in ("yaw", "pitch", "roll")))
 
 
+def _events(spark, sf_dir, model: str):
+    d = spikes.unconfirmed(duo(spark, sf_dir), K, "frame", ["x", "y"], ["ix", "iy"], "rate")
+    d = d.select("clip_id", "frame", "x", "y", "rate", "spike", "contaminated", (F.col("ix") - F.col("x")).alias("gx"), (F.col("iy") - F.col("y")).alias("gy"), (F.col("event_id") % 5 != 0).alias("reliable"))
+    return C.event_correction(d, K, "frame", ["gx", "gy"], ["x", "y"], "reliable", "rate", 0.2, 51, ratio=0.1, rate_max=300.0, model=model)
+
+
+def i07_event_correction(spark, sf_dir):
+    found, _ = _events(spark, sf_dir, "image")
+    return found.select("clip_id", "frame", F.round("c_x", 10).alias("cx"), F.round("c_y", 10).alias("cy"))
+
+
+def i07_events(spark, sf_dir):
+    _, events = _events(spark, sf_dir, "image")
+    return events.select("clip_id", "a", "b", r6(F.col("peak")).alias("peak"), r6(F.col("mean_rate")).alias("mean_rate"), "spike")
+
+
+def i07_bridges(spark, sf_dir):
+    found, _ = _events(spark, sf_dir, "bridge")
+    return found.select("clip_id", "frame", F.round("c_x", 10).alias("cx"), F.round("c_y", 10).alias("cy"))
+
+
+def i09_window_disagreement(spark, sf_dir):
+    """Two estimates of the motion against what the sensor told, by each of the three ways to join them."""
+    d = duo(spark, sf_dir)
+    wobble = (F.col("event_id") % 7 - 3) / F.lit(40.0)
+    d = d.select("clip_id", "frame", "event_id", "x", "y", F.col("ix").alias("ax"), F.col("iy").alias("ay"), (F.col("ix") * 1.05 + wobble).alias("bx"), (F.col("iy") * 0.95 - wobble).alias("by"))
+    usable = F.col("event_id") % 450 >= 30
+    found = [C.window_disagreement(d, K, "frame", ["x", "y"], ["ax", "ay"], ["bx", "by"], usable, 51, e) for e in ("mean", "max", "min")]
+    told = found[0].select("clip_id", "frame", "reliable", F.round("d_x", 10).alias("mean_x"), F.round("d_y", 10).alias("mean_y"))
+    for name, f in zip(("max", "min"), found[1:]):
+        told = told.join(f.select("clip_id", "frame", F.round("d_x", 10).alias(f"{name}_x"), F.round("d_y", 10).alias(f"{name}_y")), ["clip_id", "frame"])
+    return told
+
+
 def _run_sql(name: str, source: str, gap: int) -> str:
     """_runs() under names of its own."""
     return _runs(source, gap).replace("n AS (SELECT *", f"{name}n AS (SELECT *").replace("r AS (SELECT clip_id, run", f"{name} AS (SELECT clip_id, run").replace("FROM n GROUP BY ALL", f"FROM {name}n GROUP BY ALL")
@@ -143,6 +178,31 @@ def _bridge_sql(n: str) -> str:
     return f"round(CASE WHEN inner_ > 0 THEN {v} + {_SMOOTH('inner_ / 30000')} * (a_{n} + {_SMOOTH('(t - t0) / (t1 - t0)')} * ({b} - a_{n}) - {v}) ELSE {n} END, 8) AS {n}"
 
 
+def _detail_sql(name: str, source: str, value: str, half: int = 25) -> str:
+    """A value of source (null where unknown) less its running median, as table name (clip_id, frame, v, null where unknown)."""
+    fill = _FILL.replace("g AS (", f"{name}g AS (").replace("FROM g)", f"FROM {name}g)").replace("full_", f"{name}f").replace("ix", value).replace("FROM duo", f"FROM {source}")
+    pad = _padded(f"{name}f", "v", half).replace("pad AS", f"{name}p AS")
+    return f"{fill}, {pad}, {name}m AS (SELECT *, {_MED('v', half, half)} AS m FROM {name}p), {name} AS (SELECT f.clip_id, f.frame, CASE WHEN f.{value} IS NOT NULL THEN f.v - m END AS v FROM {name}f f JOIN {name}m m USING (clip_id, frame) WHERE m.own)"
+
+
+_GAPS = f"""{_SPIKES}, gp AS (SELECT clip_id, frame, ix - x AS dx, iy - y AS dy FROM nr), {_detail_sql('ex', 'gp', 'dx')}, {_detail_sql('ey', 'gp', 'dy')},
+    q AS (SELECT n.clip_id, n.frame, n.x, n.y, rate, spike, contaminated, event_id % 5 <> 0 AS reliable, ex.v AS ex, ey.v AS ey, sqrt(coalesce(ex.v, 0) ** 2 + coalesce(ey.v, 0) ** 2) AS size FROM nr n JOIN ex USING (clip_id, frame) JOIN ey USING (clip_id, frame)),
+    f AS (SELECT * FROM q WHERE spike OR (reliable AND ex IS NOT NULL AND ey IS NOT NULL AND size >= 0.2 AND rate < 300 AND size >= 0.1 * sqrt(x * x + y * y))), {_runs('f', 2, ', bool_or(spike) AS sp')},
+    k AS (SELECT clip_id, first, last, sum(CASE WHEN first - pe - 1 > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY first) AS k FROM (SELECT *, max(last) OVER (PARTITION BY clip_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM r WHERE n >= 2 OR sp)),
+    ends AS (SELECT clip_id, min(frame) AS lo, max(frame) AS hi FROM q GROUP BY clip_id), ev AS (SELECT clip_id, k AS run, min(first) AS first, max(last) AS last FROM k GROUP BY ALL), w AS (SELECT ev.*, greatest(first - 3, lo) AS a, least(last + 3, hi) AS b FROM ev JOIN ends USING (clip_id)),
+    m AS (SELECT q.*, w.run, w.a, w.b, w.first, w.last, least(frame - a + 1, b - frame + 1) AS step, least(3, (b - a + 1) // 2) AS edge FROM q JOIN w ON w.clip_id = q.clip_id AND q.frame BETWEEN a AND b),
+    s AS (SELECT *, CASE WHEN step > edge THEN 1 ELSE 0.5::DOUBLE - 0.5::DOUBLE * cos(pi() * step / (edge + 1)) END AS soft FROM m)"""
+_IMAGE = f"""{_GAPS}, i1 AS (SELECT *, CASE WHEN spike OR contaminated THEN 0 ELSE coalesce(ex, 0) END * soft AS sx, CASE WHEN spike OR contaminated THEN 0 ELSE coalesce(ey, 0) END * soft AS sy FROM s),
+    i2 AS (SELECT *, avg(sx) FILTER (NOT spike) OVER (PARTITION BY clip_id, run) AS mx, avg(sy) FILTER (NOT spike) OVER (PARTITION BY clip_id, run) AS my FROM i1)"""
+_CTX = lambda a, side: f"(SELECT avg(d.{a}) FROM q d WHERE d.clip_id = w.clip_id AND d.frame {side})"
+_AT = lambda a, at: f"(SELECT d.{a} FROM q d WHERE d.clip_id = w.clip_id AND d.frame = {at})"
+_BRIDGE = f"""{_GAPS}, b1 AS (SELECT clip_id, run, {', '.join(f"coalesce({_CTX(a, 'BETWEEN w.a - 10 AND w.a - 1')}, {_AT(a, 'w.a')}) AS u{a}, coalesce({_CTX(a, 'BETWEEN w.b + 1 AND w.b + 10')}, {_AT(a, 'w.b')}) AS v{a}" for a in 'xy')} FROM w),
+    b2 AS (SELECT s.*, ux, uy, vx, vy, CASE WHEN b > a THEN (frame - a) / (b - a)::DOUBLE ELSE 0 END AS u FROM s JOIN b1 USING (clip_id, run))"""
+_TWO = f"""WITH {DUO}, w0 AS (SELECT clip_id, frame, event_id, x, y AS y_, ix, iy, (event_id % 7 - 3) / 40.0::DOUBLE AS wob FROM duo), w1 AS (SELECT clip_id, frame, event_id % 450 >= 30 AND ix IS NOT NULL AS ok, ix - x AS ax, iy - y_ AS ay, ix * 1.05::DOUBLE + wob - x AS bx, iy * 0.95::DOUBLE - wob - y_ AS by_ FROM w0),
+    w2 AS (SELECT clip_id, frame, ok, {', '.join(f'CASE WHEN ok THEN {c} END AS {n}' for c, n in (('ax', 'hh'), ('ay', 'hv'), ('bx', 'kh'), ('by_', 'kv')))} FROM w1), {', '.join(_detail_sql(f'z{n}', 'w2', n) for n in ('hh', 'hv', 'kh', 'kv'))},
+    z AS (SELECT clip_id, frame, ok, zhh.v AS a1, zhv.v AS a2, zkh.v AS b1, zkv.v AS b2 FROM w2 JOIN zhh USING (clip_id, frame) JOIN zhv USING (clip_id, frame) JOIN zkh USING (clip_id, frame) JOIN zkv USING (clip_id, frame)),
+    zn AS (SELECT *, sqrt(a1 * a1 + a2 * a2) AS na, sqrt(b1 * b1 + b2 * b2) AS nb FROM z)"""
+
 ORACLE = {
     "i25_bursts": f"""WITH {DUO}, f AS (SELECT * FROM duo WHERE abs(ix - x) > 0.4 AND rate < 200), {_runs('f', 4)}, e AS (SELECT clip_id, min(frame) AS lo, max(frame) AS hi FROM duo GROUP BY clip_id), sp AS (SELECT clip_id, run, greatest(first - 8, lo) AS a, least(last + 8, hi) AS b FROM r JOIN e USING (clip_id)),
         m AS (SELECT d.clip_id, run, frame, coalesce(ix - x, 0) / (1 + (rate / 40) ** 2) AS v FROM duo d JOIN sp ON sp.clip_id = d.clip_id AND frame BETWEEN a AND b), {_DERAMP} SELECT clip_id, frame, round(sum(v), 10) AS angle FROM th GROUP BY ALL""",
@@ -167,6 +227,11 @@ ORACLE = {
         {_Q4('0.5::DOUBLE', '0.5::DOUBLE', '0.5::DOUBLE', '-0.5::DOUBLE')} AS di, {_Q4(_ZERO, _ZERO, '-1.0::DOUBLE', _ZERO)} AS fi FROM quat), c1 AS (SELECT *, {q_mul('pitch', 'roll')} AS pr FROM c), c2 AS (SELECT *, {q_mul('yaw', 'pr')} AS ypr FROM c1), c3 AS (SELECT *, {q_mul('fi', 'ypr')} AS g FROM c2), c4 AS (SELECT *, {q_mul('g', 'di')} AS a FROM c3),
         r AS (SELECT vec_id, kind < 3 AS edited, CASE WHEN kind = 2 THEN a ELSE struct_pack(w := w, x := x, y := y, z := z) END AS q, CASE WHEN kind IN (1, 2) AND inv THEN -1 ELSE 1 END AS sign FROM c4)
         SELECT vec_id, edited, {', '.join(f'{s6(f"q.{k} * sign")} AS q{k}' for k in 'wxyz')} FROM r""",
+    "i07_event_correction": f"{_IMAGE} SELECT clip_id, frame, round(sum(sx - CASE WHEN spike THEN 0 ELSE mx END), 10) AS cx, round(sum(sy - CASE WHEN spike THEN 0 ELSE my END), 10) AS cy FROM i2 GROUP BY clip_id, frame",
+    "i07_events": f"{_GAPS} SELECT clip_id, a, b, {s6('max(size) FILTER (frame BETWEEN first AND last)')} AS peak, {s6('avg(rate) FILTER (frame BETWEEN first AND last)')} AS mean_rate, bool_or(spike) AS spike FROM m GROUP BY clip_id, run, a, b",
+    "i07_bridges": f"{_BRIDGE} SELECT clip_id, frame, round(sum((ux + (vx - ux) * u - x) * soft), 10) AS cx, round(sum((uy + (vy - uy) * u - y) * soft), 10) AS cy FROM b2 GROUP BY clip_id, frame",
+    "i09_window_disagreement": f"""{_TWO} SELECT clip_id, frame, coalesce(ok AND a1 * b1 + a2 * b2 > 0 AND sqrt((a1 - b1) ** 2 + (a2 - b2) ** 2) <= 0.6 * greatest(na, nb) + 0.3, false) AS reliable, round((a1 + b1) / 2, 10) AS mean_x, round((a2 + b2) / 2, 10) AS mean_y,
+        round(CASE WHEN na >= nb THEN a1 ELSE b1 END, 10) AS max_x, round(CASE WHEN na >= nb THEN a2 ELSE b2 END, 10) AS max_y, round(CASE WHEN na <= nb THEN a1 ELSE b1 END, 10) AS min_x, round(CASE WHEN na <= nb THEN a2 ELSE b2 END, 10) AS min_y FROM zn""",
     "c14_euler_bridge": f"""WITH {QUAT}, e AS (SELECT clip_id, vec_id, t, (row_number() OVER (PARTITION BY clip_id ORDER BY vec_id) - 1) // 20 AS span, {_EULER[0]} AS yaw, {_EULER[1]} AS pitch, {_EULER[2]} AS roll FROM quat),
         b AS (SELECT *, {', '.join(f'first_value({c}) OVER w AS a_{c}, last_value({c}) OVER w AS b_{c}' for c in ('yaw', 'roll'))}, first_value(t) OVER w AS t0, last_value(t) OVER w AS t1 FROM e WINDOW w AS (PARTITION BY clip_id, span ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
         c AS (SELECT *, least(t - t0, t1 - t) AS inner_ FROM b) SELECT vec_id, {_bridge_sql('yaw')}, round(pitch, 8) AS pitch, {_bridge_sql('roll')} FROM c""",
