@@ -12,10 +12,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import quaternion as Q
+from .islands import numbered
 from .windows import with_halo
 
 CHUNK, HALO = 1 << 14, 1 << 11
@@ -150,3 +152,94 @@ def band_share(df: DataFrame, keys: list[str], order: str, value: str, fps: floa
 
     sums = slim.groupBy(*keys, "_chunk").applyInPandas(run, schema).groupBy(*keys).agg(F.sum("_hi").alias("_hi"), F.sum("_lo").alias("_lo"))
     return sums.select(*keys, F.try_divide("_hi", "_lo").alias("share"))
+
+
+def filtered_all(df: DataFrame, keys: list[str], order: str, values: list[str], f: Callable[[np.ndarray], np.ndarray], chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
+    """keys, order and f() of each of values, with nulls as zero; f sees a chunk and its halo."""
+    slim = with_halo(df.select(*keys, order, *values), order, halo, halo, chunk)
+    schema = T.StructType([*(slim.schema[k] for k in keys), slim.schema[order], *(T.StructField(v, T.DoubleType()) for v in values)])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        for v in values:
+            group[v] = f(np.nan_to_num(group[v].to_numpy(float)))
+        return group.loc[group["_own"], [*keys, order, *values]]
+
+    return slim.groupBy(*keys, "_chunk").applyInPandas(run, schema)
+
+
+def stretches(df: DataFrame, keys: list[str], order: str, ok: Column, least: int) -> DataFrame:
+    """The rows of df where ok holds, in runs without a gap of at least `least` rows: run, _pos (from 0) and _n (rows)."""
+    runs = numbered(df.where(ok), keys, order, 0)
+    one = Window.partitionBy(*keys, "run")
+    return runs.withColumn("_pos", F.row_number().over(one.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(one)).where(F.col("_n") >= least)
+
+
+def band_gain(df: DataFrame, keys: list[str], order: str, told: str, seen: str, ok: Column, fps: float, band: tuple[float, float] = (2.0, 4.0), least: int = 64, trim: int = 15, rows: int = 300) -> DataFrame:
+    """keys and gain: how much of a motion is seen in a band, over runs of usable rows without their ends.
+
+    1 where fewer than `rows` rows count or the gain is not between a half and two.
+    """
+    sections = butterworth("band", band, fps)
+    runs = stretches(df, keys, order, ok & F.col(told).isNotNull() & F.col(seen).isNotNull(), least)
+    found = filtered_all(runs, [*keys, "run", "_n"], "_pos", [told, seen], lambda x: zero_phase(x, sections))
+    inner = found.where((F.col("_pos") >= trim) & (F.col("_pos") < F.col("_n") - trim))
+    sums = inner.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(told) * F.col(seen)).alias("_xy"), F.sum(F.col(told) * F.col(told)).alias("_xx"))
+    g = F.try_divide("_xy", "_xx")
+    every = df.select(*keys).distinct().join(sums, keys, "left")
+    return every.select(*keys, F.when((F.col("_n") >= rows) & (g > 0.5) & (g < 2.0), g).otherwise(1.0).alias("gain"))
+
+
+def _welch(x: np.ndarray, fps: float, size: int) -> tuple[np.ndarray, int]:
+    """The sum of the power of half-overlapping Hann windows, each less its straight line, and how many there are."""
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    line = np.vstack([np.arange(size), np.ones(size)]).T
+    parts = [x[i : i + size] for i in range(0, len(x) - size + 1, size // 2)]
+    power_ = [np.abs(np.fft.rfft((p - line @ np.linalg.lstsq(line, p, rcond=None)[0]) * hann)) ** 2 for p in parts]
+    return np.sum(power_, 0) if parts else np.zeros(size // 2 + 1), len(parts)
+
+
+def spectral_keep(df: DataFrame, keys: list[str], order: str, told: str, seen: str, calm: Column, fps: float, floor: float = 4.0, rows: int = 400, size: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
+    """keys, hz and keep: the share of each frequency of GAIN_HZ that is motion, by what is seen over what is told of it in
+    calm runs, the longer the weightier. 1 below `floor`; no rows for a series with fewer than `rows` calm rows."""
+    runs = stretches(df, keys, order, calm & F.col(told).isNotNull() & F.col(seen).isNotNull(), size)
+    own = [*keys, "run", "_n"]
+    slim = with_halo(runs.select(*own, "_pos", told, seen), "_pos", 0, size // 2, chunk).where("_chunk >= 0")
+    double = T.DoubleType()
+    schema = T.StructType([*(slim.schema[k] for k in own), T.StructField("_m", T.LongType()), *(T.StructField(x, T.ArrayType(double)) for x in ("_a", "_b"))])
+
+    def part(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_pos")
+        (a, m), (b, _) = (_welch(group[c].to_numpy(float), fps, size) for c in (told, seen))
+        return group.iloc[:1][own].assign(_m=m, _a=[a.tolist()], _b=[b.tolist()])
+
+    each = slim.groupBy(*own, "_chunk").applyInPandas(part, schema).where("_m > 0")
+    spread = each.select(*own, "_m", F.posexplode(F.arrays_zip("_a", "_b")).alias("_k", "_p"))
+    mean = spread.groupBy(*own, "_k").agg(*((F.sum(f"_p.{x}") / F.sum("_m") * F.col("_n")).alias(x) for x in ("_a", "_b")))
+    power_ = mean.groupBy(*keys, "_k").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.sum("_n").alias("_rows")).where(F.col("_rows") >= rows)
+    result = T.StructType([*(df.schema[k] for k in keys), T.StructField("hz", double), T.StructField("keep", double)])
+
+    def bands(group: pd.DataFrame) -> pd.DataFrame:  # size / 2 + 1 rows
+        group = group.sort_values("_k")
+        share = np.clip(group["_b"].to_numpy() / np.maximum(group["_a"].to_numpy(), 1e-18), 0.03, 1.0)
+        hz = np.array(GAIN_HZ, float)
+        keep = np.where(hz < floor, 1.0, np.interp(hz, np.fft.rfftfreq(size, 1 / fps), share))
+        return pd.DataFrame({**{k: [group[k].iloc[0]] * len(hz) for k in keys}, "hz": hz, "keep": keep})
+
+    return power_.groupBy(*keys).applyInPandas(bands, result)
+
+
+def smoothed_rotations(df: DataFrame, keys: list[str], order: str, value: str, fps: float, hz: float) -> DataFrame:
+    """keys, order and value: rotations (w, x, y, z) filtered part by part on one side of the sphere, of length one; an error
+    where they cancel each other."""
+    by = Window.partitionBy(*keys).orderBy(order)
+    q = df.select(*keys, order, Q.normalized(F.col(value)).alias("_q"))
+    turned = q.withColumn("_f", F.when(Q.dot(F.col("_q"), F.lag("_q").over(by)) < 0, 1).otherwise(0))
+    side = F.when(F.sum("_f").over(by.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1, -1.0).otherwise(1.0)
+    flat = turned.withColumn("_side", side).select(*keys, order, *((F.col("_q")[k] * F.col("_side")).alias(f"_{k}") for k in "wxyz"))
+    low = butterworth("low", hz, fps)
+    found = filtered_all(flat, keys, order, [f"_{k}" for k in "wxyz"], lambda x: zero_phase(x, low))
+    length = F.sqrt(sum((F.col(f"_{k}") * F.col(f"_{k}") for k in "wxyz"), F.lit(0.0)))
+    checked = F.when(length < 0.5, F.raise_error(F.lit("rotations cancel each other")).cast("double")).otherwise(length)
+    found = found.withColumn("_l", checked)
+    return found.select(*keys, order, Q.quat(*(F.col(f"_{k}") / F.col("_l") for k in "wxyz")).alias(value))
