@@ -29,9 +29,22 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def new_path(spark: SparkSession, what: str) -> str:
+    """A place in the shared folder that no other table has."""
+    return f"{shared_dir(spark)}/tables/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder, read again: later steps neither compute it twice nor need its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{what}-{uuid.uuid4().hex}"
+    path = path or new_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a table of new_path() that no step needs any more."""
+    if f"{shared_dir(spark)}/tables/" not in path:
+        raise ValueError(f"not a table of this module: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, shared_dir, written
+from .store import bounded_batches, new_path, removed, written
 
 #: Bytes of a segment's block and of a transfer chunk; records of a file.
 SEGMENT, CHUNK, FILE_RECORDS = 1 << 12, 1 << 10, 2000
@@ -99,8 +99,9 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     bounded_batches(pages.sparkSession)
     plain = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     plain = plain.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.octet_length("payload"))
-    # row ids hold for one reading of the input only, so the rows are written with them
-    plain = written(plain, "warc-rows")
+    # row ids hold for one reading of the input only, so the rows are written with them until the archives are there
+    spark, kept = pages.sparkSession, new_path(pages.sparkSession, "warc-rows")
+    plain = written(plain, "warc-rows", kept)
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     firsts = written(plain.groupBy("digest", "size").agg(F.min(order).alias("first")), "warc-firsts")
     dealt = plain.join(firsts.hint("merge"), ["digest", "size"]).withColumn("first_row", F.col("first.row"))
@@ -121,6 +122,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
 
     lines = dealt.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    removed(spark, kept)
 
 
 _PARSED = "record_id string, record_type string, page_id long, url string, refers_to_id string, digest string, origin_id string, segment long, total long, block binary"
@@ -230,11 +232,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each page, from the archives of all pages."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/tables/archives-{uuid.uuid4().hex}"
+    path = new_path(spark, "archives")
     write_archives(pages, path, segment)
     read = read_archives(spark, path)
     read = read.select("record_id", "page_id", "record_type", "refers_to_id", "problem", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "digest")
     read = written(read, "warc-read")
+    removed(spark, path)
     bad = F.col("problem").isNotNull() | (F.col("payload_digest") != F.col("digest"))
     read = read.withColumn("page_id", F.when(bad, F.raise_error(F.concat(F.lit("broken record "), "record_id"))).otherwise(F.col("page_id")))
     first = read.where("record_type = 'response'").select(F.col("record_id").alias("first_id"), F.col("page_id").alias("first_page"), F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest"))
