@@ -38,10 +38,10 @@ def edge_padded(df: DataFrame, keys: list[str], order: str, reach: int, values:
     """keys, order and values of df, with each series' end rows repeated `reach` times beyond its ends."""
     slim = df.select(*keys, order, *values)
     row = F.struct(order, *values)
-    ends = slim.groupBy(*keys).agg(F.min(row).alias("a"), F.max(row).alias("b"))
+    ends = slim.groupBy(*keys).agg(F.min(row).alias("_low"), F.max(row).alias("_high"))
     steps = F.sequence(F.lit(1), F.lit(reach))
-    pad = lambda end, sign: ends.select(*keys, end, F.explode(steps).alias("k")).select(*keys, (F.col(f"{end}.{order}") + sign * F.col("k")).cast(dict(slim.dtypes)[order]).alias(order), *(f"{end}.{v}" for v in values))
-    return slim.withColumn("_real", F.lit(True)).unionByName(pad("a", -1).union(pad("b", 1)).withColumn("_real", F.lit(False)))
+    pad = lambda end, sign: ends.select(*keys, end, F.explode(steps).alias("_step")).select(*keys, (F.col(f"{end}.{order}") + sign * F.col("_step")).cast(dict(slim.dtypes)[order]).alias(order), *(f"{end}.{v}" for v in values))
+    return slim.withColumn("_real", F.lit(True)).unionByName(pad("_low", -1).union(pad("_high", 1)).withColumn("_real", F.lit(False)))
 
 
 def running_median(df: DataFrame, keys: list[str], order: str, value: str, size: int, name: str, chunk: int = CHUNK) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import composites, events, filtering, greedy, recordings, repairs, rotations, series
+from . import composites, events, filtering, greedy, recordings, repairs, rotations, series, sessions
 
-MODULES = [series, events, repairs, rotations, filtering, greedy, recordings, composites]
+MODULES = [series, events, repairs, rotations, filtering, greedy, recordings, composites, sessions]
 FLAGSHIP = "flagship_unconfirmed_jumps"
 
 
