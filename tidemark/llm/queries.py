@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hmm, near_dup, packing, quality, sharding, substrings, token_counts, toxicity, warc
+from . import decontamination, hmm, licenses, near_dup, negatives, packing, quality, sharding, spelling, substrings, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.withColumn("n_tiles", F.size("tiles").cast("long")).drop("tiles")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.usable(_table(spark, sf_dir, "embeddings"))
+    return negatives.hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
@@ -66,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_license_scans": op13_license_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -73,4 +89,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": substrings.oracle_sql(),
     "op7_warc_segments": warc.oracle_sql(),
     "op9_ngram_jaccard_join": near_dup.oracle_sql(),
+    "op11_hard_negatives": negatives.oracle_sql(),
+    "op12_spelling_variants": spelling.oracle_sql(),
+    "op13_license_scans": licenses.oracle_sql(),
 }
