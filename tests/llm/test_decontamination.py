@@ -78,3 +78,15 @@ def test_leaks_and_clean(spark, docs, monkeypatch):
         assert left.columns == docs(rows).columns
         assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 5]
     assert D.leaks(docs(rows), items.limit(0)).count() == 0 and D.leaks(docs(rows).limit(0), items).count() == 0
+
+
+def test_repeated_items_do_not_fill_a_block(spark, docs, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_BYTES", 2000)
+    text = "one two three four five six seven"
+    rows = [(7, text)] * 300 + [(i, f"other words {i} that nobody has ever read here") for i in range(100, 140)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    blocks = D._blocks(items)
+    assert len(blocks) > 2 and max(b.count() for b in blocks) < 30
+    found = D.leaks(docs([(1, text), (2, "none")]), items).collect()
+    assert [(r.doc_id, r.item_id, r.coverage) for r in found] == [(1, 7, 1.0)] * 300
+    assert [r.doc_id for r in D.clean(docs([(1, text), (2, "none")]), items).collect()] == [2]

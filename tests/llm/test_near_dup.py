@@ -119,3 +119,14 @@ def test_each_class_keeps_a_row_where_ids_clash(docs):
 def test_banding_reaches_the_recall():
     bands, size = near_dup.banding(0.8, 0.9999)
     assert 1 - (1 - 0.8**size) ** bands >= 0.9999
+
+
+def test_representatives_with_any_columns_and_one_row_of_repeated_ones(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    names = "doc_id long, text string, _key string, _kept int, _kept_key int, key string, order int, row string, node int, `a.b` int, m map<string,int>"
+    rows = [(1, text, f"k{i}", i, 7, "key", 9 - i, "row", i, i, {"x": i}) for i in range(6)] + [(2, text + " more", "k", 1, 1, "key", 1, "row", 1, 1, None), (None, "no id", "k", 1, 1, "key", 1, "row", 1, 1, None)]
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows, names).repartition(parts, "order")
+        found = near_dup.representatives(docs)
+        assert found.columns == docs.columns
+        assert sorted((r["doc_id"] or 0, r["_key"]) for r in found.collect()) == [(0, "k"), (1, "k0")]

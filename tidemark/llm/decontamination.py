@@ -34,6 +34,7 @@ class Items:
     """A block of items: their words one after another, and for each seed the items that have it, with its places."""
 
     ids: list
+    copies: list  # how many rows each stands for
     of: np.ndarray
     hash: np.ndarray  # of each word
     seeds: np.ndarray  # sorted hashes
@@ -47,7 +48,7 @@ class Items:
     def of_rows(cls, rows: list[tuple], min_tile: int) -> "Items":
         none = np.zeros(0, np.int64)
         if not rows:
-            return cls([], np.zeros(1, np.int64), none.astype(np.uint64), none.astype(np.uint64), np.zeros(1, np.int64), none, none, none, none)
+            return cls([], [], np.zeros(1, np.int64), none.astype(np.uint64), none.astype(np.uint64), np.zeros(1, np.int64), none, none, none, none)
         (c,) = W.chunks(pa.array([x[1] for x in rows], pa.string()), lower=True, marks=True, size=1 << 62)
         at = np.flatnonzero(W.window_ok(c, min_tile))
         h = W.windows(c.hash, min_tile)[at]
@@ -56,7 +57,7 @@ class Items:
         places = at[order]
         item = np.searchsorted(c.of, places, "right") - 1
         start = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (item[1:] != item[:-1]))) if len(places) else none
-        return cls([x[0] for x in rows], c.of, c.hash, seeds, np.searchsorted(seed[start], np.arange(len(seeds) + 1)), item[start], start, np.diff(np.append(start, len(places))), places)
+        return cls([x[0] for x in rows], [x[2] if len(x) > 2 else 1 for x in rows], c.of, c.hash, seeds, np.searchsorted(seed[start], np.arange(len(seeds) + 1)), item[start], start, np.diff(np.append(start, len(places))), places)
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -171,14 +172,17 @@ def matches(c: W.Words, items: Items, min_tile: int, coverage: float) -> Iterato
 
 
 def _blocks(items: DataFrame) -> list[DataFrame]:
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    """The distinct items with their numbers of rows, in blocks of BLOCK_BYTES / 2 on average: repeated rows can't fill one."""
+    plain = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    plain = plain.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    total = plain.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = int(total // (BLOCK_BYTES // 2)) + 1
-    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+    return [plain] if n == 1 else [plain.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 def _shared(items: DataFrame, min_tile: int):
     """A broadcast block: by its size at most about BLOCK_BYTES of text."""
-    rows = [(x["item_id"], x["text"]) for x in items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null").toLocalIterator()]
+    rows = [(x["item_id"], x["text"], x["copies"]) for x in items.toLocalIterator()]
     return items.sparkSession.sparkContext.broadcast(Items.of_rows(sorted(rows, key=lambda x: (x[0] is None, x[0], x[1])), min_tile))
 
 
@@ -200,7 +204,8 @@ def leaks(docs: DataFrame, items: DataFrame, min_tile: int = MIN_TILE, coverage:
                 rows = []
                 for c in W.chunks(batch.column(1), lower=True, marks=True):
                     for text, k, covered, total, marked in matches(c, block.value, min_tile, coverage):
-                        rows.append((batch.column(0)[c.first + text].as_py(), block.value.ids[k], covered, total, [dict(zip(("doc_word", "item_word", "length"), x)) for x in marked]))
+                        row = (batch.column(0)[c.first + text].as_py(), block.value.ids[k], covered, total, [dict(zip(("doc_word", "item_word", "length"), x)) for x in marked])
+                        rows += [row] * block.value.copies[k]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64()] * 4 + [tile])], names=["doc_id", "item_id", "covered", "item_words", "tiles"])
 

@@ -345,14 +345,17 @@ def representatives(docs: DataFrame, size: int = SIZE, similarity: float = SIMIL
     """The rows of docs, with all their columns, that stand for their class: one with its least doc_id.
 
     Rows without a doc_id stay, and so do texts without words. Of repeated rows with one doc_id and text one
-    stays; rows of other classes with that doc_id don't count as such.
+    stays - where their other columns differ, that whose columns come first as JSON text; rows of other classes with that
+    doc_id don't count as such. Columns beside doc_id and text may have any name.
     """
     signed, named = _classes(docs, size, similarity, recall)
     kept = named.where("head is not null").select("head.doc_id", "head.key").union(signed.where("node is null and doc_id is not null").select("doc_id", "key")).distinct()
-    kept = written(kept.toDF("_kept", "_kept_key"), "near-kept")
-    own = docs.where("doc_id is not null").withColumn("_key", F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
-    found = own.join(kept.hint("merge"), (own["doc_id"].cast("long") == F.col("_kept")) & (own["_key"] == F.col("_kept_key")), "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return found.union(docs.where("doc_id is null"))
+    kept = written(kept, "near-kept")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    own = docs.where("doc_id is not null").select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), (F.to_json(F.struct(*rest)) if rest else F.lit("")).alias("order"), F.struct("*").alias("row"))
+    found = own.join(kept.hint("merge"), ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.min_by("row", "order").alias("row"))
+    return found.select("row.*").union(docs.where("doc_id is null"))
 
 
 def oracle_sql(size: int = SIZE, similarity: float = SIMILARITY) -> str:

@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes handed to Python at once, so that long texts don't fill a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: The library's own setting; spark.checkpoint.dir itself can't be set once a session is up.
+OWN_DIR = "spark.tidemark.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset a local session gets a temporary one; on a cluster,
-    whose executors have folders of their own, it is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. Where that is unset a local session gets a temporary one, kept in its setting
+    OWN_DIR; on a cluster, whose executors have folders of their own, it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.conf.set(OWN_DIR, found)
     return found
 
 
