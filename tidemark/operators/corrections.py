@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quaternion as Q
 from . import gates as G
 from . import islands as I
-from .windows import edge_padded, filled, framed
+from .windows import filled, medians
 
 #: Frames that a membership join looks at together.
 STRETCH = 64
@@ -133,15 +133,11 @@ def details(df: DataFrame, keys: list[str], order: str, values: list[str], size:
     """df with each value less the running median of `size` rows around it, of the values with gaps filled; null where the
     value is, or where good is not true."""
     use = F.lit(True) if good is None else good
-    df = df.select("*", *(F.when(use, F.col(v)).alias(f"_r_{v}") for v in values))
-    full = df.select(*keys, order, *(F.coalesce(filled(f"_r_{v}", keys, order), F.lit(0.0)).alias(f"_f_{v}") for v in values))
-    half = size // 2
-    padded = edge_padded(full, keys, order, half, [f"_f_{v}" for v in values])
-    middle = {f"_m_{v}": (lambda rows, _, v=v: F.percentile(f"_f_{v}", F.lit(0.5)).over(rows)) for v in values}
-    base = framed(padded, keys, order, half, half, middle).where("_real").select(*keys, order, *(f"_m_{v}" for v in values))
-    met = df.join(base, [*keys, order])
+    known = df.select("*", *(F.when(use, F.col(v)).alias(f"_r_{v}") for v in values))
+    full = known.select("*", *(F.coalesce(filled(f"_r_{v}", keys, order), F.lit(0.0)).alias(f"_f_{v}") for v in values))
+    met = medians(full, keys, order, size, {f"_m_{v}": f"_f_{v}" for v in values})
     own = {v: (F.col(f"_r_{v}") - F.col(f"_m_{v}")).alias(v) for v in values}
-    return met.select(*(own.get(c, F.col(c)) for c in df.columns if not c.startswith("_r_")))
+    return met.select(*(own.get(c, F.col(c)) for c in df.columns))
 
 
 def _norm(columns: list[Column]) -> Column:

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = 1 << 16
 
@@ -44,12 +47,57 @@ def edge_padded(df: DataFrame, keys: list[str], order: str, reach: int, values:
     return slim.withColumn("_real", F.lit(True)).unionByName(pad("_low", -1).union(pad("_high", 1)).withColumn("_real", F.lit(False)))
 
 
+#: Values of windows that are looked at together.
+SORTED = 1 << 21
+
+
+def _medians(x: np.ndarray, size: int) -> np.ndarray:
+    """The median of each `size` values of x, without those that are not numbers; nan where there is none."""
+    rows = np.lib.stride_tricks.sliding_window_view(x, size)
+    out, step = np.empty(len(rows)), max(1, SORTED // size)
+    for i in range(0, len(rows), step):
+        part = rows[i : i + step]
+        gaps = np.isnan(part)
+        if not gaps.any():
+            out[i : i + step] = np.partition(part, size // 2, axis=1)[:, size // 2]
+            continue
+        ordered, n = np.sort(part, axis=1), size - gaps.sum(1)  # nan sorts last
+        at, low, high = np.arange(len(part)), np.maximum(n - 1, 0) // 2, n // 2
+        out[i : i + step] = np.where(n > 0, (ordered[at, low] + ordered[at, np.minimum(high, size - 1)]) / 2, np.nan)
+    return out
+
+
+def medians(df: DataFrame, keys: list[str], order: str, size: int, columns: dict[str, str], chunk: int = CHUNK) -> DataFrame:
+    """df with columns: name -> value whose exact median of `size` (odd) rows around each it is; ends are repeated, nulls left out."""
+    half = size // 2
+    slim = with_halo(df, order, half, half, chunk)
+    schema = T.StructType([f for f in slim.schema if f.name not in ("_own", "_chunk")] + [T.StructField(n, T.DoubleType()) for n in columns])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        own = np.flatnonzero(table["_own"].to_numpy())
+        if not len(own):
+            table = table.slice(0, 0)
+        else:
+            first, last = own[0], own[-1]
+            before, after = min(first, half), min(table.num_rows - 1 - last, half)  # fewer than half: the series ends there
+        found = {}
+        for name, value in columns.items():
+            x = table[value].cast(pa.float64()).to_numpy()
+            if len(own):
+                x = np.pad(x[first - before : last + 1 + after], (half - before, half - after), mode="edge")
+            found[name] = pa.array(_medians(x, size) if len(own) else x, pa.float64(), from_pandas=True)
+        table = table.filter(table["_own"]).drop_columns(["_own", "_chunk"])
+        for name, x in found.items():
+            table = table.append_column(name, x)
+        return table
+
+    return slim.groupBy(*keys, "_chunk").applyInArrow(run, schema)
+
+
 def running_median(df: DataFrame, keys: list[str], order: str, value: str, size: int, name: str, chunk: int = CHUNK) -> DataFrame:
     """keys, order and value with the exact median of `size` (odd) rows around each; ends are repeated."""
-    half = size // 2
-    padded = edge_padded(df, keys, order, half, [value])
-    out = framed(padded, keys, order, half, half, {name: lambda rows, _: F.percentile(value, F.lit(0.5)).over(rows)}, chunk)
-    return out.where("_real").drop("_real")
+    return medians(df.select(*keys, order, value), keys, order, size, {name: value}, chunk)
 
 
 def cumulative_before(value: Column, keys: list[str], order: str) -> Column:
