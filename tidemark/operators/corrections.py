@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import quaternion as Q
+from . import filters
 from . import gates as G
 from . import islands as I
 from .windows import filled, medians
@@ -179,29 +185,55 @@ def event_windows(df: DataFrame, keys: list[str], order: str, least: int, merge:
     return spans(numbered, df, keys, order, margin).join(numbered.select(*keys, "run", "first", "last"), [*keys, "run"])
 
 
-def event_correction(df: DataFrame, keys: list[str], order: str, gaps: list[str], told: list[str], reliable: str, rate: str, least: float, size: int, ratio: float = 0.5, rate_max: float = 150.0, min_rows: int = 2, merge: int = 6, margin: int = 3, model: str = "image", context: int = 10, gain: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(corrections, events) of stretches where what was told of a motion and what was seen of it disagree.
+def event_segments(
+    df: DataFrame, keys: list[str], order: str, gaps: list[str], told: list[str], reliable: str, rate: str, least: float, size: int, ratio: float = 0.5, rate_max: float = 150.0, min_rows: int = 2, merge: int = 6, margin: int = 3,
+    model: str = "image", context: int = 10, gain: float = 1.0, fine: list[str] | None = None, witness: list[str] | None = None, witnessed: str | None = None, camera: str | None = None, camera_max: float = 60.0,
+    zero_net: bool = True, free: DataFrame | None = None, fps: float = 50.0, lowpass_hz: float = 8.0, pad_s: float = 2.0,
+) -> tuple[DataFrame, DataFrame]:
+    """(segments, events) of stretches where what was told of a motion and what was seen of it disagree.
 
     gaps: seen less told, of the axes in told, without the axis that is not to be touched. A row is selected if it is
-    reliable, slower than rate_max, and its disagreement, less its slow part, is at least `least` and ratio
-    times the motion itself; spikes (columns spike and contaminated of df) are selected too.
+    reliable, slower than rate_max (and camera, the rate without jumps, than camera_max), and its disagreement, less its slow
+    part, is at least `least` and ratio times the motion itself; spikes (columns spike and contaminated of df) are selected too.
+
     image: the disagreement of each window under a taper, without its mean, so that nothing turns for good; rows that a
-    spike contaminates, and spikes, add nothing, and a window with spikes keeps its mean over the other rows.
+    spike contaminates, and spikes, add nothing, and a window with spikes keeps its mean over the other rows. fine: the same
+    disagreement row by row, which counts in place of gaps where it is known; witness: a second one, which must then be known too and may
+    differ from it by 0.5 + 0.5 times its length at most, where the column witnessed (none: everywhere) is true. Windows that begin or end in a span of
+    free (keys, lo, hi; both inclusive), and all without zero_net, keep their mean.
     bridge: what was told becomes a straight line between the means of `context` rows before and after the window.
-    corrections: keys, order and c_<axis>, summed over windows; events: keys, run, a, b, peak, mean_rate, spike.
+    lowpass: what was told is smoothed below lowpass_hz, on the window with pad_s on both sides, so each window is filtered by
+    itself, of any series and however windows overlap.
+
+    segments: keys, run, order and c_<axis>, of each window; events: keys, run, a, b, peak, mean_rate, spike, free_net.
     """
-    if model not in ("image", "bridge"):
-        raise ValueError("the model is image or bridge")
-    d = details(df, keys, order, gaps, size)
+    if model not in ("image", "bridge", "lowpass"):
+        raise ValueError("the model is image, bridge or lowpass")
+    d = df
+    if fine:
+        d = d.select("*", *(F.col(f).alias(f"_f_{a}") for f, a in zip(fine, told)), *(F.coalesce(F.col(f), F.lit(0.0)).alias(f"_w_{a}") for f, a in zip(witness or [], told)))
+        d = details(d, keys, order, [f"_{k}_{a}" for k in ("fw" if witness else "f") for a in told], size)
+    d = details(d, keys, order, gaps, size)
     length, moved = _norm([F.col(g) for g in gaps]), _norm([F.col(a) for a in told])
     d = d.withColumn("size", length)
     known = F.lit(True)
     for g in gaps:
         known = known & F.col(g).isNotNull()
     chosen = F.col(reliable) & known & (F.col("size") >= least) & (F.col(rate) < rate_max) & (F.col("size") >= ratio * moved)
+    if camera:
+        chosen = chosen & (F.col(camera) < camera_max)
     d = d.withColumn("selected", F.coalesce(chosen, F.lit(False)) | F.col("spike"))
     windows = event_windows(d, keys, order, min_rows, merge, margin)
-    reach = context if model == "bridge" else 0
+    if free is not None:
+        near = [*keys, "run"]
+        hit = F.lit(False)
+        for at in (F.col("a"), F.col("b") + 1):
+            hit = hit | ((at >= F.col("lo")) & (at <= F.col("hi")))
+        windows = windows.join(windows.join(free, keys).where(hit).select(*near).distinct().withColumn("_free", F.lit(True)), near, "left")
+    else:
+        windows = windows.withColumn("_free", F.lit(False))
+    windows = windows.withColumn("_free", F.coalesce("_free", F.lit(False)))
+    reach = {"image": 0, "bridge": context, "lowpass": round(pad_s * fps)}[model]
     wide = windows.select("*", (F.col("a") - reach).alias("_lo"), (F.col("b") + reach).alias("_hi"))
     met = G.within(d, wide, keys, order, "_lo", "_hi", STRETCH)
     inside = F.col(order).between(F.col("a"), F.col("b"))
@@ -210,12 +242,25 @@ def event_correction(df: DataFrame, keys: list[str], order: str, gaps: list[str]
     soft = G.taper(F.col(order) - F.col("a"), rows, edge)
     one = Window.partitionBy(*keys, "run")
     if model == "image":
-        quiet = F.col("spike") | F.col("contaminated")
-        part = {g: F.when(quiet, 0.0).otherwise(F.coalesce(F.col(g), F.lit(0.0))) * soft * gain for g in gaps}
-        met = met.select("*", *(v.alias(f"_s_{g}") for g, v in part.items()))
+        trusted = F.lit(False)
+        if fine:
+            trusted = F.lit(True)
+            for a in told:
+                trusted = trusted & F.col(f"_f_{a}").isNotNull()
+            if witness:
+                seen = F.lit(True)
+                for w in witness:
+                    seen = seen & F.col(w).isNotNull()
+                veto = _norm([F.col(f"_f_{a}") - F.col(f"_w_{a}") for a in told]) <= 0.5 + 0.5 * _norm([F.col(f"_f_{a}") for a in told])
+                trusted = trusted & ((seen & veto) if witnessed is None else (~F.col(witnessed) | (seen & veto)))
+        quiet = F.col("spike") | (F.col("contaminated") & ~trusted)
+        value = {a: F.when(trusted, F.col(f"_f_{a}")).otherwise(F.coalesce(F.col(g), F.lit(0.0))) if fine else F.coalesce(F.col(g), F.lit(0.0)) for a, g in zip(told, gaps)}
+        met = met.select("*", *((F.when(quiet, 0.0).otherwise(v) * soft * gain).alias(f"_s_{a}") for a, v in value.items()))
         # of a window's rows those that are no spikes share the mean that goes; without spikes these are all
-        shared = [(F.col(f"_s_{g}") - F.when(F.col("spike"), 0.0).otherwise(F.avg(F.when(~F.col("spike"), F.col(f"_s_{g}"))).over(one))) for g in gaps]
-    else:
+        mean = lambda a: F.avg(F.when(~F.col("spike"), F.col(f"_s_{a}"))).over(one)
+        goes = ~F.col("spike") & ~F.col("_free") if zero_net else F.lit(False)
+        shared = [F.col(f"_s_{a}") - F.when(goes, mean(a)).otherwise(0.0) for a in told]
+    elif model == "bridge":
         ends = []
         for a in told:
             before, after = (F.avg(F.when(side, F.col(a))).over(one) for side in (F.col(order) < F.col("a"), F.col(order) > F.col("b")))
@@ -224,8 +269,74 @@ def event_correction(df: DataFrame, keys: list[str], order: str, gaps: list[str]
         met = met.select("*", *ends)
         u = F.when(rows > 1, (F.col(order) - F.col("a")) / (rows - 1)).otherwise(0.0)
         shared = [(F.col(f"_u_{a}") + (F.col(f"_v_{a}") - F.col(f"_u_{a}")) * u - F.col(a)) * soft * gain for a in told]
-    part = met.select(*keys, order, inside.alias("_in"), *(c.alias(f"c_{a}") for c, a in zip(shared, told))).where("_in")
-    corrections = part.groupBy(*keys, order).agg(*(F.sum(f"c_{a}").alias(f"c_{a}") for a in told))
+    else:
+        met = _smoothed(met, [*keys, "run"], order, told, filters.butterworth("low", lowpass_hz, fps))
+        shared = [(F.col(f"_l_{a}") - F.col(a)) * soft * gain for a in told]
     own = F.col(order).between(F.col("first"), F.col("last"))
-    events = met.where(inside).groupBy(*keys, "run", "a", "b").agg(F.max(F.when(own, F.col("size"))).alias("peak"), F.avg(F.when(own, F.col(rate))).alias("mean_rate"), F.max("spike").alias("spike"))
-    return corrections, events
+    events = met.where(inside).groupBy(*keys, "run", "a", "b").agg(F.max(F.when(own, F.col("size"))).alias("peak"), F.avg(F.when(own, F.col(rate))).alias("mean_rate"), F.max("spike").alias("spike"), F.max("_free").alias("_free"))
+    events = events.select(*keys, "run", "a", "b", "peak", "mean_rate", "spike", (F.col("_free") | F.col("spike")).alias("free_net"))
+    return met.select(*keys, "run", order, inside.alias("_in"), *(c.alias(f"c_{a}") for c, a in zip(shared, told))).where("_in").drop("_in"), events
+
+
+def _smoothed(rows: DataFrame, keys: list[str], order: str, values: list[str], sections: list) -> DataFrame:
+    """rows with _l_<value>: the values of each group (a padded window) forward and backward through the sections, nulls as zero."""
+    schema = T.StructType([*rows.schema, *(T.StructField(f"_l_{v}", T.DoubleType()) for v in values)])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        for v in values:
+            x = np.nan_to_num(table[v].cast(pa.float64()).to_numpy())
+            table = table.append_column(f"_l_{v}", pa.array(filters.zero_phase(x, sections, 6 * len(sections) + 3)))
+        return table
+
+    return rows.groupBy(*keys).applyInArrow(run, schema)
+
+
+def event_correction(df: DataFrame, keys: list[str], order: str, gaps: list[str], told: list[str], *args, **named) -> tuple[DataFrame, DataFrame]:
+    """event_segments(), with the segments summed over windows: keys, order and c_<axis>."""
+    segments, events = event_segments(df, keys, order, gaps, told, *args, **named)
+    return segments.groupBy(*keys, order).agg(*(F.sum(f"c_{a}").alias(f"c_{a}") for a in told)), events
+
+
+def event_checks(segments: DataFrame, seen: DataFrame, keys: list[str], order: str, told: list[str], also: list[str]) -> DataFrame:
+    """keys, run, n, corr, gain and verdict of events whose correction can be held against a second estimate of the disagreement.
+
+    Both are taken over all axes and rows of the event, the corrections as summed over events; rows where they are zero or the estimate is unknown
+    don't count. Fewer than 6 rows, or one that does not vary, give no row. Over 0.5 confirms, under -0.3 opposes, else it is unclear.
+    """
+    total = segments.groupBy(*keys, order).agg(*(F.sum(f"c_{a}").alias(f"_c_{a}") for a in told))
+    met = segments.select(*keys, "run", order).join(total, [*keys, order]).join(seen.select(*keys, order, *also), [*keys, order])
+    pairs = F.explode(F.array(*(F.struct(F.col(f"_c_{a}").alias("c"), F.col(s).alias("s")) for a, s in zip(told, also))))
+    p = met.select(*keys, "run", pairs.alias("p")).select(*keys, "run", "p.*").where("c <> 0 and s is not null")
+    g = p.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n"), F.corr("c", "s").alias("corr"), (F.sum(F.col("c") * F.col("s")) / F.sum(F.col("c") * F.col("c"))).alias("gain"), F.stddev_pop("c").alias("_c"), F.stddev_pop("s").alias("_s"))
+    verdict = F.when(F.col("corr") > 0.5, "confirmed").when(F.col("corr") < -0.3, "opposed").otherwise("unclear")
+    return g.where("n >= 6 and _c >= 1e-9 and _s >= 1e-9").select(*keys, "run", "n", "corr", "gain", verdict.alias("verdict"))
+
+
+def weighted_events(segments: DataFrame, events: DataFrame, checks: DataFrame, keys: list[str], order: str, told: list[str], unclear: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(corrections, events): segments summed by row with the weight of their event - 1 with a spike or confirmed, 0 if opposed, else `unclear`."""
+    weight = F.when(F.col("spike") | (F.col("verdict") == "confirmed"), 1.0).when(F.col("verdict") == "opposed", 0.0).otherwise(unclear)
+    told_events = events.join(checks.select(*keys, "run", "corr", "gain", "verdict"), [*keys, "run"], "left").withColumn("weight", weight)
+    met = segments.join(told_events.select(*keys, "run", "weight"), [*keys, "run"])
+    return met.groupBy(*keys, order).agg(*(F.sum(F.col("weight") * F.col(f"c_{a}")).alias(f"c_{a}") for a in told)), told_events
+
+
+# The signed order of axes of the camera in the telemetry's frame.
+AXIS_ORDER, AXIS_SIGNS = (0, 1, 2), (-1, 1, 1)
+
+
+def axis_map(df: DataFrame, keys: list[str], told: list[str], seen: list[str], use: Column, least: int = 100, clear: float = 0.9) -> DataFrame:
+    """keys, p (the axis of seen for each of told), s (its sign), err and n: the signed order of axes with the least mean distance.
+
+    It is that of the rows to use if there are `least` of them and it is better than `clear` times the known one, AXIS_ORDER and
+    AXIS_SIGNS; ties: the first of all orders and signs. err is null where it was not looked for.
+    """
+    maps = list(itertools.product(itertools.permutations(range(3)), itertools.product((1, -1), repeat=3)))
+    distance = lambda p, s: F.sqrt(sum(((F.col(seen[p[j]]) * s[j] - F.col(told[j])) * (F.col(seen[p[j]]) * s[j] - F.col(told[j])) for j in range(3)), F.lit(0.0)))
+    errors = F.array(*(F.avg(F.when(use, distance(p, s))) for p, s in maps))
+    found = df.groupBy(*keys).agg(F.count_if(use).alias("n"), errors.alias("_e"))
+    known = maps.index((AXIS_ORDER, AXIS_SIGNS))
+    k = F.array_position("_e", F.array_min("_e")).cast("int") - 1
+    k = F.when((F.col("n") >= least) & (F.array_min("_e") <= clear * F.col("_e")[known]), k).otherwise(known)
+    table = F.array(*(F.struct(F.array(*map(F.lit, p)).alias("p"), F.array(*map(F.lit, s)).alias("s")) for p, s in maps))
+    return found.select(*keys, "n", "_e", k.alias("_k")).select(*keys, table[F.col("_k")]["p"].alias("p"), table[F.col("_k")]["s"].alias("s"), F.when(F.col("n") >= least, F.col("_e")[F.col("_k")]).alias("err"), "n")
