@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import adaptive, composites, events, filtering, greedy, recordings, repairs, rotations, series, sessions
+from . import adaptive, builds, composites, events, filtering, greedy, recordings, repairs, rotations, series, sessions
 
-MODULES = [series, events, repairs, rotations, filtering, greedy, recordings, composites, sessions, adaptive]
+MODULES = [series, events, repairs, rotations, filtering, greedy, recordings, composites, sessions, adaptive, builds]
 FLAGSHIP = "flagship_unconfirmed_jumps"
 
 
