@@ -34,7 +34,8 @@ def telemetry(spark, sf_dir):
     samples = e.select("*", F.explode(F.sequence(F.lit(0), F.lit(PER_FRAME - 1))).alias("index")).withColumn("t", F.col("t0") + F.col("index") * (1e6 / FPS / PER_FRAME))
     samples = samples.select("clip_id", "t", "frame", "index", _attitude(F.col("t") / 1e6, F.col("phase"), F.col("offset")).alias("q"), ((F.col("event_id") + F.col("index")) % 7 == 0).alias("inverted"))
     at = lambda k: _attitude((F.col("frame") + k) / FPS, F.col("phase"))
-    f = e.select("clip_id", "frame", "event_id", (8 + F.col("event_id") % 5).cast("double").alias("exposure"), Q.increment(at(0), at(1)).alias("i"), Q.increment(at(0), at(5)).alias("g"))
+    step = lambda k: Q.let(F.struct(at(0).alias("a"), at(k).alias("b")), lambda m: Q.increment(m["a"], m["b"]))
+    f = e.select("clip_id", "frame", "event_id", (8 + F.col("event_id") % 5).cast("double").alias("exposure"), step(1).alias("i"), step(5).alias("g"))
     end = F.max("frame").over(Window.partitionBy("clip_id"))
     off = lambda k: (F.col("event_id") * k % 101) / 101.0 * 0.01 - 0.005
     seen = F.col("event_id") % 29 != 0
