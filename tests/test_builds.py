@@ -367,3 +367,70 @@ def test_axis_map(spark):
     found = {r.k: (r.p, r.s, r.err) for r in corrections.axis_map(df, ["k"], ["tx", "ty", "tz"], ["hx", "hy", "hz"], F.lit(True)).collect()}
     assert found["turned"][:2] == ([1, 2, 0], [-1, 1, 1]) and found["turned"][2] < 0.03
     assert found["known"][:2] == found["few"][:2] == found["noise"][:2] == ([0, 1, 2], [-1, 1, 1]) and found["few"][2] is None
+
+
+def told(found, *names):
+    return np.array([[r[n] for n in names] for r in found.orderBy("frame").collect()])
+
+
+@pytest.fixture(scope="module")
+def stepped_plainly(motion):
+    """delta, steps and rate with the exposure's timing."""
+    delta = (np.median(motion["exposure"]) - motion["exposure"]) / 2 * 1000
+    ft = np.arange(N + 1) * 20000.0
+    steps = lambda d: log(mul(conj(slerp(motion["ts"], motion["qs"], ft + d)[:-1]), slerp(motion["ts"], motion["qs"], ft + d)[1:]))
+    inc = steps(np.append(delta, delta[-1]))
+    return delta, inc, np.linalg.norm(inc, axis=1) * FPS, steps(0.0)
+
+
+EXPOSURE = builds.Settings(fps=FPS, timing="exposure")
+
+
+def sums(c):
+    return np.concatenate([[0.0], np.cumsum(c)[:-1]])
+
+
+def test_noise_and_roll_builds(spark, motion, stepped_plainly):
+    delta, inc, rate, _ = stepped_plainly
+    samples, frames = tables(spark, motion)
+    band = filters.butterworth("band", (1.0, 25 * 0.992), FPS)
+    axis = np.array([0.1, 0.2, 1.0]) / np.linalg.norm([0.1, 0.2, 1.0])
+    across = np.array([1.0, 0, 0]) - axis * axis[0]
+    across /= np.linalg.norm(across)
+    want = 0
+    for a, keep in ((axis, filters.GAIN_ROLL), (across, filters.GAIN_OTHER), (np.cross(axis, across), filters.GAIN_OTHER)):
+        c = (filters.spectral_gain(inc @ a, FPS, filters.GAIN_HZ, keep) - inc @ a) / (1 + (rate / 80) ** 2)
+        want = want + np.outer(filters.zero_phase(sums(c), band), a)
+    fixed, found = builds.noise_build(samples, frames, ["clip"], EXPOSURE, (0.1, 0.2, 1.0))
+    assert np.allclose(told(found, "theta_x", "theta_y", "theta_z"), want, atol=1e-8) and fixed.count() == samples.count()
+    _, one = builds.noise_build(samples, frames, ["clip"], EXPOSURE, three=False)
+    assert np.abs(told(one, "theta_x", "theta_y")).max() == 0 and np.abs(told(one, "theta_z")).max() > 0
+    c = np.nan_to_num((motion["seen"][:, 2] - inc[:, 2]) / (1 + (rate / 40) ** 2))
+    _, found = builds.roll_build(samples, frames, ["clip"], EXPOSURE)
+    assert np.allclose(told(found, "theta_z")[:, 0], filters.zero_phase(sums(c), filters.butterworth("band", (4.0, 25 * 0.992), FPS)), atol=1e-8)
+
+
+def test_burst_align_and_control_builds(spark, motion, stepped_plainly):
+    delta, inc, rate, plain = stepped_plainly
+    samples, frames = tables(spark, motion)
+    t, qs = motion["ts"], motion["qs"]
+    fixed, found = builds.burst_build(samples, frames, ["clip"], EXPOSURE, least=0.012, margin=3)
+    theta = told(found, "theta_x", "theta_y", "theta_z")
+    from pyspark.sql import functions as F
+
+    rows = [("a", i, float(g), float(r)) for i, (g, r) in enumerate(zip(np.nan_to_num(motion["seen"][:, 2] - plain[:, 2]), np.linalg.norm(plain, axis=1) * FPS))]
+    angle = corrections.burst_angle(spark.createDataFrame(rows, "clip string, frame int, gap double, rate double"), ["clip"], "frame", "gap", "rate", 0.012, 40.0, 150.0, 3, 5)
+    want = np.zeros(N)
+    for r in angle.collect():
+        want[r.frame] = r.angle
+    assert np.allclose(theta[:, 2], want, atol=1e-9) and 0 < (want != 0).mean() < 0.9 and np.abs(theta[:, :2]).max() == 0
+    shifted = frames.withColumn("shift", F.when(F.col("frame") % 4 == 0, 1500.0).otherwise(-700.0))
+    for every in (True, False):
+        out = sorted(builds.align_build(samples, shifted, ["clip"], "shift", S, every, 2.0).collect(), key=lambda r: (r.frame, r["index"]))
+        move = np.where(np.array([r.frame for r in out]) % 4 == 0, 1500.0, -700.0) if every else -700.0
+        q = slerp(t, qs, t + move + 2000)
+        assert np.abs(np.abs(np.sum(np.array([[r.q[k] for k in "wxyz"] for r in out]) * q, 1)) - 1).max() < 1e-12
+        assert all(r.q == r.base for r in out) or np.allclose([[r.q[k] for k in "wxyz"] for r in out], [[r.base[k] for k in "wxyz"] for r in out])
+    out = sorted(builds.control(samples, frames, ["clip"], EXPOSURE).collect(), key=lambda r: (r.frame, r["index"]))
+    q = slerp(t, qs, t + delta[[r.frame for r in out]])
+    assert np.abs(np.abs(np.sum(np.array([[r.q[k] for k in "wxyz"] for r in out]) * q, 1)) - 1).max() < 1e-12

@@ -272,3 +272,69 @@ def corrected(samples: DataFrame, frames: DataFrame, keys: list[str], s: Setting
     signed = F.when(F.col("inverted"), Q.negate(F.col("q"))).otherwise(F.col("q"))
     stored = Q.let(Q.to_sensor(F.col("_signed")), Q.normalized)
     return out.withColumn("_signed", signed).select(*keys, "frame", "index", "q", stored.alias("stored"), "base")
+
+
+def _basis(axis: tuple[float, float, float]) -> list[np.ndarray]:
+    """The axis at length one, and two across it."""
+    u = np.asarray(axis, float) / np.linalg.norm(axis)
+    a = np.array([1.0, 0, 0]) - u * u[0]
+    if np.linalg.norm(a) < 1e-9:
+        raise ValueError("the axis may not be the first one")
+    a /= np.linalg.norm(a)
+    return [u, a, np.cross(u, a)]
+
+
+def _along(axis: np.ndarray) -> Column:
+    return reduce(Column.__add__, [F.col(a) * float(v) for a, v in zip("xyz", axis)])
+
+
+def _turned(d: DataFrame, keys: list[str], angles: dict[str, np.ndarray]) -> DataFrame:
+    """d's frames with theta: angles about axes, nulls as zero."""
+    theta = [reduce(Column.__add__, [F.coalesce(F.col(n), F.lit(0.0)) * float(axis[j]) for n, axis in angles.items()]) for j in range(3)]
+    return d.select(*keys, "frame", "delta", *angles, *(t.alias(f"theta_{a}") for t, a in zip(theta, "xyz")))
+
+
+def noise_build(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settings = Settings(timing="exposure"), axis: tuple[float, float, float] = (0, 0, 1), three: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(samples, frames) without what the fixed shares take for noise in the steps about the axis, and (three) the two across it; nothing that is seen is needed."""
+    d = kept(stepped(samples, timed(samples, frames, keys, s), keys, s))
+    axes = _basis(axis)[: 3 if three else 1]
+    names = ["about", "across", "along"][: len(axes)]
+    steps = d.select(*keys, "frame", "rate", *(_along(a).alias(n) for n, a in zip(names, axes)))
+    angles = adaptive.denoised(steps, keys, "frame", names, "rate", [filters.GAIN_ROLL, filters.GAIN_OTHER, filters.GAIN_OTHER][: len(axes)], s.fps, s.soft_other, s.gain, s.slowest_hz)
+    out = kept(_turned(d.select(*keys, "frame", "delta").join(angles, [*keys, "frame"]), keys, dict(zip(names, axes))))
+    return corrected(samples, out, keys, s), out
+
+
+def roll_build(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settings = Settings(timing="exposure"), axis: tuple[float, float, float] = (0, 0, 1), soft: float = 40.0, low: float = 4.0, high: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(samples, frames) whose turn about the axis is what iz shows of it, between two frequencies, the less the faster the motion."""
+    d = kept(stepped(samples, timed(samples, frames, keys, s), keys, s))
+    (u,) = _basis(axis)[:1]
+    off = F.coalesce((F.col("iz") - _along(u)) / (1 + F.pow(F.col("rate") / soft, F.lit(2.0))), F.lit(0.0)) * s.gain
+    band = filters.butterworth("band", (low, min(high or s.fps / 2 * 0.992, s.fps / 2 * 0.999)), s.fps)
+    sums = d.select(*keys, "frame", cumulative_before(off, keys, "frame").alias("about"))
+    angle = filters.filtered_all(sums, keys, "frame", ["about"], lambda x: filters.zero_phase(x, band))
+    out = kept(_turned(d.select(*keys, "frame", "delta").join(angle, [*keys, "frame"]), keys, {"about": u}))
+    return corrected(samples, out, keys, s), out
+
+
+def burst_build(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settings = Settings(timing="exposure"), axis: tuple[float, float, float] = (0, 0, 1), least: float = 0.2, soft: float = 40.0, rate_max: float = 150.0, margin: int = 8, gap_rows: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(samples, frames) turned about the axis in bursts only: see corrections.burst_angle. What is told of a burst is read at the frames' own instants."""
+    own = kept(stepped(samples, frames.withColumn("delta", F.lit(0.0)), keys, s))
+    (u,) = _basis(axis)[:1]
+    gap = own.select(*keys, "frame", "rate", (F.col("iz") - _along(u)).alias("gap"))
+    angle = corrections.burst_angle(gap, keys, "frame", "gap", "rate", least, soft, rate_max, margin, gap_rows).select(*keys, "frame", (F.col("angle") * s.gain).alias("about"))
+    moved = timed(samples, frames, keys, s).select(*keys, "frame", "delta")
+    out = kept(_turned(moved.join(angle, [*keys, "frame"], "left"), keys, {"about": u}))
+    return corrected(samples, out, keys, s), out
+
+
+def align_build(samples: DataFrame, frames: DataFrame, keys: list[str], shift: str, s: Settings = Settings(), every: bool = True, extra_ms: float = 0.0) -> DataFrame:
+    """Samples read at their frame's shift (a column of frames, microseconds; every: that of each frame, else the median of all) and extra_ms later."""
+    own = F.col(shift) if every else F.percentile(shift, F.lit(0.5)).over(Window.partitionBy(*keys))
+    still = frames.select(*keys, "frame", (own + extra_ms * 1000.0).alias("delta"), *(F.lit(0.0).alias(f"theta_{a}") for a in "xyz"))
+    return corrected(samples, still, keys, s)
+
+
+def control(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settings = Settings()) -> DataFrame:
+    """What a build would give without any correction but the timing."""
+    return align_build(samples, timed(samples, frames, keys, s), keys, "delta", s)

@@ -70,5 +70,38 @@ def a03_measured_shift(spark, sf_dir):
     return found.select("clip_id", *(r6(F.col(c)).alias(c) for c in ("shift", "best", "zero")), "clear", "used")
 
 
-QUERIES = {f.__name__: f for f in (c01_main_build, c01_build_frames, w24_lowpass_events, a03_measured_shift)}
+EXPOSURE = builds.Settings(fps=FPS, timing="exposure")
+
+
+def _samples(samples):
+    return samples.select("clip_id", "frame", "index", *flat(F.col("q"), "q"), *flat(F.col("stored"), "s"))
+
+
+def c02_noise_build(spark, sf_dir):
+    """Samples without the noise of all three axes, by fixed shares."""
+    return _samples(builds.noise_build(*telemetry(spark, sf_dir), K, EXPOSURE)[0])
+
+
+def c04_roll_build(spark, sf_dir):
+    """Samples whose roll follows what is seen from 4 Hz on."""
+    return _samples(builds.roll_build(*telemetry(spark, sf_dir), K, EXPOSURE)[0])
+
+
+def c04_burst_build(spark, sf_dir):
+    """Samples whose roll follows what is seen in bursts."""
+    return _samples(builds.burst_build(*telemetry(spark, sf_dir), K, EXPOSURE, least=0.02)[0])
+
+
+def c06_align_build(spark, sf_dir):
+    """Samples at the instant that each frame's exposure stands for, a millisecond later."""
+    samples, frames = telemetry(spark, sf_dir)
+    return _samples(builds.align_build(samples, frames.withColumn("shift", (F.col("exposure") - 10) * 400), K, "shift", EXPOSURE, extra_ms=1.0))
+
+
+def c07_control(spark, sf_dir):
+    """Samples with their timing alone put right."""
+    return _samples(builds.control(*telemetry(spark, sf_dir), K, builds.Settings(fps=FPS)))
+
+
+QUERIES = {f.__name__: f for f in (c01_main_build, c01_build_frames, w24_lowpass_events, a03_measured_shift, c02_noise_build, c04_roll_build, c04_burst_build, c06_align_build, c07_control)}
 ORACLE: dict[str, str] = {}
