@@ -1,12 +1,13 @@
 import collections
 import random
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import tokenizers
 
-from tidemark.llm import packing, words
+from tidemark.llm import packing, token_counts, words
 
 TEXTS = ["a b", "b", "", "  x y\n", "ab", None, "a", "é è a b", "b a", "x\x1cy z", "q" * 300]
 
@@ -120,3 +121,20 @@ def test_packs_odd_rows(docs):
     assert sorted((r.doc_id, r.doc_tokens) for r in found if r.doc_id in (1, 2)) == [(1, 1), (2, 1)]
     assert sum(r.length for r in found) == sum({r.doc_id: r.doc_tokens * (2 if r.doc_id == 3 else 1) for r in found}.values())
     assert packing.pack(docs(rows).limit(0)).count() == 0
+
+
+def test_long_words_by_place_are_those_of_the_trie(monkeypatch):
+    draw = random.Random(4)
+    pieces = {x: token_counts.cost(i) for i, x in enumerate(["a", "b", "ab", "ba", "aba", "abab", "é", "éa", "bbbb", "aaaaaaa"])}
+    vocab = token_counts.Vocabulary(pieces, token_counts.cost(len(pieces)))
+    own = sorted({"".join(draw.choice("abé語") for _ in range(draw.randrange(1, 120))) for _ in range(200)})
+    trie = vocab.terminal_counts(own).tolist()
+    monkeypatch.setattr(token_counts, "LONG", 0)
+    for stretch in (1 << 16, 7):
+        monkeypatch.setattr(token_counts, "STRETCH", stretch)
+        assert vocab.terminal_counts(own).tolist() == trie
+    monkeypatch.undo()
+    began = time.time()
+    found = vocab.terminal_counts(sorted([*own, "ab" * 500_000, "語" * 20_000]))
+    assert max(found) == 250_000 and time.time() - began < 60
+    assert 60_000 in found.tolist()  # three bytes each, which no piece has

@@ -3,7 +3,8 @@
 The pieces are those of a public vocabulary, with a cost that grows with the logarithm of their rank. The
 distinct pre-tokens of a batch form a trie: words in order share the nodes of their common prefixes. Level
 by level, each node gets the least cost of a segmentation of its prefix and how many pieces it has, from the
-nodes of its last pieces; what stands at the end of a word is its terminal count.
+nodes of its last pieces; what stands at the end of a word is its terminal count. Words longer than LONG, which share
+few nodes, are gone through one by one, so that neither time nor memory is the longest word times the number of words.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from .store import bounded_batches
 
 #: Words of which a worker remembers the terminal count, before it starts anew.
 KNOWN_WORDS = 1_000_000
+#: Code points of a word in the trie; the count of one of that length is far below 2^_COUNT_BITS.
+LONG = 128
 _COUNT_BITS = 24
+#: Places of a long word whose pieces are looked up together.
+STRETCH = 1 << 16
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
@@ -72,6 +77,43 @@ class Vocabulary:
 
     def terminal_counts(self, words: list[str]) -> np.ndarray:
         """The number of pieces of the best segmentation of each of these sorted, distinct words."""
+        long = np.array([len(x) > LONG for x in words], bool)
+        out = np.zeros(len(words), np.int64)
+        out[~long] = self._by_trie([x for x, far in zip(words, long) if not far])
+        out[long] = [self._by_place(x) for x, far in zip(words, long) if far]
+        return out
+
+    def _by_place(self, word: str) -> int:
+        """The count of one word of any length: for each place the least cost up to it, and its pieces, from the pieces that end there."""
+        codes = np.frombuffer(word.encode("utf-32-le"), "<u4")
+        power = np.cumprod(np.append(np.uint64(1), np.full(len(codes), _MULTIPLIER, np.uint64)))
+        inverse = np.cumprod(np.append(np.uint64(1), np.full(len(codes), _INVERSE, np.uint64)))
+        ahead = np.append(np.uint64(0), np.cumsum(_code_hash(codes) * power[:-1]))
+        utf8 = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4))).tolist()
+        costs, counts = [0], [0]
+        for low in range(0, len(codes), STRETCH):
+            ends = np.arange(low + 1, min(low + STRETCH, len(codes)) + 1)
+            found = []
+            for k, (names, values) in self.by_length.items():
+                own = ends[ends >= k]
+                h = (ahead[own] - ahead[own - k]) * inverse[own - k]
+                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                hit = names[at] == h
+                found.append((own[hit], np.full(int(hit.sum()), k), values[at[hit]] >> _COUNT_BITS))
+            end, size, price = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            order = np.argsort(end, kind="stable")
+            first = np.searchsorted(end[order], np.append(ends, ends[-1] + 1)).tolist()
+            size, price = size[order].tolist(), price[order].tolist()
+            for i, e in enumerate(ends.tolist()):
+                best = (costs[e - 1] + utf8[e - 1] * self.byte_cost, counts[e - 1] + utf8[e - 1])
+                for j in range(first[i], first[i + 1]):
+                    from_ = e - size[j]
+                    best = min(best, (costs[from_] + price[j], counts[from_] + 1))
+                costs.append(best[0])
+                counts.append(best[1])
+        return counts[-1]
+
+    def _by_trie(self, words: list[str]) -> np.ndarray:
         n = len(words)
         size = np.array([len(x) for x in words], np.int64)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
@@ -140,7 +182,8 @@ def token_counts(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     Words are stretches without white space, each with a word-start mark before it; characters that no piece
     has count as their UTF-8 bytes. A null or empty text has no tokens; ids may be null; repeated rows are
-    counted each; an empty table gives no rows; other columns are left out.
+    counted each; an empty table gives no rows; other columns are left out. Texts without white space are one word
+    and are segmented whole: time and memory grow with their length.
     """
     bounded_batches(docs.sparkSession)
     path = model or default_model()
