@@ -1,5 +1,6 @@
 import base64
 import bisect
+import collections
 import hashlib
 import zlib
 
@@ -120,3 +121,22 @@ def test_keys_overflow_clockwise():
     points = sharding.ring(3, 4)
     order = sharding.clockwise(points, 0)
     assert sharding.plan([(0, 0, 10)], points, [4, 4, 4]) == [(0, 0, order[0], 0, 4), (0, 0, order[1], 4, 8), (0, 0, order[2], 8, 10)]
+
+
+def test_copies_of_one_row_fill_no_cell(docs, monkeypatch):
+    """Two thirds of the rows are one row: all of them are placed, evenly and gapless, and those past a full shard go on."""
+    rows = [(7, "the same text")] * 4000 + [(i, f"text {i}") for i in range(100, 2000)] + [(None, None)] * 50
+    table = docs(rows)
+    found = {}
+    for copies in (50_000, 70):
+        monkeypatch.setattr(sharding, "COPIES", copies)
+        out = sharding.assigned(table).collect()
+        counts = collections.Counter(r.shard for r in out)
+        assert len(out) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
+        for shard, n in counts.items():
+            assert sorted(r.slot for r in out if r.shard == shard) == list(range(n))
+        assert collections.Counter(r.doc_id for r in out) == collections.Counter(r[0] for r in rows)
+        found[copies] = sorted((r.shard, r.slot, r.doc_id or 0) for r in out)
+    assert found[70] == found[50_000] and len({r.shard for r in out if r.doc_id == 7}) > 4
+    out = sharding.assigned(table, law="bytes").groupBy("shard").sum("size").collect()
+    assert max(r[1] for r in out) - min(r[1] for r in out) <= 40

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .store import bounded_batches, written
 
 SHARDS, VNODES, BUCKETS = 8, 128, 32
+#: Copies of one row that a task gives out at once.
+COPIES = 50_000
 
 
 def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -87,28 +89,36 @@ def assigned(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, law: s
     place = F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32", "size")).otherwise(F.xxhash64("doc_id"))
     slim = slim.withColumn("turn", F.xxhash64("doc_id", "text_crc32", "size", F.lit(1))).withColumn("arc", arc_of(place, points))
     slim = slim.withColumn("bucket", F.pmod("turn", F.lit(buckets)).cast("int")).withColumn("weight", F.lit(1).cast("long") if law == "rows" else F.col("size"))
-    slim = written(slim, "shard-keys")
+    # rows that are equal in all of this are one with a number of copies, so that no cell is larger than its different rows
+    own = ["doc_id", "size", "text_crc32", "turn", "arc", "bucket", "weight"]
+    slim = written(slim.groupBy(*own).agg(F.count(F.lit(1)).alias("copies")), "shard-keys")
 
-    cells = [tuple(x) for x in slim.groupBy("arc", "bucket").agg(F.sum("weight")).toLocalIterator()]  # arcs * buckets rows at most
+    cells = [tuple(x) for x in slim.groupBy("arc", "bucket").agg(F.sum(F.col("weight") * F.col("copies"))).toLocalIterator()]  # arcs * buckets rows at most
     parts = plan(cells, points, capacities(sum(x[2] for x in cells), shards, slack))
     parts_df = spark.createDataFrame(parts, "arc int, bucket int, shard int, low long, high long")
     in_cell = Window.partitionBy("arc", "bucket").orderBy("turn", "doc_id", "text_crc32", "size")
-    before = F.sum("weight").over(in_cell.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum(F.col("weight") * F.col("copies")).over(in_cell.rowsBetween(Window.unboundedPreceding, -1))
     running = slim.withColumn("before", F.coalesce(before, F.lit(0)))
-    met = running.join(F.broadcast(parts_df), ["arc", "bucket"]).where("before >= low and before < high")
-    met = written(met.select("doc_id", "size", "text_crc32", "turn", "arc", "bucket", "shard"), "shard-rows")
+    # copies of a row whose weight begins in a part belong to it
+    first_from = lambda edge: F.greatest(F.lit(0), F.least(F.col("copies"), F.expr(f"({edge} - before + weight - 1) div weight")))
+    met = running.join(F.broadcast(parts_df), ["arc", "bucket"]).where("low < before + weight * copies and high > before").withColumn("n", first_from("high") - first_from("low")).where("n > 0")
+    met = written(met.select("doc_id", "size", "text_crc32", "turn", "arc", "bucket", "shard", "n"), "shard-rows")
 
-    counts = sorted((tuple(x) for x in met.groupBy("shard", "bucket", "arc").count().toLocalIterator()))  # a few more than cells
+    counts = sorted((tuple(x) for x in met.groupBy("shard", "bucket", "arc").agg(F.sum("n")).toLocalIterator()))  # a few more than cells
     starts = []
-    for _, own in groupby(counts, key=lambda x: x[0]):
+    for _, group in groupby(counts, key=lambda x: x[0]):
         at = 0
-        for s, b, a, n in own:
+        for s, b, a, n in group:
             starts.append((s, b, a, at))
             at += n
     starts_df = spark.createDataFrame(starts, "shard int, bucket int, arc int, first long")
-    rank = F.row_number().over(Window.partitionBy("arc", "bucket", "shard").orderBy("turn", "doc_id", "text_crc32", "size"))
-    placed = met.withColumn("rank", rank).join(F.broadcast(starts_df), ["shard", "bucket", "arc"])
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"))
+    in_part = Window.partitionBy("arc", "bucket", "shard").orderBy("turn", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = met.withColumn("before", F.coalesce(F.sum("n").over(in_part), F.lit(0))).join(F.broadcast(starts_df), ["shard", "bucket", "arc"])
+    placed = placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("before")).alias("at"), "n")
+    many = placed.where(F.col("n") > COPIES).select("*", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})")).alias("block"))
+    many = many.select("doc_id", "size", "text_crc32", "shard", (F.col("at") + F.col("block") * COPIES).alias("at"), F.least(F.lit(COPIES).cast("long"), F.col("n") - F.col("block") * COPIES).alias("n"))
+    every = placed.where(F.col("n") <= COPIES).union(many.repartition("at"))
+    return every.select("doc_id", "size", "text_crc32", "shard", F.explode(F.expr("sequence(at, at + n - 1)")).alias("slot"))
 
 
 def sharded(docs: DataFrame) -> DataFrame:
