@@ -181,3 +181,17 @@ def test_gap_fill_and_as_of_are_linear_in_a_series(spark):
     line = s.select("k", "t", (F.col("t") * 2).alias("v"))
     met = asof.interpolated(line, s.select("k", (F.col("t") - 3).alias("t"), F.col("t").alias("own")), ["k"], "t", "v")
     assert met.where(F.abs(F.col("v") - 2 * F.greatest(F.col("own") - 3, F.lit(0.0))) > 1e-6).count() == 0 and met.count() == n
+
+
+def test_axis_fit_and_its_rules(spark):
+    draw = np.random.default_rng(2)
+    v = draw.normal(size=(2000, 3))
+    axis = np.array([0.2, -0.3, 0.9])
+    rows = [("good", *map(float, x), float(x @ axis)) for x in v] + [("noise", *map(float, x), float(draw.normal())) for x in v] + [("few", *map(float, x), float(x @ axis)) for x in v[:199]]
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double, img double")
+    found = {r.k: r for r in stats.axis_fit(df, ["k"], ("x", "y", "z"), "img", F.lit(True), 0.9, otherwise=(0.0, 3.0, 4.0)).collect()}
+    assert np.allclose([found["good"][f"a{k}"] for k in "xyz"], axis / np.linalg.norm(axis), atol=1e-9) and found["good"].gain == pytest.approx(np.linalg.norm(axis))
+    for k in ("noise", "few"):
+        assert (found[k].ax, found[k].ay, found[k].az, found[k].gain) == pytest.approx((0, 0.6, 0.8, 5.0))
+    assert found["noise"].corr < 0.9 and found["few"].corr is None
+    assert [r.ax for r in stats.axis_fit(df.where("k = 'noise'"), ["k"], ("x", "y", "z"), "img", F.lit(True), 0.8).collect()] == [None]

@@ -46,3 +46,22 @@ def ranks(value: str, window) -> Column:
     ordered = window.orderBy(value)
     ties = F.count(F.lit(1)).over(window.orderBy(value).rangeBetween(0, 0))
     return F.rank().over(ordered) + (ties - 1) / 2
+
+
+def axis_fit(df: DataFrame, keys: list[str], xs: tuple[str, str, str], y: str, use: Column, least_corr: float, least: int = 200, otherwise: tuple[float, float, float] | None = None) -> DataFrame:
+    """keys, ax, ay, az (of length one), gain, corr and n: the direction along which xs tell y, by least squares over the rows to use.
+
+    With fewer than `least` rows, a gain of nothing or a correlation under least_corr it is the direction and length of `otherwise`, or null; corr
+    stays what was found.
+    """
+    known = df.where(use & F.col(y).isNotNull())
+    fit = plane_fit(known, keys, xs, y)
+    predicted = sum((F.col(n) * F.col(x) for n, x in zip("abc", xs)), F.lit(0.0))
+    told = known.join(fit, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(predicted, F.col(y)).alias("corr"), *(F.first(n).alias(n) for n in "abc"))
+    every = df.select(*keys).distinct().join(told, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    length = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
+    good = (F.col("n") >= least) & (length >= 1e-9) & F.coalesce(F.col("corr") >= least_corr, F.lit(False))
+    size = None if otherwise is None else sum(v * v for v in otherwise) ** 0.5
+    other = [F.lit(None).cast("double")] * 3 if otherwise is None else [F.lit(v / size) for v in otherwise]
+    axis = [F.when(good, F.col(n) / length).otherwise(o).alias(f"a{k}") for n, k, o in zip("abc", "xyz", other)]
+    return every.select(*keys, *axis, F.when(good, length).otherwise(F.lit(size).cast("double")).alias("gain"), F.when(F.col("n") >= least, F.col("corr")).alias("corr"), "n")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import adaptive, builds, composites, events, files, filtering, fits, greedy, recordings, repairs, rotations, series, sessions
+from . import adaptive, builds, composites, events, files, filtering, fits, greedy, recordings, repairs, rotations, rules, series, sessions
 
-MODULES = [series, events, repairs, rotations, filtering, greedy, recordings, composites, sessions, adaptive, builds, fits, files]
+MODULES = [series, events, repairs, rotations, filtering, greedy, recordings, composites, sessions, adaptive, builds, fits, files, rules]
 FLAGSHIP = "flagship_unconfirmed_jumps"
 
 
