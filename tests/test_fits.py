@@ -316,3 +316,56 @@ def test_session_rates(spark):
         fits.session_rates(samples, pairs.where("frame < 25"), K, 50.0, 10.0).collect()
     with pytest.raises(Exception, match="do not reach"):
         fits.session_rates(samples.where("t < 3"), pairs, K, 50.0, 10.0).collect()
+
+
+def test_detail_targets(spark):
+    draw = np.random.default_rng(11)
+    t = np.arange(900) * 0.005
+    samples, q = attitudes(spark, t, np.column_stack([8 * np.sin(t * 2), 5 * np.cos(t * 3), 4 * np.sin(t)]) + draw.normal(0, 0.01, (900, 3)))
+    n, dt, offset = 220, 0.02, 0.0068
+    at = (np.arange(n) + 0.5) * dt
+    told, seen = (np.column_stack([9 * np.sin(at * 2 + k) for k in range(3)]) + draw.normal(0, s, (n, 3)) for s in (2.0, 1.0))
+    seen[[30, 31, 90]] = np.nan
+    confidence = np.where(np.arange(n) % 13 == 0, 0.1, 0.9)
+    confidence[145:170] = 0.0
+    f = lambda x: None if np.isnan(x) else float(x)
+    rates = spark.createDataFrame([("a", i, float(at[i]), *map(f, told[i]), *map(f, seen[i]), float(confidence[i])) for i in range(n)], "k string, frame int, t double, gx double, gy double, gz double, sx double, sy double, sz double, confidence double")
+    p, s = [2, 0, 1], [-1, 1, -1]
+    maps = spark.createDataFrame([("a", p, s)], "k string, p array<int>, s array<int>")
+    windows = [("a", 1, 0.601, 0.8), ("a", 2, 1.7, 1.95), ("a", 3, 3.0, 3.2), ("a", 4, 0.7, 0.9)]
+    found, report = fits.detail_targets(samples, spark.createDataFrame(windows, "k string, run int, lo double, hi double"), rates, maps, K, dt, offset)
+    told_of = {r.run: r for r in report.collect()}
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.run, []).append((r.t, [r.q[c] for c in "wxyz"]))
+
+    def detail(x):
+        good = ~np.isnan(x)
+        x = np.interp(np.arange(n), np.flatnonzero(good), x[good])
+        return x - np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, 3, mode="edge"), 7), axis=1)
+
+    common = told + np.column_stack([detail(seen[:, k]) - detail(told[:, k]) for k in range(3)])
+    raw = np.empty_like(common)
+    raw[:, p] = common / s
+    for _, run, lo, hi in windows:
+        ok = ~np.isnan(seen).any(1) & (confidence >= 0.2) & (at >= lo - 0.1) & (at <= hi + 0.1)
+        inside = t[(t >= lo) & (t <= hi)]
+        ends = slerp(t, q, np.array([lo, hi]))
+        assert told_of[run].used == ok.sum() and told_of[run].method == ("detail" if run != 3 else "bridge")
+        grid = np.concatenate([[lo], inside, [hi]])
+        u = ((grid - lo) / (hi - lo))[:, None]
+        if run == 3:
+            want = fits._mul(np.repeat(ends[:1], len(grid), 0), exp(fits._log(fits._mul(fits._inverse(ends[:1]), ends[1:])) * u))
+            assert told_of[run].drift is None
+        else:
+            rate = np.column_stack([np.interp(grid, at[ok] + offset, raw[ok, a]) for a in range(3)])
+            path = [ends[:1]]
+            for a, b, step in zip(rate, rate[1:], np.diff(grid)):
+                path.append(fits._mul(path[-1], exp(-(a + b) / 2 * step)))
+            path = np.concatenate(path)
+            missing = fits._log(fits._mul(fits._inverse(path[-1:]), ends[1:]))
+            assert told_of[run].drift == pytest.approx(np.linalg.norm(missing), rel=1e-9)
+            want = fits._mul(path, exp(u * u * (3 - 2 * u) * missing))
+        have = sorted(got[run])
+        assert [x for x, _ in have] == pytest.approx(inside.tolist())
+        assert np.abs(np.abs(np.sum(np.array([x for _, x in have]) * want[1:-1], 1)) - 1).max() < 1e-10

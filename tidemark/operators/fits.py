@@ -387,3 +387,76 @@ def session_rates(samples: DataFrame, pairs: DataFrame, keys: list[str], fps: fl
     maps = maps.select(*keys, F.when(few, F.raise_error(F.lit("too few pairs to fit the axes")).cast("array<int>")).otherwise(F.col("p")).alias("p"), "s", "err")
     met = d.join(maps, keys)
     return met.select(*keys, "frame", *((F.array("rx", "ry", "rz")[F.col("p")[j]] * F.col("s")[j]).alias(a) for j, a in enumerate("xyz")), "err")
+
+
+# Least confidence of a picture's rates, seconds beside a window whose rates count, and of the running median that is their slow part.
+CONFIDENCE, BESIDE_S, DETAIL_S = 0.20, 0.1, 0.12
+
+
+def detail_targets(samples: DataFrame, windows: DataFrame, rates: DataFrame, maps: DataFrame, keys: list[str], dt: float, offset: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(targets, windows): an attitude for each sample in a window whose motion has the detail that pictures show, and ends where it did.
+
+    samples: keys, t (seconds) and q; windows: keys, run, lo and hi; rates: keys, frame, t, gx, gy, gz (told) and sx, sy, sz (seen, degrees a second
+    in the pictures' axes, null where unknown) and confidence, dt apart and told `offset` seconds after t; maps: keys, p and s, the signed order of axes of
+    session_rates(). What is told less its running median gives way to what is seen less its own; the rates at the window's samples are
+    taken on lines between those with confidence, summed up as rotations from the attitude at lo, and what is missing at hi is blended in
+    smoothly. With fewer than two such rates the target is the shortest arc between both ends.
+
+    targets: keys, run, t and q. windows: keys, run, method (detail or bridge), used (rates) and drift (degrees at hi; null of a bridge).
+    """
+    size = max(3, round(DETAIL_S / dt))
+    size += size % 2 == 0
+    told, seen = [f"g{a}" for a in "xyz"], [f"s{a}" for a in "xyz"]
+    slow = rates.select(*keys, "frame", *(F.col(c).alias(f"_o_{c}") for c in (*told, *seen)), "t", "confidence", *told, *seen)
+    d = corrections.details(slow, keys, "frame", [*told, *seen], size).join(maps.select(*keys, "p", "s"), keys)
+    common = [F.col(f"_o_{g}") + F.col(s) - F.col(g) for g, s in zip(told, seen)]
+    raw = [sum((F.when(F.col("p")[j] == k, common[j] / F.col("s")[j]).otherwise(0.0) for j in range(3)), F.lit(0.0)) for k in range(3)]
+    known = d.select(*keys, "t", *(c.alias(f"r{a}") for c, a in zip(raw, "xyz")), "confidence").where(F.col("confidence") >= CONFIDENCE).dropna()
+    ends = windows.select(*keys, "run", "lo", "hi")
+    asked = ends.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_end")).withColumn("t", F.when(F.col("_end") == 0, F.col("lo")).otherwise(F.col("hi")))
+    asked = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q")
+    ends = asked.groupBy(*keys, "run", "lo", "hi").agg(*(F.max_by("q", F.when(F.col("_end") == k, 1).otherwise(0)).alias(f"q{k}") for k in (0, 1)))
+    near = windows.select(*keys, "run", (F.col("lo") - BESIDE_S).alias("_from"), (F.col("hi") + BESIDE_S).alias("_to"))
+    have = G.within(known, near, keys, "t", "_from", "_to", 1.0).select(*keys, "run", F.lit(0).alias("kind"), (F.col("t") + offset).alias("at"), "rx", "ry", "rz")
+    inner = G.within(samples.select(*keys, "t"), windows.select(*keys, "run", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), keys, "t", "_lo", "_hi", 1.0)
+    none = [F.lit(None).cast("double").alias(f"r{a}") for a in "xyz"]
+    grid = inner.select(*keys, "run", F.lit(1).alias("kind"), F.col("t").alias("at"), *none).union(ends.select(*keys, "run", F.lit(2).alias("kind"), F.col("lo"), *none))
+    rows = have.union(grid).join(ends, [*keys, "run"]).select(*keys, "run", "kind", "at", "rx", "ry", "rz", "lo", "hi", *(F.col(f"q{k}.{p}").alias(f"q{k}{p}") for k in (0, 1) for p in Q.PARTS))
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        parts = []
+        for i, j in zip(starts, np.append(starts[1:], table.num_rows)):
+            group = table.slice(i, j - i)
+            kind, at = group["kind"].to_numpy(), group["at"].to_numpy()
+            lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+            q0, q1 = (np.array([[group[f"q{k}{p}"][0].as_py() for p in Q.PARTS]]) for k in (0, 1))
+            t, given = at[kind == 1], at[kind == 0]
+            whole = np.concatenate([[lo], t, [hi]])
+            u = ((whole - lo) / (hi - lo) if hi > lo else np.zeros(len(whole)))[:, None]
+            drift = None
+            if len(given) >= 2:
+                rate = np.column_stack([np.interp(whole, given, group[f"r{a}"].to_numpy()[kind == 0]) for a in "xyz"])
+                steps = _exp(-(rate[:-1] + rate[1:]) / 2 * np.diff(whole)[:, None])
+                path = [q0[0]]
+                for s in steps:  # a window's samples
+                    q = _mul(path[-1][None], s[None])[0]
+                    path.append(q / np.linalg.norm(q))
+                path = np.array(path)
+                missing = _log(_mul(_inverse(path[-1:]), q1))
+                drift = float(np.linalg.norm(missing))
+                path = _mul(path, _exp(u * u * (3 - 2 * u) * missing))
+            else:
+                path = _mul(np.repeat(q0, len(whole), 0), _exp(_log(_mul(_inverse(q0), q1)) * u))
+            # a row for each sample, and one without an instant for the window itself
+            path = path[1:-1] / np.linalg.norm(path[1:-1], axis=1, keepdims=True)
+            head = group.select([*keys, "run"]).take(pa.array([0] * (len(t) + 1)))
+            values = {"t": [*t.tolist(), None], **{p: [*x.tolist(), None] for p, x in zip(Q.PARTS, path.T)}, "used": [len(given)] * (len(t) + 1), "drift": [drift] * (len(t) + 1)}
+            for name, x in values.items():
+                head = head.append_column(name, pa.array(x, pa.int64() if name == "used" else pa.float64()))
+            parts.append(head)
+        return pa.concat_tables(parts)
+
+    types = ", ".join(f"`{k}` {dict(windows.dtypes)[k]}" for k in (*keys, "run"))
+    found = whole_groups(rows, [*keys, "run"], ["kind", "at"], run, f"{types}, t double, w double, x double, y double, z double, used long, drift double")
+    told_windows = found.where("t is null").select(*keys, "run", F.when(F.col("used") >= 2, "detail").otherwise("bridge").alias("method"), "used", "drift")
+    return found.where("t is not null").select(*keys, "run", "t", Q.quat(*(F.col(p) for p in Q.PARTS)).alias("q")), told_windows

@@ -73,7 +73,7 @@ def _seconds(spark, sf_dir):
 
 def _gaps(samples):
     """A gap of 0.2 s in every two seconds."""
-    ends = samples.groupBy(*K).agg(F.max("t").alias("end"))
+    ends = samples.groupBy(*K).agg(F.max("t").alias("end")).where("end >= 4")
     runs = ends.select(*K, F.explode(F.sequence(F.lit(1), F.floor(F.col("end") / 2 - 1).cast("int"))).alias("run"))
     return runs.select(*K, "run", (F.col("run") * 2.0 + 0.301).alias("lo"), (F.col("run") * 2.0 + 0.501).alias("hi"))
 
@@ -110,7 +110,7 @@ def c13_spline_fit(spark, sf_dir):
 def c09_fullrate_trial(spark, sf_dir):
     """Samples in windows of two seconds, turned towards their motion below 8 Hz read two milliseconds later."""
     samples, _ = _seconds(spark, sf_dir)
-    ends = samples.groupBy(*K).agg(F.max("t").alias("end"))
+    ends = samples.groupBy(*K).agg(F.max("t").alias("end")).where("end >= 4.5")
     at = ends.select(*K, "end", F.explode(F.sequence(F.lit(0), F.floor((F.col("end") - 4) / 10).cast("int"))).alias("k")).select(*K, (F.col("k") * 10.0 + 1).alias("lo"), (F.col("k") * 10.0 + 3).alias("hi"))
     both = at.union(at.select(*K, F.col("lo") + 1, F.col("hi") + 0.5))
     found = fits.fullrate_trial(samples, both, K, 200.0, 8.0, 0.5, shift=0.002)
@@ -126,5 +126,17 @@ def m12_session_rates(spark, sf_dir):
     return found.select(*K, "frame", *(r6(F.col(k)).alias(k) for k in ("x", "y", "z", "err")))
 
 
-QUERIES = {f.__name__: f for f in (m07_lens_lift, m03_rotation_fit, m02_affine_flow, c10_context_curve, c10_curves, c13_spline_fit, c09_fullrate_trial, m12_session_rates)}
+def c11_detail_targets(spark, sf_dir):
+    """Attitudes in gaps with the detail that pictures show, ending where they did."""
+    samples, frames = _seconds(spark, sf_dir)
+    w = Window.partitionBy(*K).orderBy("frame")
+    at = samples.where("index = 0").select(*K, "frame", "q", F.lead("q").over(w).alias("next")).where("next is not null").withColumn("v", Q.increment(F.col("next"), F.col("q")))
+    told = at.select(*K, "frame", *((F.col(f"v.{a}") * FPS).alias(f"g{a}") for a in "xyz"))
+    rates = frames.join(told, [*K, "frame"]).select(*K, "frame", ((F.col("frame") + 0.5) / FPS).alias("t"), "gx", "gy", "gz", *((F.col(f"i{a}") * -FPS).alias(f"s{a}") for a in "xyz"), (F.col("points") / 500).alias("confidence"))
+    maps = frames.select(*K).distinct().select(*K, F.array(*map(F.lit, (0, 1, 2))).alias("p"), F.array(*map(F.lit, (1, 1, 1))).alias("s"))
+    found, _ = fits.detail_targets(samples, _gaps(samples), rates, maps, K, 1 / FPS)
+    return found.select(*K, "run", r6(F.col("t")).alias("t"), *flat(F.col("q"), "q"))
+
+
+QUERIES = {f.__name__: f for f in (m07_lens_lift, m03_rotation_fit, m02_affine_flow, c10_context_curve, c10_curves, c13_spline_fit, c09_fullrate_trial, m12_session_rates, c11_detail_targets)}
 ORACLE = {"m07_lens_lift": M07}
