@@ -1,4 +1,8 @@
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -37,3 +41,20 @@ def test_query_matches_its_sql(spark, duck, name):
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("left", ["nothing", "an empty folder", "a broken module"])
+def test_the_corpus_part_may_be_missing_but_not_broken(tmp_path, left):
+    top = Path(entry.__file__).parent
+    shutil.copytree(top / "tidemark", tmp_path / "tidemark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    if left != "nothing":
+        (tmp_path / "tidemark/llm").mkdir()
+    if left == "a broken module":
+        (tmp_path / "tidemark/llm/__init__.py").write_text("")
+        (tmp_path / "tidemark/llm/queries.py").write_text("import no_such_module_anywhere")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    if left == "a broken module":
+        assert "no_such_module_anywhere" in done.stderr
+    else:
+        assert done.stdout.split()[-2:] == [str(len(catalog.queries())), str(len(catalog.oracle_sql()))], done.stderr
