@@ -234,9 +234,13 @@ def plain_build(m):
     return dict(delta=delta, rate=rate, valid=valid, spike=spike, p=noise, e=release(changed, inside), j=release(c_spike, spike), verdicts=verdicts, inc=inc)
 
 
-def test_main_build_matches_plain_numpy(spark, motion):
-    samples, frames = tables(spark, motion)
-    fixed, found, events = builds.main_build(samples, frames, ["clip"], S)
+@pytest.fixture(scope="module")
+def built(spark, motion):
+    return builds.main_build(*tables(spark, motion), ["clip"], S)
+
+
+def test_main_build_matches_plain_numpy(spark, motion, built):
+    fixed, found, events = built
     want = plain_build(motion)
     rows = found.orderBy("frame").collect()
     col = lambda *names: np.array([[r[n] for n in names] for r in rows], float)
@@ -267,15 +271,14 @@ def test_main_build_matches_plain_numpy(spark, motion):
     assert np.allclose(sign, np.where(np.arange(len(back)) % 7 == 0, -1, 1))
 
 
-def test_roll_part_is_the_roll_correction(spark, motion):
+def test_roll_part_is_the_roll_correction(spark, motion, built):
     samples, frames = tables(spark, motion)
     d = builds.stepped(samples, builds.timed(samples, frames, ["clip"], S), ["clip"], S)
     from pyspark.sql import functions as F
 
     told = adaptive.roll_correction(d.select("clip", "frame", F.col("z").alias("told"), F.col("iz").alias("seen"), "curl", "points", "rate", "valid"), ["clip"], "frame", FPS)
     want = {r.frame: r.theta for r in told.collect()}
-    _, found, _ = builds.main_build(samples, frames, ["clip"], S)
-    assert all(abs(r.theta_z - want[r.frame]) < 1e-9 for r in found.collect())
+    assert all(abs(r.theta_z - want[r.frame]) < 1e-9 for r in built[1].collect())
 
 
 def events_of(spark, rows, **named):
