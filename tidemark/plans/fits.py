@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lens
 from ..functions import quaternion as Q
-from ..operators import fits
+from ..operators import fits, session_repair
+from ..shared import kept
 from .builds import FPS, telemetry
 from .series import K
 from .views import flat, r6, s6, table
@@ -126,17 +127,61 @@ def m12_session_rates(spark, sf_dir):
     return found.select(*K, "frame", *(r6(F.col(k)).alias(k) for k in ("x", "y", "z", "err")))
 
 
-def c11_detail_targets(spark, sf_dir):
-    """Attitudes in gaps with the detail that pictures show, ending where they did."""
-    samples, frames = _seconds(spark, sf_dir)
+def _rates(samples, frames):
+    """(rates, maps): what is told and seen of the motion between two frames, and the order of axes, which is the same here."""
     w = Window.partitionBy(*K).orderBy("frame")
     at = samples.where("index = 0").select(*K, "frame", "q", F.lead("q").over(w).alias("next")).where("next is not null").withColumn("v", Q.increment(F.col("next"), F.col("q")))
     told = at.select(*K, "frame", *((F.col(f"v.{a}") * FPS).alias(f"g{a}") for a in "xyz"))
     rates = frames.join(told, [*K, "frame"]).select(*K, "frame", ((F.col("frame") + 0.5) / FPS).alias("t"), "gx", "gy", "gz", *((F.col(f"i{a}") * -FPS).alias(f"s{a}") for a in "xyz"), (F.col("points") / 500).alias("confidence"))
-    maps = frames.select(*K).distinct().select(*K, F.array(*map(F.lit, (0, 1, 2))).alias("p"), F.array(*map(F.lit, (1, 1, 1))).alias("s"))
+    return rates, frames.select(*K).distinct().select(*K, F.array(*map(F.lit, (0, 1, 2))).alias("p"), F.array(*map(F.lit, (1, 1, 1))).alias("s"))
+
+
+def c11_detail_targets(spark, sf_dir):
+    """Attitudes in gaps with the detail that pictures show, ending where they did."""
+    samples, frames = _seconds(spark, sf_dir)
+    rates, maps = _rates(samples, frames)
     found, _ = fits.detail_targets(samples, _gaps(samples), rates, maps, K, 1 / FPS)
     return found.select(*K, "run", r6(F.col("t")).alias("t"), *flat(F.col("q"), "q"))
 
 
-QUERIES = {f.__name__: f for f in (m07_lens_lift, m03_rotation_fit, m02_affine_flow, c10_context_curve, c10_curves, c13_spline_fit, c09_fullrate_trial, m12_session_rates, c11_detail_targets)}
+def _session(spark, sf_dir):
+    """(samples, events, rates, maps): events of both sorts, some with another one that overlaps them. Kept, as a repair reads them many times."""
+    samples, frames = _seconds(spark, sf_dir)
+    rates, maps = _rates(samples, frames)
+    gaps = _gaps(samples)
+    late = gaps.where("run % 4 = 0").select(*K, (F.col("run") * 2 + 1).alias("run"), (F.col("lo") + 0.12).alias("lo"), (F.col("hi") + 0.1).alias("hi"))
+    events = gaps.select(*K, (F.col("run") * 2).alias("run"), "lo", "hi").union(late)
+    events = events.withColumn("kind", F.when(F.col("run") % 3 == 0, "gyro_fault").otherwise("large_impulse"))
+    return kept(samples), kept(events), kept(rates), maps
+
+
+def c12_session_repair(spark, sf_dir):
+    """Every sample with its attitude after all events are repaired."""
+    found, _ = session_repair.session_repair(*_session(spark, sf_dir), K, 1 / FPS)
+    return found.select(*K, "frame", "index", *flat(F.col("q"), "q"), *flat(F.col("applied"), "a", "xyz"))
+
+
+def c12_repairs(spark, sf_dir):
+    """What each repair rests on, with all guards."""
+    _, found = session_repair.session_repair(*_session(spark, sf_dir), K, 1 / FPS, settings=session_repair.Settings(guards=session_repair.GUARDS))
+    return found.select(*K, "run", "kind", "method", "used", "frames", *(F.round(F.col(c), 5).alias(c) for c in ("lo", "hi", "rms", "drift", "predicted", "motion", "disagreement", "scale", "quality", "gain")))
+
+
+def c12_timings(spark, sf_dir):
+    """The repaired samples read at the four timings."""
+    samples, *rest = _session(spark, sf_dir)
+    found, _ = session_repair.session_repair(samples, *rest, K, 1 / FPS)
+    shifts = found.where("index = 0").select(*K, "frame", (F.col("frame") % 7 * 150.0 - 6790).alias("shift_us"))
+    timed = session_repair.timed_variants(found, shifts, K, -13580.0)
+    return timed.select(*K, "frame", "index", "variant", *flat(F.col("q"), "q"))
+
+
+def c12_velocity(spark, sf_dir):
+    """Degrees a second from frame to frame after the repair."""
+    samples, events, rates, maps = _session(spark, sf_dir)
+    found, _ = session_repair.session_repair(samples, events, rates, maps, K, 1 / FPS)
+    return session_repair.frame_velocity(found, rates, maps, K, FPS).select(*K, "frame", *(r6(F.col(a)).alias(a) for a in "xyz"))
+
+
+QUERIES = {f.__name__: f for f in (m07_lens_lift, m03_rotation_fit, m02_affine_flow, c10_context_curve, c10_curves, c13_spline_fit, c09_fullrate_trial, m12_session_rates, c11_detail_targets, c12_session_repair, c12_repairs, c12_timings, c12_velocity)}
 ORACLE = {"m07_lens_lift": M07}
