@@ -1,7 +1,7 @@
 """Queries over recordings: files with a container, two metadata tracks and protobuf packets.
 
-The driver's tables hold no recordings, so they are written here from embeddings, a file for each label, with frames of
-five samples; the SQL tells from the same table what must be read back.
+The driver's tables hold no recordings, so they are written here from embeddings, a file for each label and stretch of
+STRETCH ids, with frames of five samples, so that no file grows with the table; the SQL tells from the same table what must be read back.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quaternion as Q
-from ..sources import container, protobuf, telemetry
+from ..sources import container, npz, protobuf, telemetry
 from .views import flat, r6, s6, table
 
 PER_FRAME, SCALE, STEP, FPS, SENSOR_FPS = 5, 60000, 1001, 59.94, 59.5
+STRETCH = 1 << 10
 
 
 def _varint(value: int) -> bytes:
@@ -83,9 +84,9 @@ def recordings(spark, sf_dir) -> DataFrame:
     """path and content; rows with vec_id in the 41s have no rotation, and in the 43s no number."""
     e = table(spark, sf_dir, "embeddings")
     part = lambda i: F.when(F.col("vec_id") % 41 == 0, 0.0).when(F.col("vec_id") % 43 == 0, F.lit(float("nan"))).otherwise(F.col("embedding")[i].cast("float").cast("double"))
-    rows = e.select("label", "vec_id", *(part(i).alias(k) for i, k in enumerate("wxyz")))
-    written = rows.groupBy("label").applyInPandas(lambda g: pd.DataFrame({"path": [f"clip-{g['label'].iloc[0]}.mp4"], "content": [_recording(g)]}), "path string, content binary")
-    return written
+    path = F.format_string("clip-%d-%d.mp4", "label", F.floor(F.col("vec_id") / STRETCH))
+    rows = e.select(path.alias("path"), "label", "vec_id", *(part(i).alias(k) for i, k in enumerate("wxyz")))
+    return rows.groupBy("path").applyInPandas(lambda g: pd.DataFrame({"path": [g["path"].iloc[0]], "content": [_recording(g)]}), "path string, content binary")
 
 
 def s01_boxes(spark, sf_dir):
@@ -171,6 +172,27 @@ def s14_reference_slots(spark, sf_dir):
     return telemetry.reference_slots(recordings(spark, sf_dir))
 
 
+def _archives(spark, sf_dir):
+    """Arrays of each stretch of ids in a zipped file; x is NaN for the 43s."""
+    e = table(spark, sf_dir, "embeddings")
+    part = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("float"))
+    x = F.when(F.col("vec_id") % 43 == 0, float("nan")).otherwise(F.col("embedding")[3].cast("double"))
+    d = e.select(F.format_string("part-%d.npz", F.floor(F.col("vec_id") / STRETCH)).alias("path"), "vec_id", "label", part.alias("v"), x.alias("x"), (F.col("vec_id") % 3 == 0).alias("flag"), F.format_string("row %d", "vec_id").alias("name"))
+    return npz.files_of(d, "path", ["vec_id"], ["vec_id", "label", "v", "x", "flag", "name"])
+
+
+def s15_arrays(spark, sf_dir):
+    """Every row of the arrays, typed; what is not a number is null, and so is an array that is not there."""
+    d = npz.rows_of(_archives(spark, sf_dir), "vec_id bigint, label int, v array<double>, x double, flag boolean, name string, other double")
+    return d.select("file", "place", "vec_id", "label", *(r6(F.col("v")[k]).alias(f"v{k}") for k in range(3)), r6(F.col("x")).alias("x"), "flag", "name", "other")
+
+
+def s15_members(spark, sf_dir):
+    """The form of every array, from its header."""
+    m = npz.members_of(_archives(spark, sf_dir))
+    return m.select("file", "member", F.when(F.col("member") != "name", F.col("dtype")).alias("dtype"), F.array_join(F.col("shape").cast("array<string>"), " x ").alias("shape"))
+
+
 def s24_record_places(spark, sf_dir):
     """Where the records of a frame lie, behind its first one: 22 bytes each."""
     _, found, _ = telemetry.read_telemetry(recordings(spark, sf_dir))
@@ -178,7 +200,7 @@ def s24_record_places(spark, sf_dir):
     return each.select("file", "frame", "index", (F.col("s.at") - F.col("first")).alias("behind"))
 
 
-_CLIPS = f"""e AS (SELECT label, vec_id, embedding, 'clip-' || label || '.mp4' AS file, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings),
+_CLIPS = f"""e AS (SELECT label, vec_id, embedding, 'clip-' || label || '-' || (vec_id // {STRETCH}) || '.mp4' AS file, row_number() OVER (PARTITION BY label, vec_id // {STRETCH} ORDER BY vec_id) - 1 AS k FROM embeddings),
     f AS (SELECT *, k // {PER_FRAME} AS frame, (k % {PER_FRAME})::INTEGER AS index FROM e), clip AS (SELECT file, label, max(frame) + 1 AS n, min(vec_id) AS first FROM f GROUP BY ALL),
     fr AS (SELECT file, frame, min(vec_id) * 1000 AS stamp, count(*) AS n FROM f GROUP BY ALL)"""
 _T = "/moov/trak/mdia/minf/stbl/"
@@ -206,6 +228,10 @@ ORACLE = {
     "s13_frames": f"WITH {_CLIPS} SELECT file, frame, {s6(f'frame * {STEP} / {SCALE}::DOUBLE')} AS t, stamp, stamp + 7 AS imu_stamp, frame AS vsync, 0.5::DOUBLE AS sample_offset, n FROM fr",
     "s14_reference_slots": f"""WITH {_CLIPS}, v AS (SELECT file, frame, index, CASE WHEN vec_id % 41 = 0 THEN 'none' WHEN vec_id % 43 = 0 THEN 'nan' ELSE vec_id::VARCHAR END AS v FROM f),
         m AS (SELECT v.file, v.frame, v.v FROM v JOIN fr USING (file, frame) WHERE index = n // 2) SELECT file, frame, min(index) AS slot FROM v JOIN m USING (file, frame, v) GROUP BY ALL""",
+    "s15_arrays": f"""SELECT 'part-' || (vec_id // {STRETCH}) || '.npz' AS file, row_number() OVER (PARTITION BY vec_id // {STRETCH} ORDER BY vec_id) - 1 AS place, vec_id, label, {', '.join(f'{s6(f"embedding[{k + 1}]::DOUBLE")} AS v{k}' for k in range(3))},
+        {s6('CASE WHEN vec_id % 43 <> 0 THEN embedding[4]::DOUBLE END')} AS x, vec_id % 3 = 0 AS flag, 'row ' || vec_id AS name, NULL::DOUBLE AS other FROM embeddings""",
+    "s15_members": f"""WITH f AS (SELECT 'part-' || (vec_id // {STRETCH}) || '.npz' AS file, count(*)::VARCHAR AS n FROM embeddings GROUP BY ALL)
+        SELECT file, member, dtype, n || more AS shape FROM f, (VALUES ('vec_id', '<i8', ''), ('label', '<i4', ''), ('v', '<f4', ' x 3'), ('x', '<f8', ''), ('flag', '|b1', ''), ('name', NULL, '')) t(member, dtype, more)""",
     "s24_record_places": f"WITH {_CLIPS} SELECT file, frame, index, 22 * index AS behind FROM f",
 }
 
