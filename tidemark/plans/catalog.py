@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import adaptive, builds, composites, events, exports, files, filtering, fits, greedy, recordings, repairs, rotations, rules, series, sessions
+from . import adaptive, builds, composites, events, exports, files, filtering, fits, greedy, recordings, repairs, rotations, rules, series, sessions, verification
 
-MODULES = [series, events, repairs, rotations, filtering, greedy, recordings, composites, sessions, adaptive, builds, fits, files, rules, exports]
+MODULES = [series, events, repairs, rotations, filtering, greedy, recordings, composites, sessions, adaptive, builds, fits, files, rules, exports, verification]
 FLAGSHIP = "flagship_unconfirmed_jumps"
 
 

@@ -126,11 +126,12 @@ def s06_packets(spark, sf_dir):
 
 
 def s07_numbers(spark, sf_dir):
-    """Whole numbers of variable length, and those with their sign in the lowest bit, read from bytes."""
-    v = F.col("event_id") % 16384
-    body = F.concat(F.lit("08"), F.when(v < 128, F.lpad(F.hex(v), 2, "0")).otherwise(F.concat(F.lpad(F.hex(v.bitwiseAND(127).bitwiseOR(128)), 2, "0"), F.lpad(F.hex(F.shiftright(v, 7)), 2, "0"))))
-    e = table(spark, sf_dir, "events").select("event_id", F.unhex(body).alias("body"))
-    found = protobuf.read_fields(e, "event_id", "body")
+    """Whole numbers of one to seven bytes, and those with their sign in the lowest bit, read from bytes."""
+    e = F.col("event_id")
+    top, low = e % 16384, F.repeat(F.hex((e % 128).bitwiseOR(128)), (e % 6).cast("int"))
+    last = F.when(top < 128, F.lpad(F.hex(top), 2, "0")).otherwise(F.concat(F.hex(top.bitwiseAND(127).bitwiseOR(128)), F.lpad(F.hex(F.shiftright(top, 7)), 2, "0")))
+    bodies = table(spark, sf_dir, "events").select("event_id", F.unhex(F.concat(F.lit("08"), low, last)).alias("body"))
+    found = protobuf.read_fields(bodies, "event_id", "body")
     n = F.col("value").cast("long")
     return found.select("event_id", n.alias("value"), F.shiftright(n, 1).bitwiseXOR(-n.bitwiseAND(1)).alias("signed"), "end")
 
@@ -218,7 +219,8 @@ ORACLE = {
     "s04_track_offsets": f"WITH {_CLIPS} SELECT file, frame AS sample, 26 * frame AS behind, 26 AS size FROM fr",
     "s05_track_times": f"WITH {_CLIPS} SELECT file, track, frame AS sample, {s6(f'frame * {STEP} / {SCALE}::DOUBLE')} AS t FROM fr, range(0, 2) t(track)",
     "s06_packets": f"WITH {_CLIPS} SELECT file, frame AS sample, {s6(f'frame * {STEP} / {SCALE}::DOUBLE')} AS t, 26 AS size, 26 * frame AS behind FROM fr",
-    "s07_numbers": 'SELECT event_id, v AS value, xor(v >> 1, -(v & 1)) AS signed, CASE WHEN v < 128 THEN 2 ELSE 3 END AS "end" FROM (SELECT event_id, event_id % 16384 AS v FROM events)',
+    "s07_numbers": """SELECT event_id, v AS value, xor(v >> 1, -(v & 1)) AS signed, k + CASE WHEN top < 128 THEN 2 ELSE 3 END AS "end" FROM (SELECT event_id, k, top, top * (1::BIGINT << (7 * k)::INTEGER) + event_id % 128 * (((1::BIGINT << (7 * k)::INTEGER) - 1) // 127) AS v
+        FROM (SELECT event_id, event_id % 6 AS k, event_id % 16384 AS top FROM events))""",
     "s08_fields": f"WITH {_CLIPS} SELECT file || ' ' || frame AS key, 2 AS number, 2 AS wire, 2 AS start, 26 AS \"end\" FROM fr",
     "s09_dump": f"WITH {_CLIPS} SELECT file, frame AS sample, place, path, 'message' AS kind, size FROM fr, (VALUES (0, '2', 24), (1, '2.1', 22), (2, '2.1.11', 20), (3, '2.1.11.7', 18)) t(place, path, size)",
     "s10_accessors": f"WITH {_CLIPS} SELECT file, k, v FROM clip, (VALUES (0, 0.5::DOUBLE), (1, 0.25::DOUBLE)) t(k, v)",
