@@ -68,7 +68,9 @@ def block_bootstrap(df: DataFrame, keys: list[str], block: str, a: str, b: str,
     n = sums.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumn("_j", F.row_number().over(Window.partitionBy(*keys).orderBy(block)) - 1)
     draw = n.select(*keys, "_n", "_j", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_r"))
     at = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("_r").cast("string"), F.col("_j").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("_n")
-    met = draw.select(*keys, "_r", at.alias("_j")).join(n.select(*keys, F.col("_j").cast("long").alias("_j"), "a", "b"), [*keys, "_j"])
+    # the draws are resamples times as many as the blocks: it is the blocks that the join holds, in parts, and neither side is broadcast
+    blocks = n.select(*keys, F.col("_j").cast("long").alias("_j"), "a", "b").hint("shuffle_hash")
+    met = draw.select(*keys, "_r", at.alias("_j")).join(blocks, [*keys, "_j"])
     each = met.groupBy(*keys, "_r").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select(*keys, F.sqrt(F.col("b") / F.greatest("a", F.lit(1e-12))).alias("v"))
     interval = each.groupBy(*keys).agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     whole = sums.groupBy(*keys).agg(F.sqrt(F.sum("b") / F.greatest(F.sum("a"), F.lit(1e-12))).alias("ratio"))
