@@ -119,13 +119,19 @@ def hits(flag: Column, window) -> Column:
     return F.sum(F.when(flag, 1).otherwise(0)).over(window)
 
 
+def ieee_divided(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: by nothing it is infinite, or not a number where a is 0 or none; b is not negative."""
+    at_zero = F.when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+    return F.when(b == 0, at_zero).otherwise(a / b)
+
+
 def gradient(value: str, at: str, keys: list[str], order: str) -> Column:
-    """The slope at each row by the three-point formula for uneven steps; one-sided at the ends."""
+    """The slope at each row by the three-point formula for uneven steps; one-sided at the ends. Rows at one instant have no finite slope."""
     w = Window.partitionBy(*keys).orderBy(order)
     y, t = F.col(value), F.col(at)
     y0, y1, a, b = F.lag(y).over(w), F.lead(y).over(w), t - F.lag(t).over(w), F.lead(t).over(w) - t
-    middle = (a * a * y1 + (b * b - a * a) * y - b * b * y0) / (a * b * (a + b))
-    return F.when(y0.isNull(), (y1 - y) / b).when(y1.isNull(), (y - y0) / a).otherwise(middle)
+    middle = ieee_divided(a * a * y1 + (b * b - a * a) * y - b * b * y0, a * b * (a + b))
+    return F.when(y0.isNull(), ieee_divided(y1 - y, b)).when(y1.isNull(), ieee_divided(y - y0, a)).otherwise(middle)
 
 
 def leaky_release(df: DataFrame, keys: list[str], order: str, step: str, held: str, keep: float, name: str) -> DataFrame:
