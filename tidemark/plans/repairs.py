@@ -61,17 +61,19 @@ def a03_timing_scan(spark, sf_dir):
     25 shifts of half a frame, between frames on the line between them; the last 8 frames don't count, and
     a series of fewer than 200 frames that do has no shift. The gain is that of the frames as they stand.
     """
-    d = duo(spark, sf_dir)
-    d = d.withColumn("end", F.max("frame").over(Window.partitionBy("clip_id")))
-    used = d.where("ix is not null and frame <= end - 8")
+    d = duo(spark, sf_dir).select("clip_id", "frame", "x", "ix")
+    end = d.groupBy("clip_id").agg(F.max("frame").alias("end"))
+    # each shift reads the frames beside a frame in its chunk: no row is there once for each shift
+    beside = {k: (F.lag if k < 0 else F.lead)("x", abs(k)) for k in range(-6, 8)}
+    d = W.framed(d, K, "frame", 6, 7, {f"_x{k}": (lambda _, w, c=c: c.over(w)) for k, c in beside.items()})
+    used = d.join(end, "clip_id").where("ix is not null and frame <= end - 8")
     fit = used.groupBy("clip_id").agg(F.regr_slope("ix", "x").alias("g"), F.count(F.lit(1)).alias("used"))
-    img = used.select("clip_id", "frame", "ix", F.explode(F.sequence(F.lit(-12), F.lit(12))).alias("k"))
-    at = F.floor((2 * F.col("frame") + F.col("k")) / 2).cast("int")
-    here = d.select("clip_id", F.col("frame").alias("at"), "x", F.lead("x").over(_w()).alias("next"))
-    met = img.withColumn("at", at).join(here, ["clip_id", "at"]).join(fit, "clip_id")
-    value = F.when(F.pmod("k", F.lit(2)) == 0, F.col("x")).otherwise((F.col("x") + F.col("next")) / 2)
-    e = F.col("ix") - F.col("g") * value
-    cost = met.groupBy("clip_id", "k").agg(F.round(F.sqrt(F.avg(e * e)), 6).alias("r"), F.max("used").alias("used"))
+    at = lambda k: F.col(f"_x{k // 2}") if k % 2 == 0 else (F.col(f"_x{k // 2}") + F.col(f"_x{k // 2 + 1}")) / 2
+    e = {k: F.col("ix") - F.col("g") * at(k) for k in range(-12, 13)}
+    sums = used.join(fit, "clip_id").groupBy("clip_id").agg(F.max("used").alias("used"), F.max("frame").alias("last"), *(F.round(F.sqrt(F.avg(v * v)), 6).alias(f"_r{k}") for k, v in e.items()))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"_r{k}").alias("r")) for k in e)))
+    # a shift counts if one of the frames that count has a frame there
+    cost = sums.select("clip_id", "used", "last", each.alias("c")).select("clip_id", "used", "c.*", (F.col("last") + F.floor(F.col("c.k") / 2) >= 0).alias("met")).where("met").drop("met")
     by = Window.partitionBy("clip_id").orderBy("k")
     cost = cost.withColumn("a", F.lag("r").over(by)).withColumn("b", F.lead("r").over(by))
     best = cost.groupBy("clip_id").agg(F.min(F.struct("r", "k", "a", "b")).alias("m"), F.max(F.when(F.col("k") == 0, F.col("r"))).alias("r0"), F.max("used").alias("used"))
