@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import asof
 from tidemark.plans import catalog
 
 TYPES = ["click", "view"]
@@ -75,3 +76,24 @@ def test_timing_scan_of_short_series(spark, tmp_path, n):
     rng = np.random.default_rng(n)
     folder = table(spark, tmp_path, [(i * 3, v) for i, v in enumerate(rng.normal(100, 40, n).round(2))])
     same(catalog.queries()["a03_timing_scan"](spark, folder).collect(), by_sql("a03_timing_scan", folder))
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_asof_by_stretches_is_asof(spark, strict):
+    rng = np.random.default_rng(4)
+    # stretches with many samples, one and none; a series of one sample, one without samples; instants on samples, between, far before and far after
+    ts = {"a": np.unique(rng.integers(0, 400, 60)).astype(float), "b": np.array([5.0, 1000.0, 1001.0, 5000.0]), "c": np.array([3.0])}
+    samples = spark.createDataFrame([(k, float(t), (float(t), -float(t))) for k, v in ts.items() for t in v], "k string, t double, v struct<x:double,y:double>")
+    at = {"a": np.concatenate([ts["a"], rng.uniform(-300, 700, 200)]), "b": np.concatenate([ts["b"], rng.uniform(-3000, 9000, 200)]), "c": np.array([-50.0, 3.0, 90.0]), "d": np.array([1.0])}
+    asked = spark.createDataFrame([(k, i, float(t)) for k, v in at.items() for i, t in enumerate(v)], "k string, i int, t double")
+    wanted = []
+    for k, v in at.items():
+        own = ts.get(k, np.array([]))
+        for i, t in enumerate(v):
+            j = int(np.clip(np.searchsorted(own, t, "left" if strict else "right") - 1, 0, max(len(own) - 2, 0)))
+            wanted.append((k, i, own[j], own[j + 1]) if len(own) > 1 else (k, i, None, None))
+    for width in (None, 7.0, 50.0, 1e6):
+        met = asof.segments(samples, asked, ["k"], "t", "v", strict, width)
+        found = met.select("k", "i", "_t0", "_t1", "_v0", "_v1").collect()
+        assert sorted((r.k, r.i, r._t0, r._t1) for r in found) == sorted(wanted)
+        assert all(r._v0 is None if r._t0 is None else (r._v0.x, r._v0.y, r._v1.x) == (r._t0, -r._t0, r._t1) for r in found)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quaternion as Q
 from . import asof
+from .windows import framed
 
 
 def parse_check(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,9 +26,8 @@ def series_at_frames(samples: DataFrame, counts: DataFrame, keys: list[str], fps
     there to the next, null at the last. samples: keys, t (microseconds) and q; counts: keys and n, frames. The end samples hold beyond the ends."""
     frames = counts.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long"))).alias("frame"))
     asked = frames.withColumn("t", F.col("frame") * (1e6 / fps) + shift_ms * 1000)
-    at = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q")
-    after = F.lead("q").over(Window.partitionBy(*keys).orderBy("frame"))
-    return at.withColumn("_next", after).select(*keys, "frame", "q", F.when(F.col("_next").isNotNull(), Q.increment(F.col("q"), F.col("_next"))).alias("v"))
+    at = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q", asof.STRETCH_S * 1e6)
+    return framed(at, keys, "frame", 0, 1, {"_next": lambda _, w: F.lead("q").over(w)}).select(*keys, "frame", "q", F.when(F.col("_next").isNotNull(), Q.increment(F.col("q"), F.col("_next"))).alias("v"))
 
 
 def second_paths(df: DataFrame, keys: list[str], order: str, values: list[str], fps: float) -> DataFrame:
