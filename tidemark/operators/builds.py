@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,11 +64,39 @@ def _rate(s: Settings, v: Column) -> Column:
     return F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"]) * s.fps
 
 
-def _steps(samples: DataFrame, grid: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """grid (keys, t, by and what else) with q, the attitude at each instant, and step to the next one of the same `by`."""
-    at = asof.slerped(samples.select(*keys, "t", "q"), grid, keys, "t", "q")
-    w = Window.partitionBy(*keys, *by[:-1]).orderBy(by[-1])
-    return at.select("*", F.lead("q").over(w).alias("_n"), F.lead("t").over(w).alias("_tn")).withColumn("step", F.when(F.col("_n").isNotNull(), Q.increment(F.col("q"), F.col("_n")))).drop("_n")
+#: Frames of a series that are read in one task.
+STRETCH = 4096
+
+
+def _with(df: DataFrame, each: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df with what each series has; a row for each series is sent to all tasks, so that no task gets a whole series."""
+    return df.join(F.broadcast(each), keys, how)
+
+
+def _read(ts: np.ndarray, qs: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The rotations (rows of w, x, y, z) at t as Q.slerp() and asof.slerped() tell them."""
+    i = np.clip(np.searchsorted(ts, t, "left") - 1, 0, len(ts) - 2)
+    w = np.clip((t - ts[i]) / (ts[i + 1] - ts[i]), 0.0, 1.0)
+    a, b = qs[i], qs[i + 1]
+    d = a[:, 0] * b[:, 0] + a[:, 1] * b[:, 1] + a[:, 2] * b[:, 2] + a[:, 3] * b[:, 3]
+    angle = np.arccos(np.minimum(1.0, np.abs(d)))
+    near = angle < 1e-7
+    sine = np.where(near, 1.0, np.sin(angle))
+    ka = np.where(near, 1 - w, np.sin((1 - w) * angle) / sine)
+    kb = np.where(near, w, np.sin(w * angle) / sine) * np.where(d < 0, -1.0, 1.0)
+    q = a * ka[:, None] + b * kb[:, None]
+    n = np.sqrt((q * q).sum(1))
+    return q / np.where(n > 0, n, 1.0)[:, None]
+
+
+def _turns(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rotation vectors from a to b as Q.increment() tells them."""
+    (aw, ax, ay, az), (bw, bx, by, bz) = (a * [1, -1, -1, -1]).T, b.T
+    w = aw * bw - ax * bx - ay * by - az * bz
+    v = np.column_stack([aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw])
+    n = np.sqrt((v * v).sum(1))
+    k = np.degrees(np.where(n > 1e-12, 2 * np.arctan2(n, np.abs(w)) / np.where(n > 1e-12, n, 1.0), 2.0)) * np.where(w < 0, -1.0, 1.0)
+    return v * k[:, None]
 
 
 def measured_shift(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settings) -> DataFrame:
@@ -75,19 +104,57 @@ def measured_shift(samples: DataFrame, frames: DataFrame, keys: list[str], s: Se
 
     25 shifts a millisecond apart around the frames' own instants, of frames of SCAN_RATES but the last SCAN_END; a parabola through the
     least and its neighbours refines it. Fewer than FIT_LEAST frames give no shift; a minimum less than CLEAR deep is not clear.
+    Each task reads the shifts of a stretch of frames from the samples around it, and tells their sums about the stretch's own slope.
     """
-    last = F.max("frame").over(Window.partitionBy(*keys))
-    slim = frames.select(*keys, "frame", "iz", last.alias("_last"))
-    ends = slim.groupBy(*keys).agg(F.max("frame").alias("frame")).select(*keys, (F.col("frame") + 1).alias("frame"), F.lit(None).cast("double").alias("iz"), F.col("frame").alias("_last"))
-    shifts = F.explode(F.sequence(F.lit(-SCAN_MS), F.lit(SCAN_MS))).alias("ms")
-    grid = slim.unionByName(ends).select("*", shifts).withColumn("t", F.col("frame") * s.us + F.col("ms") * 1000.0)
-    told = _steps(samples, grid, keys, ["ms", "frame"]).where("step is not null").select(*keys, "ms", "frame", "iz", "_last", F.col("step.z").alias("z"), _rate(s, F.col("step")).alias("rate"))
-    here = told.where("ms = 0")
-    used = here.where(F.col("iz").isNotNull() & (F.col("rate") > SCAN_RATES[0]) & (F.col("rate") < SCAN_RATES[1]) & (F.col("frame") <= F.col("_last") - SCAN_END))
-    fit = used.groupBy(*keys).agg(F.regr_slope("iz", "z").alias("_g"), F.count(F.lit(1)).alias("used")).where(F.col("used") >= FIT_LEAST)
-    met = told.drop("rate", "_last").join(used.select(*keys, "frame"), [*keys, "frame"]).join(fit, keys)
-    e = F.col("iz") - F.col("_g") * F.col("z")
-    cost = met.groupBy(*keys, "ms").agg(F.sqrt(F.avg(e * e)).alias("r"), F.max("used").alias("used"))
+    last = frames.groupBy(*keys).agg(F.max("frame").alias("_last"))
+    told = _with(frames.select(*keys, "frame", "iz"), last, keys).where(F.col("iz").isNotNull() & (F.col("frame") <= F.col("_last") - SCAN_END))
+    told = told.select(*keys, F.floor(F.col("frame") / STRETCH).alias("_b"), F.col("frame").cast("double").alias("_at"), "iz")
+    size, beyond = STRETCH * s.us, SCAN_MS * 1000.0
+    near = [F.floor((F.col("t") + sign * (beyond + 1)) / size) for sign in (-1, 1)]
+    own = samples.select(*keys, F.explode(F.sequence(*near)).alias("_b"), "t", "q")
+    # and from the nearest samples beyond them, however far off these are
+    edges = told.select(*keys, "_b").distinct().select(*keys, "_b", F.explode(F.array(F.col("_b") * size - beyond, (F.col("_b") + 1) * size + beyond)).alias("t"))
+    met = asof.segments(samples.select(*keys, "t", "q"), edges, keys, "t", "q", width=size).where("_t0 is not null")
+    ring = met.select(*keys, "_b", F.explode(F.array(F.struct(F.col("_t0").alias("t"), F.col("_v0").alias("q")), F.struct(F.col("_t1").alias("t"), F.col("_v1").alias("q")))).alias("p")).select(*keys, "_b", "p.t", "p.q")
+    rows = own.union(ring).select(*keys, "_b", F.col("t").cast("double").alias("_at"), *(F.col(f"q.{k}").alias(k) for k in Q.PARTS), F.lit(None).cast("double").alias("iz"))
+    rows = rows.unionByName(told.select(*keys, "_b", "_at", *(F.lit(None).cast("double").alias(k) for k in Q.PARTS), F.col("iz").cast("double").alias("iz")))
+    double, names, lists = T.DoubleType(), ("_sz", "_si", "_szz", "_szi", "_own"), ("_ee", "_ez", "_zz")
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("_n", T.LongType()), *(T.StructField(n, double) for n in names), *(T.StructField(n, T.ArrayType(double)) for n in lists)])
+
+    def part(table: pa.Table) -> pa.Table:
+        seen = table["iz"].is_valid().to_numpy()
+        at = table["_at"].to_numpy()
+        ts, first = np.unique(at[~seen], return_index=True)
+        out = table.slice(0, 1 if seen.any() and len(ts) > 1 else 0).select(keys)
+        n, sums, found = 0, [0.0] * 5, [[0.0] * (2 * SCAN_MS + 1)] * 3
+        if out.num_rows:
+            qs = np.column_stack([table[k].to_numpy() for k in Q.PARTS])[~seen][first]
+            frame, iz = at[seen], table["iz"].to_numpy()[seen]
+            turn = lambda f, ms: _turns(_read(ts, qs, f * s.us + ms * 1000.0), _read(ts, qs, (f + 1) * s.us + ms * 1000.0))
+            v = turn(frame, 0)
+            rate = np.sqrt((v * v).sum(1)) * s.fps
+            used = (rate > SCAN_RATES[0]) & (rate < SCAN_RATES[1])
+            frame, iz, z = frame[used], iz[used], v[used, 2]
+            n, zz = len(frame), float(z @ z)
+            g = float(z @ iz) / zz if zz > 0 else 0.0
+            sums = [float(z.sum()), float(iz.sum()), zz, float(z @ iz), g]
+            if n:
+                shifted = [turn(frame, ms)[:, 2] for ms in range(-SCAN_MS, SCAN_MS + 1)]
+                left = [iz - g * x for x in shifted]
+                found = [[float(e @ e) for e in left], [float(e @ x) for e, x in zip(left, shifted)], [float(x @ x) for x in shifted]]
+        fields = [pa.array([x] * out.num_rows, pa.int64() if i == 0 else pa.float64()) for i, x in enumerate([n, *sums])] + [pa.array([x] * out.num_rows, pa.list_(pa.float64())) for x in found]
+        for name, x in zip(("_n", *names, *lists), fields):
+            out = out.append_column(name, x)
+        return out
+
+    parts = rows.groupBy(*keys, "_b").applyInArrow(part, schema)
+    total = [F.sum(c) for c in ("_szi", "_sz", "_si", "_n", "_szz")]
+    slope = F.try_divide(total[0] - total[1] * total[2] / total[3], total[4] - total[1] * total[1] / total[3])
+    fit = parts.where("_n > 0").groupBy(*keys).agg(slope.alias("_g"), F.sum("_n").alias("used")).where(F.col("used") >= FIT_LEAST)
+    each = _with(parts.where("_n > 0"), fit, keys).withColumn("_d", F.col("_g") - F.col("_own"))
+    each = each.select(*keys, "used", "_d", F.posexplode(F.arrays_zip(*lists)).alias("_k", "_p"))
+    square = F.sum(F.col("_p._ee") - 2 * F.col("_d") * F.col("_p._ez") + F.col("_d") * F.col("_d") * F.col("_p._zz"))
+    cost = each.groupBy(*keys, (F.col("_k") - SCAN_MS).alias("ms")).agg(F.sqrt(F.greatest(square, F.lit(0.0)) / F.max("used")).alias("r"), F.max("used").alias("used"))
     by = Window.partitionBy(*keys).orderBy("ms")
     cost = cost.select("*", F.lag("r").over(by).alias("a"), F.lead("r").over(by).alias("b"))
     best = cost.groupBy(*keys).agg(F.min(F.struct("r", "ms", "a", "b")).alias("m"), F.max(F.when(F.col("ms") == 0, F.col("r"))).alias("zero"), F.max("used").alias("used"))
@@ -100,15 +167,14 @@ def measured_shift(samples: DataFrame, frames: DataFrame, keys: list[str], s: Se
 def timed(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settings) -> DataFrame:
     """frames with delta (microseconds by which each is read elsewhere): half of what its exposure is below the median, and the clear constant."""
     e = frames.withColumn("_e", filled("exposure", keys, "frame")) if "exposure" in frames.columns else frames.withColumn("_e", F.lit(0.0))
-    middle = F.percentile("_e", F.lit(0.5)).over(Window.partitionBy(*keys))
-    varied = F.coalesce((middle - F.col("_e")) / 2, F.lit(0.0))
-    e = e.withColumn("_var", varied)
+    e = _with(e, e.groupBy(*keys).agg(F.percentile("_e", F.lit(0.5)).alias("_mid")), keys)
+    e = e.withColumn("_var", F.coalesce((F.col("_mid") - F.col("_e")) / 2, F.lit(0.0))).drop("_mid")
     if s.timing == "exposure":
         return e.withColumn("delta", (F.col("_var") + s.bias_ms) * 1000.0).drop("_e", "_var")
     if s.timing != "seen":
         raise ValueError("timing is seen or exposure")
     constant = measured_shift(samples, frames, keys, s).select(*keys, F.when(F.col("clear"), F.col("shift")).otherwise(0.0).alias("_const"))
-    e = e.join(constant, keys, "left")
+    e = _with(e, constant, keys, "left")
     return e.withColumn("delta", (F.coalesce("_const", F.lit(0.0)) + F.col("_var") + s.bias_ms) * 1000.0).drop("_e", "_var", "_const")
 
 
@@ -117,10 +183,11 @@ def stepped(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settings)
     ends = frames.groupBy(*keys).agg(F.max_by(F.struct("frame", "delta"), "frame").alias("e")).select(*keys, (F.col("e.frame") + 1).alias("frame"), F.col("e.delta").alias("delta"))
     grid = frames.unionByName(ends, allowMissingColumns=True).withColumn("t", F.col("frame") * s.us + F.col("delta"))
     span = samples.groupBy(*keys).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
-    at = _steps(samples, grid, keys, ["frame"])
-    w = Window.partitionBy(*keys).orderBy("frame")
-    at = at.withColumn("_far", F.lead("q", s.gap).over(w)).withColumn("_over", F.when(F.col("_far").isNotNull(), Q.increment(F.col("q"), F.col("_far"))))
-    at = at.where("step is not null").join(span, keys).withColumn("_r", _rate(s, F.col("step")))
+    at = asof.slerped(samples.select(*keys, "t", "q"), grid, keys, "t", "q", STRETCH * s.us)
+    ahead = lambda c, k=1: lambda _, w: F.lead(c, k).over(w)
+    at = framed(at, keys, "frame", 0, max(1, s.gap), {"_n": ahead("q"), "_tn": ahead("t"), "_far": ahead("q", s.gap)})
+    step, over = (F.when(F.col(c).isNotNull(), Q.increment(F.col("q"), F.col(c))) for c in ("_n", "_far"))
+    at = _with(at.withColumn("step", step).where("step is not null").withColumn("_over", over), span, keys).withColumn("_r", _rate(s, F.col("step")))
     valid = (F.col("t") >= F.col("_lo")) & (F.col("_tn") <= F.col("_hi")) & (F.col("_r") < JUNK_RATE)
     parts = [F.col(f"step.{a}").alias(a) for a in "xyz"] + [F.col(f"_over.{a}").alias(f"t{a}") for a in "xyz"]
     d = at.select(*frames.columns, *parts, valid.alias("valid"), F.when(valid, F.col("_r")).otherwise(1e6).alias("rate"))
@@ -167,13 +234,13 @@ def quiet_other(df: DataFrame, keys: list[str], s: Settings) -> DataFrame:
 
     The shares that are kept are those of what is seen over what is told in calm runs, where the two go together (0.8), else the fixed ones.
     """
-    d = df.join(_gains(df, keys, {a: (a, f"i{a}") for a in "xy"}), keys)
+    d = _with(df, _gains(df, keys, {a: (a, f"i{a}") for a in "xy"}), keys)
     fixed = [1.0 if hz < s.floor_hz else k for hz, k in zip(filters.GAIN_HZ, filters.GAIN_OTHER)]
     out = d.select(*keys, "frame", "x", "y", "rate", "valid")
     for a in "xy":
         calm = d.where(F.col(f"corr_{a}") >= 0.8).select(*keys, "frame", "rate", F.col(a), (F.col(f"i{a}") / F.col(f"g_{a}")).alias("_seen"))
         shares = _kept_of(calm, keys, a, "_seen", s)
-        own = d.select(*keys, "frame", a).join(shares, keys, "left").withColumn("keep", F.coalesce("keep", F.array(*map(F.lit, fixed))))
+        own = _with(d.select(*keys, "frame", a), shares, keys, "left").withColumn("keep", F.coalesce("keep", F.array(*map(F.lit, fixed))))
         out = out.join(_scaled(own, keys, a, "keep", s.fps).select(*keys, "frame", f"_s_{a}"), [*keys, "frame"])
     weight = F.when(F.col("valid"), s.gain / (1 + F.pow(F.col("rate") / s.soft_other, F.lit(2.0)))).otherwise(0.0)
     sums = out.select(*keys, "frame", *(cumulative_before(weight * (F.col(f"_s_{a}") - F.col(a)), keys, "frame").alias(f"p{a}") for a in "xy"))
@@ -192,7 +259,7 @@ def window_readings(d: DataFrame, keys: list[str], s: Settings) -> DataFrame:
     rate = F.sqrt(reduce(Column.__add__, [F.col(t) * F.col(t) for t in told])) / s.gap * s.fps
     d = d.withColumn("_ok", F.coalesce(ok, F.lit(False)))
     maps = corrections.axis_map(d, keys, told, seen[0], F.col("_ok") & (rate > WINDOW_RATES[0]) & (rate < WINDOW_RATES[1]))
-    d = d.join(maps.select(*keys, "p", "s"), keys)
+    d = _with(d, maps.select(*keys, "p", "s"), keys)
     turned = [F.array(*(F.col(c) for c in n))[F.col("p")[j]] * F.col("s")[j] for n in seen for j in range(3)]
     d = d.select(*keys, "frame", *told, "_ok", "valid", *(c.alias(n) for c, n in zip(turned, (*seen[0], *seen[1]))))
     found = corrections.window_disagreement(d, keys, "frame", told, *seen, F.col("_ok"), s.baseline, s.estimator)
@@ -214,7 +281,7 @@ def main_build(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settin
     """
     d = kept(stepped(samples, timed(samples, frames, keys, s), keys, s))
     pairs = {**{a: (a, f"i{a}") for a in "xyz"}, "sx": ("x", "sx"), "sy": ("y", "sy")}
-    d = d.join(_gains(d, keys, pairs), keys)
+    d = _with(d, _gains(d, keys, pairs), keys)
     off = lambda a: F.when(F.col("valid"), F.col(f"i{a}") / F.when(_believed(a, 0.6), F.col(f"g_{a}")).otherwise(1.0) - F.col(a))
     fit = F.when(_believed("sx", 0.5, True), 1).otherwise(0) + F.when(_believed("sy", 0.5, True), 1).otherwise(0)
     d = d.select("*", *(off(a).alias(f"f{a}") for a in "xy"), *(F.when(F.col("valid"), F.col(f"i{a}") - F.col(a)).alias(f"r{a}") for a in "xy"), (fit == 2).alias("witnessed"))
@@ -235,7 +302,7 @@ def main_build(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settin
     segments, events = kept(segments), kept(events)
     # what the second estimate says of the de-spiked motion, where it goes with it
     gains = _gains(plain, keys, {"sx": ("x", "sx"), "sy": ("y", "sy")})
-    also = plain.join(gains, keys).select(*keys, "frame", *(F.when(F.col(f"corr_s{a}") >= 0.5, F.col(f"s{a}") / F.col(f"g_s{a}") - F.col(a)).alias(f"_v{a}") for a in "xy"))
+    also = _with(plain, gains, keys).select(*keys, "frame", *(F.when(F.col(f"corr_s{a}") >= 0.5, F.col(f"s{a}") / F.col(f"g_s{a}") - F.col(a)).alias(f"_v{a}") for a in "xy"))
     full = also.select(*keys, "frame", *(filled(f"_v{a}", keys, "frame").alias(f"_v{a}") for a in "xy"))
     full = medians(full, keys, "frame", s.baseline, {"_mx": "_vx", "_my": "_vy"}).select(*keys, "frame", *((F.col(f"_v{a}") - F.col(f"_m{a}")).alias(f"_v{a}") for a in "xy"))
     checks = corrections.event_checks(segments, full, keys, "frame", ["x", "y"], ["_vx", "_vy"])
@@ -258,15 +325,15 @@ def main_build(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settin
 def corrected(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settings) -> DataFrame:
     """keys, frame, index, q, stored and base: samples read at their frame's delta and turned by theta on lines between frames."""
     axes = ["theta_x", "theta_y", "theta_z"]
-    w = Window.partitionBy(*keys).orderBy("frame")
-    lines = frames.select(*keys, F.col("frame").alias("_k"), *axes, *(F.coalesce(F.lead(a).over(w), F.col(a)).alias(f"_n_{a}") for a in axes))
+    ahead = {f"_n_{a}": (lambda _, w, a=a: F.coalesce(F.lead(a).over(w), F.col(a))) for a in axes}
+    lines = framed(frames.select(*keys, "frame", *axes), keys, "frame", 0, 1, ahead).withColumnRenamed("frame", "_k")
     last = frames.groupBy(*keys).agg(F.max("frame").alias("_last"))
-    at = samples.join(frames.select(*keys, "frame", "delta"), [*keys, "frame"]).join(last, keys)
+    at = _with(samples.join(frames.select(*keys, "frame", "delta"), [*keys, "frame"]), last, keys)
     place = F.greatest(F.lit(0.0), F.least(F.col("t") / s.us, F.col("_last").cast("double")))
     at = at.withColumn("_p", place).withColumn("_k", F.floor("_p").cast("int")).join(lines, [*keys, "_k"])
     theta = [F.col(a) + (F.col(f"_n_{a}") - F.col(a)) * (F.col("_p") - F.col("_k")) for a in axes]
     asked = at.select(*keys, "frame", "index", "inverted", (F.col("t") + F.col("delta")).alias("t"), Q.vec(*theta).alias("_v"))
-    base = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q")
+    base = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q", STRETCH * s.us)
     turned = Q.let(Q.product(F.col("q"), Q.from_rotation_vector(F.col("_v"))), Q.normalized)
     out = base.select(*keys, "frame", "index", "inverted", turned.alias("q"), F.col("q").alias("base"))
     signed = F.when(F.col("inverted"), Q.negate(F.col("q"))).otherwise(F.col("q"))
@@ -330,7 +397,9 @@ def burst_build(samples: DataFrame, frames: DataFrame, keys: list[str], s: Setti
 
 def align_build(samples: DataFrame, frames: DataFrame, keys: list[str], shift: str, s: Settings = Settings(), every: bool = True, extra_ms: float = 0.0) -> DataFrame:
     """Samples read at their frame's shift (a column of frames, microseconds; every: that of each frame, else the median of all) and extra_ms later."""
-    own = F.col(shift) if every else F.percentile(shift, F.lit(0.5)).over(Window.partitionBy(*keys))
+    own = F.col(shift)
+    if not every:
+        frames, own = _with(frames, frames.groupBy(*keys).agg(F.percentile(shift, F.lit(0.5)).alias("_mid")), keys), F.col("_mid")
     still = frames.select(*keys, "frame", (own + extra_ms * 1000.0).alias("delta"), *(F.lit(0.0).alias(f"theta_{a}") for a in "xyz"))
     return corrected(samples, still, keys, s)
 
