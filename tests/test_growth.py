@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof
+from tidemark.operators import windows as W
 from tidemark.plans import catalog
 
 TYPES = ["click", "view"]
@@ -97,3 +98,17 @@ def test_asof_by_stretches_is_asof(spark, strict):
         found = met.select("k", "i", "_t0", "_t1", "_v0", "_v1").collect()
         assert sorted((r.k, r.i, r._t0, r._t1) for r in found) == sorted(wanted)
         assert all(r._v0 is None if r._t0 is None else (r._v0.x, r._v0.y, r._v1.x) == (r._t0, -r._t0, r._t1) for r in found)
+
+
+@pytest.mark.parametrize("size, chunk", [(1, 8), (3, 8), (7, 8), (7, 64)])
+def test_gaps_filled_by_chunks(spark, size, chunk):
+    rng = np.random.default_rng(size)
+    values = {"a": rng.normal(size=90), "b": rng.normal(size=50), "c": np.full(20, np.nan), "d": np.full(40, np.nan)}
+    values["a"][rng.random(90) < 0.5], values["a"][30:62], values["b"][:23], values["d"][17] = np.nan, np.nan, np.nan, 2.5
+    rows = [(k, i, None if np.isnan(x) else float(x), float(i)) for k, v in values.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "k string, f int, v double, u double")
+    whole = df.withColumn("v", W.filled("v", ["k"], "f"))
+    wanted = {(r.k, r.f): r.m for r in W.medians(whole, ["k"], "f", size, {"m": "v"}).collect()}
+    found = W.medians(df, ["k"], "f", size, {"m": "v", "n": "u"}, chunk, fill=True)
+    assert found.columns == [*df.columns, "m", "n"]
+    assert {(r.k, r.f): r.m for r in found.collect()} == wanted

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from ..functions import quaternion as Q
 from . import filters
 from . import gates as G
 from . import islands as I
-from .windows import filled, medians
+from .windows import medians
 
 #: Frames that a membership join looks at together.
 STRETCH = 64
@@ -80,11 +81,13 @@ def block_bootstrap(df: DataFrame, keys: list[str], block: str, a: str, b: str,
 
 def whole(df: DataFrame, keys: list[str], order: str, axes: list[str]) -> DataFrame:
     """df with the gaps of all axes filled; an error where an axis has fewer than two values."""
-    few = F.array_compact(F.array(*(F.when(F.count(a).over(Window.partitionBy(*keys)) < 2, F.lit(a)) for a in axes)))
-    checked = df.withColumn("_few", few)
-    told = F.when(F.size("_few") > 0, F.raise_error(F.concat(F.lit("too few values on "), F.array_join("_few", ", "))).cast("double"))
-    filled_ = checked.select(*(c for c in df.columns if c not in axes), "_few", *(filled(a, keys, order).alias(a) for a in axes))
-    return filled_.select(*(F.when(F.size("_few") > 0, told).otherwise(F.col(c)).alias(c) if c in axes else F.col(c) for c in df.columns))
+    few = df.groupBy(*keys).agg(F.array_compact(F.array(*(F.when(F.count(a) < 2, F.lit(a)) for a in axes))).alias("_few"))
+    told = F.raise_error(F.concat(F.lit("too few values on "), F.array_join("_few", ", "))).cast("double")
+    full = medians(df, keys, order, 1, {f"_l_{a}": a for a in axes}, fill=True)
+    # a row for each series is sent to all tasks, so that no task gets a whole series
+    here, each = full.alias("h"), F.broadcast(few).alias("w")
+    met = here.join(each, reduce(Column.__and__, [F.equal_null(f"h.{k}", f"w.{k}") for k in keys])).select("h.*", "w._few")
+    return met.select(*(F.when(F.size("_few") > 0, told).otherwise(F.col(f"_l_{c}")).alias(c) if c in axes else F.col(c) for c in df.columns))
 
 
 def compared(want: DataFrame, found: DataFrame, keys: list[str], on: list[str], values: list[str], at: str) -> DataFrame:
@@ -142,8 +145,7 @@ def details(df: DataFrame, keys: list[str], order: str, values: list[str], size:
     value is, or where good is not true."""
     use = F.lit(True) if good is None else good
     known = df.select("*", *(F.when(use, F.col(v)).alias(f"_r_{v}") for v in values))
-    full = known.select("*", *(F.coalesce(filled(f"_r_{v}", keys, order), F.lit(0.0)).alias(f"_f_{v}") for v in values))
-    met = medians(full, keys, order, size, {f"_m_{v}": f"_f_{v}" for v in values})
+    met = medians(known, keys, order, size, {f"_m_{v}": f"_r_{v}" for v in values}, fill=True)
     own = {v: (F.col(f"_r_{v}") - F.col(f"_m_{v}")).alias(v) for v in values}
     return met.select(*(own.get(c, F.col(c)) for c in df.columns))
 

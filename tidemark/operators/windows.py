@@ -67,14 +67,58 @@ def _medians(x: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def medians(df: DataFrame, keys: list[str], order: str, size: int, columns: dict[str, str], chunk: int = CHUNK) -> DataFrame:
-    """df with columns: name -> value whose exact median of `size` (odd) rows around each it is; ends are repeated, nulls left out."""
+def _beyond(df: DataFrame, keys: list[str], order: str, values: list[str], reach: int, chunk: int) -> DataFrame:
+    """keys, order, values and _chunk: for each chunk and value the last known row before the chunk's halo and the first one after it, however far off."""
+    place = F.pmod(F.col(order), F.lit(chunk))
+    each = {}
+    for i, v in enumerate(values):
+        at = F.when(F.col(v).isNotNull(), F.col(order))
+        # the last and the first of a chunk, and those that a neighbour does not have in its halo
+        for n, f, by, where in (("l", F.max, F.max_by, None), ("f", F.min, F.min_by, None), ("la", F.max, F.max_by, place < chunk - reach), ("fa", F.min, F.min_by, place >= reach)):
+            here = at if where is None else F.when(where, at)
+            each[f"{n}{i}"] = (f(here), by(v, here))
+    ends = df.withColumn("_chunk", F.floor(F.col(order) / chunk).cast("long")).groupBy(*keys, "_chunk").agg(*(c.alias(f"_{x}{n}") for n, both in each.items() for x, c in zip("av", both)))
+    known = lambda n: F.when(F.col(f"_a{n}").isNotNull(), F.struct(F.col(f"_a{n}").alias("a"), F.col(f"_v{n}").alias("v")))
+    up, down = Window.partitionBy(*keys).orderBy("_chunk"), Window.partitionBy(*keys).orderBy(F.col("_chunk").desc())
+    found = []
+    for i in range(len(values)):
+        for w, n, step in ((up, "l", -1), (down, "f", 1)):
+            far = lambda k: F.last(known(f"{n}{i}"), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, k))  # noqa: B023, E731
+            beside = F.lag("_chunk").over(w) == F.col("_chunk") + step
+            found.append(F.when(beside, F.coalesce(F.lag(known(f"{n}a{i}")).over(w), far(-2))).otherwise(far(-1)).alias(f"_e{len(found)}"))
+    types = dict(df.dtypes)
+    rows = [F.struct(F.col(f"_e{k}.a").alias(order), *((F.col(f"_e{k}.v") if i == k // 2 else F.lit(None)).cast(types[v]).alias(v) for i, v in enumerate(values))) for k in range(len(found))]
+    return ends.select(*keys, "_chunk", *found).select(*keys, "_chunk", F.explode(F.array(*rows)).alias("_e")).where(f"_e.`{order}` is not null").select(*keys, "_chunk", "_e.*")
+
+
+def _on_lines(x: np.ndarray, known: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """x at `at` (rising) with its gaps filled as filled() tells; nan where nothing is known."""
+    have = np.flatnonzero(known)
+    if len(have) == len(x) or not len(have):
+        return x if len(have) else np.full(len(x), np.nan)
+    b = np.searchsorted(have, np.arange(len(x)))
+    a, b = have[np.maximum(b - 1, 0)], have[np.minimum(b, len(have) - 1)]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        line = x[a] + (x[b] - x[a]) * (at - at[a]) / (at[b] - at[a])
+    return np.where(known, x, np.where(at < at[have[0]], x[have[0]], np.where(at > at[have[-1]], x[have[-1]], line)))
+
+
+def medians(df: DataFrame, keys: list[str], order: str, size: int, columns: dict[str, str], chunk: int = CHUNK, fill: bool = False) -> DataFrame:
+    """df with columns: name -> value whose exact median of `size` (odd) rows around each it is; ends are repeated, nulls left out.
+
+    fill: gaps are filled first, as filled() tells, from the known rows beside each chunk; of one row the median is the filled value.
+    """
     half = size // 2
     slim = with_halo(df, order, half, half, chunk)
+    if fill:  # rows that are neither a chunk's own nor of its halo
+        slim = slim.unionByName(_beyond(df, keys, order, sorted(set(columns.values())), half, chunk), allowMissingColumns=True)
     schema = T.StructType([f for f in slim.schema if f.name not in ("_own", "_chunk")] + [T.StructField(n, T.DoubleType()) for n in columns])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(order)
+        at = table[order].to_numpy()
+        here = table["_own"].is_valid().to_numpy()
+        every, table = table, table if here.all() else table.filter(pa.array(here))
         own = np.flatnonzero(table["_own"].to_numpy())
         if not len(own):
             table = table.slice(0, 0)
@@ -83,7 +127,10 @@ def medians(df: DataFrame, keys: list[str], order: str, size: int, columns: dict
             before, after = min(first, half), min(table.num_rows - 1 - last, half)  # fewer than half: the series ends there
         found = {}
         for name, value in columns.items():
-            x = table[value].cast(pa.float64()).to_numpy()
+            x = every[value].cast(pa.float64()).to_numpy()
+            if fill:
+                x = _on_lines(x, every[value].is_valid().to_numpy(), at)
+            x = x[here] if len(own) else x[:0]
             if len(own):
                 x = np.pad(x[first - before : last + 1 + after], (half - before, half - after), mode="edge")
             found[name] = pa.array(_medians(x, size) if len(own) else x, pa.float64(), from_pandas=True)
