@@ -100,6 +100,25 @@ def test_asof_by_stretches_is_asof(spark, strict):
         assert all(r._v0 is None if r._t0 is None else (r._v0.x, r._v0.y, r._v1.x) == (r._t0, -r._t0, r._t1) for r in found)
 
 
+def test_rotations_by_stretches_are_those_of_whole_series(spark):
+    rng = np.random.default_rng(5)
+    ts = {"a": np.unique(rng.integers(0, 400, 60)).astype(float), "b": np.array([5.0, 1000.0, 1001.0, 5000.0]), "c": np.array([3.0])}
+    unit = lambda: tuple(map(float, (lambda q: q / np.linalg.norm(q))(rng.normal(size=4))))
+    samples = spark.createDataFrame([(k, float(t), unit()) for k, v in ts.items() for t in v], "k string, t double, q struct<w:double,x:double,y:double,z:double>")
+    at = {"a": np.concatenate([ts["a"], rng.uniform(-300, 700, 200)]), "b": np.concatenate([ts["b"], rng.uniform(-3000, 9000, 200)]), "c": np.array([-50.0, 90.0]), "d": np.array([1.0])}
+    asked = spark.createDataFrame([(k, i, float(t)) for k, v in at.items() for i, t in enumerate(v)], "k string, i int, t double")
+    rows = lambda df: {(r.k, r.i): r for r in df.select("k", "i", "t", *(F.col("q")[p].alias(p) for p in "wxyz")).collect()}
+    wanted = rows(asof.slerped(samples, asked, ["k"], "t", "q"))
+    for width in (7.0, 50.0):
+        df = asof.slerped(samples, asked, ["k"], "t", "q", width)
+        found = rows(df)
+        assert found.keys() == wanted.keys()
+        for key, r in found.items():
+            assert (r.w is None) == (wanted[key].w is None) and (r.w is None or np.allclose(r[2:], wanted[key][2:], atol=1e-12))
+        # no window sorts the rows of a series, but that over one row a stretch
+        assert df._jdf.queryExecution().executedPlan().toString().count("Window") <= 4
+
+
 @pytest.mark.parametrize("size, chunk", [(1, 8), (3, 8), (7, 8), (7, 64)])
 def test_gaps_filled_by_chunks(spark, size, chunk):
     rng = np.random.default_rng(size)

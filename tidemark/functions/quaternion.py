@@ -78,10 +78,14 @@ def euler(q) -> Column:
 
 def from_euler(yaw: Column, pitch: Column, roll: Column) -> Column:
     """The rotation about z, then y, then x, as a product of three half-angle quaternions."""
-    half = lambda a: (F.cos(F.radians(a) / 2), F.sin(F.radians(a) / 2))
-    (cy, sy), (cp, sp), (cr, sr) = half(yaw), half(pitch), half(roll)
     zero = F.lit(0.0)
-    return let(product(quat(cp, zero, sp, zero), quat(cr, sr, zero, zero)), lambda m: product(quat(cy, zero, zero, sy), m))
+
+    def turned(h: Column) -> Column:
+        inner = product(quat(h["cp"], zero, h["sp"], zero), quat(h["cr"], h["sr"], zero, zero))
+        return let(inner, lambda m: product(quat(h["cy"], zero, zero, h["sy"]), m))
+
+    half = F.struct(*((F.radians(a) / 2).alias(n) for a, n in ((yaw, "y"), (pitch, "p"), (roll, "r"))))
+    return let(half, lambda a: let(F.struct(*(f(a[n]).alias(k + n) for n in "ypr" for k, f in (("c", F.cos), ("s", F.sin)))), turned))
 
 
 def axis_angle(axis: Sequence[float], degrees: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,8 +66,51 @@ def weight(t: str) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(t) - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))))
 
 
+def read_rotations(ts: np.ndarray, qs: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The rotations (rows of w, x, y, z) at t as Q.slerp() tells them, between rotations qs at rising ts."""
+    i = np.clip(np.searchsorted(ts, t, "left") - 1, 0, len(ts) - 2)
+    w = np.clip((t - ts[i]) / (ts[i + 1] - ts[i]), 0.0, 1.0)
+    a, b = qs[i], qs[i + 1]
+    d = a[:, 0] * b[:, 0] + a[:, 1] * b[:, 1] + a[:, 2] * b[:, 2] + a[:, 3] * b[:, 3]
+    angle = np.arccos(np.minimum(1.0, np.abs(d)))
+    near = angle < 1e-7
+    sine = np.where(near, 1.0, np.sin(angle))
+    ka = np.where(near, 1 - w, np.sin((1 - w) * angle) / sine)
+    kb = np.where(near, w, np.sin(w * angle) / sine) * np.where(d < 0, -1.0, 1.0)
+    q = a * ka[:, None] + b * kb[:, None]
+    n = np.sqrt((q * q).sum(1))
+    return q / np.where(n > 0, n, 1.0)[:, None]
+
+
+def _slerped_by_stretches(samples: DataFrame, instants: DataFrame, keys: list[str], t: str, value: str, width: float) -> DataFrame:
+    """slerped() with the keys first, a stretch of time in a call: samples and instants of a stretch meet by its number, and are shuffled once."""
+    lines = samples.select(*keys, F.col(t).alias("_t"), F.struct(F.col(t).alias("t"), F.col(value).alias("v")).alias("_p"))
+    names = [c for c in instants.columns if c not in keys]
+    lines, asked = _by_stretches(lines, instants.select(*keys, F.col(t).alias("_t"), F.struct(*names).alias("_q")), keys, width)
+    # both may come from one table: the keys get attributes of their own
+    lines = lines.select(*(F.col(k).alias(k) for k in (*keys, "_b")), F.col("_t").cast("double").alias("_t"), *(F.col(f"_p.v.{k}").alias(k) for k in Q.PARTS))
+    parts = T.StructType([T.StructField(k, T.DoubleType()) for k in Q.PARTS])
+    kind = pa.struct([pa.field(k, pa.float64()) for k in Q.PARTS])
+
+    def read(asked: pa.Table, lines: pa.Table) -> pa.Table:
+        ts, first = np.unique(lines["_t"].to_numpy(), return_index=True)
+        if asked.num_rows and len(ts) > 1:
+            qs = np.column_stack([lines[k].to_numpy()[first] for k in Q.PARTS])
+            q = read_rotations(ts, qs, asked["_t"].cast(pa.float64()).to_numpy())
+            found = pa.StructArray.from_arrays([pa.array(x, from_pandas=True) for x in q.T], fields=list(kind))
+        else:
+            found = pa.nulls(asked.num_rows, kind)
+        rest = pa.Table.from_struct_array(asked["_q"].combine_chunks())
+        return pa.table([*(asked[k] for k in keys), *rest.columns, found], [*keys, *names, value])
+
+    schema = T.StructType([*(instants.schema[c] for c in (*keys, *names)), T.StructField(value, parts)])
+    return asked.groupBy(*keys, "_b").cogroup(lines.groupBy(*keys, "_b")).applyInArrow(read, schema)
+
+
 def slerped(samples: DataFrame, instants: DataFrame, keys: list[str], t: str, value: str, width: float | None = None) -> DataFrame:
-    """instants with value: the rotation at each, on the shorter arc; the end samples hold beyond the ends."""
+    """instants with value: the rotation at each, on the shorter arc; the end samples hold beyond the ends. width: see segments()."""
+    if width is not None:
+        return _slerped_by_stretches(samples, instants.drop(value), keys, t, value, width)
     met = segments(samples, instants, keys, t, value, width=width)
     return met.withColumn(value, Q.slerp(F.col("_v0"), F.col("_v1"), weight(t))).drop("_t0", "_v0", "_t1", "_v1")
 

@@ -73,22 +73,6 @@ def _with(df: DataFrame, each: DataFrame, keys: list[str], how: str = "inner") -
     return df.join(F.broadcast(each), keys, how)
 
 
-def _read(ts: np.ndarray, qs: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The rotations (rows of w, x, y, z) at t as Q.slerp() and asof.slerped() tell them."""
-    i = np.clip(np.searchsorted(ts, t, "left") - 1, 0, len(ts) - 2)
-    w = np.clip((t - ts[i]) / (ts[i + 1] - ts[i]), 0.0, 1.0)
-    a, b = qs[i], qs[i + 1]
-    d = a[:, 0] * b[:, 0] + a[:, 1] * b[:, 1] + a[:, 2] * b[:, 2] + a[:, 3] * b[:, 3]
-    angle = np.arccos(np.minimum(1.0, np.abs(d)))
-    near = angle < 1e-7
-    sine = np.where(near, 1.0, np.sin(angle))
-    ka = np.where(near, 1 - w, np.sin((1 - w) * angle) / sine)
-    kb = np.where(near, w, np.sin(w * angle) / sine) * np.where(d < 0, -1.0, 1.0)
-    q = a * ka[:, None] + b * kb[:, None]
-    n = np.sqrt((q * q).sum(1))
-    return q / np.where(n > 0, n, 1.0)[:, None]
-
-
 def _turns(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The rotation vectors from a to b as Q.increment() tells them."""
     (aw, ax, ay, az), (bw, bx, by, bz) = (a * [1, -1, -1, -1]).T, b.T
@@ -130,7 +114,7 @@ def measured_shift(samples: DataFrame, frames: DataFrame, keys: list[str], s: Se
         if out.num_rows:
             qs = np.column_stack([table[k].to_numpy() for k in Q.PARTS])[~seen][first]
             frame, iz = at[seen], table["iz"].to_numpy()[seen]
-            turn = lambda f, ms: _turns(_read(ts, qs, f * s.us + ms * 1000.0), _read(ts, qs, (f + 1) * s.us + ms * 1000.0))
+            turn = lambda f, ms: _turns(asof.read_rotations(ts, qs, f * s.us + ms * 1000.0), asof.read_rotations(ts, qs, (f + 1) * s.us + ms * 1000.0))
             v = turn(frame, 0)
             rate = np.sqrt((v * v).sum(1)) * s.fps
             used = (rate > SCAN_RATES[0]) & (rate < SCAN_RATES[1])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quaternion as Q
+from ..shared import kept
 from . import asof, corrections
 from . import gates as G
 from . import filters
@@ -150,7 +151,21 @@ def _side_fits(x: np.ndarray, y: np.ndarray, starts: np.ndarray, degree: int) ->
     return out / size[:, None, None] ** np.arange(degree + 1)
 
 
-def context_curves(samples: DataFrame, gaps: DataFrame, excluded: DataFrame, keys: list[str], reach: float = CONTEXT_S, points: int = SIDE_POINTS, degree: int = DEGREE, worst: float = WORST_RMS) -> tuple[DataFrame, DataFrame]:
+def at_both_ends(at: DataFrame, by: list[str], names) -> DataFrame:
+    """by and, under names, the attitudes q of at whose _end is 0 and 1, aggregated number by number, so by hash."""
+    part = lambda k, p: F.max(F.when(F.col("_end") == k, F.col(f"q.{p}"))).alias(f"_{k}{p}")
+    both = at.groupBy(*by).agg(*(part(k, p) for k in (0, 1) for p in Q.PARTS))
+    return both.select(*by, *(F.when(F.col(f"_{k}w").isNotNull(), Q.quat(*(F.col(f"_{k}{p}") for p in Q.PARTS))).alias(n) for k, n in enumerate(names)))
+
+
+def span_ends(samples: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, run, lo, hi, q0 and q1: the attitudes at both ends of each span."""
+    asked = spans.select(*keys, "run", "lo", "hi", F.explode(F.array(F.lit(0), F.lit(1))).alias("_end")).withColumn("t", F.when(F.col("_end") == 0, F.col("lo")).otherwise(F.col("hi")))
+    asked = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q", asof.STRETCH_S)
+    return at_both_ends(asked, [*keys, "run", "lo", "hi"], ("q0", "q1"))
+
+
+def context_curves(samples: DataFrame, gaps: DataFrame, excluded: DataFrame, keys: list[str], reach: float = CONTEXT_S, points: int = SIDE_POINTS, degree: int = DEGREE, worst: float = WORST_RMS, ends: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(targets, curves): an attitude for each sample in a gap, from the clean samples beside it.
 
     samples: keys, t (seconds) and q; gaps: keys, run, lo and hi; excluded: keys, lo and hi, whose samples are not clean. On each side at
@@ -158,7 +173,8 @@ def context_curves(samples: DataFrame, gaps: DataFrame, excluded: DataFrame, key
     cubic through each side gives value and slope at the gap's end, which a Hermite curve joins. With fewer than two samples on a side, or
     a fit that leaves more than `worst` degrees, the target is the shortest arc between the attitudes at both ends.
 
-    targets: keys, run, t and q. curves: keys, run, lo, hi, method (curve or bridge), left, right (samples used) and rms.
+    ends: span_ends() of these and maybe other gaps, if they are known already. targets: keys, run, t and q. curves: keys, run, lo, hi, method
+    (curve or bridge), left, right (samples used) and rms; a row for each gap is kept, as both rest on it.
     """
     width = 1.0  # seconds that a membership join looks at together
     near = gaps.select(*keys, "run", "lo", "hi", (F.col("lo") - reach).alias("_from"), (F.col("hi") + reach).alias("_to"))
@@ -170,10 +186,7 @@ def context_curves(samples: DataFrame, gaps: DataFrame, excluded: DataFrame, key
     clean = clean.select("*", (F.row_number().over(side.orderBy("t")) - 1).alias("_k"), F.count(F.lit(1)).over(side).alias("_n"))
     place = lambda i: F.bround(i * (F.col("_n") - 1) / (points - 1))
     picked = clean.where((F.col("_n") <= points) | F.exists(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: place(i) == F.col("_k")))
-    ends = gaps.select(*keys, "run", "lo", "hi")
-    asked = ends.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_end")).withColumn("t", F.when(F.col("_end") == 0, F.col("lo")).otherwise(F.col("hi")))
-    asked = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q")
-    ends = asked.groupBy(*keys, "run", "lo", "hi").agg(*(F.max_by("q", F.when(F.col("_end") == k, 1).otherwise(0)).alias(f"q{k}") for k in (0, 1)))
+    ends = span_ends(samples, gaps, keys) if ends is None else gaps.select(*keys, "run").join(ends, [*keys, "run"])
     rel = picked.select(*keys, "run", "side", "t", "q").join(ends, [*keys, "run"]).withColumn("v", Q.increment(F.col("q0"), F.col("q")))
     rel = rel.select(*keys, "run", "side", (F.col("t") - F.when(F.col("side") == 0, F.col("lo")).otherwise(F.col("hi"))).alias("at"), *(F.col(f"v.{a}").alias(f"v{a}") for a in "xyz"))
 
@@ -195,13 +208,14 @@ def context_curves(samples: DataFrame, gaps: DataFrame, excluded: DataFrame, key
     curves = ends.join(both, [*keys, "run"], "left")
     enough = (F.coalesce("left", F.lit(0)) >= 2) & (F.coalesce("right", F.lit(0)) >= 2)
     curves = curves.withColumn("method", F.when(enough & (F.col("rms") <= worst), "curve").otherwise("bridge")).withColumn("rms", F.when(enough, F.col("rms")))
+    curves = kept(curves)
     inner = G.within(samples.select(*keys, "t"), gaps.select(*keys, "run", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), keys, "t", "_lo", "_hi", width)
     met = inner.join(curves, [*keys, "run"])
     met = met.withColumn("_d", F.col("hi") - F.col("lo")).withColumn("_u", F.when(F.col("_d") > 0, (F.col("t") - F.col("lo")) / F.col("_d")).otherwise(0.0))
     u = F.col("_u")
     h = (2 * u * u * u - 3 * u * u + 1, u * u * u - 2 * u * u + u, -2 * u * u * u + 3 * u * u, u * u * u - u * u)
     v = Q.vec(*(h[0] * F.col(f"y{a}0") + h[1] * F.col("_d") * F.col(f"m{a}0") + h[2] * F.col(f"y{a}1") + h[3] * F.col("_d") * F.col(f"m{a}1") for a in "xyz"))
-    target = F.when(F.col("method") == "curve", Q.product(F.col("q0"), Q.from_rotation_vector(v))).otherwise(Q.slerp(F.col("q0"), F.col("q1"), u))
+    target = F.when(F.col("method") == "curve", Q.let(Q.let(v, Q.from_rotation_vector), lambda m: Q.product(F.col("q0"), m))).otherwise(Q.slerp(F.col("q0"), F.col("q1"), u))
     told = curves.select(*keys, "run", "lo", "hi", "method", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right"), "rms")
     return met.select(*keys, "run", "t", target.alias("q")), told
 
@@ -343,15 +357,15 @@ def fullrate_trial(samples: DataFrame, windows: DataFrame, keys: list[str], rate
     reach = windows.groupBy(*keys).agg((F.min("lo") - pad).alias("_a"), (F.max("hi") + pad).alias("_b")).join(span, keys)
     reach = reach.select(*keys, F.greatest("_a", "_first").alias("_a"), F.least("_b", "_last").alias("_b"))
     grid = reach.select(*keys, "_a", F.explode(F.sequence(F.lit(0), F.floor((F.col("_b") - F.col("_a")) * rate + 0.5).cast("int"))).alias("frame")).withColumn("t", F.col("_a") + F.col("frame") / rate)
-    dense = asof.slerped(samples.select(*keys, "t", "q"), grid, keys, "t", "q")
+    dense = asof.slerped(samples.select(*keys, "t", "q"), grid, keys, "t", "q", asof.STRETCH_S)
     smooth = filters.smoothed_rotations(dense, keys, "frame", "q", rate, hz).join(grid.select(*keys, "frame", "t"), [*keys, "frame"]).select(*keys, "t", "q")
     inside = G.within(samples.select(*keys, "t", F.col("q").alias("_q")), windows.select(*keys, "lo", "hi"), keys, "t", "lo", "hi", 1.0)
     gate = inside.groupBy(*keys, "t").agg(F.max(G.cosine_gate(F.col("t"), F.col("lo"), F.col("hi"), fade)).alias("_gate"), F.first("_q").alias("_q")).where("_gate > 0")
     ends = smooth.groupBy(*keys).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
-    asked = gate.join(ends, keys).withColumn("_own", F.col("t")).withColumn("t", F.col("_own") + shift)
+    asked = gate.join(F.broadcast(ends), keys).withColumn("_own", F.col("t")).withColumn("t", F.col("_own") + shift)
     beyond = (F.col("t") < F.col("_a") - 1e-9) | (F.col("t") > F.col("_b") + 1e-9)
     asked = asked.withColumn("t", F.when(beyond, F.raise_error(F.lit("not enough samples for this shift")).cast("double")).otherwise(F.col("t")))
-    met = asof.slerped(smooth, asked, keys, "t", "q")
+    met = asof.slerped(smooth, asked, keys, "t", "q", asof.STRETCH_S)
     turn = Q.let(Q.increment(F.col("_q"), F.col("q")), lambda v: Q.vec(*(v[a] * F.col("_gate") * gain for a in "xyz")))
     met = met.withColumn("applied", turn)
     return met.select(*keys, F.col("_own").alias("t"), Q.product(F.col("_q"), Q.from_rotation_vector(F.col("applied"))).alias("q"), "applied")
@@ -370,22 +384,22 @@ def session_rates(samples: DataFrame, pairs: DataFrame, keys: list[str], fps: fl
     """
     offset = readout / 2000
     ends = samples.groupBy(*keys).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
-    asked = pairs.select(*keys, "frame", F.explode(F.array(F.lit(0), F.lit(1))).alias("_end")).withColumn("t", (F.col("frame") + F.col("_end")) / fps + offset).join(ends, keys)
+    asked = pairs.select(*keys, "frame", F.explode(F.array(F.lit(0), F.lit(1))).alias("_end")).withColumn("t", (F.col("frame") + F.col("_end")) / fps + offset).join(F.broadcast(ends), keys)
     beyond = (F.col("t") < F.col("_lo")) | (F.col("t") > F.col("_hi"))
     asked = asked.withColumn("t", F.when(beyond, F.raise_error(F.lit("the samples do not reach all frames")).cast("double")).otherwise(F.col("t"))).drop("_lo", "_hi")
-    at = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q")
-    both = at.groupBy(*keys, "frame").agg(F.max(F.when(F.col("_end") == 0, F.col("q"))).alias("a"), F.max(F.when(F.col("_end") == 1, F.col("q"))).alias("b"))
+    at = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q", asof.STRETCH_S)
+    both = at_both_ends(at, [*keys, "frame"], "ab")
     rate = both.withColumn("v", Q.increment(F.col("b"), F.col("a"))).select(*keys, "frame", *((F.col(f"v.{a}") * fps).alias(f"r{a}") for a in "xyz"))
     d = pairs.join(rate, [*keys, "frame"])
     seen = F.col("sx").isNotNull() & F.col("sy").isNotNull() & F.col("sz").isNotNull() & (F.col("support") >= SUPPORT)
     busy = F.sqrt(F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry") + F.col("rz") * F.col("rz"))
     d = d.withColumn("_busy", busy).withColumn("_ok", F.coalesce(seen, F.lit(False)))
     limit = d.groupBy(*keys).agg(F.when(F.count_if("_ok") > CALM_FROM, F.percentile(F.when(F.col("_ok"), F.col("_busy")), F.lit(CALM_SHARE))).otherwise(F.lit(float("inf"))).alias("_most"))
-    d = d.join(limit, keys).withColumn("_fit", F.col("_ok") & (F.col("_busy") <= F.col("_most")))
+    d = d.join(F.broadcast(limit), keys).withColumn("_fit", F.col("_ok") & (F.col("_busy") <= F.col("_most")))
     maps = corrections.axis_map(d, keys, ["sx", "sy", "sz"], ["rx", "ry", "rz"], F.col("_fit"), 1, float("inf"))
     few = F.col("n") < FIT_PAIRS
     maps = maps.select(*keys, F.when(few, F.raise_error(F.lit("too few pairs to fit the axes")).cast("array<int>")).otherwise(F.col("p")).alias("p"), "s", "err")
-    met = d.join(maps, keys)
+    met = d.join(F.broadcast(maps), keys)
     return met.select(*keys, "frame", *((F.array("rx", "ry", "rz")[F.col("p")[j]] * F.col("s")[j]).alias(a) for j, a in enumerate("xyz")), "err")
 
 
@@ -393,7 +407,7 @@ def session_rates(samples: DataFrame, pairs: DataFrame, keys: list[str], fps: fl
 CONFIDENCE, BESIDE_S, DETAIL_S = 0.20, 0.1, 0.12
 
 
-def detail_targets(samples: DataFrame, windows: DataFrame, rates: DataFrame, maps: DataFrame, keys: list[str], dt: float, offset: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def detail_targets(samples: DataFrame, windows: DataFrame, rates: DataFrame, maps: DataFrame, keys: list[str], dt: float, offset: float = 0.0, ends: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(targets, windows): an attitude for each sample in a window whose motion has the detail that pictures show, and ends where it did.
 
     samples: keys, t (seconds) and q; windows: keys, run, lo and hi; rates: keys, frame, t, gx, gy, gz (told) and sx, sy, sz (seen, degrees a second
@@ -402,20 +416,18 @@ def detail_targets(samples: DataFrame, windows: DataFrame, rates: DataFrame, map
     taken on lines between those with confidence, summed up as rotations from the attitude at lo, and what is missing at hi is blended in
     smoothly. With fewer than two such rates the target is the shortest arc between both ends.
 
-    targets: keys, run, t and q. windows: keys, run, method (detail or bridge), used (rates) and drift (degrees at hi; null of a bridge).
+    ends: as context_curves() takes them. targets: keys, run, t and q. windows: keys, run, method (detail or bridge), used (rates) and drift (degrees
+    at hi; null of a bridge). Both are parts of one table, which is kept.
     """
     size = max(3, round(DETAIL_S / dt))
     size += size % 2 == 0
     told, seen = [f"g{a}" for a in "xyz"], [f"s{a}" for a in "xyz"]
     slow = rates.select(*keys, "frame", *(F.col(c).alias(f"_o_{c}") for c in (*told, *seen)), "t", "confidence", *told, *seen)
-    d = corrections.details(slow, keys, "frame", [*told, *seen], size).join(maps.select(*keys, "p", "s"), keys)
+    d = corrections.details(slow, keys, "frame", [*told, *seen], size).join(F.broadcast(maps.select(*keys, "p", "s")), keys)
     common = [F.col(f"_o_{g}") + F.col(s) - F.col(g) for g, s in zip(told, seen)]
     raw = [sum((F.when(F.col("p")[j] == k, common[j] / F.col("s")[j]).otherwise(0.0) for j in range(3)), F.lit(0.0)) for k in range(3)]
     known = d.select(*keys, "t", *(c.alias(f"r{a}") for c, a in zip(raw, "xyz")), "confidence").where(F.col("confidence") >= CONFIDENCE).dropna()
-    ends = windows.select(*keys, "run", "lo", "hi")
-    asked = ends.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_end")).withColumn("t", F.when(F.col("_end") == 0, F.col("lo")).otherwise(F.col("hi")))
-    asked = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q")
-    ends = asked.groupBy(*keys, "run", "lo", "hi").agg(*(F.max_by("q", F.when(F.col("_end") == k, 1).otherwise(0)).alias(f"q{k}") for k in (0, 1)))
+    ends = span_ends(samples, windows, keys) if ends is None else windows.select(*keys, "run").join(ends, [*keys, "run"])
     near = windows.select(*keys, "run", (F.col("lo") - BESIDE_S).alias("_from"), (F.col("hi") + BESIDE_S).alias("_to"))
     have = G.within(known, near, keys, "t", "_from", "_to", 1.0).select(*keys, "run", F.lit(0).alias("kind"), (F.col("t") + offset).alias("at"), "rx", "ry", "rz")
     inner = G.within(samples.select(*keys, "t"), windows.select(*keys, "run", F.col("lo").alias("_lo"), F.col("hi").alias("_hi")), keys, "t", "_lo", "_hi", 1.0)
@@ -457,6 +469,6 @@ def detail_targets(samples: DataFrame, windows: DataFrame, rates: DataFrame, map
         return pa.concat_tables(parts)
 
     types = ", ".join(f"`{k}` {dict(windows.dtypes)[k]}" for k in (*keys, "run"))
-    found = whole_groups(rows, [*keys, "run"], ["kind", "at"], run, f"{types}, t double, w double, x double, y double, z double, used long, drift double")
+    found = kept(whole_groups(rows, [*keys, "run"], ["kind", "at"], run, f"{types}, t double, w double, x double, y double, z double, used long, drift double"))
     told_windows = found.where("t is null").select(*keys, "run", F.when(F.col("used") >= 2, "detail").otherwise("bridge").alias("method"), "used", "drift")
     return found.where("t is not null").select(*keys, "run", "t", Q.quat(*(F.col(p) for p in Q.PARTS)).alias("q")), told_windows

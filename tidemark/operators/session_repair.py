@@ -58,7 +58,7 @@ def repair_windows(events: DataFrame, rates: DataFrame, keys: list[str], dt: flo
     unknown, the wrong way round or beyond the frames.
     """
     ends = rates.groupBy(*keys).agg(((F.max("frame") + 2) * dt).alias("_end"))
-    e = events.select(*keys, "run", "kind", F.col("lo").alias("start"), F.col("hi").alias("end")).join(ends, keys, "left")
+    e = events.select(*keys, "run", "kind", F.col("lo").alias("start"), F.col("hi").alias("end")).join(F.broadcast(ends), keys, "left")
     right = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("_end") + 1e-9)
     e = e.withColumn("start", F.when(right, F.col("start")).otherwise(F.raise_error(F.lit("an event's bounds are not within the recording")).cast("double")))
     half = (F.col("end") - F.col("start")) / 2
@@ -142,8 +142,9 @@ def session_repair(samples: DataFrame, events: DataFrame, rates: DataFrame, maps
     span = windows.select(*keys, "run", "lo", "hi", "kind")
     detail = F.coalesce(F.col("kind").isin(*s.detail_kinds), F.lit(False)) & F.lit(s.model == "curve")
     slim = samples.select(*keys, "t", "q")
-    curve, curves = fits.context_curves(slim, span.where(~detail), windows.select(*keys, F.col("start").alias("lo"), F.col("end").alias("hi")), keys, s.context, s.points, s.degree, -1.0 if s.model == "bridge" else 4 * s.fit_scale)
-    shown, details = fits.detail_targets(slim, span.where(detail), rates, maps, keys, dt, offset)
+    ends = kept(fits.span_ends(slim, span, keys))
+    curve, curves = fits.context_curves(slim, span.where(~detail), windows.select(*keys, F.col("start").alias("lo"), F.col("end").alias("hi")), keys, s.context, s.points, s.degree, -1.0 if s.model == "bridge" else 4 * s.fit_scale, ends)
+    shown, details = fits.detail_targets(slim, span.where(detail), rates, maps, keys, dt, offset, ends)
     targets = curve.union(shown).select(*keys, "run", "t", F.col("q").alias("_target"))
     told = curves.select(*keys, "run", "method", (F.coalesce("left", F.lit(0)) + F.coalesce("right", F.lit(0))).cast("long").alias("used"), "rms", F.lit(None).cast("double").alias("drift"))
     told = told.union(details.select(*keys, "run", "method", "used", F.lit(None).cast("double"), "drift"))
@@ -161,7 +162,7 @@ def session_repair(samples: DataFrame, events: DataFrame, rates: DataFrame, maps
     each = proposed.join(d.select(*keys, "run", "gain"), [*keys, "run"]).withColumn("_priority", F.col("gate") * F.col("gain")).where("_priority > 0")
     each = each.withColumn("_turn", Q.let(F.col("v"), lambda v: Q.vec(*(v[a] * F.col("_priority") for a in "xyz"))))
     best = G.strongest(each, [*keys, "t"], "_priority", "run", ["_turn"]).withColumn("applied", Q.soft_limited(F.col("_turn"), s.most)).drop("_turn")
-    turned = F.when(F.col("applied").isNull(), F.col("q")).otherwise(Q.product(F.col("q"), Q.from_rotation_vector(F.col("applied"))))
+    turned = F.when(F.col("applied").isNull(), F.col("q")).otherwise(Q.let(Q.from_rotation_vector(F.col("applied")), lambda m: Q.product(F.col("q"), m)))
     out = samples.join(best, [*keys, "t"], "left").withColumn("q", turned)
     return out, d.select(*keys, "run", "kind", "lo", "hi", "method", "used", "rms", "drift", "predicted", "frames", "motion", "disagreement", "scale", "quality", "gain")
 
@@ -170,18 +171,18 @@ def timed_variants(samples: DataFrame, shifts: DataFrame, keys: list[str], const
     """keys, frame, index, variant, t and q: each sample's attitude read later by nothing (none), by the median shift of its series (mean), by its own frame's
     (frame) and by a constant (manual). samples: keys, t (seconds), q, frame and index; shifts: keys, frame and shift_us, of which an unknown one is 0."""
     middle = shifts.groupBy(*keys).agg(F.median("shift_us").alias("_mid"))
-    d = samples.select(*keys, "frame", "index", F.col("t").alias("_own")).join(shifts.select(*keys, "frame", "shift_us"), [*keys, "frame"], "left").join(middle, keys, "left")
+    d = samples.select(*keys, "frame", "index", F.col("t").alias("_own")).join(shifts.select(*keys, "frame", "shift_us"), [*keys, "frame"], "left").join(F.broadcast(middle), keys, "left")
     by = {"none": F.lit(0.0), "mean": F.coalesce("_mid", F.lit(0.0)), "frame": F.coalesce(F.col("shift_us").cast("double"), F.lit(0.0)), "manual": F.lit(float(constant))}
     asked = d.withColumn("_v", F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), c.alias("us")) for n, c in by.items()))))
     asked = asked.select(*keys, "frame", "index", F.col("_v.variant").alias("variant"), "_own", (F.col("_own") + F.col("_v.us") / 1e6).alias("t"))
-    met = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q")
+    met = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q", asof.STRETCH_S)
     return met.select(*keys, "frame", "index", "variant", F.col("_own").alias("t"), "q")
 
 
 def frame_velocity(samples: DataFrame, frames: DataFrame, maps: DataFrame, keys: list[str], fps: float, offset: float = 0.0) -> DataFrame:
     """keys, frame, x, y, z: degrees a second from each frame to the next, read `offset` seconds after both, in the pictures' axes (maps: keys, p and s)."""
     asked = frames.select(*keys, "frame", F.explode(F.array(F.lit(0), F.lit(1))).alias("_end")).withColumn("t", (F.col("frame") + F.col("_end")) / fps + offset)
-    at = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q")
-    both = at.groupBy(*keys, "frame").agg(*(F.max_by("q", F.when(F.col("_end") == k, 1).otherwise(0)).alias(n) for k, n in enumerate("ab")))
-    raw = both.withColumn("v", Q.increment(F.col("b"), F.col("a"))).join(maps.select(*keys, "p", "s"), keys)
+    at = asof.slerped(samples.select(*keys, "t", "q"), asked, keys, "t", "q", asof.STRETCH_S)
+    both = fits.at_both_ends(at, [*keys, "frame"], "ab")
+    raw = both.withColumn("v", Q.increment(F.col("b"), F.col("a"))).join(F.broadcast(maps.select(*keys, "p", "s")), keys)
     return raw.select(*keys, "frame", *((F.array("v.x", "v.y", "v.z")[F.col("p")[j]] * F.col("s")[j] * fps).alias(a) for j, a in enumerate("xyz")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import quaternion as Q
@@ -36,10 +36,12 @@ def telemetry(spark, sf_dir):
     at = lambda k: _attitude((F.col("frame") + k) / FPS, F.col("phase"))
     step = lambda k: Q.let(F.struct(at(0).alias("a"), at(k).alias("b")), lambda m: Q.increment(m["a"], m["b"]))
     f = e.select("clip_id", "frame", "event_id", (8 + F.col("event_id") % 5).cast("double").alias("exposure"), step(1).alias("i"), step(5).alias("g"))
-    end = F.max("frame").over(Window.partitionBy("clip_id"))
+    # the last frame of each series is sent to all tasks, so that no task gets a whole series
+    last = F.broadcast(e.groupBy("clip_id").agg(F.max("frame").alias("end"))).alias("l")
+    f = f.alias("f").join(last, F.expr("f.clip_id <=> l.clip_id")).select("f.*", "l.end")
     off = lambda k: (F.col("event_id") * k % 101) / 101.0 * 0.01 - 0.005
     seen = F.col("event_id") % 29 != 0
-    window = F.col("frame") <= end - 5
+    window = F.col("frame") <= F.col("end") - 5
     cols = {f"i{a}": F.when(seen, F.col(f"i.{a}") + off(7 + k)) for k, a in enumerate("xyz")}
     cols |= {"curl": F.col("i.z") + off(31), "points": F.when(F.col("event_id") % 53 == 0, 100).otherwise(500), "sx": F.col("i.x") * 0.8 + off(41), "sy": F.col("i.y") * 0.8 + off(43)}
     cols |= {f"{n}{a}": F.when(window, s * F.col(f"g.{a}") + off(k)) for n, k in (("h", 51), ("k", 61)) for a, s in zip("xyz", (-1, 1, 1))}

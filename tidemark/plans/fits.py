@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lens
 from ..functions import quaternion as Q
 from ..operators import fits, session_repair
+from ..operators import windows as W
 from ..shared import kept
 from .builds import FPS, telemetry
 from .series import K
@@ -99,8 +99,7 @@ def c10_curves(spark, sf_dir):
 def c13_spline_fit(spark, sf_dir):
     """The bounded curve of each second that brings what is told of its frames near to what is seen of them."""
     samples, frames = _seconds(spark, sf_dir)
-    w = Window.partitionBy(*K).orderBy("frame")
-    at = samples.where("index = 0").select(*K, "frame", F.col("q").alias("qa"), F.lead("q").over(w).alias("qb"))
+    at = W.framed(samples.where("index = 0").select(*K, "frame", F.col("q").alias("qa")), K, "frame", 0, 1, {"qb": lambda _, w: F.lead("qa").over(w)})
     seen = frames.where("ix is not null").select(*K, "frame", Q.from_rotation_vector(Q.vec(-F.col("ix"), -F.col("iy"), -F.col("iz"))).alias("target"))
     span = F.floor(F.col("frame") / 50)
     pairs = at.where("qb is not null").join(seen, [*K, "frame"]).withColumn("span", span).select(*K, "span", F.col("span").cast("double").alias("lo"), (F.col("span") + 1.0).alias("hi"), (F.col("frame") / FPS).alias("ta"), ((F.col("frame") + 1) / FPS).alias("tb"), "qa", "qb", "target", F.lit(0.3).alias("spread"))
@@ -121,16 +120,15 @@ def c09_fullrate_trial(spark, sf_dir):
 def m12_session_rates(spark, sf_dir):
     """What is told of the motion between two frames, in the axes of what is seen."""
     samples, frames = _seconds(spark, sf_dir)
-    last = F.max("frame").over(Window.partitionBy(*K))
-    pairs = frames.withColumn("last", last).where("frame < last").select(*K, "frame", F.col("iz").alias("sx"), (-F.col("ix")).alias("sy"), F.col("iy").alias("sz"), F.col("points").alias("support"))
+    last = F.broadcast(frames.groupBy(*K).agg(F.max("frame").alias("last")))
+    pairs = frames.join(last, K).where("frame < last").select(*K, "frame", F.col("iz").alias("sx"), (-F.col("ix")).alias("sy"), F.col("iy").alias("sz"), F.col("points").alias("support"))
     found = fits.session_rates(samples, pairs.select(*K, "frame", *((F.col(s) * -FPS).alias(s) for s in ("sx", "sy", "sz")), "support"), K, FPS, 13.58)
     return found.select(*K, "frame", *(r6(F.col(k)).alias(k) for k in ("x", "y", "z", "err")))
 
 
 def _rates(samples, frames):
     """(rates, maps): what is told and seen of the motion between two frames, and the order of axes, which is the same here."""
-    w = Window.partitionBy(*K).orderBy("frame")
-    at = samples.where("index = 0").select(*K, "frame", "q", F.lead("q").over(w).alias("next")).where("next is not null").withColumn("v", Q.increment(F.col("next"), F.col("q")))
+    at = W.framed(samples.where("index = 0").select(*K, "frame", "q"), K, "frame", 0, 1, {"next": lambda _, w: F.lead("q").over(w)}).where("next is not null").withColumn("v", Q.increment(F.col("next"), F.col("q")))
     told = at.select(*K, "frame", *((F.col(f"v.{a}") * FPS).alias(f"g{a}") for a in "xyz"))
     rates = frames.join(told, [*K, "frame"]).select(*K, "frame", ((F.col("frame") + 0.5) / FPS).alias("t"), "gx", "gy", "gz", *((F.col(f"i{a}") * -FPS).alias(f"s{a}") for a in "xyz"), (F.col("points") / 500).alias("confidence"))
     return rates, frames.select(*K).distinct().select(*K, F.array(*map(F.lit, (0, 1, 2))).alias("p"), F.array(*map(F.lit, (1, 1, 1))).alias("s"))
@@ -171,7 +169,7 @@ def c12_timings(spark, sf_dir):
     """The repaired samples read at the four timings."""
     samples, *rest = _session(spark, sf_dir)
     found, _ = session_repair.session_repair(samples, *rest, K, 1 / FPS)
-    shifts = found.where("index = 0").select(*K, "frame", (F.col("frame") % 7 * 150.0 - 6790).alias("shift_us"))
+    shifts = samples.where("index = 0").select(*K, "frame", (F.col("frame") % 7 * 150.0 - 6790).alias("shift_us"))
     timed = session_repair.timed_variants(found, shifts, K, -13580.0)
     return timed.select(*K, "frame", "index", "variant", *flat(F.col("q"), "q"))
 
