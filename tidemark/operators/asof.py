@@ -83,10 +83,10 @@ def read_rotations(ts: np.ndarray, qs: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 def _slerped_by_stretches(samples: DataFrame, instants: DataFrame, keys: list[str], t: str, value: str, width: float) -> DataFrame:
-    """slerped() with the keys first, a stretch of time in a call: samples and instants of a stretch meet by its number, and are shuffled once."""
+    """slerped() with keys and t first, a stretch of time in a call: samples and instants of a stretch meet by its number, and are shuffled once."""
     lines = samples.select(*keys, F.col(t).alias("_t"), F.struct(F.col(t).alias("t"), F.col(value).alias("v")).alias("_p"))
-    names = [c for c in instants.columns if c not in keys]
-    lines, asked = _by_stretches(lines, instants.select(*keys, F.col(t).alias("_t"), F.struct(*names).alias("_q")), keys, width)
+    names = [c for c in instants.columns if c not in (*keys, t)]  # the instant itself goes once
+    lines, asked = _by_stretches(lines, instants.select(*keys, F.col(t).alias("_t"), F.struct(F.lit(0).alias("_"), *names).alias("_q")), keys, width)
     # both may come from one table: the keys get attributes of their own
     lines = lines.select(*(F.col(k).alias(k) for k in (*keys, "_b")), F.col("_t").cast("double").alias("_t"), *(F.col(f"_p.v.{k}").alias(k) for k in Q.PARTS))
     parts = T.StructType([T.StructField(k, T.DoubleType()) for k in Q.PARTS])
@@ -101,9 +101,9 @@ def _slerped_by_stretches(samples: DataFrame, instants: DataFrame, keys: list[st
         else:
             found = pa.nulls(asked.num_rows, kind)
         rest = pa.Table.from_struct_array(asked["_q"].combine_chunks())
-        return pa.table([*(asked[k] for k in keys), *rest.columns, found], [*keys, *names, value])
+        return pa.table([*(asked[k] for k in keys), asked["_t"], *rest.columns[1:], found], [*keys, t, *names, value])
 
-    schema = T.StructType([*(instants.schema[c] for c in (*keys, *names)), T.StructField(value, parts)])
+    schema = T.StructType([*(instants.schema[c] for c in (*keys, t, *names)), T.StructField(value, parts)])
     return asked.groupBy(*keys, "_b").cogroup(lines.groupBy(*keys, "_b")).applyInArrow(read, schema)
 
 

@@ -150,7 +150,7 @@ def _session(spark, sf_dir):
     late = gaps.where("run % 4 = 0").select(*K, (F.col("run") * 2 + 1).alias("run"), (F.col("lo") + 0.12).alias("lo"), (F.col("hi") + 0.1).alias("hi"))
     events = gaps.select(*K, (F.col("run") * 2).alias("run"), "lo", "hi").union(late)
     events = events.withColumn("kind", F.when(F.col("run") % 3 == 0, "gyro_fault").otherwise("large_impulse"))
-    return kept(samples), kept(events), kept(rates), maps
+    return kept(samples.drop("inverted")), kept(events), kept(rates), maps
 
 
 def c12_session_repair(spark, sf_dir):
