@@ -223,100 +223,152 @@ def context_curves(samples: DataFrame, gaps: DataFrame, excluded: DataFrame, key
 KNOTS, BOUND, SMALL, SMOOTH, LEAST_SPREAD = 9, 1.0, 0.6, 0.4, 0.3
 
 
-def clamped_basis(t: np.ndarray, lo: float, hi: float, knots: int = KNOTS) -> np.ndarray:
-    """Values at t (rows) of the cubic splines on evenly spaced knots that are 1 at one inner knot and 0 at the others, flat at both ends."""
+def clamped_basis(t: np.ndarray, lo: float | np.ndarray, hi: float | np.ndarray, knots: int = KNOTS) -> np.ndarray:
+    """Values at t (rows) of the cubic splines on evenly spaced knots that are 1 at one inner knot and 0 at the others, flat at both ends.
+
+    lo and hi: one span, or that of each t.
+    """
     h, inner = (hi - lo) / (knots - 1), knots - 2
     nodes = np.zeros((knots, inner))
     nodes[1:-1] = np.eye(inner)
     m = np.diag(np.full(inner, 4.0)) + np.diag(np.ones(inner - 1), 1) + np.diag(np.ones(inner - 1), -1)
-    slopes = np.zeros_like(nodes)
-    slopes[1:-1] = np.linalg.solve(m, 3 / h * (nodes[2:] - nodes[:-2]))
+    slopes = np.zeros_like(nodes)  # times h
+    slopes[1:-1] = np.linalg.solve(m, 3 * (nodes[2:] - nodes[:-2]))
     k = np.clip(((t - lo) / h).astype(int), 0, knots - 2)
     u = ((t - lo) / h - k)[:, None]
-    return nodes[k] * (2 * u**3 - 3 * u**2 + 1) + slopes[k] * h * (u**3 - 2 * u**2 + u) + nodes[k + 1] * (3 * u**2 - 2 * u**3) + slopes[k + 1] * h * (u**3 - u**2)
+    return nodes[k] * (2 * u**3 - 3 * u**2 + 1) + slopes[k] * (u**3 - 2 * u**2 + u) + nodes[k + 1] * (3 * u**2 - 2 * u**3) + slopes[k + 1] * (u**3 - u**2)
 
 
 def _mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    (aw, ax, ay, az), (bw, bx, by, bz) = a.T, b.T
-    return np.column_stack([aw * bw - ax * bx - ay * by - az * bz, aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw])
+    (aw, ax, ay, az), (bw, bx, by, bz) = np.moveaxis(a, -1, 0), np.moveaxis(b, -1, 0)
+    return np.stack([aw * bw - ax * bx - ay * by - az * bz, aw * bx + ax * bw + ay * bz - az * by, aw * by - ax * bz + ay * bw + az * bx, aw * bz + ax * by - ay * bx + az * bw], -1)
 
 
 def _exp(v: np.ndarray) -> np.ndarray:
-    n = np.radians(np.linalg.norm(v, axis=1, keepdims=True))
-    return np.hstack([np.cos(n / 2), np.radians(v) * np.where(n > 1e-12, np.sin(n / 2) / np.maximum(n, 1e-12), 0.5)])
+    n = np.radians(np.linalg.norm(v, axis=-1, keepdims=True))
+    return np.concatenate([np.cos(n / 2), np.radians(v) * np.where(n > 1e-12, np.sin(n / 2) / np.maximum(n, 1e-12), 0.5)], -1)
 
 
 def _log(q: np.ndarray) -> np.ndarray:
-    q = q * np.where(q[:, :1] < 0, -1, 1)
-    n = np.linalg.norm(q[:, 1:], axis=1, keepdims=True)
-    return np.degrees(q[:, 1:] * np.where(n > 1e-12, 2 * np.arctan2(n, q[:, :1]) / np.maximum(n, 1e-12), 2.0))
+    q = q * np.where(q[..., :1] < 0, -1, 1)
+    n = np.linalg.norm(q[..., 1:], axis=-1, keepdims=True)
+    return np.degrees(q[..., 1:] * np.where(n > 1e-12, 2 * np.arctan2(n, q[..., :1]) / np.maximum(n, 1e-12), 2.0))
 
 
 def _inverse(q: np.ndarray) -> np.ndarray:
     return q * [1, -1, -1, -1]
 
 
-def bounded_spline(ba: np.ndarray, bb: np.ndarray, qa: np.ndarray, qb: np.ndarray, target: np.ndarray, sigma: np.ndarray, bound: float = BOUND, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """The inner nodes (knots - 2 by 3, degrees, each within the bound) of a curve c for which (qb exp(c(tb)))^-1 qa exp(c(ta)) comes near to target, and the cost.
+def _with_cross(x: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The matrices 1 + first [x] + second [x]^2, [x] y being x cross y; scalars have a last axis of 1."""
+    out = (second * x)[..., :, None] * x[..., None, :]
+    out[..., range(3), range(3)] += 1 - second * (x * x).sum(-1, keepdims=True)
+    f = first * x
+    for i, j, k in ((2, 1, 0), (0, 2, 1), (1, 0, 2)):
+        out[..., i, j] += f[..., k]
+        out[..., j, i] -= f[..., k]
+    return out
 
-    ba, bb: clamped_basis() at ta and tb. What is left is over sigma; small nodes and small second differences are asked for too, and all
-    residuals r count as 2 (sqrt(1 + r^2) - 1). Damped least squares, in which nodes at the bound that would leave it stand still.
-    """
-    inner = ba.shape[1]
+
+def _step_of_exp(v: np.ndarray) -> np.ndarray:
+    """Matrices m with exp(v + d) = exp(v) exp(m d) for small d."""
+    x = np.radians(v)
+    n = np.linalg.norm(x, axis=-1, keepdims=True)
+    s = np.maximum(n, 1e-4)
+    return _with_cross(x, np.where(n > 1e-4, -2 * np.sin(s / 2) ** 2 / s**2, -0.5 + n * n / 24), np.where(n > 1e-4, (s - np.sin(s)) / s**3, 1 / 6 - n * n / 120))
+
+
+def _step_of_log(v: np.ndarray) -> np.ndarray:
+    """Matrices m with log(exp(v) exp(d)) = v + m d for small d; transposed, those with log(exp(d) exp(v)) = v + m d."""
+    x = np.radians(v)
+    n = np.linalg.norm(x, axis=-1, keepdims=True)
+    s = np.maximum(n, 1e-4)
+    return _with_cross(x, np.full_like(n, 0.5), np.where(n > 1e-4, (1 - s / 2 * np.cos(s / 2) / np.sin(s / 2)) / s**2, 1 / 12 + n * n / 720))
+
+
+def bounded_splines(ba: np.ndarray, bb: np.ndarray, qa: np.ndarray, qb: np.ndarray, target: np.ndarray, sigma: np.ndarray, bound: float = BOUND, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """bounded_spline() of many groups that advance together: all arrays have the groups first; rows with an infinite sigma fill up the shorter ones."""
+    size, _, inner = ba.shape
     second = np.diff(np.vstack([np.zeros(inner), np.eye(inner), np.zeros(inner)]), n=2, axis=0)
     prior = np.kron(np.vstack([np.eye(inner) / SMALL, second / SMOOTH]), np.eye(3))
-
-    def error(ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
-        return _log(_mul(_inverse(target), _mul(_inverse(_mul(qb, _exp(cb))), _mul(qa, _exp(ca))))) / sigma[:, None]
-
-    def residual(p: np.ndarray) -> np.ndarray:
-        nodes = p.reshape(inner, 3)
-        return np.concatenate([error(ba @ nodes, bb @ nodes).ravel(), prior @ p])
-
-    def cost(r: np.ndarray) -> float:
-        return float(2 * np.sum(np.sqrt(1 + r * r) - 1))
-
-    def jacobian(p: np.ndarray) -> np.ndarray:
-        nodes, step, n = p.reshape(inner, 3), 1e-5, len(sigma)
-        out = np.zeros((n, 3, inner, 3))
-        for basis, which in ((ba, 0), (bb, 1)):
-            for k in range(3):
-                c = [ba @ nodes, bb @ nodes], [ba @ nodes, bb @ nodes]
-                c[0][which][:, k] += step
-                c[1][which][:, k] -= step
-                out[:, :, :, k] += ((error(*c[0]) - error(*c[1])) / (2 * step))[:, :, None] * basis[:, None, :]
-        return np.vstack([out.reshape(n * 3, inner * 3), prior])
-
-    p, damp = np.zeros(inner * 3), 1e-3
-    r = residual(p)
+    # what is given of each group: bases, the inverse target, the rotation from qb to qa, the scale, and the target's matrix, transposed
+    turned = np.stack([_mul(_mul(_inverse(target), np.broadcast_to(np.eye(4)[k], target.shape)), target)[..., 1:] for k in (1, 2, 3)], -1)
+    given = [ba, bb, _inverse(target), _mul(_inverse(qb), qa), sigma[..., None], turned]
+
+    def curves(g: list, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nodes = p.reshape(-1, inner, 3)
+        return g[0] @ nodes, g[1] @ nodes
+
+    def residual(g: list, p: np.ndarray) -> np.ndarray:
+        ca, cb = curves(g, p)
+        e = _log(_mul(_mul(g[2], _exp(-cb)), _mul(g[3], _exp(ca)))) / g[4]
+        return np.hstack([e.reshape(len(p), -1), p @ prior.T])
+
+    def cost(r: np.ndarray) -> np.ndarray:
+        return 2 * np.sum(np.sqrt(1 + r * r) - 1, 1)
+
+    def jacobian(g: list, p: np.ndarray, r: np.ndarray) -> np.ndarray:
+        ca, cb = curves(g, p)
+        rows = ca.shape[1] * 3
+        log = _step_of_log(r[:, :rows].reshape(ca.shape) * np.where(np.isinf(g[4]), 0.0, g[4]))
+        a = log @ _step_of_exp(ca) / g[4][..., None]
+        b = np.swapaxes(log, -1, -2) @ g[5] @ _step_of_exp(cb) / -g[4][..., None]
+        return (a[:, :, :, None] * g[0][:, :, None, :, None] + b[:, :, :, None] * g[1][:, :, None, :, None]).reshape(len(p), rows, inner * 3)
+
+    found, costs, at = np.zeros((size, inner * 3)), np.zeros(size), np.arange(size)
+    p, damp, diagonal = found.copy(), np.full(size, 1e-3), np.arange(inner * 3)
+    r = residual(given, p)
     best = cost(r)
     for _ in range(rounds):
-        j = jacobian(p)
-        w = 1 / np.sqrt(1 + r * r)
-        gradient = j.T @ (w * r)
+        j, w = jacobian(given, p, r), 1 / np.sqrt(1 + r * r)
+        rows = j.shape[1]
+        gradient = (j.swapaxes(1, 2) @ (w * r)[:, :rows, None])[..., 0] + (w * r)[:, rows:] @ prior
         free = ~(((p >= bound) & (gradient < 0)) | ((p <= -bound) & (gradient > 0)))
-        if not free.any() or np.abs(gradient[free]).max() < 1e-9:
-            break
-        m = (j[:, free].T * w) @ j[:, free]
-        moved = False
-        while damp < 1e12:
-            trial = p.copy()
-            trial[free] -= np.linalg.solve(m + damp * np.diag(np.diag(m)), gradient[free])
-            trial = np.clip(trial, -bound, bound)
-            rt = residual(trial)
-            if cost(rt) < best:
-                moved, damp = True, max(damp / 5, 1e-12)
-                break
-            damp *= 4
-        if not moved:
+        gradient[~free] = 0  # with a row and a column of their own, nodes at the bound stand still
+        m = (j * w[:, :rows, None]).swapaxes(1, 2) @ j + (prior.T * w[:, None, rows:]) @ prior
+        m *= free[:, :, None] & free[:, None, :]
+        m[:, diagonal, diagonal] += ~free
+        before, moved = best.copy(), np.zeros(len(p), bool)
+        wait = np.flatnonzero(~(np.abs(gradient).max(1) < 1e-9))
+        while len(wait):
+            damped = m[wait]
+            damped[:, diagonal, diagonal] *= 1 + damp[wait, None]
+            step = np.linalg.solve(damped, gradient[wait, :, None])[..., 0]
+            trial = np.clip(p[wait] - step, -bound, bound)
+            rt = residual(given if len(wait) == len(p) else [x[wait] for x in given], trial)
+            ct = cost(rt)
+            better = ct < best[wait]
+            # what is expected of this step would end the rounds: a shorter one does not help
+            least = 2 * (step * gradient[wait]).sum(1) < 1e-14 * np.maximum(best[wait], 1e-300)
+            took = wait[better]
+            p[took], r[took], best[took], moved[took] = trial[better], rt[better], ct[better], True
+            damp[took] = np.maximum(damp[took] / 5, 1e-12)
+            damp[wait[~better]] *= 4
+            wait = wait[~better & ~least & (damp[wait] < 1e12)]
+        done = ~moved | (before - best < 1e-14 * np.maximum(best, 1e-300))
+        found[at], costs[at] = p, best
+        if done.all():
             break
-        gain, p, r, best = best - cost(rt), trial, rt, cost(rt)
-        if gain < 1e-14 * max(best, 1e-300):
-            break
-    return p.reshape(inner, 3), best
+        if done.any():
+            at, p, r, best, damp, *given = (x[~done] for x in (at, p, r, best, damp, *given))
+    return found.reshape(size, inner, 3), costs
 
 
-def spline_fit(pairs: DataFrame, keys: list[str], knots: int = KNOTS, bound: float = BOUND) -> DataFrame:
+def bounded_spline(ba: np.ndarray, bb: np.ndarray, qa: np.ndarray, qb: np.ndarray, target: np.ndarray, sigma: np.ndarray, bound: float = BOUND, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """The inner nodes (knots - 2 by 3, degrees, each within the bound) of a curve c for which (qb exp(c(tb)))^-1 qa exp(c(ta)) comes near to target, and the cost.
+
+    ba, bb: clamped_basis() at ta and tb. What is left is over sigma; small nodes and small second differences are asked for too, and all
+    residuals r count as 2 (sqrt(1 + r^2) - 1). Damped least squares, in which nodes at the bound that would leave it stand still.
+    """
+    nodes, cost = bounded_splines(*(x[None] for x in (ba, bb, qa, qb, target, sigma)), bound, rounds)
+    return nodes[0], float(cost[0])
+
+
+#: Rows of spans, filled up to the longest of them, that advance together.
+TOGETHER = 1 << 14
+
+
+def spline_fit(pairs: DataFrame, keys: list[str], knots: int = KNOTS, bound: float = BOUND, together: int = TOGETHER) -> DataFrame:
     """keys, knot (1 to knots - 2), at (seconds), x, y, z (degrees), cost and n of each span.
 
     pairs: keys, lo and hi (the span), ta, tb (seconds), qa, qb (attitudes there), target (the rotation from b to a that is seen, a struct of w,
@@ -326,18 +378,28 @@ def spline_fit(pairs: DataFrame, keys: list[str], knots: int = KNOTS, bound: flo
     known = pairs.select(*keys, *(F.col(c).cast("double").alias(c) for c in ("lo", "hi", "ta", "tb")), *flat, F.greatest(F.col("spread").cast("double"), F.lit(LEAST_SPREAD)).alias("spread")).dropna()
 
     def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
-        parts = []
-        for i, j in zip(starts, np.append(starts[1:], table.num_rows)):
-            group = table.slice(i, j - i)
-            lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-            ta, tb = (group[c].to_numpy() for c in ("ta", "tb"))
-            qa, qb, target = (_columns(group, [f"{n}_{k}" for k in Q.PARTS]) for n in ("qa", "qb", "target"))
-            nodes, cost = bounded_spline(clamped_basis(ta, lo, hi, knots), clamped_basis(tb, lo, hi, knots), qa, qb, target, group["spread"].to_numpy(), bound)
-            head = group.select(keys).take(pa.array([0] * (knots - 2)))
-            for name, x in (("knot", np.arange(1, knots - 1)), ("at", np.linspace(lo, hi, knots)[1:-1]), *zip("xyz", nodes.T), ("cost", np.full(knots - 2, cost)), ("n", np.full(knots - 2, j - i))):
-                head = head.append_column(name, pa.array(x))
-            parts.append(head)
-        return pa.concat_tables(parts)
+        n, inner = np.diff(np.append(starts, table.num_rows)), knots - 2
+        lo, hi = (table[c].to_numpy()[starts] for c in ("lo", "hi"))
+        if (lo == hi).any():
+            raise ValueError("a span has no length")
+        ba, bb = (clamped_basis(table[c].to_numpy(), np.repeat(lo, n), np.repeat(hi, n), knots) for c in ("ta", "tb"))
+        qa, qb, target = (_columns(table, [f"{c}_{k}" for k in Q.PARTS]) for c in ("qa", "qb", "target"))
+        spread = table["spread"].to_numpy()
+        nodes, costs = np.zeros((len(n), inner, 3)), np.zeros(len(n))
+        by_size = np.argsort(n, kind="stable")
+        while len(by_size):
+            # the longest spans that are left, as many as fit
+            some = by_size[-max(1, together // int(n[by_size[-1]])) :]
+            by_size = by_size[: -len(some)]
+            rows = starts[some, None] + np.arange(n[some[-1]])
+            own = np.arange(n[some[-1]]) < n[some, None]
+            rows = np.where(own, rows, starts[some, None])
+            nodes[some], costs[some] = bounded_splines(ba[rows], bb[rows], qa[rows], qb[rows], target[rows], np.where(own, spread[rows], np.inf), bound)
+        out = table.select(keys).take(pa.array(np.repeat(starts, inner)))
+        at = lo[:, None] + (hi - lo)[:, None] * np.arange(1, knots - 1) / (knots - 1)
+        for name, x in (("knot", np.tile(np.arange(1, knots - 1), len(n))), ("at", at.ravel()), *zip("xyz", nodes.reshape(-1, 3).T), ("cost", np.repeat(costs, inner)), ("n", np.repeat(n, inner))):
+            out = out.append_column(name, pa.array(x))
+        return out
 
     types = ", ".join(f"`{k}` {dict(pairs.dtypes)[k]}" for k in keys)
     return whole_groups(known, keys, ["ta", "tb"], run, f"{types}, knot long, at double, x double, y double, z double, cost double, n long")
