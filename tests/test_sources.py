@@ -1,5 +1,6 @@
 import json
 import struct
+from pathlib import Path
 
 import pytest
 
@@ -65,3 +66,30 @@ def test_session_series_and_lens(spark, tmp_path):
     (tmp_path / "lens.json").write_text(json.dumps(profile))
     (r,) = session.read_lens(spark, f"file://{tmp_path}/lens.json", 3840, 2880).collect()
     assert (r.fx, r.cx, r.cy) == (1600, 1920, 1440)
+
+
+def test_lens_profiles_share_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    names = [(k, f"p{k}") for k in [*range(40), 1000, 1000]]  # one key twice, as its profiles are two
+    profile = F.struct("name", F.struct(F.lit(1920).alias("w"), F.lit(1440).alias("h")).alias("calib_dimension"), F.struct(F.array(*(F.array(*(F.col("k") + i for _ in range(3))) for i in range(3))).alias("camera_matrix"), F.array(F.lit(0.5)).alias("distortion_coeffs")).alias("fisheye_params"))
+    df = spark.createDataFrame(names, "k long, name string").select("k", profile.alias("profile"))
+    session.write_lens(df, f"file://{tmp_path}/lenses", "k", "profile", 16)
+    assert len(list(tmp_path.glob("lenses/part=*/*.txt"))) == 4  # 0 to 15, 16 to 31, 32 to 39, and that of 1000
+    (tmp_path / "lenses" / "part=0" / "one.json").write_text(json.dumps({"name": "alone", "calib_dimension": {"w": 3840, "h": 2880}, "fisheye_params": {"camera_matrix": [[7, 0, 0], [0, 0, 0], [0, 0, 0]]}}))
+    found = sorted((r.name, r.fx, r.fy) for r in session.read_lens(spark, f"file://{tmp_path}/lenses", 3840, 2880).collect())
+    assert found == sorted([("alone", 7.0, 0.0), *((n, k * 2.0, (k + 1) * 2.0) for k, n in names)])
+
+
+def test_supplier_profiles_are_few_files(spark):
+    from tidemark.plans import files
+    from tidemark.shared import _folder
+
+    before = set(tmp_files(_folder(spark)))
+    found = files.s18_lens_profiles(spark, "/root/testdata/sf0.01").collect()
+    assert len(found) == len({r.name for r in found}) == 100
+    assert len(set(tmp_files(_folder(spark))) - before) == 1  # not one for each supplier
+
+
+def tmp_files(folder):
+    return list(Path(folder.removeprefix("file://")).glob("files/lenses-*/part=*/*.txt"))
