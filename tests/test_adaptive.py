@@ -145,3 +145,63 @@ def test_denoised(spark, motion):
 def test_queries_have_rows_of_each_kind(spark):
     found = plans.i11_flags(spark, "/root/testdata/sf0.01").toPandas()
     assert len(found) == 10_000 and found[["spike", "confirmed", "tel_jitter", "image_bad", "render_jerk"]].any().all()
+
+
+def test_path_bands_by_chunks(spark):
+    draw = np.random.default_rng(11)
+    n, chunk, halo, render = {"a": 9000, "b": 4096, "c": 4099, "d": 15}, 2048, 1024, ["rx", "ry"]
+    rows, series = [], {}
+    for key, size in n.items():
+        path = np.sin(np.arange(size)[:, None] * [0.05, 0.3, 0.9]) + draw.normal(size=(size, 3)) + 20  # whose sums rise far
+        left = path @ [[3.0, 1], [0, 2], [1, 0]] + draw.normal(size=(size, 2))
+        series[key] = path, left
+        rows += [(key, i, *map(float, p), *map(float, r)) for i, (p, r) in enumerate(zip(path, left))]
+    df = spark.createDataFrame(rows, "k string, f int, x double, y double, z double, rx double, ry double").repartition(5)
+    inner = lambda v, lo, hi: np.column_stack([passed("band", (lo, hi), c) for c in np.cumsum(v, 0).T])[10:-10]
+    maps = adaptive.path_map(df, ["k"], "f", list("xyz"), render, FPS, chunk=chunk, halo=halo)
+    wanted = {k: np.linalg.lstsq(inner(p, 0.3, 3.0), inner(r, 0.3, 3.0), rcond=None)[0] for k, (p, r) in series.items() if len(p) > 20}
+    given = maps.collect()
+    assert len(given) == 6
+    for r in given:
+        assert np.allclose((r.a, r.b, r.c), wanted[r.k][:, render.index(r.axis)], atol=1e-6)
+    # an axis of b has no map, one of c a map without numbers
+    some = maps.where("k != 'b' or axis != 'ry'").selectExpr("k", "axis", *(f"case when k != 'c' or axis != 'rx' then {c} end as {c}" for c in "abc"))
+    bands = adaptive.path_bands(df, some, ["k"], "f", list("xyz"), render, FPS, chunk=chunk, halo=halo)
+    found = {(r.k, r.axis, r.band): (r.total, r.by_path, r.left) for r in bands.collect()}
+    assert len(found) == 20 and not any(k[:2] == ("b", "ry") for k in found)
+    for (k, axis, band), got in found.items():
+        path, left = series[k]
+        lo, hi = map(float, band.split("-"))
+        of = render.index(axis)
+        told = path @ wanted[k][:, of : of + 1]
+        want = [inner(v, lo, hi).std() for v in (left[:, of : of + 1], told, left[:, of : of + 1] - told)]
+        assert got == pytest.approx([want[0], 0, 0] if (k, axis) == ("c", "rx") else want, rel=1e-5)
+    # a series is never sorted as a whole, and its rows are filtered once for the maps and once for all bands
+    for df_, times in ((maps, 1), (bands, 2)):
+        plan = df_._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and plan.count("FlatMapGroupsIn") == times
+
+
+@pytest.mark.parametrize("n", [2, 5, 63, 64, 65, 700])
+def test_sections_in_blocks_are_the_recursion(n):
+    def plain(x, sections, pad=15):
+        m = min(pad, len(x) - 1)
+        y = np.concatenate([2 * x[0] - x[m:0:-1], x, 2 * x[-1] - x[-2 : -m - 2 : -1]])
+        for _ in range(2):
+            level = y[0]
+            for b, a in sections:
+                steady = b.sum() / a.sum() * level
+                s1, s2, out = steady - b[0] * level, b[2] * level - a[2] * steady, []
+                for v in y:
+                    out.append(b[0] * v + s1)
+                    s1, s2 = b[1] * v - a[1] * out[-1] + s2, b[2] * v - a[2] * out[-1]
+                y, level = np.array(out), steady
+            y = y[::-1]
+        return y[m : m + len(x)]
+
+    x = np.cumsum(np.random.default_rng(n).normal(size=(3, n)), 1) + 7
+    for kind, hz in (("low", 4.0), ("high", 4.0), ("band", (0.3, 1.0)), ("band", (1.0, 24.8))):
+        sections = filters.butterworth(kind, hz, FPS)
+        found = filters.zero_phase(x, sections)
+        assert np.allclose(found, [plain(v, sections) for v in x], atol=1e-9)
+        assert np.allclose(filters.zero_phase(x[0], sections), found[0], atol=1e-12)

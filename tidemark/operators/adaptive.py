@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import filters
-from .stats import MAD_TO_SIGMA, plane_fit
+from .stats import MAD_TO_SIGMA, PLANE, plane_of
 from .windows import cumulative_before, edge_padded, framed, with_halo
 
 # Limits of what is corrected and flagged, in degrees, degrees a second, frames or seconds.
@@ -161,34 +161,53 @@ def flags(df: DataFrame, keys: list[str], order: str, fps: float) -> DataFrame:
     return d.select(*keys, order, *(F.coalesce(c, F.lit(False)).alias(n) for n, c in told.items()), "jump", "jitter", F.col("_kc").alias("curl"), "jerk")
 
 
-def path_map(df: DataFrame, keys: list[str], order: str, path: list[str], render: list[str], fps: float, band: tuple[float, float] = (0.3, 3.0), edge: int = 10) -> DataFrame:
+def path_map(df: DataFrame, keys: list[str], order: str, path: list[str], render: list[str], fps: float, band: tuple[float, float] = (0.3, 3.0), edge: int = 10, chunk: int = filters.CHUNK, halo: int = filters.HALO) -> DataFrame:
     """keys, axis (of the render) and a, b, c: the least squares map from a path's three axes to each of the render's, on the
     filtered sums of both without the ends; order counts from 0."""
-    last = F.max(order).over(Window.partitionBy(*keys))
     sections = filters.butterworth("band", band, fps)
-    by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.select(*keys, order, *(F.sum(F.coalesce(c, F.lit(0.0))).over(by).alias(c) for c in (*path, *render)))
-    found = filters.filtered_all(sums, keys, order, [*path, *render], lambda x: filters.zero_phase(x, sections)).withColumn("_last", last)
-    inner = found.where((F.col(order) >= edge) & (F.col(order) <= F.col("_last") - edge))
-    return reduce(DataFrame.union, (plane_fit(inner, keys, tuple(path), r).select(*keys, F.lit(r).alias("axis"), "a", "b", "c") for r in render))
+    names = [f"s{i}{j}" for i, j in PLANE] + [f"t{i}" for i in range(3)]
+
+    def told(sums: np.ndarray, inner: np.ndarray):
+        found = filters.zero_phase(sums, sections)[:, inner]
+        products = found @ found[:3].T
+        for k, r in enumerate(render):
+            yield (r, *(products[i, j] for i, j in PLANE), *products[3 + k])
+
+    parts = filters.told_of_sums(df, keys, order, [*path, *render], told, {"axis": "string", **dict.fromkeys(names, "double")}, edge, chunk, halo)
+    return plane_of(parts.groupBy(*keys, "axis").agg(*(F.sum(n).alias(n) for n in names)), [*keys, "axis"])
 
 
-def path_bands(df: DataFrame, maps: DataFrame, keys: list[str], order: str, path: list[str], render: list[str], fps: float, bands: tuple = ((0.3, 1.0), (1.0, 4.0), (4.0, 8.0), (8.0, 24.5)), edge: int = 10) -> DataFrame:
+def path_bands(df: DataFrame, maps: DataFrame, keys: list[str], order: str, path: list[str], render: list[str], fps: float, bands: tuple = ((0.3, 1.0), (1.0, 4.0), (4.0, 8.0), (8.0, 24.5)), edge: int = 10, chunk: int = filters.CHUNK, halo: int = filters.HALO) -> DataFrame:
     """keys, axis, band, total, by_path and left: how far the render strays in each band of its sums, what of it the
-    path explains by maps, a table of path_map(), and what it does not."""
-    each = df.select(*keys, order, *path, F.explode(F.array(*(F.struct(F.lit(r).alias("axis"), F.coalesce(r, F.lit(0.0)).alias("_r")) for r in render))).alias("_e")).select(*keys, order, *path, "_e.axis", "_e._r")
-    own = [*keys, "axis"]
-    met = each.join(maps, own)
-    path_sum = reduce(Column.__add__, [F.coalesce(p, F.lit(0.0)) * F.col(k) for p, k in zip(path, "abc")])
-    by = Window.partitionBy(*own).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    met = met.select(*own, order, F.col("_r"), path_sum.alias("_p")).withColumn("_u", F.col("_r") - F.col("_p"))
-    sums = met.select(*own, order, *(F.sum(c).over(by).alias(c) for c in ("_r", "_p", "_u")), F.max(order).over(Window.partitionBy(*own)).alias("_last"))
-    out = []
-    for low, top in bands:
-        sections = filters.butterworth("band", (low, top), fps)
-        f = filters.filtered_all(sums, [*own, "_last"], order, ["_r", "_p", "_u"], lambda x, s=sections: filters.zero_phase(x, s)).where((F.col(order) >= edge) & (F.col(order) <= F.col("_last") - edge))
-        out.append(f.groupBy(*own).agg(*(F.stddev_pop(c).alias(n) for c, n in (("_r", "total"), ("_p", "by_path"), ("_u", "left")))).withColumn("band", F.lit(f"{low:g}-{top:g}")))
-    return reduce(DataFrame.union, out).select(*own, "band", "total", "by_path", "left")
+    path explains by maps, a table of path_map(), and what it does not. An axis without a map has no rows.
+
+    All bands of all axes are told of a chunk at once: its rows, and of each of the three values their mean and squares off it.
+    """
+    passes = [(f"{low:g}-{top:g}", filters.butterworth("band", (low, top), fps)) for low, top in bands]
+    # a row for each series is sent to all tasks, so that no task gets a whole series
+    by_axis = F.broadcast(maps.groupBy(*keys).agg(*(F.max(F.when(F.col("axis") == r, F.struct("a", "b", "c"))).alias(f"_m{i}") for i, r in enumerate(render))))
+    path_sum = lambda m: reduce(Column.__add__, [F.coalesce(p, F.lit(0.0)) * F.col(f"{m}.{k}") for p, k in zip(path, "abc")])
+    met = df.join(by_axis, keys)
+    # a map without numbers tells nothing, of what is explained or of the rest
+    of = [(F.coalesce(r, F.lit(0.0)), path_sum(f"_m{i}")) for i, r in enumerate(render)]
+    rows = met.select(*keys, order, *(v.alias(f"_{n}{i}") for i, (r, p) in enumerate(of) for n, v in (("r", r), ("p", p), ("u", r - p), ("h", F.when(F.col(f"_m{i}").isNotNull(), 1.0)))))
+    values = [f"_{n}{i}" for n in "rpuh" for i in range(len(render))]
+    names = [f"{n}{v}" for v in "rpu" for n in ("m", "q")]
+
+    def told(sums: np.ndarray, inner: np.ndarray):
+        n, mapped = len(inner), sums[-len(render) :, -1] > 0
+        for band, sections in passes:
+            found = filters.zero_phase(sums[: -len(render)], sections)[:, inner]
+            mean = found.mean(1)
+            off = ((found - mean[:, None]) ** 2).sum(1)
+            for k, r in enumerate(render):
+                if mapped[k]:
+                    yield (r, band, n, *(x[k + i * len(render)] for i in range(3) for x in (mean, off)))
+
+    parts = filters.told_of_sums(rows, keys, order, values, told, {"axis": "string", "band": "string", "n": "long", **dict.fromkeys(names, "double")}, edge, chunk, halo)
+    n = F.sum("n")
+    spread = lambda v: F.sqrt(F.greatest(F.sum(f"q{v}") + F.sum(F.col("n") * F.col(f"m{v}") * F.col(f"m{v}")) - F.pow(F.sum(F.col("n") * F.col(f"m{v}")), F.lit(2.0)) / n, F.lit(0.0)) / n)
+    return parts.groupBy(*keys, "axis", "band").agg(*(spread(v).alias(name) for v, name in zip("rpu", ("total", "by_path", "left"))))
 
 
 def denoised(df: DataFrame, keys: list[str], order: str, axes: list[str], rate: str, gains: list[tuple], fps: float, soft: float = 80.0, gain: float = 1.0, slowest: float = 1.0) -> DataFrame:

@@ -8,10 +8,12 @@ series, in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,32 +58,54 @@ def butterworth(kind: str, hz: float | tuple[float, float], fps: float) -> list[
     return out
 
 
-def _section(x: np.ndarray, b: np.ndarray, a: np.ndarray, level: float) -> np.ndarray:
-    """One section over x, started as if it had always been at `level`."""
+#: Rows that a section goes through in one step.
+BLOCK = 64
+
+
+@lru_cache(maxsize=64)
+def _blocks(b: tuple, a: tuple) -> tuple[np.ndarray, ...]:
+    """What a section's output (of the input and of the state before) and its state after a block are, as matrices."""
+    step, enters = np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    powers = [np.eye(2)]
+    for _ in range(BLOCK):
+        powers.append(step @ powers[-1])
+    pulse = np.array([b[0], *(float((m @ enters)[0]) for m in powers[: BLOCK - 1])])
+    lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+    of_input = np.where(lag >= 0, pulse[np.maximum(lag, 0)], 0.0)
+    return of_input, np.array([m[0] for m in powers[:BLOCK]]), np.array([m @ enters for m in powers[BLOCK - 1 :: -1]]), powers[BLOCK]
+
+
+def _section(x: np.ndarray, b: np.ndarray, a: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """One section over the last axis of x, started as if it had always been at `level`."""
+    of_input, of_state, into, across = _blocks(tuple(map(float, b)), tuple(map(float, a)))
+    n, rest = x.shape[-1], x.shape[:-1]
+    blocks = -(-n // BLOCK)
+    whole = np.zeros((*rest, blocks * BLOCK))
+    whole[..., :n] = x
+    whole = whole.reshape(*rest, blocks, BLOCK)
     steady = b.sum() / a.sum() * level
-    s1, s2 = steady - b[0] * level, b[2] * level - a[2] * steady
-    out = np.empty_like(x)
-    b0, b1, b2, a1, a2 = b[0], b[1], b[2], a[1], a[2]
-    for i, v in enumerate(x.tolist()):
-        y = b0 * v + s1
-        s1, s2 = b1 * v - a1 * y + s2, b2 * v - a2 * y
-        out[i] = y
-    return out
+    state = np.stack([steady - b[0] * level, b[2] * level - a[2] * steady], -1)
+    entered, states = whole @ into, np.empty((*rest, blocks, 2))
+    for k in range(blocks):
+        states[..., k, :] = state
+        state = state @ across.T + entered[..., k, :]
+    return (whole @ of_input.T + states @ of_state.T).reshape(*rest, -1)[..., :n]
 
 
 def zero_phase(x: np.ndarray, sections: list, pad: int = 15) -> np.ndarray:
-    """Forward and backward through the sections, with the ends extended by their point reflection."""
-    n = min(pad, len(x) - 1)
+    """Forward and backward over the last axis through the sections, with the ends extended by their point reflection."""
+    size = x.shape[-1]
+    n = min(pad, size - 1)
     if n < 1:
         return np.zeros_like(x)
-    y = np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]])
+    y = np.concatenate([2 * x[..., :1] - x[..., n:0:-1], x, 2 * x[..., -1:] - x[..., -2 : -n - 2 : -1]], -1)
     for _ in range(2):
-        level = y[0]
+        level = y[..., 0]
         for b, a in sections:
             y = _section(y, b, a, level)
             level = b.sum() / a.sum() * level
-        y = y[::-1]
-    return y[n : n + len(x)]
+        y = y[..., ::-1]
+    return y[..., n : n + size]
 
 
 def spectral_gain(x: np.ndarray, fps: float, hz: tuple, gain: tuple, reflect: int = 0) -> np.ndarray:
@@ -168,6 +192,33 @@ def filtered_all(df: DataFrame, keys: list[str], order: str, values: list[str],
     return slim.groupBy(*keys, "_chunk").applyInPandas(run, schema)
 
 
+def told_of_sums(df: DataFrame, keys: list[str], order: str, values: list[str], f: Callable[[np.ndarray, np.ndarray], Iterator[tuple]], fields: dict[str, str], edge: int, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
+    """keys and fields (name -> string, long or double): the rows that f(sums, inner) tells of each chunk with its halo, nulls as zero.
+
+    sums: the running sums of values, a row for each; they begin with the halo, as filters that pass no constant don't see what was before.
+    inner: the places of the chunk's own rows but for those within `edge` of the series' ends; order counts from 0.
+    """
+    if edge >= halo:
+        raise ValueError("the ends that are left out must be shorter than the halo")
+    slim = with_halo(df.select(*keys, order, *values), order, halo, halo, chunk)
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        at = table[order].to_numpy()
+        # a chunk whose halo ends early has the end of its series
+        inner = np.flatnonzero(table["_own"].to_numpy() & (at >= edge) & (at <= at[-1] - edge))
+        x = np.stack([np.nan_to_num(table[v].cast(pa.float64()).to_numpy()) for v in values])
+        rows = list(f(np.cumsum(x, 1), inner)) if len(inner) else []
+        out = table.select(keys).take(pa.array([0] * len(rows), pa.int64()))
+        for i, (name, kind) in enumerate(fields.items()):
+            out = out.append_column(name, pa.array([r[i] for r in rows], kinds[kind]))
+        return out
+
+    types = dict(df.dtypes)
+    return slim.groupBy(*keys, "_chunk").applyInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"`{n}` {k}" for n, k in fields.items())]))
+
+
 def stretches(df: DataFrame, keys: list[str], order: str, ok: Column, least: int) -> DataFrame:
     """The rows of df where ok holds, in runs without a gap of at least `least` rows: run, _pos (from 0) and _n (rows)."""
     runs = numbered(df.where(ok), keys, order, 0)

@@ -27,9 +27,16 @@ def scalar_gain(df: DataFrame, keys: list[str], x: str, y: str, use: Column, lea
 
 def plane_fit(df: DataFrame, keys: list[str], xs: tuple[str, str, str], y: str) -> DataFrame:
     """keys and a, b, c of the least squares y = a*x0 + b*x1 + c*x2: nine sums and Cramer's rule."""
-    pairs = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
-    sums = [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"s{i}{j}") for i, j in pairs] + [F.sum(F.col(x) * F.col(y)).alias(f"t{i}") for i, x in enumerate(xs)]
-    s = df.groupBy(*keys).agg(*sums)
+    sums = [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"s{i}{j}") for i, j in PLANE] + [F.sum(F.col(x) * F.col(y)).alias(f"t{i}") for i, x in enumerate(xs)]
+    return plane_of(df.groupBy(*keys).agg(*sums), keys)
+
+
+#: The products of two of three unknowns.
+PLANE = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+
+
+def plane_of(s: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and a, b, c from a row of sums for each: of xi * xj as sij (PLANE), and of xi * y as ti."""
     m = [[F.col(f"s{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
     t = [F.col(f"t{i}") for i in range(3)]
 
