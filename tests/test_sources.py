@@ -91,5 +91,22 @@ def test_supplier_profiles_are_few_files(spark):
     assert len(set(tmp_files(_folder(spark))) - before) == 1  # not one for each supplier
 
 
-def tmp_files(folder):
-    return list(Path(folder.removeprefix("file://")).glob("files/lenses-*/part=*/*.txt"))
+def tmp_files(folder, what="lenses"):
+    return list(Path(folder.removeprefix("file://")).glob(f"files/{what}-*/**/*.txt"))
+
+
+def test_exports_of_users_are_few_files(spark):
+    import duckdb
+
+    from tidemark.plans import files
+    from tidemark.shared import _folder
+
+    sf = "/root/testdata/sf0.001"
+    before = set(tmp_files(_folder(spark), "exports"))
+    found = sorted(map(tuple, files.s21_render_exports(spark, sf).collect()))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+        wanted = sorted(c.execute(files.ORACLE["s21_render_exports"]).fetchall())
+    assert len(found) == len(wanted) and all(a == pytest.approx(b) for a, b in zip(found, wanted))
+    users = {r[0] for r in wanted}
+    assert len(users) > 10 and len(set(tmp_files(_folder(spark), "exports")) - before) <= 8  # tasks of the session, not users

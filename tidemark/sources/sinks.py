@@ -53,10 +53,19 @@ def report_index(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     df.select(*columns).write.mode("error").option("header", True).csv(path)
 
 
-def read_exports(spark: SparkSession, path: str) -> DataFrame:
+def write_exports(df: DataFrame, path: str) -> None:
+    """Each row as an export, one a line; so files grow in number with the tasks, not with the exports."""
+    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("error").text(path)
+
+
+def read_exports(spark: SparkSession, path: str, label: str = "") -> DataFrame:
     """file, place (from 0) and the frames of render exports: one JSON object a file with a list `frames` of time, the rotations
-    before (org) and after (stab), angles and field of view."""
+    before (org) and after (stab), angles and field of view.
+
+    label: the field, with its type, that tells exports apart which lie one a line, as write_exports() has them; it comes first.
+    """
     quat = "struct<w: double, x: double, y: double, z: double>"
     shape = f"frames array<struct<time: double, org: {quat}, stab: {quat}, euler: array<double>, fov: double>>"
-    read = spark.read.schema(shape).option("multiLine", True).json(path)
-    return read.select(F.input_file_name().alias("file"), F.posexplode("frames").alias("place", "f")).select("file", "place", "f.*")
+    read = spark.read.schema(f"{label}, {shape}" if label else shape).option("multiLine", not label).json(path)
+    told = read.columns[:-1]
+    return read.select(*told, F.input_file_name().alias("file"), F.posexplode("frames").alias("place", "f")).select(*told, "file", "place", "f.*")
