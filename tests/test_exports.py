@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import exports, filters, fits
+from tidemark.plans import exports as plans
 
 N = 400
 
@@ -38,3 +40,26 @@ def test_exports(spark):
         i = int(np.argmax(v if angle == "org_yaw" else -v))
         assert (r.frame, r.value, r.back) == (a + i, pytest.approx(v[i]), pytest.approx(v[-1] - v[i], abs=1e-9))
     assert len(turns) == 4
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    """(folder, rows by series) of 250 frames a series, the last without a rate."""
+    folder = str(tmp_path_factory.mktemp("events"))
+    lines = [(i, 1.7e9 + i * 7.0, ("click", "view")[i % 2], float(i * 37 % 500)) for i in range(500)]
+    df = spark.createDataFrame(lines, "event_id long, at double, event_type string, value double")
+    df.select("event_id", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "event_type", "value").write.parquet(f"{folder}/events.parquet")
+    of = {}
+    for r in plans._paths(spark, folder)[0].orderBy("frame").collect():
+        of.setdefault(r.clip_id, []).append(r)
+    return folder, of
+
+
+def test_measures_over_events(spark, events):
+    folder, of = events
+    found = plans.k15_export_measures(spark, folder).collect()
+    assert sorted((r.clip_id, r.run, r.path) for r in found) == [(c, k, p) for c in ("click", "view") for k in range(3) for p in ("org", "stab")]
+    for r in found:
+        own = of[r.clip_id][r.run * 100 : min(r.run * 100 + 100, 249)]
+        v = np.array([[x[f"{r.path}_rate_{k}"] for k in "xyz"] for x in own])
+        assert r.rms == pytest.approx(np.sqrt(np.mean(np.sum(v * v, 1))), abs=1e-6) and own[0].frame <= r.peak_frame <= own[-1].frame

@@ -85,8 +85,8 @@ def whole(df: DataFrame, keys: list[str], order: str, axes: list[str]) -> DataFr
     told = F.raise_error(F.concat(F.lit("too few values on "), F.array_join("_few", ", "))).cast("double")
     full = medians(df, keys, order, 1, {f"_l_{a}": a for a in axes}, fill=True)
     # a row for each series is sent to all tasks, so that no task gets a whole series
-    here, each = full.alias("h"), F.broadcast(few).alias("w")
-    met = here.join(each, reduce(Column.__and__, [F.equal_null(f"h.{k}", f"w.{k}") for k in keys])).select("h.*", "w._few")
+    each = F.broadcast(few.select("_few", *(F.col(k).alias(f"_k_{k}") for k in keys)))
+    met = full.join(each, reduce(Column.__and__, [F.equal_null(k, f"_k_{k}") for k in keys]))
     return met.select(*(F.when(F.size("_few") > 0, told).otherwise(F.col(f"_l_{c}")).alias(c) if c in axes else F.col(c) for c in df.columns))
 
 

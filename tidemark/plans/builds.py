@@ -37,8 +37,8 @@ def telemetry(spark, sf_dir):
     step = lambda k: Q.let(F.struct(at(0).alias("a"), at(k).alias("b")), lambda m: Q.increment(m["a"], m["b"]))
     f = e.select("clip_id", "frame", "event_id", (8 + F.col("event_id") % 5).cast("double").alias("exposure"), step(1).alias("i"), step(5).alias("g"))
     # the last frame of each series is sent to all tasks, so that no task gets a whole series
-    last = F.broadcast(e.groupBy("clip_id").agg(F.max("frame").alias("end"))).alias("l")
-    f = f.alias("f").join(last, F.expr("f.clip_id <=> l.clip_id")).select("f.*", "l.end")
+    last = F.broadcast(e.groupBy(F.col("clip_id").alias("_c")).agg(F.max("frame").alias("end")))
+    f = f.join(last, F.expr("clip_id <=> _c")).drop("_c")
     off = lambda k: (F.col("event_id") * k % 101) / 101.0 * 0.01 - 0.005
     seen = F.col("event_id") % 29 != 0
     window = F.col("frame") <= F.col("end") - 5

@@ -30,9 +30,10 @@ def sig(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames are numbered hour by hour, from how many rows the hours before have, so that a series is spread over tasks."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("clip_id"), "ts", "event_id", (F.col("value") / 100).alias("x"), F.date_trunc("hour", F.col("ts").cast("timestamp_ntz")).alias("_h"))
     so_far = Window.partitionBy("clip_id").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
-    hours = e.groupBy("clip_id", "_h").agg(F.count(F.lit(1)).alias("_n")).select("clip_id", "_h", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))
+    hours = e.groupBy("clip_id", "_h").agg(F.count(F.lit(1)).alias("_n")).select(F.col("clip_id").alias("_c"), F.col("_h").alias("_hour"), F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"))
     w = Window.partitionBy("clip_id", "_h").orderBy("ts", "event_id")
-    met = e.alias("e").join(hours.alias("h"), F.expr("e.clip_id <=> h.clip_id and e._h <=> h._h")).select("e.*", "h._before")
+    # names of their own in place of aliases: these would stay with the columns, and "e.*" of a later struct e would mean them
+    met = e.join(hours, F.expr("clip_id <=> _c and _h <=> _hour"))
     return met.select("clip_id", (F.row_number().over(w) - 1 + F.col("_before")).cast("int").alias("frame"), "event_id", "x", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
