@@ -63,3 +63,13 @@ def test_measures_over_events(spark, events):
         own = of[r.clip_id][r.run * 100 : min(r.run * 100 + 100, 249)]
         v = np.array([[x[f"{r.path}_rate_{k}"] for k in "xyz"] for x in own])
         assert r.rms == pytest.approx(np.sqrt(np.mean(np.sum(v * v, 1))), abs=1e-6) and own[0].frame <= r.peak_frame <= own[-1].frame
+
+
+def test_turning_points_over_events(spark, events):
+    folder, of = events
+    turns = plans.k15_turning_points(spark, folder).collect()
+    assert len(turns) == 2 * 3 * 4
+    for r in turns:
+        own = of[r.clip_id][r.run * 100 : r.run * 100 + 100]
+        v = np.array([x[r.angle] for x in own]) * (1 if r.angle.endswith("yaw") else -1)
+        assert (r.frame, r.value) == (own[int(np.argmax(v))].frame, pytest.approx(own[int(np.argmax(v))][r.angle], abs=1e-6))
