@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quaternion as Q
-from ..shared import kept
+from ..shared import kept, stored
 from . import asof, corrections
 from . import gates as G
 from . import filters
@@ -405,6 +405,10 @@ def spline_fit(pairs: DataFrame, keys: list[str], knots: int = KNOTS, bound: flo
     return whole_groups(known, keys, ["ta", "tb"], run, f"{types}, knot long, at double, x double, y double, z double, cost double, n long")
 
 
+#: Instants of a full rate that are listed in one task.
+GRID = 1 << 16
+
+
 def fullrate_trial(samples: DataFrame, windows: DataFrame, keys: list[str], rate: float, hz: float, fade: float, gain: float = 1.0, shift: float = 0.0) -> DataFrame:
     """keys, t, q and applied (degrees): samples in windows, turned towards their motion below hz.
 
@@ -418,9 +422,17 @@ def fullrate_trial(samples: DataFrame, windows: DataFrame, keys: list[str], rate
     span = samples.groupBy(*keys).agg(F.min("t").alias("_first"), F.max("t").alias("_last"))
     reach = windows.groupBy(*keys).agg((F.min("lo") - pad).alias("_a"), (F.max("hi") + pad).alias("_b")).join(span, keys)
     reach = reach.select(*keys, F.greatest("_a", "_first").alias("_a"), F.least("_b", "_last").alias("_b"))
-    grid = reach.select(*keys, "_a", F.explode(F.sequence(F.lit(0), F.floor((F.col("_b") - F.col("_a")) * rate + 0.5).cast("int"))).alias("frame")).withColumn("t", F.col("_a") + F.col("frame") / rate)
+    # the instants of GRID frames are listed in one task, those of a series in as many as it takes
+    last = F.floor((F.col("_b") - F.col("_a")) * rate + 0.5).cast("int")
+    blocks = reach.select(*keys, "_a", last.alias("_n"), F.explode(F.sequence(F.lit(0), F.floor(last / GRID).cast("int"))).alias("_g"))
+    blocks = blocks.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_g")
+    frame = F.explode(F.sequence(F.col("_g") * GRID, F.least(F.col("_n"), F.col("_g") * GRID + GRID - 1)))
+    grid = blocks.select(*keys, "_a", frame.alias("frame")).withColumn("t", F.col("_a") + F.col("frame") / rate).drop("_a")
     dense = asof.slerped(samples.select(*keys, "t", "q"), grid, keys, "t", "q", asof.STRETCH_S)
-    smooth = filters.smoothed_rotations(dense, keys, "frame", "q", rate, hz).join(grid.select(*keys, "frame", "t"), [*keys, "frame"]).select(*keys, "t", "q")
+    # the instants are told again from where a series begins, not joined row by row; and both results rest on what is stored here
+    begins = F.broadcast(reach.select(*keys, "_a"))
+    smooth = filters.smoothed_rotations(dense, keys, "frame", "q", rate, hz).join(begins, keys).select(*keys, (F.col("_a") + F.col("frame") / rate).alias("t"), "q")
+    smooth = stored(smooth, "smooth")
     inside = G.within(samples.select(*keys, "t", F.col("q").alias("_q")), windows.select(*keys, "lo", "hi"), keys, "t", "lo", "hi", 1.0)
     gate = inside.groupBy(*keys, "t").agg(F.max(G.cosine_gate(F.col("t"), F.col("lo"), F.col("hi"), fade)).alias("_gate"), F.first("_q").alias("_q")).where("_gate > 0")
     ends = smooth.groupBy(*keys).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))

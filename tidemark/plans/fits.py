@@ -8,7 +8,7 @@ from ..functions import lens
 from ..functions import quaternion as Q
 from ..operators import fits, session_repair
 from ..operators import windows as W
-from ..shared import kept
+from ..shared import kept, stored
 from .builds import FPS, telemetry
 from .series import K
 from .views import flat, r6, s6, table
@@ -110,6 +110,7 @@ def c13_spline_fit(spark, sf_dir):
 def c09_fullrate_trial(spark, sf_dir):
     """Samples in windows of two seconds, turned towards their motion below 8 Hz read two milliseconds later."""
     samples, _ = _seconds(spark, sf_dir)
+    samples = stored(samples.select(*K, "t", "q"), "samples")  # read four times
     ends = samples.groupBy(*K).agg(F.max("t").alias("end")).where("end >= 4.5")
     at = ends.select(*K, "end", F.explode(F.sequence(F.lit(0), F.floor((F.col("end") - 4) / 10).cast("int"))).alias("k")).select(*K, (F.col("k") * 10.0 + 1).alias("lo"), (F.col("k") * 10.0 + 3).alias("hi"))
     both = at.union(at.select(*K, F.col("lo") + 1, F.col("hi") + 0.5))

@@ -29,6 +29,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df as files of columns in that folder: what follows starts from them, and reads only the columns that it needs."""
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     """A place in the folder of kept() that nothing else has."""
     return f"{_folder(spark)}/files/{what}-{uuid.uuid4().hex}"
