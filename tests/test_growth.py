@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof
+from tidemark.operators import asof, filters
 from tidemark.operators import windows as W
 from tidemark.plans import catalog
 
@@ -131,3 +131,22 @@ def test_gaps_filled_by_chunks(spark, size, chunk):
     found = W.medians(df, ["k"], "f", size, {"m": "v", "n": "u"}, chunk, fill=True)
     assert found.columns == [*df.columns, "m", "n"]
     assert {(r.k, r.f): r.m for r in found.collect()} == wanted
+
+
+def test_whole_series_are_rewritten_value_by_value(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, f, float(rng.normal()), None if f % 7 == 0 else float(rng.normal()), f * 0.5) for k, n in (("a", 45), ("b", 16), ("c", 1)) for f in range(n)]
+    df = spark.createDataFrame(rows, "k string, f int, x double, y double, r double").repartition(5)
+    each = spark.createDataFrame([("a", [2.0, 3.0], None), ("c", [5.0, 1.0], [4.0, 0.0])], "k string, x array<double>, y array<double>")
+    seen = lambda x, more: np.cumsum(x[::-1])[::-1] * (more or [1.0, 0.0])[0] + (more or [1.0, 0.0])[1]
+    found = filters.rewritten(df, ["k"], "f", {"x": seen, "y": seen}, ["r"], each, chunk=8)
+    assert found.columns == ["k", "f", "r", "x", "y"]
+    told = {(r.k, r.f): r for r in found.collect()}
+    assert len(told) == len(rows)
+    shares = {(r.k, v): r[v] for r in each.collect() for v in "xy"}
+    for k in "abc":
+        own = [r for r in rows if r[0] == k]
+        for i, v in ((2, "x"), (3, "y")):
+            wanted = seen(np.array([r[i] or 0.0 for r in own]), shares.get((k, v)))
+            assert [told[k, r[1]][v] for r in own] == wanted.tolist()
+        assert all(told[k, r[1]].r == r[4] for r in own)

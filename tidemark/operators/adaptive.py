@@ -214,12 +214,11 @@ def denoised(df: DataFrame, keys: list[str], order: str, axes: list[str], rate:
     """keys, order and each of axes: the angle that takes the noise out of a motion's steps.
 
     Each axis' steps are scaled frequency by frequency (gains: shares at filters.GAIN_HZ), the less the faster the motion; the
-    changes are summed before each row and kept from slowest Hz to nearly the highest frequency. A series is one task.
+    changes are summed before each row and kept from slowest Hz to nearly the highest frequency. An axis of a series is one task.
     """
     weight = gain / (1 + F.pow(F.col(rate) / soft, F.lit(2.0)))
-    d = df.select(*keys, order, rate, *axes)
-    for a, keep in zip(axes, gains):
-        d = _joined(d, filters.mapped_whole(df, keys, order, a, f"_w_{a}", lambda x, k=keep: filters.spectral_gain(x, fps, filters.GAIN_HZ, k)), keys, order)
-    sums = d.select(*keys, order, *(cumulative_before(weight * (F.col(f"_w_{a}") - F.coalesce(F.col(a), F.lit(0.0))), keys, order).alias(a) for a in axes))
+    changes = {a: (lambda x, k=keep: filters.spectral_gain(x, fps, filters.GAIN_HZ, k) - x) for a, keep in zip(axes, gains)}
+    d = filters.rewritten(df, keys, order, changes, [rate])
+    sums = d.select(*keys, order, *(cumulative_before(weight * F.col(a), keys, order).alias(a) for a in axes))
     band = filters.butterworth("band", (slowest, fps / 2 * 0.992), fps)
     return filters.filtered_all(sums, keys, order, axes, lambda x: filters.zero_phase(x, band))

@@ -142,17 +142,59 @@ def mapped(df: DataFrame, keys: list[str], order: str, value: str, name: str, f:
     return slim.groupBy(*keys, "_chunk").applyInPandas(run, schema)
 
 
-def mapped_whole(df: DataFrame, keys: list[str], order: str, value: str, name: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """keys, order and name = f(value) of each series, with nulls as zero; f sees the whole series in one task."""
-    slim = df.select(*keys, order, value)
-    schema = T.StructType([*(slim.schema[k] for k in keys), slim.schema[order], T.StructField(name, T.DoubleType())])
+#: numpy's name of what a series may be ordered by, or carry along.
+_KINDS = {"smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64"}
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        group[name] = f(np.nan_to_num(group[value].to_numpy(float)))
-        return group[[*keys, order, name]]
 
-    return slim.groupBy(*keys).applyInPandas(run, schema)
+def rewritten(df: DataFrame, keys: list[str], order: str, values: dict[str, Callable], carried: list[str] = [], each: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:  # noqa: B006
+    """keys, order, carried (numbers without gaps) and values, each of which is f(value) of its whole series, with nulls as zero.
+
+    A task holds one value of a series, and nothing else of it: 8 bytes a row, in lists of a chunk that are packed before and opened after,
+    chunk by chunk. each: a row of keys and one more column of that name for each value and series that has one, which its f gets too (or null).
+    """
+    slim = df.select(*keys, order, *carried, *(F.col(v).cast("double").alias(v) for v in values), F.floor(F.col(order) / chunk).cast("long").alias("_chunk"))
+    kinds = {c: np.dtype(_KINDS[k]) for c, k in slim.dtypes if c in (order, *carried)}
+    own, binary, given = [slim.schema[k] for k in keys], T.BinaryType(), each is not None
+    schema = T.StructType([*own, slim.schema["_chunk"], T.StructField("_of", T.StringType()), T.StructField("_x", binary)])
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        lists = [(c, table[c].to_numpy().astype(k)) for c, k in kinds.items()] + [(v, np.nan_to_num(table[v].to_numpy())) for v in values]
+        out = table.select([*keys, "_chunk"]).take(pa.array([0] * len(lists), pa.int64()))
+        return out.append_column("_of", pa.array([c for c, _ in lists], pa.string())).append_column("_x", pa.array([x.tobytes() for _, x in lists], pa.binary()))
+
+    def whole(table: pa.Table) -> pa.Table:
+        f = values.get(table["_of"][0].as_py())
+        more = [table["_each"][0].as_py()] if given and f else []
+        table = table.select(schema.names)
+        if f is None:
+            return table
+        table = table.sort_by("_chunk")
+        size = np.cumsum([len(b.as_buffer()) // 8 for b in table["_x"]])
+        x = np.concatenate([np.frombuffer(b.as_buffer()) for b in table["_x"]])
+        table = table.drop_columns(["_x"])
+        x = f(x, *more)
+        return table.append_column("_x", pa.array([part.tobytes() for part in np.split(x, size[:-1])], pa.binary()))
+
+    def opened(table: pa.Table) -> pa.Table:
+        lists = {c: np.frombuffer(x.as_buffer(), kinds.get(c, float)) for c, x in zip(table["_of"].to_pylist(), table["_x"])}
+        out = table.select(keys).take(pa.array(np.zeros(len(lists[order]), np.int64)))
+        for c in (order, *carried, *values):
+            out = out.append_column(c, pa.array(lists[c]))
+        return out
+
+    packed = slim.groupBy(*keys, "_chunk").applyInArrow(pack, schema)
+    if given:
+        told = F.coalesce(*(F.when(F.col("_of") == v, F.col(f"_e.{v}")) for v in values))
+        rows = each.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.struct(*values).alias("_e"))
+        packed = packed.join(F.broadcast(rows), [F.equal_null(packed[k], F.col(f"_k_{k}")) for k in keys], "left").select(*schema.names, told.alias("_each"))
+    done = packed.groupBy(*keys, "_of").applyInArrow(whole, schema)
+    return done.groupBy(*keys, "_chunk").applyInArrow(opened, T.StructType([*own, *(slim.schema[c] for c in (order, *carried)), *(T.StructField(v, T.DoubleType()) for v in values)]))
+
+
+def mapped_whole(df: DataFrame, keys: list[str], order: str, value: str, name: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """keys, order and name = f(value) of each series, with nulls as zero; f sees the whole series in one task."""
+    return rewritten(df.select(*keys, order, F.col(value).alias(name)), keys, order, {name: f})
 
 
 def band_share(df: DataFrame, keys: list[str], order: str, value: str, fps: float, high: tuple[float, float], low: tuple[float, float], chunk: int = CHUNK) -> DataFrame:
