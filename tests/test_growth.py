@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, filters
+from tidemark.operators import asof, builds, filters
 from tidemark.operators import windows as W
 from tidemark.plans import catalog
+from tidemark.shared import stored
 
 TYPES = ["click", "view"]
 
@@ -150,3 +151,30 @@ def test_whole_series_are_rewritten_value_by_value(spark):
             wanted = seen(np.array([r[i] or 0.0 for r in own]), shares.get((k, v)))
             assert [told[k, r[1]][v] for r in own] == wanted.tolist()
         assert all(told[k, r[1]].r == r[4] for r in own)
+
+
+def test_a_build_reads_its_inputs_once(spark):
+    counts = {n: spark.sparkContext.accumulator(0) for n in ("samples", "frames")}
+
+    def counted(df, name):
+        def run(batches):
+            for b in batches:
+                counts[name].add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    at = [(i, i * 5000.0, i // 4, i % 4) for i in range(1200)]
+    turn = lambda t: (float(np.cos(t / 9e6)), 0.0, 0.0, float(np.sin(t / 9e6)))
+    samples = spark.createDataFrame([("a", t, f, k, turn(t), False) for _, t, f, k in at], "clip string, t double, frame int, index int, q struct<w:double,x:double,y:double,z:double>, inverted boolean")
+    frames = spark.createDataFrame([("a", f, 8.0 + f % 3) for f in range(300)], "clip string, frame int, exposure double")
+    found, _ = builds.noise_build(counted(samples, "samples"), counted(frames, "frames"), ["clip"])
+    assert found.count() == 1200
+    assert (counts["samples"].value, counts["frames"].value) == (1200, 300)
+
+
+def test_stored_tables_are_read_by_columns(spark):
+    df = spark.createDataFrame([("a", 1, (0.1, None)), (None, 2, None)], "k string, i int, v struct<x:double,y:double>")
+    found = stored(df, "test")
+    assert found.dtypes == df.dtypes and sorted(map(str, found.collect())) == sorted(map(str, df.collect()))
+    assert "ReadSchema: struct<i:int>" in found.select("i")._jdf.queryExecution().executedPlan().toString()

@@ -12,14 +12,13 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import quaternion as Q
-from ..shared import kept
+from ..shared import stored
 from . import adaptive, asof, corrections, filters, spikes
 from .windows import cumulative_before, filled, framed, leaky_release, medians
 
@@ -60,6 +59,11 @@ SCAN_MS, SCAN_RATES, SCAN_END, CLEAR = 12, (30.0, 400.0), 8, 0.003
 WINDOW_POINTS, WINDOW_RATES, CALM = 150, (40.0, 300.0), 20.0
 
 
+def told_once(samples: DataFrame, frames: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both stored, as a build reads them many times, and plans are built and compiled anew for each of its steps."""
+    return stored(samples.select(*keys, "t", "frame", "index", "q", "inverted"), "samples"), stored(frames, "told")
+
+
 def _rate(s: Settings, v: Column) -> Column:
     return F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"]) * s.fps
 
@@ -157,7 +161,8 @@ def timed(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settings) -
         return e.withColumn("delta", (F.col("_var") + s.bias_ms) * 1000.0).drop("_e", "_var")
     if s.timing != "seen":
         raise ValueError("timing is seen or exposure")
-    constant = measured_shift(samples, frames, keys, s).select(*keys, F.when(F.col("clear"), F.col("shift")).otherwise(0.0).alias("_const"))
+    # a row for each series, stored: what follows is planned without the scan
+    constant = stored(measured_shift(samples, frames, keys, s).select(*keys, F.when(F.col("clear"), F.col("shift")).otherwise(0.0).alias("_const")), "shifts")
     e = _with(e, constant, keys, "left")
     return e.withColumn("delta", (F.coalesce("_const", F.lit(0.0)) + F.col("_var") + s.bias_ms) * 1000.0).drop("_e", "_var", "_const")
 
@@ -201,18 +206,6 @@ def _kept_of(df: DataFrame, keys: list[str], told: str, seen: str, s: Settings)
     return found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hz", "keep"))).alias("_l")).select(*keys, F.col("_l.keep").alias("keep"))
 
 
-def _scaled(df: DataFrame, keys: list[str], value: str, gains: str, fps: float) -> DataFrame:
-    """df with value scaled frequency by frequency by its series' own shares; a series is one task."""
-    schema = T.StructType([*df.schema, T.StructField(f"_s_{value}", T.DoubleType())])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("frame")
-        group[f"_s_{value}"] = filters.spectral_gain(np.nan_to_num(group[value].to_numpy(float)), fps, filters.GAIN_HZ, tuple(group[gains].iloc[0]), 100)
-        return group[schema.names]
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
 def quiet_other(df: DataFrame, keys: list[str], s: Settings) -> DataFrame:
     """keys, frame and px, py: the angles that take the noise above floor_hz out of x and y; df: x and y without spikes, ix, iy, rate and valid.
 
@@ -220,12 +213,14 @@ def quiet_other(df: DataFrame, keys: list[str], s: Settings) -> DataFrame:
     """
     d = _with(df, _gains(df, keys, {a: (a, f"i{a}") for a in "xy"}), keys)
     fixed = [1.0 if hz < s.floor_hz else k for hz, k in zip(filters.GAIN_HZ, filters.GAIN_OTHER)]
-    out = d.select(*keys, "frame", "x", "y", "rate", "valid")
+    each = d.select(*keys).distinct()
     for a in "xy":
         calm = d.where(F.col(f"corr_{a}") >= 0.8).select(*keys, "frame", "rate", F.col(a), (F.col(f"i{a}") / F.col(f"g_{a}")).alias("_seen"))
-        shares = _kept_of(calm, keys, a, "_seen", s)
-        own = _with(d.select(*keys, "frame", a), shares, keys, "left").withColumn("keep", F.coalesce("keep", F.array(*map(F.lit, fixed))))
-        out = out.join(_scaled(own, keys, a, "keep", s.fps).select(*keys, "frame", f"_s_{a}"), [*keys, "frame"])
+        each = _with(each, _kept_of(calm, keys, a, "_seen", s).withColumnRenamed("keep", f"_s_{a}"), keys, "left")
+    each = stored(each, "shares")  # a row for each series
+    scale = lambda x, keep: filters.spectral_gain(x, s.fps, filters.GAIN_HZ, tuple(fixed if keep is None else keep), 100)
+    scaled = filters.rewritten(d.select(*keys, "frame", *(F.col(a).alias(f"_s_{a}") for a in "xy")), keys, "frame", {f"_s_{a}": scale for a in "xy"}, each=each)
+    out = d.select(*keys, "frame", "x", "y", "rate", "valid").join(scaled, [*keys, "frame"])
     weight = F.when(F.col("valid"), s.gain / (1 + F.pow(F.col("rate") / s.soft_other, F.lit(2.0)))).otherwise(0.0)
     sums = out.select(*keys, "frame", *(cumulative_before(weight * (F.col(f"_s_{a}") - F.col(a)), keys, "frame").alias(f"p{a}") for a in "xy"))
     band = filters.butterworth("band", (s.slowest_hz, s.fps / 2 * 0.992), s.fps)
@@ -256,14 +251,15 @@ def window_readings(d: DataFrame, keys: list[str], s: Settings) -> DataFrame:
 
 
 def main_build(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settings = Settings(), free: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(samples, frames, events): the whole correction, each kept as a checkpoint that later steps start from.
+    """(samples, frames, events): the whole correction, each stored, so that later steps start from it.
 
     samples: keys, frame, index, q (in the camera's frame), stored (in the sensor's, with its sign) and base (q without correction).
     frames: keys, frame, delta, rate, valid, spike, roll_gate, the angles of each part - roll, px, py (noise), ex, ey (events), jx,
     jy (spikes) - and theta_x, theta_y, theta_z in degrees. events: those of corrections.event_segments with what checks them.
     free: spans (keys, lo, hi in frames) whose events may turn for good.
     """
-    d = kept(stepped(samples, timed(samples, frames, keys, s), keys, s))
+    samples, frames = told_once(samples, frames, keys)
+    d = stored(stepped(samples, stored(timed(samples, frames, keys, s), "timed"), keys, s), "steps")
     pairs = {**{a: (a, f"i{a}") for a in "xyz"}, "sx": ("x", "sx"), "sy": ("y", "sy")}
     d = _with(d, _gains(d, keys, pairs), keys)
     off = lambda a: F.when(F.col("valid"), F.col(f"i{a}") / F.when(_believed(a, 0.6), F.col(f"g_{a}")).otherwise(1.0) - F.col(a))
@@ -272,18 +268,18 @@ def main_build(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settin
     d = d.select("*", *(F.when(F.col("valid"), F.col(f"s{a}") / F.when(_believed(f"s{a}", 0.5, True), F.col(f"g_s{a}")).otherwise(1.0) - F.col(a)).alias(f"w{a}") for a in "xy"))
     d = spikes.unconfirmed(d, keys, "frame", ["x", "y"], ["fx", "fy"], "rate", second=["rx", "ry"], camera="camera", camera_max=s.camera_max, valid="valid").drop("r_x", "r_y", "jump")
     calm = [F.when(F.col("valid"), F.col(a) + F.col(f"c_{a}")).otherwise(0.0) for a in "xy"]
-    d = kept(d.select("*", *(c.alias(f"q{a}") for c, a in zip(calm, "xy")), *((F.col(f"f{a}") - F.col(f"c_{a}")).alias(f"n{a}") for a in "xy")))
+    d = stored(d.select("*", *(c.alias(f"q{a}") for c, a in zip(calm, "xy")), *((F.col(f"f{a}") - F.col(f"c_{a}")).alias(f"n{a}") for a in "xy")), "spikes")
 
     roll = adaptive.roll_correction(d.select(*keys, "frame", F.col("z").alias("told"), F.col("iz").alias("seen"), "curl", "points", "rate", "valid"), keys, "frame", s.fps)
     plain = d.select(*keys, "frame", F.col("qx").alias("x"), F.col("qy").alias("y"), "ix", "iy", "sx", "sy", "rate", "valid", "camera", "spike", "contaminated", "nx", "ny", "wx", "wy", "witnessed")
     noise = quiet_other(plain, keys, s)
-    rows = plain.join(window_readings(d, keys, s), [*keys, "frame"])
+    rows = stored(plain.join(window_readings(d, keys, s), [*keys, "frame"]), "readings")
     second = s.fps
     segments, events = corrections.event_segments(
         rows, keys, "frame", ["gx", "gy"], ["x", "y"], "reliable", "rate", s.event_least, s.baseline, min_rows=max(2, round(0.1 * second)), merge=max(2, round(0.12 * second)),
-        model=s.event_model, context=max(3, round(0.2 * second)), gain=s.gain, fine=["nx", "ny"], witness=["wx", "wy"], witnessed="witnessed", camera="camera", camera_max=s.camera_max, zero_net=s.zero_net, free=free, fps=second,
+        model=s.event_model, context=max(3, round(0.2 * second)), gain=s.gain, fine=["nx", "ny"], witness=["wx", "wy"], witnessed="witnessed", camera="camera", camera_max=s.camera_max, zero_net=s.zero_net, free=free, fps=second, keep=lambda met: stored(met, "windows"),
     )
-    segments, events = kept(segments), kept(events)
+    segments, events = stored(segments, "segments"), stored(events, "events")
     # what the second estimate says of the de-spiked motion, where it goes with it
     gains = _gains(plain, keys, {"sx": ("x", "sx"), "sy": ("y", "sy")})
     also = _with(plain, gains, keys).select(*keys, "frame", *(F.when(F.col(f"corr_s{a}") >= 0.5, F.col(f"s{a}") / F.col(f"g_s{a}") - F.col(a)).alias(f"_v{a}") for a in "xy"))
@@ -302,7 +298,7 @@ def main_build(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settin
     out = d.select(*keys, "frame", "delta", "rate", "valid", "spike").join(e.select(*keys, "frame", "ex", "ey", "jx", "jy"), [*keys, "frame"]).join(noise, [*keys, "frame"])
     out = out.join(roll.select(*keys, "frame", (F.col("theta") * s.gain).alias("roll"), F.col("gate").alias("roll_gate")), [*keys, "frame"])
     theta = [F.col(f"p{a}") + F.col(f"e{a}") + F.col(f"j{a}") for a in "xy"]
-    out = kept(out.select("*", theta[0].alias("theta_x"), theta[1].alias("theta_y"), F.col("roll").alias("theta_z")))
+    out = stored(out.select("*", theta[0].alias("theta_x"), theta[1].alias("theta_y"), F.col("roll").alias("theta_z")), "frames")
     return corrected(samples, out, keys, s), out, events
 
 
@@ -347,35 +343,38 @@ def _turned(d: DataFrame, keys: list[str], angles: dict[str, np.ndarray]) -> Dat
 
 def noise_build(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settings = Settings(timing="exposure"), axis: tuple[float, float, float] = (0, 0, 1), three: bool = True) -> tuple[DataFrame, DataFrame]:
     """(samples, frames) without what the fixed shares take for noise in the steps about the axis, and (three) the two across it; nothing that is seen is needed."""
-    d = kept(stepped(samples, timed(samples, frames, keys, s), keys, s))
+    samples, frames = told_once(samples, frames, keys)
+    d = stored(stepped(samples, stored(timed(samples, frames, keys, s), "timed"), keys, s), "steps")
     axes = _basis(axis)[: 3 if three else 1]
     names = ["about", "across", "along"][: len(axes)]
     steps = d.select(*keys, "frame", "rate", *(_along(a).alias(n) for n, a in zip(names, axes)))
     angles = adaptive.denoised(steps, keys, "frame", names, "rate", [filters.GAIN_ROLL, filters.GAIN_OTHER, filters.GAIN_OTHER][: len(axes)], s.fps, s.soft_other, s.gain, s.slowest_hz)
-    out = kept(_turned(d.select(*keys, "frame", "delta").join(angles, [*keys, "frame"]), keys, dict(zip(names, axes))))
+    out = stored(_turned(d.select(*keys, "frame", "delta").join(angles, [*keys, "frame"]), keys, dict(zip(names, axes))), "frames")
     return corrected(samples, out, keys, s), out
 
 
 def roll_build(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settings = Settings(timing="exposure"), axis: tuple[float, float, float] = (0, 0, 1), soft: float = 40.0, low: float = 4.0, high: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(samples, frames) whose turn about the axis is what iz shows of it, between two frequencies, the less the faster the motion."""
-    d = kept(stepped(samples, timed(samples, frames, keys, s), keys, s))
+    samples, frames = told_once(samples, frames, keys)
+    d = stored(stepped(samples, stored(timed(samples, frames, keys, s), "timed"), keys, s), "steps")
     (u,) = _basis(axis)[:1]
     off = F.coalesce((F.col("iz") - _along(u)) / (1 + F.pow(F.col("rate") / soft, F.lit(2.0))), F.lit(0.0)) * s.gain
     band = filters.butterworth("band", (low, min(high or s.fps / 2 * 0.992, s.fps / 2 * 0.999)), s.fps)
     sums = d.select(*keys, "frame", cumulative_before(off, keys, "frame").alias("about"))
     angle = filters.filtered_all(sums, keys, "frame", ["about"], lambda x: filters.zero_phase(x, band))
-    out = kept(_turned(d.select(*keys, "frame", "delta").join(angle, [*keys, "frame"]), keys, {"about": u}))
+    out = stored(_turned(d.select(*keys, "frame", "delta").join(angle, [*keys, "frame"]), keys, {"about": u}), "frames")
     return corrected(samples, out, keys, s), out
 
 
 def burst_build(samples: DataFrame, frames: DataFrame, keys: list[str], s: Settings = Settings(timing="exposure"), axis: tuple[float, float, float] = (0, 0, 1), least: float = 0.2, soft: float = 40.0, rate_max: float = 150.0, margin: int = 8, gap_rows: int = 5) -> tuple[DataFrame, DataFrame]:
     """(samples, frames) turned about the axis in bursts only: see corrections.burst_angle. What is told of a burst is read at the frames' own instants."""
-    own = kept(stepped(samples, frames.withColumn("delta", F.lit(0.0)), keys, s))
+    samples, frames = told_once(samples, frames, keys)
+    own = stored(stepped(samples, frames.withColumn("delta", F.lit(0.0)), keys, s), "steps")
     (u,) = _basis(axis)[:1]
     gap = own.select(*keys, "frame", "rate", (F.col("iz") - _along(u)).alias("gap"))
     angle = corrections.burst_angle(gap, keys, "frame", "gap", "rate", least, soft, rate_max, margin, gap_rows).select(*keys, "frame", (F.col("angle") * s.gain).alias("about"))
     moved = timed(samples, frames, keys, s).select(*keys, "frame", "delta")
-    out = kept(_turned(moved.join(angle, [*keys, "frame"], "left"), keys, {"about": u}))
+    out = stored(_turned(moved.join(angle, [*keys, "frame"], "left"), keys, {"about": u}), "frames")
     return corrected(samples, out, keys, s), out
 
 

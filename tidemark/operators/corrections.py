@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -192,7 +193,7 @@ def event_windows(df: DataFrame, keys: list[str], order: str, least: int, merge:
 def event_segments(
     df: DataFrame, keys: list[str], order: str, gaps: list[str], told: list[str], reliable: str, rate: str, least: float, size: int, ratio: float = 0.5, rate_max: float = 150.0, min_rows: int = 2, merge: int = 6, margin: int = 3,
     model: str = "image", context: int = 10, gain: float = 1.0, fine: list[str] | None = None, witness: list[str] | None = None, witnessed: str | None = None, camera: str | None = None, camera_max: float = 60.0,
-    zero_net: bool = True, free: DataFrame | None = None, fps: float = 50.0, lowpass_hz: float = 8.0, pad_s: float = 2.0,
+    zero_net: bool = True, free: DataFrame | None = None, fps: float = 50.0, lowpass_hz: float = 8.0, pad_s: float = 2.0, keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(segments, events) of stretches where what was told of a motion and what was seen of it disagree.
 
@@ -209,6 +210,8 @@ def event_segments(
     lowpass: what was told is smoothed below lowpass_hz, on the window with pad_s on both sides, so each window is filtered by
     itself, of any series and however windows overlap.
 
+    keep: what stores the rows of all windows, as both results rest on them.
+
     segments: keys, run, order and c_<axis>, of each window; events: keys, run, a, b, peak, mean_rate, spike, free_net.
     """
     if model not in ("image", "bridge", "lowpass"):
@@ -277,9 +280,11 @@ def event_segments(
         met = _smoothed(met, [*keys, "run"], order, told, filters.butterworth("low", lowpass_hz, fps))
         shared = [(F.col(f"_l_{a}") - F.col(a)) * soft * gain for a in told]
     own = F.col(order).between(F.col("first"), F.col("last"))
-    events = met.where(inside).groupBy(*keys, "run", "a", "b").agg(F.max(F.when(own, F.col("size"))).alias("peak"), F.avg(F.when(own, F.col(rate))).alias("mean_rate"), F.max("spike").alias("spike"), F.max("_free").alias("_free"))
+    rows = met.where(inside).select(*keys, "run", order, "a", "b", own.alias("_own"), "size", F.col(rate).alias("_rate"), "spike", "_free", *(c.alias(f"c_{a}") for c, a in zip(shared, told)))
+    rows = keep(rows) if keep else rows
+    events = rows.groupBy(*keys, "run", "a", "b").agg(F.max(F.when(F.col("_own"), F.col("size"))).alias("peak"), F.avg(F.when(F.col("_own"), F.col("_rate"))).alias("mean_rate"), F.max("spike").alias("spike"), F.max("_free").alias("_free"))
     events = events.select(*keys, "run", "a", "b", "peak", "mean_rate", "spike", (F.col("_free") | F.col("spike")).alias("free_net"))
-    return met.select(*keys, "run", order, inside.alias("_in"), *(c.alias(f"c_{a}") for c, a in zip(shared, told))).where("_in").drop("_in"), events
+    return rows.select(*keys, "run", order, *(f"c_{a}" for a in told)), events
 
 
 def _smoothed(rows: DataFrame, keys: list[str], order: str, values: list[str], sections: list) -> DataFrame:
